@@ -1,0 +1,57 @@
+"""Size-checked broadcast of a small side, with a blockwise way beyond the bound.
+
+Several operators compare every row of a large table (chunks, files) with a
+set of questions.  The question side is shipped to the tasks only after its
+row count is proven to be under ``max_rows``; a larger side is cut into blocks
+of at most ``max_rows`` rows, each handled by one pass over the large table
+whose result is written to the shared checkpoint folder.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docket.session import materialize
+
+DEFAULT_MAX_ROWS = 20_000
+
+
+def bounded_count(df: DataFrame, limit: int) -> int | None:
+    """Row count if it is at most ``limit``, else None (reads at most limit+1 rows)."""
+    n = df.limit(limit + 1).count()
+    return n if n <= limit else None
+
+
+def blocks(df: DataFrame, key: str, max_rows: int, _salt: int = 0) -> Iterator[pd.DataFrame]:
+    """Yield ``df`` as pandas frames of at most ``max_rows`` rows each."""
+    n = bounded_count(df, max_rows)
+    if n is not None:
+        yield df.toPandas()
+        return
+    total = df.count()
+    nb = max(2, math.ceil(2 * total / max_rows))
+    tagged = df.withColumn("_blk", F.pmod(F.xxhash64(F.col(key), F.lit(_salt)), F.lit(nb)))
+    for b in range(nb):
+        part = tagged.filter(F.col("_blk") == b).drop("_blk")
+        yield from blocks(part, key, max_rows, _salt + 1)
+
+
+def per_block(small: DataFrame, key: str, max_rows: int,
+              run: Callable[[pd.DataFrame], DataFrame], name: str) -> DataFrame:
+    """Apply ``run`` (which broadcasts one block) to each block of ``small``.
+
+    A single block stays lazy; several blocks are each written out and unioned.
+    """
+    n = bounded_count(small, max_rows)
+    if n is not None:
+        return run(small.toPandas())
+    parts = [materialize(run(pdf), name) for pdf in blocks(small, key, max_rows)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
