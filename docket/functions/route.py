@@ -89,11 +89,14 @@ def extract_subject(q, subjects=SUBJECTS) -> Column:
 
 # Our own rule table standing in for the remote classifier (R6).  Patterns are
 # matched against the lower-cased question, first hit wins.
+_B0 = r"(?:^|[^a-z0-9_])"   # explicit word edges: the same in every regex engine
+_B1 = r"(?:[^a-z0-9_]|\z)"
 CLASSIFY_RULES: tuple[tuple[str, str], ...] = (
-    ("NOTES_QUERY", r"\b(explain|what|why|how|define|definition|difference|describe|derive|"
-                    r"solve|compare|summari[sz]e|list)\b|\?\s*$"),
-    ("DIRECT_NOTES_REQUEST", r"\b(notes|pdf|syllabus|material|slides)\b"),
-    ("SMALL_TALK", r"^\s*(hi|hello|hey|thanks|thank you|good (morning|evening|night)|bye|ok|cool)\b"),
+    ("NOTES_QUERY", _B0 + r"(?:explain|what|why|how|define|definition|difference|describe|derive|"
+                    r"solve|compare|summari[sz]e|list)" + _B1 + r"|\?[ \t\n\r]*\z"),
+    ("DIRECT_NOTES_REQUEST", _B0 + r"(?:notes|pdf|syllabus|material|slides)" + _B1),
+    ("SMALL_TALK", r"^[ \t\n\r]*(?:hi|hello|hey|thanks|thank you|good (?:morning|evening|night)|bye|ok|cool)"
+                   + _B1),
 )
 
 

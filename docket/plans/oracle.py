@@ -90,3 +90,112 @@ d AS (SELECT conv_id, turn, regexp_replace(s, '(?m)^[0-9]+\\. ({_NL}*)$', '<li>\
 e AS (SELECT conv_id, turn, regexp_replace(s, '(<li>[\\s\\S]*?</li>)', '<ul>\\1</ul>', 'g') AS s FROM d),
 f AS (SELECT conv_id, turn, regexp_replace(regexp_replace(s, '\\n{{2,}}', '<br><br>', 'g'), '\\n', '<br>', 'g') AS s FROM e)
 SELECT conv_id, turn, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS html FROM f"""
+
+
+def _list(vals) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in vals) + "]"
+
+
+_SUBJ_NAMES = [s.name for s in SUBJECTS]
+
+NOTES_INDEX = f"""
+  SELECT page_id AS pos,
+         ({_list(_SUBJ_NAMES + ['misc'])})[page_id % {len(SUBJECTS) + 1} + 1] || ' module '
+         || CAST(page_id % 6 AS VARCHAR) || ' ' || CAST(page_id % 4 + 1 AS VARCHAR) || 'th sem '
+         || regexp_replace(url, '^[a-z]+://', '') || '.pdf' AS path,
+         url AS link
+  FROM pages"""
+
+BENCH_Q = f"""
+  SELECT item_id AS qid,
+         text || ' ' || ({_list(BENCH_TOPICS)})[item_id % {len(BENCH_TOPICS)} + 1] || ' module '
+         || CAST(item_id % 7 AS VARCHAR) || ' ' || CAST(item_id % 5 AS VARCHAR) || 'th sem notes' AS question
+  FROM benchmark"""
+
+CHAT_Q = f"""
+  SELECT conv_id * 1000 + turn AS qid,
+         ({_list(QUESTION_LEADS)})[conv_id % {len(QUESTION_LEADS)} + 1] || ' ' || text || ' module '
+         || CAST(turn % 5 AS VARCHAR) || ' ' || CAST(conv_id % 5 AS VARCHAR) || 'th sem' AS question
+  FROM conversations WHERE role = 'user'"""
+
+
+def _subject_case(x: str) -> str:
+    parts = []
+    for s in SUBJECTS:
+        cond = " OR ".join(f"contains({x}, '{k}')" for k in s.keywords)
+        parts.append(f"WHEN {cond} THEN '{s.name}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+def _classify_case(x: str) -> str:
+    from docket.functions.route import CLASSIFY_RULES
+    parts = [f"WHEN regexp_matches({x}, '{pat}') THEN '{cat}'" for cat, pat in CLASSIFY_RULES]
+    return "CASE " + " ".join(parts) + " ELSE 'OTHER' END"
+
+
+FIELDS = f"""
+  SELECT qid, question, lower(question) AS lq,
+         TRY_CAST(nullif(regexp_extract(question, '(?i)module\\s*[-_ ]*([0-9]+)', 1), '') AS BIGINT) AS module,
+         TRY_CAST(nullif(regexp_extract(question, '(?i)([0-9]+)\\s*(st|nd|rd|th)?\\s*sem', 1), '') AS BIGINT) AS semester,
+         {_subject_case('lower(question)')} AS subject
+  FROM {{src}}"""
+
+SQL["route_fields"] = f"""
+WITH q AS ({CHAT_Q}), f AS ({FIELDS.format(src='q')})
+SELECT qid, module, semester, subject, {_classify_case('lq')} AS category FROM f"""
+
+_PASS = """
+  (q.module IS NULL OR q.module = 0
+   OR contains(f.lp, 'module ' || CAST(q.module AS VARCHAR)) OR contains(f.lp, 'module_' || CAST(q.module AS VARCHAR))
+   OR contains(f.lp, 'mod ' || CAST(q.module AS VARCHAR)) OR contains(f.lp, CAST(q.module AS VARCHAR) || '.'))
+  AND (q.semester IS NULL OR q.semester = 0
+   OR contains(f.lp, CAST(q.semester AS VARCHAR) || 'rd sem') OR contains(f.lp, CAST(q.semester AS VARCHAR) || 'th sem')
+   OR contains(f.lp, CAST(q.semester AS VARCHAR) || 'nd sem') OR contains(f.lp, CAST(q.semester AS VARCHAR) || 'st sem'))
+  AND (q.subject IS NULL OR contains(f.lp, q.subject))"""
+
+_NOFILTER = "((q.module IS NULL OR q.module = 0) AND (q.semester IS NULL OR q.semester = 0) AND q.subject IS NULL)"
+
+_CANDS = f"""
+  qb AS ({BENCH_Q}), q AS ({FIELDS.format(src='qb')}),
+  f AS (SELECT pos, path, link, lower(path) AS lp FROM ({NOTES_INDEX})),
+  pairs AS (SELECT q.qid, f.pos, f.path, f.link FROM q, f WHERE NOT {_NOFILTER} AND {_PASS})"""
+
+SQL["candidate_files"] = f"""
+WITH {_CANDS}
+SELECT qid, pos, path, link, false AS all_files FROM pairs
+UNION ALL
+SELECT qid, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), true
+FROM q WHERE qid NOT IN (SELECT qid FROM pairs)"""
+
+SQL["candidate_summary"] = f"""
+WITH {_CANDS},
+  agg AS (SELECT qid, count(*) AS n, arg_min(path, pos) AS fp, min(pos) AS fpos FROM pairs GROUP BY qid),
+  tot AS (SELECT count(*) AS n, arg_min(path, pos) AS fp, min(pos) AS fpos FROM f)
+SELECT q.qid,
+       CASE WHEN a.qid IS NULL THEN t.n ELSE a.n END AS n_candidates,
+       CASE WHEN a.qid IS NULL THEN t.fpos ELSE a.fpos END AS first_pos,
+       CASE WHEN a.qid IS NULL THEN t.fp ELSE a.fp END AS first_path,
+       a.qid IS NULL AS all_files
+FROM q LEFT JOIN agg a ON q.qid = a.qid CROSS JOIN tot t"""
+
+SQL["fuzzy_best"] = f"""
+WITH {_CANDS},
+  pool AS (
+    SELECT q.qid, f.pos, f.path, f.link,
+           regexp_replace(q.lq, '\\s+', '', 'g') AS qs, regexp_replace(f.lp, '\\s+', '', 'g') AS fs
+    FROM q, f
+    WHERE (q.qid IN (SELECT qid FROM pairs) AND (q.qid, f.pos) IN (SELECT qid, pos FROM pairs))
+       OR q.qid NOT IN (SELECT qid FROM pairs)),
+  qbg AS (SELECT qid, bg, row_number() OVER (PARTITION BY qid, bg ORDER BY i) AS occ
+          FROM (SELECT DISTINCT qid, qs FROM pool) t, LATERAL (SELECT i, substr(t.qs, i, 2) AS bg FROM range(1, length(t.qs)) r(i))),
+  fbg AS (SELECT pos, bg, row_number() OVER (PARTITION BY pos, bg ORDER BY i) AS occ
+          FROM (SELECT DISTINCT pos, fs FROM pool) t, LATERAL (SELECT i, substr(t.fs, i, 2) AS bg FROM range(1, length(t.fs)) r(i))),
+  inter AS (SELECT a.qid, b.pos, count(*) AS n FROM qbg a JOIN fbg b ON a.bg = b.bg AND a.occ = b.occ GROUP BY a.qid, b.pos),
+  scored AS (
+    SELECT p.qid, p.pos, p.path, p.link,
+           CASE WHEN p.qs = p.fs THEN 1.0
+                WHEN length(p.qs) < 2 OR length(p.fs) < 2 THEN 0.0
+                ELSE 2.0 * coalesce(i.n, 0) / (length(p.qs) + length(p.fs) - 2) END AS rating
+    FROM pool p LEFT JOIN inter i ON p.qid = i.qid AND p.pos = i.pos)
+SELECT qid, path, link, round(rating, 6) AS rating
+FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rating DESC, pos) = 1"""

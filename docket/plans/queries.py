@@ -14,6 +14,8 @@ from docket.operators import chunk as C
 from docket.operators import collection as K
 from docket.operators import context as X
 from docket.operators import knn
+from docket.operators import route as R
+from docket.operators import similar as S
 from docket.plans import testdata as D
 
 K_CHAT = 5
@@ -88,6 +90,27 @@ def render_answer(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", T.render_answer("text").alias("html"))
 
 
+def route_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """R1-R3 + R6 over every chat question."""
+    q = R.classify_questions(R.route_fields(D.chat_questions(spark, sf)))
+    return q.select("qid", "module", "semester", "subject", "category")
+
+
+def candidate_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate notes files of every benchmark question (all-files rows flagged)."""
+    return R.candidate_files(D.bench_questions(spark, sf), D.notes_index(spark, sf))
+
+
+def candidate_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """R4 aggregated per question, without listing pairs."""
+    return R.candidate_summary(D.bench_questions(spark, sf), D.notes_index(spark, sf))
+
+
+def fuzzy_best(spark: SparkSession, sf: str) -> DataFrame:
+    """J2 + N1: most similar candidate file per benchmark question."""
+    return S.fuzzy_best_file(D.bench_questions(spark, sf), D.notes_index(spark, sf))
+
+
 QUERIES = {
     "knn_top5": knn_top5,
     "rag_context": rag_context,
@@ -99,4 +122,8 @@ QUERIES = {
     "tag_runs": tag_runs,
     "safe_names": safe_names,
     "render_answer": render_answer,
+    "route_fields": route_fields,
+    "candidate_files": candidate_files,
+    "candidate_summary": candidate_summary,
+    "fuzzy_best": fuzzy_best,
 }
