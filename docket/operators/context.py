@@ -127,3 +127,21 @@ def answer_defaults(df: DataFrame, form: str = "cli") -> DataFrame:
                          F.lit("</a></div>"))
         return df.withColumn("html", F.when(link.isNotNull(), F.concat(body, block)).otherwise(body))
     raise ValueError("form is 'cli' or 'page'")
+
+
+FILE_BASE_URL = "http://localhost:3000/files/"
+
+
+def lookup_file(requests: DataFrame, stored: DataFrame, name_col: str = "name",
+                base_url: str = FILE_BASE_URL) -> DataFrame:
+    """Each request with ``status`` ('missing' for no name, 'not_found',
+    'ok') and ``file_url`` when found.  An exact key join; no file system access."""
+    names = stored.select(F.col(name_col).alias("_n")).distinct().withColumn("_hit", F.lit(True))
+    j = requests.join(names, requests[name_col] == names["_n"], "left")
+    empty = F.col(name_col).isNull() | (F.col(name_col) == "")
+    status = (F.when(empty, F.lit("missing"))
+               .when(F.col("_hit").isNotNull(), F.lit("ok"))
+               .otherwise(F.lit("not_found")))
+    return j.select(*requests.columns, status.alias("status"),
+                    F.when(~empty & F.col("_hit").isNotNull(),
+                           F.concat(F.lit(base_url), F.col(name_col))).alias("file_url"))

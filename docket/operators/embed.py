@@ -60,6 +60,17 @@ def token_bucket(tok: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
 
 
+def hash_embed_long(df: DataFrame, id_col: str = "id", text_col: str = "text",
+                    dim: int = 64) -> DataFrame:
+    """M2 in long form: ``(id, bucket, weight)`` for the non-zero buckets."""
+    toks = df.select(F.col(id_col).alias("_id"), F.explode(tokens(text_col)).alias("_tok"))
+    counts = (toks.groupBy("_id", token_bucket(F.col("_tok"), dim).alias("bucket"))
+                  .agg(F.count(F.lit(1)).cast("double").alias("_c")))
+    norms = counts.groupBy("_id").agg(F.sqrt(F.sum(F.col("_c") * F.col("_c"))).alias("_n"))
+    return (counts.join(norms, "_id")
+                  .select(F.col("_id").alias(id_col), "bucket", (F.col("_c") / F.col("_n")).alias("weight")))
+
+
 def hash_embed(df: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 64,
                out_col: str = "vector") -> DataFrame:
     """M2: term counts hashed into ``dim`` buckets, L2-normalised, as ``array<double>``.

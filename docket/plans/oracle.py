@@ -199,3 +199,106 @@ WITH {_CANDS},
     FROM pool p LEFT JOIN inter i ON p.qid = i.qid AND p.pos = i.pos)
 SELECT qid, path, link, round(rating, 6) AS rating
 FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rating DESC, pos) = 1"""
+
+SQL["recent_questions"] = """
+WITH u AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS q
+           FROM conversations WHERE role = 'user'),
+nb AS (SELECT * FROM u WHERE q IS NOT NULL AND q <> ''),
+k AS (SELECT *, lag(q) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM nb),
+kept AS (SELECT conv_id, turn, q FROM k WHERE prev IS NULL OR prev <> q),
+r AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS rk, q
+      FROM kept)
+SELECT conv_id, rk, q AS question,
+       CASE WHEN length(q) > 60 THEN substr(q, 1, 60) || '…' ELSE q END AS label
+FROM r WHERE rk <= 8"""
+
+TREE = f"""
+  e AS (SELECT path, min(pos) AS pos, arg_max(link, pos) AS link FROM ({FILE_INDEX}) GROUP BY path),
+  p AS (SELECT pos, link,
+               list_filter(list_transform(string_split(path, '/'),
+                                          lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),
+                           lambda x: x <> '') AS parts
+        FROM e WHERE path IS NOT NULL AND path <> ''),
+  n AS (SELECT pos, link, len(parts) AS n, i, parts[i] AS name,
+               array_to_string(parts[1:i], '/') AS node,
+               CASE WHEN i > 1 THEN array_to_string(parts[1:i - 1], '/') END AS parent_path
+        FROM p, range(1, len(parts) + 1) r(i) WHERE len(parts) > 0),
+  g AS (SELECT node, any_value(name) AS name, any_value(parent_path) AS parent_path,
+               any_value(i) AS depth, bool_or(i = n) AS f,
+               arg_max(CASE WHEN i = n THEN link END, CASE WHEN i = n THEN pos END) AS lk,
+               arg_min(i = n, pos) AS fe, bool_or(i < n) AS th
+        FROM n GROUP BY node),
+  tree AS (SELECT node AS path, parent_path, CAST(depth AS BIGINT) AS depth, name,
+                  CASE WHEN f THEN 'file' ELSE 'folder' END AS type,
+                  CASE WHEN f THEN lk END AS link, fe AND th AS conflict FROM g)"""
+
+SQL["library_tree"] = f"WITH {TREE} SELECT * FROM tree"
+
+SQL["folder_children"] = f"""
+WITH {TREE}
+SELECT parent_path AS path, count(*) AS n_children, count(*) FILTER (WHERE type = 'file') AS n_files,
+       min(name) AS first_child
+FROM tree WHERE parent_path IS NOT NULL GROUP BY parent_path"""
+
+SQL["folder_closure"] = f"""
+WITH RECURSIVE {TREE},
+  ent AS (SELECT path AS id, parent_path AS parent_id, name, type = 'folder' AS is_folder FROM tree),
+  walk(id, path, depth, is_folder, name, anc, ord) AS (
+    SELECT id, name, 1, is_folder, name, [id], [{{'n': name, 'i': id}}] FROM ent WHERE parent_id IS NULL
+    UNION ALL
+    SELECT e.id, w.path || '/' || e.name, w.depth + 1, e.is_folder, e.name,
+           list_append(w.anc, e.id), list_append(w.ord, {{'n': e.name, 'i': e.id}})
+    FROM walk w JOIN ent e ON e.parent_id = w.id
+    WHERE w.is_folder AND NOT list_contains(w.anc, e.id) AND w.depth < 64),
+  files AS (SELECT id, path, CAST(depth AS BIGINT) AS depth, ord,
+                   regexp_replace(name, '[\\\\/:"*?<>|]+', '_', 'g') AS safe_name
+            FROM walk WHERE NOT is_folder),
+  win AS (SELECT safe_name, max(ord) AS w FROM files GROUP BY safe_name)
+SELECT f.id, f.path, f.depth, f.safe_name, f.ord = w.w AS kept
+FROM files f JOIN win w ON f.safe_name = w.safe_name"""
+
+SQL["lookup_file"] = f"""
+WITH n AS ({NOTES_INDEX}),
+  stored AS (SELECT DISTINCT regexp_extract(path, '([^\\\\/]*)$', 1) AS name FROM n),
+  req AS (SELECT pos AS req_id,
+                 CASE WHEN pos % 3 = 0 THEN regexp_extract(path, '([^\\\\/]*)$', 1)
+                      WHEN pos % 3 = 1 THEN regexp_extract(path, '([^\\\\/]*)$', 1) || '.bak'
+                      ELSE '' END AS name FROM n)
+SELECT r.req_id, r.name,
+       CASE WHEN r.name IS NULL OR r.name = '' THEN 'missing'
+            WHEN s.name IS NOT NULL THEN 'ok' ELSE 'not_found' END AS status,
+       CASE WHEN r.name <> '' AND s.name IS NOT NULL THEN 'http://localhost:3000/files/' || r.name END AS file_url
+FROM req r LEFT JOIN stored s ON r.name = s.name"""
+
+SQL["pack_batches"] = f"""
+WITH c AS ({COLL}), r AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM c)
+SELECT CAST(pos // 300 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n_rows,
+       string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS ids_csv,
+       CAST(sum(length(content)) AS BIGINT) AS doc_chars, CAST(count(v) AS BIGINT) AS n_vectors
+FROM r GROUP BY 1"""
+
+SQL["parity"] = """
+SELECT CASE WHEN e.vec_id IS NULL THEN 'left_only' ELSE 'right_only' END AS side,
+       coalesce(d.doc_id, e.vec_id) AS id
+FROM documents d FULL OUTER JOIN embeddings e ON d.doc_id = e.vec_id
+WHERE d.doc_id IS NULL OR e.vec_id IS NULL"""
+
+SQL["upsert_new"] = """
+WITH d AS (SELECT doc_id AS id, min({'source': source, 'n_chars': n_chars}) AS r FROM documents GROUP BY doc_id)
+SELECT id, r.source AS source, r.n_chars AS n_chars FROM d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.id)"""
+
+SQL["hash_embed"] = """
+WITH t AS (SELECT item_id, unnest(string_split_regex(lower(text), '\\s+')) AS tok FROM benchmark),
+c AS (SELECT item_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS bucket, CAST(count(*) AS DOUBLE) AS cnt
+      FROM t WHERE tok <> '' GROUP BY 1, 2)
+SELECT item_id, bucket, round(cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY item_id)), 6) AS weight FROM c"""
+
+SQL["stage_counts"] = """
+SELECT 'documents' AS stage, count(*) AS n FROM documents
+UNION ALL
+SELECT 'chunks', sum(CASE WHEN NOT regexp_matches(text, '\\S') THEN 0
+                          WHEN length(text) <= 1200 THEN 1
+                          ELSE CAST(ceil((length(text) - 1200) / 1000.0) AS BIGINT) + 1 END) FROM documents
+UNION ALL
+SELECT 'collection', count(*) FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"""

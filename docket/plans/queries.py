@@ -13,7 +13,10 @@ from docket.functions import text as T
 from docket.operators import chunk as C
 from docket.operators import collection as K
 from docket.operators import context as X
+from docket.operators import embed as M
+from docket.operators import history as H
 from docket.operators import knn
+from docket.operators import tree as TR
 from docket.operators import route as R
 from docket.operators import similar as S
 from docket.plans import testdata as D
@@ -111,6 +114,85 @@ def fuzzy_best(spark: SparkSession, sf: str) -> DataFrame:
     return S.fuzzy_best_file(D.bench_questions(spark, sf), D.notes_index(spark, sf))
 
 
+def recent_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """W2 + W3 + T3: the recent-question list of every conversation."""
+    turns = D.table(spark, sf, "conversations").filter(F.col("role") == "user") \
+             .select("conv_id", "turn", F.col("text").alias("question"))
+    return H.recent_questions(H.drop_repeats(turns))
+
+
+def library_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """H1 over the page file index."""
+    return TR.library_tree(D.file_index(spark, sf))
+
+
+def folder_children(spark: SparkSession, sf: str) -> DataFrame:
+    """H3 for every folder: child counts by type and the first child name."""
+    nodes = TR.library_tree(D.file_index(spark, sf))
+    kids = nodes.filter(F.col("parent_path").isNotNull())
+    return kids.groupBy(F.col("parent_path").alias("path")).agg(
+        F.count(F.lit(1)).alias("n_children"),
+        F.count(F.when(F.col("type") == "file", 1)).alias("n_files"),
+        F.min("name").alias("first_child"))
+
+
+def folder_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """H2 over the library tree of the page index, from the top level."""
+    nodes = TR.library_tree(D.file_index(spark, sf))
+    entries = nodes.select(F.col("path").alias("id"), F.col("parent_path").alias("parent_id"), "name",
+                           (F.col("type") == "folder").alias("is_folder"))
+    return TR.folder_closure(entries)
+
+
+def lookup_file(spark: SparkSession, sf: str) -> DataFrame:
+    """File requests against the stored file names."""
+    return X.lookup_file(D.file_requests(spark, sf), D.stored_names(spark, sf))
+
+
+def pack_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """K2 + W4 + W6 + P7: the collection packed in batches of 300 by id."""
+    coll = D.vector_collection(spark, sf).select(
+        "id", F.col("content").alias("document"),
+        F.struct("source", F.lit(0).alias("chunk_id"), F.col("id").alias("doc_index")).alias("metadata"),
+        F.col("vector").alias("embedding"))
+    pb = K.pack_batches(coll, 300, [F.col("id")])
+    return pb.select(
+        "batch", F.size("ids").cast("bigint").alias("n_rows"),
+        F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids_csv"),
+        F.aggregate("documents", F.lit(0).cast("bigint"),
+                    lambda a, x: a + F.length(x).cast("bigint")).alias("doc_chars"),
+        F.size("embeddings").cast("bigint").alias("n_vectors"))
+
+
+def parity(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: documents without a vector and vectors without a document."""
+    docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    vecs = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    return K.check_parity(docs, vecs, "id")
+
+
+def upsert_new(spark: SparkSession, sf: str) -> DataFrame:
+    """K3's insert set (J6): documents, one per id, whose id is not stored yet
+    (stored = the labelled documents)."""
+    docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars")
+    stored = D.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return K.new_only(K.dedupe_by_id(docs, "id"), stored, "id")
+
+
+def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 in long form over every benchmark text."""
+    b = D.table(spark, sf, "benchmark")
+    out = M.hash_embed_long(b, "item_id", "text", 64)
+    return out.select("item_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+def stage_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A5 + A1: documents loaded, chunks made (fixed windows), collection size."""
+    docs = D.table(spark, sf, "documents")
+    chunks = chunk_fixed(spark, sf)
+    return K.stage_counts(documents=docs, chunks=chunks, collection=D.vector_collection(spark, sf))
+
+
 QUERIES = {
     "knn_top5": knn_top5,
     "rag_context": rag_context,
@@ -126,4 +208,14 @@ QUERIES = {
     "candidate_files": candidate_files,
     "candidate_summary": candidate_summary,
     "fuzzy_best": fuzzy_best,
+    "recent_questions": recent_questions,
+    "library_tree": library_tree,
+    "folder_children": folder_children,
+    "folder_closure": folder_closure,
+    "lookup_file": lookup_file,
+    "pack_batches": pack_batches,
+    "parity": parity,
+    "upsert_new": upsert_new,
+    "hash_embed": hash_embed,
+    "stage_counts": stage_counts,
 }

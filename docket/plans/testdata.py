@@ -89,3 +89,21 @@ def bench_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (F.col("item_id") % 7).cast("string"), F.lit(" "),
                  (F.col("item_id") % 5).cast("string"), F.lit("th sem notes"))
     return b.select(F.col("item_id").alias("qid"), q.alias("question"))
+
+
+def stored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names on disk: base names of the notes index paths."""
+    from docket.functions.text import base_name
+    return notes_index(spark, sf_dir).select(base_name("path").alias("name"))
+
+
+def file_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per page: its stored name, that name + '.bak' (absent), or
+    nothing, by page id."""
+    from docket.functions.text import base_name
+    n = notes_index(spark, sf_dir)
+    name = base_name("path")
+    req = (F.when(F.col("pos") % 3 == 0, name)
+            .when(F.col("pos") % 3 == 1, F.concat(name, F.lit(".bak")))
+            .otherwise(F.lit("")))
+    return n.select(F.col("pos").alias("req_id"), req.alias("name"))
