@@ -155,11 +155,15 @@ _PASS = """
 
 _NOFILTER = "((q.module IS NULL OR q.module = 0) AND (q.semester IS NULL OR q.semester = 0) AND q.subject IS NULL)"
 
-_CANDS = f"""
-  qb AS ({BENCH_Q}), q AS ({FIELDS.format(src='qb')}),
+def _cands(qsrc: str) -> str:
+    return f"""
+  qb AS ({qsrc}), q AS ({FIELDS.format(src='qb')}),
   f AS (SELECT pos, path, link, lower(path) AS lp FROM ({NOTES_INDEX})),
   pairs AS (SELECT q.qid, f.pos, f.path, f.link FROM q, f WHERE NOT {_NOFILTER} AND {_PASS})"""
 
+
+_CANDS = _cands(BENCH_Q)
+
 SQL["candidate_files"] = f"""
 WITH {_CANDS}
 SELECT qid, pos, path, link, false AS all_files FROM pairs
@@ -178,27 +182,34 @@ SELECT q.qid,
        a.qid IS NULL AS all_files
 FROM q LEFT JOIN agg a ON q.qid = a.qid CROSS JOIN tot t"""
 
-SQL["fuzzy_best"] = f"""
-WITH {_CANDS},
+def _fuzzy(qsrc: str) -> str:
+    """CTEs ending in ``best(qid, path, link, rating)``."""
+    return f"""{_cands(qsrc)},
   pool AS (
     SELECT q.qid, f.pos, f.path, f.link,
            regexp_replace(q.lq, '\\s+', '', 'g') AS qs, regexp_replace(f.lp, '\\s+', '', 'g') AS fs
     FROM q, f
-    WHERE (q.qid IN (SELECT qid FROM pairs) AND (q.qid, f.pos) IN (SELECT qid, pos FROM pairs))
-       OR q.qid NOT IN (SELECT qid FROM pairs)),
+    WHERE (q.qid, f.pos) IN (SELECT qid, pos FROM pairs) OR q.qid NOT IN (SELECT qid FROM pairs)),
   qbg AS (SELECT qid, bg, row_number() OVER (PARTITION BY qid, bg ORDER BY i) AS occ
-          FROM (SELECT DISTINCT qid, qs FROM pool) t, LATERAL (SELECT i, substr(t.qs, i, 2) AS bg FROM range(1, length(t.qs)) r(i))),
+          FROM (SELECT DISTINCT qid, qs FROM pool) t,
+               LATERAL (SELECT i, substr(t.qs, i, 2) AS bg FROM range(1, length(t.qs)) r(i))),
   fbg AS (SELECT pos, bg, row_number() OVER (PARTITION BY pos, bg ORDER BY i) AS occ
-          FROM (SELECT DISTINCT pos, fs FROM pool) t, LATERAL (SELECT i, substr(t.fs, i, 2) AS bg FROM range(1, length(t.fs)) r(i))),
-  inter AS (SELECT a.qid, b.pos, count(*) AS n FROM qbg a JOIN fbg b ON a.bg = b.bg AND a.occ = b.occ GROUP BY a.qid, b.pos),
+          FROM (SELECT DISTINCT pos, fs FROM pool) t,
+               LATERAL (SELECT i, substr(t.fs, i, 2) AS bg FROM range(1, length(t.fs)) r(i))),
+  inter AS (SELECT a.qid, b.pos, count(*) AS n FROM qbg a JOIN fbg b ON a.bg = b.bg AND a.occ = b.occ
+            GROUP BY a.qid, b.pos),
   scored AS (
     SELECT p.qid, p.pos, p.path, p.link,
            CASE WHEN p.qs = p.fs THEN 1.0
                 WHEN length(p.qs) < 2 OR length(p.fs) < 2 THEN 0.0
                 ELSE 2.0 * coalesce(i.n, 0) / (length(p.qs) + length(p.fs) - 2) END AS rating
-    FROM pool p LEFT JOIN inter i ON p.qid = i.qid AND p.pos = i.pos)
-SELECT qid, path, link, round(rating, 6) AS rating
-FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rating DESC, pos) = 1"""
+    FROM pool p LEFT JOIN inter i ON p.qid = i.qid AND p.pos = i.pos),
+  best AS (SELECT qid, path, link, round(rating, 6) AS rating FROM scored
+           QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rating DESC, pos) = 1)"""
+
+
+SQL["fuzzy_best"] = f"WITH {_fuzzy(BENCH_Q)} SELECT * FROM best"
+
 
 SQL["recent_questions"] = """
 WITH u AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS q
@@ -302,3 +313,72 @@ SELECT 'chunks', sum(CASE WHEN NOT regexp_matches(text, '\\S') THEN 0
                           ELSE CAST(ceil((length(text) - 1200) / 1000.0) AS BIGINT) + 1 END) FROM documents
 UNION ALL
 SELECT 'collection', count(*) FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"""
+
+
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _hash_dense(src: str, id_col: str, text_col: str, name: str) -> str:
+    return f"""
+  {name}_t AS (SELECT {id_col} AS id, unnest(string_split_regex(lower({text_col}), '\\s+')) AS tok FROM {src}),
+  {name}_c AS (SELECT id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS b, CAST(count(*) AS DOUBLE) AS c
+               FROM {name}_t WHERE tok <> '' GROUP BY 1, 2),
+  {name}_n AS (SELECT id, b, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM {name}_c),
+  {name}_v AS (SELECT s.{id_col} AS id, list(coalesce(n.w, 0.0) ORDER BY r.i) AS v
+               FROM {src} s CROSS JOIN range(64) r(i) LEFT JOIN {name}_n n ON n.id = s.{id_col} AND n.b = r.i
+               GROUP BY s.{id_col})"""
+
+
+def _answer_sql() -> str:
+    from docket.functions.route import REPLY_FOUND, REPLY_NOT_FOUND, REPLY_OTHER
+    from docket.operators.context import PROMPT_TEMPLATE
+    head, tail = PROMPT_TEMPLATE.split("{context}")
+    mid, end = tail.split("{question}")
+    docs = """
+  adocs AS (SELECT regexp_extract(lang || '/' || CAST(doc_id AS VARCHAR) || '.pdf', '([^\\\\/]*)$', 1) AS source,
+                   doc_id AS doc_index, text FROM documents WHERE regexp_matches(text, '\\S')),
+  aw AS (SELECT source, doc_index, i AS chunk_id, substr(text, CAST(i * 1000 + 1 AS BIGINT), 1200) AS content
+         FROM adocs, range(0, CASE WHEN length(text) <= 1200 THEN 1
+                                   ELSE CAST(ceil((length(text) - 1200) / 1000.0) AS BIGINT) + 1 END) r(i)),
+  ach AS (SELECT sha1(source || CAST(doc_index AS VARCHAR) || CAST(chunk_id AS VARCHAR) || content) AS id,
+                 source, content FROM aw)"""
+    return f"""
+WITH qraw AS ({CHAT_Q}),
+  cls AS (SELECT qid, question, {_classify_case('lower(question)')} AS category FROM qraw),
+  {_fuzzy("SELECT qid, question FROM cls WHERE category = 'DIRECT_NOTES_REQUEST'")},
+  ask AS (SELECT qid, question FROM cls WHERE category = 'NOTES_QUERY'),
+  {docs},
+  {_hash_dense('ach', 'id', 'content', 'cv')},
+  {_hash_dense('ask', 'qid', 'question', 'qv')},
+  dist AS (SELECT q.id AS qid, c.id,
+                  round(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS d
+           FROM qv_v q CROSS JOIN cv_v c),
+  hits AS (SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rk FROM dist QUALIFY rk <= {K_CHAT}),
+  ctx AS (SELECT h.qid, {CLEAN.format(x="string_agg(coalesce(c.content, ''), chr(10) ORDER BY h.rk)")} AS context
+          FROM hits h JOIN ach c ON h.id = c.id GROUP BY h.qid),
+  top AS (SELECT h.qid, nullif(c.source, '') AS src FROM hits h JOIN ach c ON h.id = c.id WHERE h.rk = 1),
+  nidx AS ({NOTES_INDEX}),
+  lnk AS (SELECT t.qid, arg_min(f.link, f.pos) AS link FROM top t JOIN nidx f ON contains(lower(f.path), lower(t.src))
+          GROUP BY t.qid)
+SELECT qid, question, category, NULL::VARCHAR AS answer, NULL::VARCHAR AS source_label,
+       NULL::VARCHAR AS source_link, NULL::VARCHAR AS context, NULL::VARCHAR AS prompt
+FROM cls WHERE category = 'SMALL_TALK'
+UNION ALL
+SELECT qid, question, 'OTHER', {_sql_str(REPLY_OTHER)}, NULL, NULL, NULL, NULL
+FROM cls WHERE category NOT IN ('SMALL_TALK', 'DIRECT_NOTES_REQUEST', 'NOTES_QUERY')
+UNION ALL
+SELECT c.qid, c.question, c.category,
+       CASE WHEN nullif(b.link, '') IS NOT NULL THEN {_sql_str(REPLY_FOUND)} ELSE {_sql_str(REPLY_NOT_FOUND)} END,
+       CASE WHEN nullif(b.link, '') IS NOT NULL THEN b.path END,
+       CASE WHEN nullif(b.link, '') IS NOT NULL THEN b.link END, NULL, NULL
+FROM cls c LEFT JOIN best b ON c.qid = b.qid WHERE c.category = 'DIRECT_NOTES_REQUEST'
+UNION ALL
+SELECT a.qid, a.question, 'NOTES_QUERY', NULL,
+       regexp_replace(t.src, '(?i)\\.pdf$', ''), l.link, coalesce(x.context, ''),
+       {_sql_str(head)} || coalesce(x.context, '') || {_sql_str(mid)} || a.question || {_sql_str(end)}
+FROM ask a LEFT JOIN ctx x ON a.qid = x.qid LEFT JOIN top t ON a.qid = t.qid LEFT JOIN lnk l ON a.qid = l.qid"""
+
+
+K_CHAT = 5
+SQL["answer_batch"] = _answer_sql()

@@ -193,6 +193,18 @@ def stage_counts(spark: SparkSession, sf: str) -> DataFrame:
     return K.stage_counts(documents=docs, chunks=chunks, collection=D.vector_collection(spark, sf))
 
 
+def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 over every chat question, documents cut in fixed windows (SQL-checkable)."""
+    from docket.plans.answer import flagship
+    return flagship(spark, sf, method="fixed")
+
+
+def answer_batch_recursive(spark: SparkSession, sf: str) -> DataFrame:
+    """F1 as the flagship: documents split recursively (rows-only check)."""
+    from docket.plans.answer import flagship
+    return flagship(spark, sf, method="recursive")
+
+
 QUERIES = {
     "knn_top5": knn_top5,
     "rag_context": rag_context,
@@ -218,4 +230,6 @@ QUERIES = {
     "upsert_new": upsert_new,
     "hash_embed": hash_embed,
     "stage_counts": stage_counts,
+    "answer_batch": answer_batch,
+    "answer_batch_recursive": answer_batch_recursive,
 }
