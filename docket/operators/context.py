@@ -62,11 +62,30 @@ def link_by_contains(names: DataFrame, index: DataFrame, name_col: str = "name",
                  .withColumnRenamed("_hit", out_col))
 
 
-def concat_context(hits: DataFrame, chunks: DataFrame, c_id: str = "id",
+def hit_payload(hits: DataFrame, chunks: DataFrame, c_id: str = "id", c_text: str = "content",
+                c_source: str = "source", q_id: str = "qid") -> DataFrame:
+    """Hits with the text and source of their chunk: ``(qid, id, rk, _t, _src)``.
+
+    One join serves both the context (A3) and the source (A4).  The hit side is
+    k rows per question; the planner (AQE) broadcasts it when its measured
+    size is under the broadcast threshold.
+    """
+    payload = chunks.select(F.col(c_id).alias("id"), F.col(c_text).alias("_t"),
+                            F.col(c_source).alias("_src"))
+    return hits.select(F.col(q_id).alias("qid"), "id", "rk").join(payload, "id")
+
+
+def concat_context(hits: DataFrame, chunks: DataFrame | None = None, c_id: str = "id",
                    c_text: str = "content", q_id: str = "qid") -> DataFrame:
-    """A3: per question, hit texts joined by newline in rank order, then cleaned."""
-    payload = chunks.select(F.col(c_id).alias("id"), F.col(c_text).alias("_t"))
-    j = hits.select(F.col(q_id).alias("qid"), "id", "rk").join(payload, "id")
+    """A3: per question, hit texts joined by newline in rank order, then cleaned.
+
+    ``chunks=None`` means ``hits`` already carries the payload (``hit_payload``).
+    """
+    if chunks is None:
+        j = hits.select("qid", "rk", "_t")
+    else:
+        payload = chunks.select(F.col(c_id).alias("id"), F.col(c_text).alias("_t"))
+        j = hits.select(F.col(q_id).alias("qid"), "id", "rk").join(payload, "id")
     agg = j.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("rk", "_t"))).alias("_h"),
         F.count(F.lit(1)).alias("n_hits"))
@@ -77,13 +96,16 @@ def concat_context(hits: DataFrame, chunks: DataFrame, c_id: str = "id",
         "n_hits")
 
 
-def top_source(hits: DataFrame, chunks: DataFrame, index: DataFrame | None,
+def top_source(hits: DataFrame, chunks: DataFrame | None, index: DataFrame | None,
                c_id: str = "id", c_source: str = "source", q_id: str = "qid") -> DataFrame:
     """A4: source of the rank-1 hit, as a label (T4) and a link (J4); null when absent or empty."""
-    src = chunks.select(F.col(c_id).alias("id"), F.col(c_source).alias("_src"))
-    top = (hits.filter(F.col("rk") == 1).select(F.col(q_id).alias("qid"), "id")
-               .join(src, "id")
-               .select("qid", F.nullif(F.col("_src"), F.lit("")).alias("_src")))
+    if chunks is None:
+        top = hits.filter(F.col("rk") == 1).select("qid", F.nullif(F.col("_src"), F.lit("")).alias("_src"))
+    else:
+        src = chunks.select(F.col(c_id).alias("id"), F.col(c_source).alias("_src"))
+        top = (hits.filter(F.col("rk") == 1).select(F.col(q_id).alias("qid"), "id")
+                   .join(src, "id")
+                   .select("qid", F.nullif(F.col("_src"), F.lit("")).alias("_src")))
     top = top.withColumn("source_label", strip_extension("_src"))
     if index is None:
         top = top.withColumn("source_link", F.lit(None).cast("string"))

@@ -49,10 +49,14 @@ def _ddl(df: DataFrame):
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
 
+# Token separators: ASCII whitespace (the same class in every engine used here).
+TOKEN_SPLIT = r"[ \t\n\x0b\f\r]+"
+
+
 def tokens(text) -> Column:
     """Lower-cased whitespace-separated tokens (empty ones dropped)."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(t), rf"[{WS}]+"), lambda x: F.length(x) > 0)
+    return F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: F.length(x) > 0)
 
 
 def token_bucket(tok: Column, dim: int) -> Column:
@@ -60,33 +64,60 @@ def token_bucket(tok: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
 
 
-def hash_embed_long(df: DataFrame, id_col: str = "id", text_col: str = "text",
-                    dim: int = 64) -> DataFrame:
-    """M2 in long form: ``(id, bucket, weight)`` for the non-zero buckets."""
-    toks = df.select(F.col(id_col).alias("_id"), F.explode(tokens(text_col)).alias("_tok"))
-    counts = (toks.groupBy("_id", token_bucket(F.col("_tok"), dim).alias("bucket"))
-                  .agg(F.count(F.lit(1)).cast("double").alias("_c")))
-    norms = counts.groupBy("_id").agg(F.sqrt(F.sum(F.col("_c") * F.col("_c"))).alias("_n"))
-    return (counts.join(norms, "_id")
-                  .select(F.col("_id").alias(id_col), "bucket", (F.col("_c") / F.col("_n")).alias("weight")))
+def _hash_vectors(dim: int):
+    import hashlib
+    import re
+
+    import numpy as np
+
+    split = re.compile(TOKEN_SPLIT).split
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        cache: dict[str, int] = {}
+        out = []
+        for t in texts:
+            v = np.zeros(dim)
+            if t:
+                idx = []
+                for tok in split(t):
+                    if tok:
+                        b = cache.get(tok)
+                        if b is None:
+                            b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
+                            cache[tok] = b
+                        idx.append(b)
+                if idx:
+                    v = np.bincount(idx, minlength=dim).astype(np.float64)
+                    v /= np.sqrt((v * v).sum())
+            out.append(v)
+        return pd.Series(out)
+
+    return embed
+
+
+def hash_vector(text, dim: int = 64) -> Column:
+    """M2 as a column: term counts of the lower-cased text hashed into ``dim``
+    buckets (first 8 hex digits of each token's MD5, modulo ``dim``),
+    L2-normalised; all zeros for a text without tokens.  Not a semantic model.
+
+    Every token of a text is in its row, so the vector is built row-locally
+    (Arrow batches, one MD5 per distinct token per batch): no shuffle.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    return _hash_vectors(dim)(F.lower(t))
 
 
 def hash_embed(df: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 64,
                out_col: str = "vector") -> DataFrame:
-    """M2: term counts hashed into ``dim`` buckets, L2-normalised, as ``array<double>``.
+    """M2: ``(id, vector array<double>)`` for every row."""
+    return df.select(F.col(id_col), hash_vector(text_col, dim).alias(out_col))
 
-    Not a semantic model.  All native: explode, one partial aggregate per
-    (id, bucket), one per id whose group holds at most ``dim`` entries.
-    """
-    toks = df.select(F.col(id_col).alias("_id"), F.explode(tokens(text_col)).alias("_tok"))
-    counts = (toks.groupBy("_id", token_bucket(F.col("_tok"), dim).alias("_b"))
-                  .agg(F.count(F.lit(1)).cast("double").alias("_c")))
-    per_id = counts.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_c"))).alias("_m"))
-    dense = per_id.select("_id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                             lambda i: F.coalesce(F.col("_m")[i.cast("bigint")], F.lit(0.0)))
-                          .alias("_v"))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-    vec = dense.select("_id", F.transform("_v", lambda x: x / norm).alias(out_col))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return (df.select(F.col(id_col).alias("_id")).join(vec, "_id", "left")
-              .select(F.col("_id").alias(id_col), F.coalesce(F.col(out_col), zero).alias(out_col)))
+
+def hash_embed_long(df: DataFrame, id_col: str = "id", text_col: str = "text",
+                    dim: int = 64) -> DataFrame:
+    """M2 in long form: ``(id, bucket, weight)`` for the non-zero buckets."""
+    v = hash_embed(df, id_col, text_col, dim, "_v")
+    return (v.select(F.col(id_col), F.posexplode("_v").alias("bucket", "weight"))
+             .filter(F.col("weight") != 0)
+             .withColumn("bucket", F.col("bucket").cast("bigint")))

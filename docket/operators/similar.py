@@ -6,8 +6,10 @@ shared bigrams counted as a multiset.
 
 J2 plan: the question side (size-checked, see ``bounded``) is broadcast as a
 bigram-occurrence matrix plus its filter keys; each task streams its index
-partition, scores every (question, file) pair of a slice with one matrix
-product, applies the candidate test as array masks, and keeps per question
+partition, scores every (question, file) pair of a slice by gathering the
+question columns of each file's ~len(path) bigram tokens and summing them per
+file (work ~ questions x file tokens, not x vocabulary), applies the candidate
+test as array masks, and keeps per question
 only the best candidate and the best file overall.  A final group-by per
 question picks the winner: the best candidate, or the best file of all when
 no file passed the filters; ties go to the first file in index order.
@@ -92,32 +94,43 @@ def _fuzzy_fn(bc, n_subjects):
                     np.empty(n, dtype=object), np.empty(n, dtype=object)] for k in st}
         n_cand = np.zeros(n, dtype=np.int64)
         seen = False
-        step = max(1, SLICE_CELLS // max(n, 1))
         for pdf in batches:
-            for s0 in range(0, len(pdf), step):
-                part = pdf.iloc[s0:s0 + step]
+            fs_all = pdf["_fs"].tolist()
+            ftok = []
+            for fstr in fs_all:
+                ids = [vocab.get(t) for t in _occ_tokens(fstr)]
+                ftok.append(np.array([j for j in ids if j is not None], dtype=np.int64))
+            # slices bounded by question x token cells, not by file count
+            bounds, acc, start = [], 0, 0
+            for r, tk in enumerate(ftok):
+                acc += len(tk) + 1
+                if acc * n >= SLICE_CELLS and r + 1 > start:
+                    bounds.append((start, r + 1))
+                    start, acc = r + 1, 0
+            if start < len(ftok):
+                bounds.append((start, len(ftok)))
+            for s0, s1 in bounds:
+                part = pdf.iloc[s0:s1]
                 b = len(part)
                 if b == 0:
                     continue
                 seen = True
-                fs = part["_fs"].tolist()
-                lb = np.array([len(s) for s in fs])
-                rows, cols = [], []
-                for r, s in enumerate(fs):
-                    for t in _occ_tokens(s):
-                        j = vocab.get(t)
-                        if j is not None:
-                            rows.append(r)
-                            cols.append(j)
-                Fm = np.zeros((b, Qm.shape[1]), dtype=np.float32)
-                if rows:
-                    Fm[rows, cols] = 1.0
-                inter = Qm @ Fm.T
+                fs = fs_all[s0:s1]
+                toks = ftok[s0:s1]
+                lb = np.array([len(x) for x in fs])
+                lens = np.array([len(t) for t in toks])
+                cols = np.concatenate(toks) if lens.sum() else np.zeros(0, dtype=np.int64)
+                inter = np.zeros((n, b))
+                if len(cols):
+                    G = Qm[:, cols]
+                    nz = np.nonzero(lens)[0]
+                    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])[nz]
+                    inter[:, nz] = np.add.reduceat(G, starts, axis=1)
                 denom = la[:, None] + lb[None, :] - 2
                 with np.errstate(divide="ignore", invalid="ignore"):
                     d = np.where((la[:, None] >= 2) & (lb[None, :] >= 2), 2.0 * inter / denom, 0.0)
-                for c, s in enumerate(fs):
-                    for r in q_by_text.get(s, ()):
+                for c, fstr in enumerate(fs):
+                    for r in q_by_text.get(fstr, ()):
                         d[r, c] = 1.0
                 pos = part["pos"].to_numpy(dtype=np.int64)
                 mods = [np.asarray(m if m is not None else [], dtype=np.int64) for m in part["_mods"]]

@@ -24,6 +24,7 @@ from docket.operators import knn
 from docket.operators import route as R
 from docket.operators import similar as S
 from docket.plans import testdata as D
+from docket.session import materialize, spread
 
 DIM = 64
 K = 5
@@ -46,8 +47,9 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, index: DataFrame,
     ask = qs.filter(F.col("category") == "NOTES_QUERY")
     qvec = M.hash_embed(ask, "qid", "question", dim)
     hits = knn.nearest_chunks(qvec, chunks, k=k, q_vec="vector", c_vec="vector")
-    ctx = X.concat_context(hits, chunks)
-    src = X.top_source(hits, chunks, index)
+    rows = X.hit_payload(hits, chunks)
+    ctx = X.concat_context(rows)
+    src = X.top_source(rows, None, index)
     retrieval = (ask.select("qid").join(ctx, "qid", "left").join(src, "qid", "left")
                     .select("qid", F.lit(None).cast("string").alias("answer"), "source_label",
                             "source_link", F.coalesce("context", F.lit("")).alias("context")))
@@ -61,14 +63,20 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, index: DataFrame,
     return out.withColumnRenamed("qid", q_id)
 
 
-def notes_chunks(spark: SparkSession, sf_dir: str, method: str = "recursive", dim: int = DIM) -> DataFrame:
-    """Chunks of every document with hash vectors: ``(id, source, content, vector)``."""
+def notes_chunks(spark: SparkSession, sf_dir: str, method: str = "recursive", dim: int = DIM,
+                 store: bool = True) -> DataFrame:
+    """Chunks of every document with hash vectors: ``(id, source, content, vector)``.
+
+    The ingest half of the pipeline.  With ``store`` the collection is written
+    once to the shared checkpoint folder and read back, so the question half
+    scans a stored table instead of re-chunking and re-embedding per use.
+    """
     docs = D.table(spark, sf_dir, "documents").select(
         F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"),
         "text", F.col("doc_id").alias("doc_index"))
-    ch = C.chunk_docs(docs, method=method)
-    vec = M.hash_embed(ch, "id", "content", dim)
-    return ch.join(vec, "id").select("id", "source", "content", "vector")
+    ch = C.chunk_docs(spread(docs), method=method)
+    coll = ch.select("id", "source", "content", M.hash_vector("content", dim).alias("vector"))
+    return materialize(coll, "collection") if store else coll
 
 
 def flagship(spark: SparkSession, sf_dir: str, method: str = "recursive") -> DataFrame:

@@ -300,7 +300,7 @@ SELECT id, r.source AS source, r.n_chars AS n_chars FROM d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.id)"""
 
 SQL["hash_embed"] = """
-WITH t AS (SELECT item_id, unnest(string_split_regex(lower(text), '\\s+')) AS tok FROM benchmark),
+WITH t AS (SELECT item_id, unnest(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r]+')) AS tok FROM benchmark),
 c AS (SELECT item_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS bucket, CAST(count(*) AS DOUBLE) AS cnt
       FROM t WHERE tok <> '' GROUP BY 1, 2)
 SELECT item_id, bucket, round(cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY item_id)), 6) AS weight FROM c"""
@@ -321,7 +321,7 @@ def _sql_str(v: str) -> str:
 
 def _hash_dense(src: str, id_col: str, text_col: str, name: str) -> str:
     return f"""
-  {name}_t AS (SELECT {id_col} AS id, unnest(string_split_regex(lower({text_col}), '\\s+')) AS tok FROM {src}),
+  {name}_t AS (SELECT {id_col} AS id, unnest(string_split_regex(lower({text_col}), '[ \\t\\n\\x0b\\f\\r]+')) AS tok FROM {src}),
   {name}_c AS (SELECT id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS b, CAST(count(*) AS DOUBLE) AS c
                FROM {name}_t WHERE tok <> '' GROUP BY 1, 2),
   {name}_n AS (SELECT id, b, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM {name}_c),

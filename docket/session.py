@@ -77,3 +77,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input at least one partition per core before heavy
+    row-local work (chunking, embedding).  A no-op when the scan already has
+    that many partitions, as any large input does."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
