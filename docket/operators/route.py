@@ -129,18 +129,18 @@ def candidate_summary(questions: DataFrame, index: DataFrame, q_id: str = "qid",
                .groupBy("_mk", "_sk", "_jk")
                .agg(F.count(F.lit(1)).alias("_n"), F.min_by("path", "pos").alias("_fp"),
                     F.min("pos").alias("_f")))
-    total = idx.agg(F.count(F.lit(1)).alias("_tn"), F.min_by("path", "pos").alias("_tfp"),
-                    F.min("pos").alias("_tf"))
+    # Totals over the whole index, as scalar subqueries (computed once).
+    tn = idx.agg(F.count(F.lit(1))).scalar()
+    tfp = idx.agg(F.min_by("path", "pos")).scalar()
+    tf = idx.agg(F.min("pos")).scalar()
     qk = question_keys(questions, q_col, subjects).select(F.col(q_id).alias("qid"), "_mk", "_sk", "_jk")
     j = qk.join(per_key, ["_mk", "_sk", "_jk"], "left")
     all_files = (~_has_filter()) | F.col("_n").isNull()
-    # ``total`` is one aggregate row: attach it by a constant key.
-    j = j.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
     return j.select(
         "qid",
-        F.when(all_files, F.col("_tn")).otherwise(F.col("_n")).alias("n_candidates"),
-        F.when(all_files, F.col("_tf")).otherwise(F.col("_f")).alias("first_pos"),
-        F.when(all_files, F.col("_tfp")).otherwise(F.col("_fp")).alias("first_path"),
+        F.when(all_files, tn).otherwise(F.col("_n")).alias("n_candidates"),
+        F.when(all_files, tf).otherwise(F.col("_f")).alias("first_pos"),
+        F.when(all_files, tfp).otherwise(F.col("_fp")).alias("first_path"),
         all_files.alias("all_files"))
 
 
