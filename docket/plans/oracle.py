@@ -308,9 +308,10 @@ SELECT item_id, bucket, round(cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY item_
 SQL["stage_counts"] = """
 SELECT 'documents' AS stage, count(*) AS n FROM documents
 UNION ALL
-SELECT 'chunks', sum(CASE WHEN NOT regexp_matches(text, '\\S') THEN 0
-                          WHEN length(text) <= 1200 THEN 1
-                          ELSE CAST(ceil((length(text) - 1200) / 1000.0) AS BIGINT) + 1 END) FROM documents
+SELECT 'chunks', CAST(sum(CASE WHEN NOT regexp_matches(text, '\\S') THEN 0
+                               WHEN length(text) <= 1200 THEN 1
+                               ELSE CAST(ceil((length(text) - 1200) / 1000.0) AS BIGINT) + 1 END) AS BIGINT)
+FROM documents
 UNION ALL
 SELECT 'collection', count(*) FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"""
 
