@@ -27,11 +27,20 @@ def bounded_count(df: DataFrame, limit: int) -> int | None:
     return n if n <= limit else None
 
 
+def _fetch_bounded(df: DataFrame, max_rows: int) -> pd.DataFrame | None:
+    """All rows of ``df`` as pandas if there are at most ``max_rows``, else None.
+
+    One job: at most ``max_rows + 1`` rows ever reach the driver.
+    """
+    pdf = df.limit(max_rows + 1).toPandas()
+    return pdf if len(pdf) <= max_rows else None
+
+
 def blocks(df: DataFrame, key: str, max_rows: int, _salt: int = 0) -> Iterator[pd.DataFrame]:
     """Yield ``df`` as pandas frames of at most ``max_rows`` rows each."""
-    n = bounded_count(df, max_rows)
-    if n is not None:
-        yield df.toPandas()
+    pdf = _fetch_bounded(df, max_rows)
+    if pdf is not None:
+        yield pdf
         return
     total = df.count()
     nb = max(2, math.ceil(2 * total / max_rows))
@@ -47,10 +56,10 @@ def per_block(small: DataFrame, key: str, max_rows: int,
 
     A single block stays lazy; several blocks are each written out and unioned.
     """
-    n = bounded_count(small, max_rows)
-    if n is not None:
-        return run(small.toPandas())
-    parts = [materialize(run(pdf), name) for pdf in blocks(small, key, max_rows)]
+    pdf = _fetch_bounded(small, max_rows)
+    if pdf is not None:
+        return run(pdf)
+    parts = [materialize(run(p), name) for p in blocks(small, key, max_rows)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docket.operators.bounded import DEFAULT_MAX_ROWS, per_block
+from docket.session import cut
 
 from docket.functions.text import clean_context, js_or, render_answer, strip_extension
 
@@ -172,6 +173,10 @@ def top_source(hits: DataFrame, chunks: DataFrame | None, index: DataFrame | Non
                    .join(src, "id")
                    .select("qid", F.nullif(F.col("_src"), F.lit("")).alias("_src")))
     top = top.withColumn("source_label", strip_extension("_src"))
+    if index is not None:
+        # One row per question, read twice below (names to broadcast, then the
+        # join back): cut its lineage so the search behind it runs once.
+        top = cut(top)
     if index is None:
         top = top.withColumn("source_link", F.lit(None).cast("string"))
     else:

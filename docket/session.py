@@ -35,6 +35,8 @@ def get_spark(master: str | None = None, app: str = "docket",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
     checkpoint_dir(spark)
+    from docket import ship
+    ship(spark)
     return spark
 
 
@@ -86,3 +88,10 @@ def spread(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     want = sc.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` into the shared checkpoint folder (set from
+    ``spark.checkpoint.dir`` first if this session has none yet)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
