@@ -44,7 +44,7 @@ def _distances(Q, qn, C, metric):
         with np.errstate(divide="ignore", invalid="ignore"):
             D = 1.0 - dot / (np.sqrt(qn)[:, None] * cn[None, :])
         D = np.nan_to_num(D, nan=np.inf)
-    return np.round(D, ROUND)
+    return np.round(D, ROUND) + 0.0   # + 0.0 turns -0.0 into 0.0
 
 
 def _merge(best_d, best_i, D, ids, k):

@@ -23,7 +23,7 @@ HITS = f"""
   q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings),
   d AS (SELECT q.qid, c.id,
                round(list_sum(list_transform(list_zip(q.v, c.v),
-                     lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) AS dist
+                     lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), 6) + 0.0 AS dist
         FROM q CROSS JOIN coll c),
   hits AS (SELECT qid, id, dist,
                   CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS BIGINT) AS rk
@@ -353,7 +353,7 @@ WITH qraw AS ({CHAT_Q}),
   {_hash_dense('ach', 'id', 'content', 'cv')},
   {_hash_dense('ask', 'qid', 'question', 'qv')},
   dist AS (SELECT q.id AS qid, c.id,
-                  round(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS d
+                  round(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) + 0.0 AS d
            FROM qv_v q CROSS JOIN cv_v c),
   hits AS (SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rk FROM dist QUALIFY rk <= {K_CHAT}),
   ctx AS (SELECT h.qid, {CLEAN.format(x="string_agg(coalesce(c.content, ''), chr(10) ORDER BY h.rk)")} AS context
@@ -383,3 +383,42 @@ FROM ask a LEFT JOIN ctx x ON a.qid = x.qid LEFT JOIN top t ON a.qid = t.qid LEF
 
 K_CHAT = 5
 SQL["answer_batch"] = _answer_sql()
+
+
+SQL["dispatch"] = f"""
+WITH qraw AS ({CHAT_Q}),
+  cls AS (SELECT qid, question, {_classify_case('lower(question)')} AS category FROM qraw),
+  {_fuzzy("SELECT qid, question FROM cls WHERE category = 'DIRECT_NOTES_REQUEST'")}
+SELECT c.qid,
+       CASE WHEN c.category IN ('SMALL_TALK', 'DIRECT_NOTES_REQUEST', 'NOTES_QUERY') THEN c.category
+            ELSE 'OTHER' END AS category,
+       CASE WHEN c.category = 'DIRECT_NOTES_REQUEST' THEN
+              CASE WHEN nullif(b.link, '') IS NOT NULL THEN 'Here are the notes.' ELSE 'Not in notes.' END
+            WHEN c.category IN ('SMALL_TALK', 'NOTES_QUERY') THEN NULL
+            ELSE {_sql_str(__import__('docket.functions.route', fromlist=['x']).REPLY_OTHER)} END AS answer,
+       CASE WHEN c.category = 'DIRECT_NOTES_REQUEST' AND nullif(b.link, '') IS NOT NULL THEN b.path END AS source_label,
+       CASE WHEN c.category = 'DIRECT_NOTES_REQUEST' AND nullif(b.link, '') IS NOT NULL THEN b.link END AS source_link
+FROM cls c LEFT JOIN best b ON c.qid = b.qid"""
+
+SQL["knn_cosine"] = f"""
+WITH coll AS ({COLL}),
+  q AS (SELECT vec_id AS qid, embedding AS v FROM embeddings),
+  d AS (SELECT q.qid, c.id,
+               round(1.0 - list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))
+                     / (sqrt(list_sum(list_transform(q.v, lambda x: x::DOUBLE * x::DOUBLE)))
+                        * sqrt(list_sum(list_transform(c.v, lambda x: x::DOUBLE * x::DOUBLE)))), 6) + 0.0 AS dist
+        FROM q CROSS JOIN coll c)
+SELECT qid, id, dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS BIGINT) AS rk
+FROM d QUALIFY rk <= 5"""
+
+SQL["pair_distance"] = f"""
+WITH coll AS ({COLL}), {_hash_dense('coll', 'id', 'content', 'hv')},
+  p AS (SELECT c.id, c.v AS a, h.v AS b FROM coll c JOIN hv_v h ON c.id = h.id),
+  s AS (SELECT id,
+               list_sum(list_transform(list_zip(a, b), lambda x: (x[1]::DOUBLE - x[2]) * (x[1]::DOUBLE - x[2]))) AS l2,
+               list_sum(list_transform(list_zip(a, b), lambda x: x[1]::DOUBLE * x[2])) AS dot,
+               sqrt(list_sum(list_transform(a, lambda x: x::DOUBLE * x::DOUBLE))) AS na,
+               sqrt(list_sum(list_transform(b, lambda x: x * x))) AS nb
+        FROM p)
+SELECT id, round(l2, 6) + 0.0 AS l2sq, round(1.0 - dot, 6) + 0.0 AS ip,
+       round(1.0 - dot / (na * nb), 6) + 0.0 AS cosine FROM s"""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.functions import text as T
+from docket.functions import vectors as V
 from docket.operators import chunk as C
 from docket.operators import collection as K
 from docket.operators import context as X
@@ -205,6 +206,32 @@ def answer_batch_recursive(spark: SparkSession, sf: str) -> DataFrame:
     return flagship(spark, sf, method="recursive")
 
 
+def dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    """R5 + R6 + J2: category branches for every chat question (retrieval left out)."""
+    qs = R.classify_questions(D.chat_questions(spark, sf))
+    req = qs.filter(F.col("category") == "DIRECT_NOTES_REQUEST")
+    match = S.fuzzy_best_file(req, D.notes_index(spark, sf))
+    out = R.dispatch(qs, match, None)
+    return out.select("qid", "category", "answer", "source_label", "source_link")
+
+
+def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 + W1 with the cosine distance."""
+    hits = knn.nearest_chunks(D.vector_questions(spark, sf), D.vector_collection(spark, sf),
+                              k=K_CHAT, metric="cosine")
+    return hits.select("qid", "id", "dist", "rk")
+
+
+def pair_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 + N2 + M2: each stored vector against the hash vector of its own document."""
+    coll = D.vector_collection(spark, sf)
+    own = coll.withColumn("hv", M.hash_vector("content", 64))
+    return own.select("id",
+                      (F.round(V.vector_distance("vector", "hv", "l2sq"), 6) + 0.0).alias("l2sq"),
+                      (F.round(V.vector_distance("vector", "hv", "ip"), 6) + 0.0).alias("ip"),
+                      (F.round(V.vector_distance("vector", "hv", "cosine"), 6) + 0.0).alias("cosine"))
+
+
 QUERIES = {
     "knn_top5": knn_top5,
     "rag_context": rag_context,
@@ -232,4 +259,7 @@ QUERIES = {
     "stage_counts": stage_counts,
     "answer_batch": answer_batch,
     "answer_batch_recursive": answer_batch_recursive,
+    "dispatch": dispatch,
+    "knn_cosine": knn_cosine,
+    "pair_distance": pair_distance,
 }

@@ -63,3 +63,31 @@ def test_folder_closure(spark):
     cyc = spark.createDataFrame([("a", None, "a", True), ("b", "a", "b", True), ("a2", "b", "f", False)],
                                 "id string, parent_id string, name string, is_folder boolean")
     assert TR.folder_closure(cyc).count() == 1
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+_part = st.sampled_from(["a", "b", " c ", "", "d.pdf"])
+_path = st.lists(_part, min_size=0, max_size=4).map("/".join)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(_path, min_size=1, max_size=12))
+def test_tree_properties(spark, paths):
+    rows = [(i, p, "u%d" % i) for i, p in enumerate(paths)]
+    t = {r.path: r for r in TR.library_tree(
+        spark.createDataFrame(rows, "pos bigint, path string, link string")).collect()}
+    # expected nodes and file ends from a direct walk
+    ends, nodes = {}, set()
+    for i, p in enumerate(paths):
+        parts = [x.strip() for x in p.split("/") if x.strip()]
+        for d in range(1, len(parts) + 1):
+            nodes.add("/".join(parts[:d]))
+        if parts:
+            ends["/".join(parts)] = "u%d" % i
+    assert set(t) == nodes
+    for path, r in t.items():
+        assert r.parent_path is None or r.parent_path in t
+        assert r.type == ("file" if path in ends else "folder")
+        assert r.link == ends.get(path)
