@@ -17,6 +17,8 @@ no file passed the filters; ties go to the first file in index order.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,9 +83,25 @@ def _best(score, pos, mask):
     return np.where(has, mx, -np.inf), np.where(has, j, -1)
 
 
+_QM_CACHE: dict[str, np.ndarray] = {}
+
+
+def _question_matrix(key: str, toks, width: int) -> np.ndarray:
+    """Dense 0/1 question x token matrix, built once per worker process."""
+    m = _QM_CACHE.get(key)
+    if m is None:
+        m = np.zeros((len(toks), width), dtype=np.uint8)
+        for r, t in enumerate(toks):
+            m[r, t] = 1
+        _QM_CACHE.clear()
+        _QM_CACHE[key] = m
+    return m
+
+
 def _fuzzy_fn(bc, n_subjects):
     def fn(batches):
-        qids, qs, mk, sk, jk, vocab, Qm = bc.value
+        key, qids, qs, mk, sk, jk, vocab, qtoks = bc.value
+        Qm = _question_matrix(key, qtoks, max(len(vocab), 1))
         n = len(qids)
         la = np.array([len(s) for s in qs])
         q_by_text: dict[str, list[int]] = {}
@@ -125,7 +143,7 @@ def _fuzzy_fn(bc, n_subjects):
                     G = Qm[:, cols]
                     nz = np.nonzero(lens)[0]
                     starts = np.concatenate([[0], np.cumsum(lens)[:-1]])[nz]
-                    inter[:, nz] = np.add.reduceat(G, starts, axis=1)
+                    inter[:, nz] = np.add.reduceat(G, starts, axis=1, dtype=np.int64)
                 denom = la[:, None] + lb[None, :] - 2
                 with np.errstate(divide="ignore", invalid="ignore"):
                     d = np.where((la[:, None] >= 2) & (lb[None, :] >= 2), 2.0 * inter / denom, 0.0)
@@ -206,13 +224,11 @@ def fuzzy_best_file(questions: DataFrame, index: DataFrame, q_id: str = "qid",
         for ts in toks:
             for t in ts:
                 vocab.setdefault(t, len(vocab))
-        Qm = np.zeros((len(pdf), max(len(vocab), 1)), dtype=np.float32)
-        for r, ts in enumerate(toks):
-            if ts:
-                Qm[r, [vocab[t] for t in ts]] = 1.0
-        payload = (pdf["qid"].to_numpy(), pdf["_qs"].tolist(),
+        qtoks = [np.array([vocab[t] for t in ts], dtype=np.int64) for ts in toks]
+        # Sparse token lists travel; each worker builds its dense matrix once.
+        payload = (uuid.uuid4().hex, pdf["qid"].to_numpy(), pdf["_qs"].tolist(),
                    pdf["_mk"].to_numpy(dtype=np.int64), pdf["_sk"].to_numpy(dtype=np.int64),
-                   pdf["_ji"].to_numpy(dtype=np.int64), vocab, Qm)
+                   pdf["_ji"].to_numpy(dtype=np.int64), vocab, qtoks)
         bc = spark.sparkContext.broadcast(payload)
         return files.mapInPandas(_fuzzy_fn(bc, len(names)), part_schema)
 
