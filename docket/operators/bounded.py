@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.session import materialize
+from docket.session import materialize, scratch_path
 
 DEFAULT_MAX_ROWS = 20_000
 
@@ -44,7 +44,11 @@ def blocks(df: DataFrame, key: str, max_rows: int, _salt: int = 0) -> Iterator[p
         return
     total = df.count()
     nb = max(2, math.ceil(2 * total / max_rows))
-    tagged = df.withColumn("_blk", F.pmod(F.xxhash64(F.col(key), F.lit(_salt)), F.lit(nb)))
+    # Written once, one folder per block: each block reads only its folder.
+    path = scratch_path(df.sparkSession, "blocks")
+    (df.withColumn("_blk", F.pmod(F.xxhash64(F.col(key), F.lit(_salt)), F.lit(nb)))
+       .write.partitionBy("_blk").parquet(path))
+    tagged = df.sparkSession.read.parquet(path)
     for b in range(nb):
         part = tagged.filter(F.col("_blk") == b).drop("_blk")
         yield from blocks(part, key, max_rows, _salt + 1)

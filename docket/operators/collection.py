@@ -135,17 +135,23 @@ def collection_count(df: DataFrame) -> DataFrame:
 
 def check_parity(left: DataFrame, right: DataFrame, on: str = "id",
                  raise_on_mismatch: bool = False) -> DataFrame:
-    """A2: ids present on one side only, as ``(side, id)``; optionally stop on any."""
-    lk = left.select(F.col(on).alias("_l"))
-    rk = right.select(F.col(on).alias("_r"))
+    """A2: ids present on one side only, as ``(side, id)``; with
+    ``raise_on_mismatch`` stop when the row counts differ (the reference's
+    test) or any id is missing on one side."""
+    # Distinct ids first (partial aggregates): a repeated id costs one row per
+    # map task, and the full outer join then meets unique keys on both sides.
+    lk = left.select(F.col(on).alias("_l")).distinct()
+    rk = right.select(F.col(on).alias("_r")).distinct()
     j = lk.join(rk, F.col("_l") == F.col("_r"), "full_outer")
     out = j.filter(F.col("_l").isNull() | F.col("_r").isNull()).select(
         F.when(F.col("_r").isNull(), F.lit("left_only")).otherwise(F.lit("right_only")).alias("side"),
         F.coalesce(F.col("_l"), F.col("_r")).alias(on))
     if raise_on_mismatch:
-        bad = out.limit(1).count()
-        if bad:
-            raise ValueError("row counts differ: ids missing on one side")
+        nl, nr = left.count(), right.count()
+        if nl != nr:
+            raise ValueError(f"row counts differ: {nl} vs {nr}")
+        if out.limit(1).count():
+            raise ValueError("ids missing on one side")
     return out
 
 

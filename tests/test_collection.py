@@ -53,3 +53,12 @@ def test_records_and_sample(spark):
     assert [x.id for x in s] == [9, 8, 7]
     c = K.stage_counts(a=spark.range(3), b=spark.range(5)).collect()
     assert sorted(tuple(x) for x in c) == [("a", 3), ("b", 5)]
+
+
+def test_parity_counts_and_hot_id(spark):
+    import pytest
+    a = spark.createDataFrame([(1,)] * 50 + [(2,)], "id bigint")
+    b = spark.createDataFrame([(1,), (2,)], "id bigint")
+    assert K.check_parity(a, b).count() == 0
+    with pytest.raises(ValueError, match="row counts differ"):
+        K.check_parity(a, b, raise_on_mismatch=True)
