@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.operators.bounded import DEFAULT_MAX_ROWS, per_block
+from docket.operators.bounded import DEFAULT_MAX_ROWS, bounded_count, per_block
 from docket.session import cut
 
 from docket.functions.text import clean_context, js_or, render_answer, strip_extension
@@ -128,17 +128,25 @@ def _link_by_grams(names: DataFrame, index: DataFrame, name_col: str, pos: str,
                  .withColumnRenamed("_hit", out_col))
 
 
+MAX_BROADCAST_HITS = 500_000
+
+
 def hit_payload(hits: DataFrame, chunks: DataFrame, c_id: str = "id", c_text: str = "content",
-                c_source: str = "source", q_id: str = "qid") -> DataFrame:
+                c_source: str = "source", q_id: str = "qid",
+                max_broadcast_hits: int = MAX_BROADCAST_HITS) -> DataFrame:
     """Hits with the text and source of their chunk: ``(qid, id, rk, _t, _src)``.
 
-    One join serves both the context (A3) and the source (A4).  The hit side is
-    k rows per question; the planner (AQE) broadcasts it when its measured
-    size is under the broadcast threshold.
+    One join serves both the context (A3) and the source (A4).  The hits (k
+    rows per question) are pinned to the checkpoint folder and counted with a
+    bound; under it they are broadcast, so the collection is scanned (text
+    and source columns only) and never shuffled.  Over it, a shuffle join.
     """
+    h = cut(hits.select(F.col(q_id).alias("qid"), "id", "rk"))
+    if bounded_count(h, max_broadcast_hits) is not None:
+        h = F.broadcast(h)
     payload = chunks.select(F.col(c_id).alias("id"), F.col(c_text).alias("_t"),
                             F.col(c_source).alias("_src"))
-    return hits.select(F.col(q_id).alias("qid"), "id", "rk").join(payload, "id")
+    return h.join(payload, "id")
 
 
 def concat_context(hits: DataFrame, chunks: DataFrame | None = None, c_id: str = "id",
@@ -150,8 +158,8 @@ def concat_context(hits: DataFrame, chunks: DataFrame | None = None, c_id: str =
     if chunks is None:
         j = hits.select("qid", "rk", "_t")
     else:
-        payload = chunks.select(F.col(c_id).alias("id"), F.col(c_text).alias("_t"))
-        j = hits.select(F.col(q_id).alias("qid"), "id", "rk").join(payload, "id")
+        j = hit_payload(hits, chunks.withColumn("_nosrc", F.lit(None).cast("string")),
+                        c_id=c_id, c_text=c_text, c_source="_nosrc", q_id=q_id)
     agg = j.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("rk", "_t"))).alias("_h"),
         F.count(F.lit(1)).alias("n_hits"))
@@ -168,10 +176,10 @@ def top_source(hits: DataFrame, chunks: DataFrame | None, index: DataFrame | Non
     if chunks is None:
         top = hits.filter(F.col("rk") == 1).select("qid", F.nullif(F.col("_src"), F.lit("")).alias("_src"))
     else:
-        src = chunks.select(F.col(c_id).alias("id"), F.col(c_source).alias("_src"))
-        top = (hits.filter(F.col("rk") == 1).select(F.col(q_id).alias("qid"), "id")
-                   .join(src, "id")
-                   .select("qid", F.nullif(F.col("_src"), F.lit("")).alias("_src")))
+        rows = hit_payload(hits.filter(F.col("rk") == 1),
+                           chunks.withColumn("_notext", F.lit(None).cast("string")),
+                           c_id=c_id, c_text="_notext", c_source=c_source, q_id=q_id)
+        top = rows.select("qid", F.nullif(F.col("_src"), F.lit("")).alias("_src"))
     top = top.withColumn("source_label", strip_extension("_src"))
     if index is not None:
         # One row per question, read twice below (names to broadcast, then the

@@ -90,8 +90,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` into the shared checkpoint folder (set from
-    ``spark.checkpoint.dir`` first if this session has none yet)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Cut lineage: write ``df`` once to the shared checkpoint folder and read it
+    back.  (``Dataset.checkpoint()`` would compute the plan twice: once to
+    count, once to write.)"""
+    return materialize(df, name)
