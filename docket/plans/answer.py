@@ -24,7 +24,7 @@ from docket.operators import knn
 from docket.operators import route as R
 from docket.operators import similar as S
 from docket.plans import testdata as D
-from docket.session import materialize, spread
+from docket.session import cut, materialize, spread
 
 DIM = 64
 K = 5
@@ -47,7 +47,9 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, index: DataFrame,
     ask = qs.filter(F.col("category") == "NOTES_QUERY")
     qvec = M.hash_embed(ask, "qid", "question", dim)
     hits = knn.nearest_chunks(qvec, chunks, k=k, q_vec="vector", c_vec="vector")
-    rows = X.hit_payload(hits, chunks)
+    # k rows per question with their text, read by both branches below: pinned
+    # once so the collection is scanned once.
+    rows = cut(X.hit_payload(hits, chunks), "hits")
     ctx = X.concat_context(rows)
     src = X.top_source(rows, None, index)
     retrieval = (ask.select("qid").join(ctx, "qid", "left").join(src, "qid", "left")
