@@ -63,3 +63,22 @@ def test_content_id(spark):
 
 def test_normalize_reply(spark):
     assert one(spark, T.normalize_reply("s"), "  notes_query\n") == "NOTES_QUERY"
+
+
+def test_answer_defaults(spark):
+    from docket.operators.context import answer_defaults
+    df = spark.createDataFrame([(1, None, "", None), (2, "* a", "Lab", "http://x")],
+                               "qid int, answer string, source_label string, source_link string")
+    cli = {r.qid: r for r in answer_defaults(df, "cli").collect()}
+    assert (cli[1].answer, cli[1].source_label, cli[1].source_link) == (
+        "No answer returned", "No source label", "No source link")
+    assert cli[2].answer == "* a"
+    page = {r.qid: r.html for r in answer_defaults(df, "page").collect()}
+    assert page[1] == "No answer provided."
+    assert page[2].startswith("<ul><li>a</li></ul><br><br>") and 'href="http://x"' in page[2] and ">Lab</a>" in page[2]
+
+
+def test_clean_name(spark):
+    from docket.operators.chunk import clean_name
+    df = spark.createDataFrame([("", "dir\\\\sub/f.pdf", None), (None, None, None)], "name string, filename string, file string")
+    assert [r[0] for r in df.select(clean_name("name", "filename", "file")).collect()] == ["f.pdf", "unknown"]
