@@ -22,6 +22,7 @@ from docket.operators.bounded import DEFAULT_MAX_ROWS, per_block
 
 ROUND = 6
 SLICE_CELLS = 4_000_000   # question x chunk cells per matrix product
+MAX_BROADCAST_BYTES = 128 << 20
 
 
 def top_k_per_group(df: DataFrame, keys, order, k: int, rank_col: str = "rk") -> DataFrame:
@@ -129,8 +130,15 @@ def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int = 5, metric:
         if pdf.empty:
             return spark.createDataFrame([], schema)
         Q = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        bc = spark.sparkContext.broadcast((pdf["qid"].to_numpy(), Q))
-        return cs.mapInPandas(_search_fn(bc, k, metric, "id", "v"), schema)
+        qids = pdf["qid"].to_numpy()
+        # Also bounded by bytes: wide vectors make several broadcasts, one pass each.
+        rows = max(1, MAX_BROADCAST_BYTES // max(Q.shape[1] * 8, 1))
+        out = None
+        for s in range(0, len(Q), rows):
+            bc = spark.sparkContext.broadcast((qids[s:s + rows], Q[s:s + rows]))
+            part = cs.mapInPandas(_search_fn(bc, k, metric, "id", "v"), schema)
+            out = part if out is None else out.unionByName(part)
+        return out
 
     hits = per_block(qs, "qid", max_broadcast_rows, run, "knn")
     return top_k_per_group(hits, "qid", [F.col("dist"), F.col("id")], k)

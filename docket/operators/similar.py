@@ -107,9 +107,10 @@ def _fuzzy_fn(bc, n_subjects):
         q_by_text: dict[str, list[int]] = {}
         for i, s in enumerate(qs):
             q_by_text.setdefault(s, []).append(i)
-        st = {k: None for k in ("c", "a")}
+        # per question: best candidate ("c") and best file of all ("a"):
+        # [score, position, path, link]
         best = {k: [np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max),
-                    np.empty(n, dtype=object), np.empty(n, dtype=object)] for k in st}
+                    np.empty(n, dtype=object), np.empty(n, dtype=object)] for k in ("c", "a")}
         n_cand = np.zeros(n, dtype=np.int64)
         seen = False
         for pdf in batches:

@@ -56,8 +56,7 @@ def ingest_stream(spark, source_dir: str, collection_path: str, checkpoint: str
         text = extract_archive_text(batch.select("path", "content"))
         docs = text.select("name", "text", F.abs(F.xxhash64("path")).alias("doc_index"))
         ch = C.chunk_docs(docs, method=method)
-        vec = M.hash_embed(ch, "id", "content", dim)
-        rows = ch.join(vec, "id").withColumnRenamed("vector", "embedding")
+        rows = ch.withColumn("embedding", M.hash_vector("content", dim))
         K.collection_upsert(K.embedding_record(rows), collection_path)
 
     w = files.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)

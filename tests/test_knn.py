@@ -68,3 +68,15 @@ def test_knn_dimension_mismatch(spark):
     _, cdf = frames(spark, np.ones((1, 4), dtype=np.float32), np.ones((2, 4)), ["a", "b"])
     with pytest.raises(Exception):
         knn.nearest_chunks(qdf, cdf, k=1).collect()
+
+
+def test_knn_byte_bound_splits_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    Q = rng.normal(size=(6, 4)).astype(np.float32)
+    C = rng.normal(size=(40, 4)).astype(np.float32)
+    cids = ["c%02d" % i for i in range(40)]
+    qdf, cdf = frames(spark, Q, C, cids)
+    want = sorted(tuple(r) for r in knn.nearest_chunks(qdf, cdf, k=3).collect())
+    monkeypatch.setattr(knn, "MAX_BROADCAST_BYTES", 4 * 8 * 2)   # two questions per broadcast
+    got = sorted(tuple(r) for r in knn.nearest_chunks(qdf, cdf, k=3).collect())
+    assert got == want
