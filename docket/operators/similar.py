@@ -30,6 +30,7 @@ from docket.operators.bounded import DEFAULT_MAX_ROWS, per_block
 from docket.operators.route import ANY_NUM, ANY_SUBJ, file_keys, question_keys
 
 SLICE_CELLS = 2_000_000
+MAX_MATRIX_CELLS = 256_000_000   # questions x tokens per broadcast (bytes of the uint8 matrix)
 
 
 def _occ_tokens(s: str):
@@ -217,11 +218,8 @@ def fuzzy_best_file(questions: DataFrame, index: DataFrame, q_id: str = "qid",
     part_schema = (f"qid {q_type}, n_cand bigint, c_score double, c_pos bigint, c_path string, "
                    "c_link string, a_score double, a_pos bigint, a_path string, a_link string")
 
-    def run(pdf: pd.DataFrame) -> DataFrame:
-        if pdf.empty:
-            return spark.createDataFrame([], part_schema)
+    def one_pass(pdf: pd.DataFrame, toks) -> DataFrame:
         vocab: dict = {}
-        toks = [_occ_tokens(s) for s in pdf["_qs"]]
         for ts in toks:
             for t in ts:
                 vocab.setdefault(t, len(vocab))
@@ -233,6 +231,22 @@ def fuzzy_best_file(questions: DataFrame, index: DataFrame, q_id: str = "qid",
         bc = spark.sparkContext.broadcast(payload)
         return files.mapInPandas(_fuzzy_fn(bc, len(names)), part_schema)
 
+    def run(pdf: pd.DataFrame) -> DataFrame:
+        if pdf.empty:
+            return spark.createDataFrame([], part_schema)
+        toks = [_occ_tokens(s) for s in pdf["_qs"]]
+        # Each pass's dense question x token matrix stays under MAX_MATRIX_CELLS.
+        out, start, seen = None, 0, set()
+        for r, ts in enumerate(toks):
+            grown = len(seen | set(ts))
+            if r > start and (r - start + 1) * grown > MAX_MATRIX_CELLS:
+                part = one_pass(pdf.iloc[start:r], toks[start:r])
+                out = part if out is None else out.unionByName(part)
+                start, seen = r, set()
+            seen |= set(ts)
+        part = one_pass(pdf.iloc[start:], toks[start:])
+        return part if out is None else out.unionByName(part)
+
     parts = per_block(qk, "qid", max_broadcast_rows, run, "fuzzy")
     big = F.lit(np.iinfo(np.int64).max)
     agg = parts.groupBy("qid").agg(

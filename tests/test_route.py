@@ -129,3 +129,13 @@ def test_link_by_contains_both_plans(spark):
     assert got2 == want
     got3 = {r.name: r.link for r in X.link_by_contains(names, idx, max_broadcast_rows=2).collect()}
     assert got3 == want
+
+
+def test_fuzzy_matrix_bound_splits_passes(spark, monkeypatch):
+    paths, qs = _random_case(7)
+    idx = _index(spark, paths)
+    qdf = spark.createDataFrame(list(enumerate(qs)), "qid bigint, question string")
+    want = sorted(tuple(r) for r in S.fuzzy_best_file(qdf, idx).collect())
+    monkeypatch.setattr(S, "MAX_MATRIX_CELLS", 60)
+    got = sorted(tuple(r) for r in S.fuzzy_best_file(qdf, idx).collect())
+    assert got == want
