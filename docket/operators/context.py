@@ -7,10 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.operators.bounded import DEFAULT_MAX_ROWS, bounded_count, per_block
-from docket.session import cut
-
 from docket.functions.text import clean_context, js_or, render_answer, strip_extension
+from docket.operators.bounded import DEFAULT_MAX_ROWS, bounded_count, per_block, scan_tasks
+from docket.session import cut
 
 
 def _grams(c: Column, g: int) -> Column:
@@ -72,7 +71,7 @@ def link_by_contains(names: DataFrame, index: DataFrame, name_col: str = "name",
         if not words:
             return spark.createDataFrame([], schema)
         bc = spark.sparkContext.broadcast(words)
-        return idx.mapInPandas(_ac_fn(bc), schema)
+        return scan_tasks(idx).mapInPandas(_ac_fn(bc), schema)
 
     parts = per_block(ln.filter(F.col("_ln") != ""), "_ln", max_broadcast_rows, run, "contains")
     found = parts.groupBy("_ln").agg(F.min_by("_hit", "_pos").alias("_hit"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docket.functions.vectors import METRICS
-from docket.operators.bounded import DEFAULT_MAX_ROWS, per_block
+from docket.operators.bounded import DEFAULT_MAX_ROWS, per_block, scan_tasks
 
 ROUND = 6
 SLICE_CELLS = 4_000_000   # question x chunk cells per matrix product
@@ -124,7 +124,7 @@ def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int = 5, metric:
     schema = f"qid {q_type}, id {c_type}, dist double"
     qs = questions.select(F.col(q_id).alias("qid"),
                           F.col(q_vec).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
-    cs = chunks.select(F.col(c_id).alias("id"), F.col(c_vec).alias("v"))
+    cs = scan_tasks(chunks.select(F.col(c_id).alias("id"), F.col(c_vec).alias("v")))
 
     def run(pdf: pd.DataFrame) -> DataFrame:
         if pdf.empty:

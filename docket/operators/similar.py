@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docket.functions.route import SUBJECTS
 from docket.functions.text import WS
-from docket.operators.bounded import DEFAULT_MAX_ROWS, per_block
+from docket.operators.bounded import DEFAULT_MAX_ROWS, per_block, scan_tasks
 from docket.operators.route import ANY_NUM, ANY_SUBJ, file_keys, question_keys
 
 SLICE_CELLS = 2_000_000
@@ -213,8 +213,8 @@ def fuzzy_best_file(questions: DataFrame, index: DataFrame, q_id: str = "qid",
     bits = F.lit(0).cast("bigint")
     for i, s in enumerate(names):
         bits = bits + F.when(lp.contains(s), F.lit(1 << i)).otherwise(F.lit(0))
-    files = fk.select("pos", "path", "link", strip_ws(lp).alias("_fs"), "_mods", "_sems",
-                      bits.cast("bigint").alias("_bits"))
+    files = scan_tasks(fk.select("pos", "path", "link", strip_ws(lp).alias("_fs"), "_mods", "_sems",
+                                 bits.cast("bigint").alias("_bits")))
     part_schema = (f"qid {q_type}, n_cand bigint, c_score double, c_pos bigint, c_path string, "
                    "c_link string, a_score double, a_pos bigint, a_path string, a_link string")
 

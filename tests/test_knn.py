@@ -80,3 +80,15 @@ def test_knn_byte_bound_splits_broadcast(spark, monkeypatch):
     monkeypatch.setattr(knn, "MAX_BROADCAST_BYTES", 4 * 8 * 2)   # two questions per broadcast
     got = sorted(tuple(r) for r in knn.nearest_chunks(qdf, cdf, k=3).collect())
     assert got == want
+
+
+def test_knn_many_splits_coalesced(spark):
+    rng = np.random.default_rng(4)
+    Q = rng.normal(size=(3, 4)).astype(np.float32)
+    C = rng.normal(size=(200, 4)).astype(np.float32)
+    cids = ["c%03d" % i for i in range(200)]
+    qdf, cdf = frames(spark, Q, C, cids)
+    want = brute(Q.astype(np.float64), range(3), C.astype(np.float64), cids, 3)
+    got = knn.nearest_chunks(qdf, cdf.repartition(100), k=3).collect()   # 100 splits > 3 x cores
+    for qi in range(3):
+        assert [r.id for r in sorted((r for r in got if r.qid == qi), key=lambda r: r.rk)] == [c for c, _ in want[qi]]
