@@ -78,9 +78,28 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.setdefault(id(spark.sparkContext._jsc), []).append(path)
     return spark.read.parquet(path)
 
 
+_WRITTEN: dict[int, list[str]] = {}
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote with ``materialize``
+    (and only those).  Call it once every DataFrame built on them has been
+    consumed.  Returns the number of folders removed."""
+    paths = _WRITTEN.pop(id(spark.sparkContext._jsc), [])
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(conf).delete(p, True):
+            n += 1
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input at least one partition per core before heavy
     row-local work (chunking, embedding).  A no-op when the scan already has

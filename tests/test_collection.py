@@ -62,3 +62,14 @@ def test_parity_counts_and_hot_id(spark):
     assert K.check_parity(a, b).count() == 0
     with pytest.raises(ValueError, match="row counts differ"):
         K.check_parity(a, b, raise_on_mismatch=True)
+
+
+def test_cleanup_removes_only_own_tables(spark, tmp):
+    from docket.session import cleanup, materialize
+    keep = os.path.join(tmp, "keep")
+    spark.range(3).write.parquet(keep)
+    m = materialize(spark.range(5), "probe")
+    assert m.count() == 5
+    path = m.inputFiles()[0].rsplit("/", 1)[0].replace("file:", "")
+    assert cleanup(spark) >= 1
+    assert not os.path.exists(path) and os.path.exists(keep)
