@@ -70,18 +70,22 @@ def extract_semester(q) -> Column:
     return F.nullif(digits, F.lit("")).try_cast("bigint")
 
 
-def extract_subject(q, subjects=SUBJECTS) -> Column:
+def extract_subject(q, subjects=SUBJECTS, word_boundary: bool = False) -> Column:
     """First subject, in rule order, with a keyword contained in the lower-cased text.
 
-    The rules are configuration (a handful of rows), so they become one
+    By default a keyword matches inside a longer word ('those' holds 'os'), as
+    in the reference; ``word_boundary=True`` asks for whole words instead.  The
+    rules are configuration (a handful of rows), so they become one
     ``CASE WHEN`` expression instead of a join.
     """
+    import re
     lq = F.lower(_col(q))
     out = None
     for s in subjects:
         cond = None
         for k in s.keywords:
-            c = lq.contains(k)
+            c = (lq.rlike(r"(?:^|[^a-z0-9_])" + re.escape(k) + r"(?:[^a-z0-9_]|\z)")
+                 if word_boundary else lq.contains(k))
             cond = c if cond is None else (cond | c)
         out = F.when(cond, F.lit(s.name)) if out is None else out.when(cond, F.lit(s.name))
     return out if out is not None else F.lit(None).cast("string")

@@ -139,3 +139,9 @@ def test_fuzzy_matrix_bound_splits_passes(spark, monkeypatch):
     monkeypatch.setattr(S, "MAX_MATRIX_CELLS", 60)
     got = sorted(tuple(r) for r in S.fuzzy_best_file(qdf, idx).collect())
     assert got == want
+
+
+def test_extract_subject_word_boundary(spark):
+    df = spark.createDataFrame([("those costs",), ("my OS notes",), ("a stack.",)], "q string")
+    got = [r[0] for r in df.select(FR.extract_subject("q", word_boundary=True)).collect()]
+    assert got == [None, "os", "dsa"]
