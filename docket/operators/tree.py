@@ -12,12 +12,11 @@ conflict)``: one row per node.  Node rules, over entries in index order:
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docket.functions.text import safe_filename, trim_js
+from docket.session import materialize
 
 
 def index_entries(index: DataFrame, pos: str = "pos", path: str = "path", link: str = "link") -> DataFrame:
@@ -73,30 +72,44 @@ def folder_closure(entries: DataFrame, root=None, max_depth: int = 64,
     equal safe names the one written last in walk order is ``kept``.  A node
     already on its own ancestor path is not entered again (cycle guard), and
     the walk stops at ``max_depth``.
+
+    Plan: one equi-join per level (frontier folders x entries on parent id),
+    each level's result written to the checkpoint folder, until the frontier
+    is empty.  The walk order is the array of (name, id) along the path, so no
+    sibling ranking window is needed; the winner per safe name is a partial
+    aggregate.  (A recursive CTE would do the same but is capped at a fixed
+    number of rows.)
     """
-    spark = entries.sparkSession
-    view = f"_closure_{uuid.uuid4().hex}"
-    entries.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent_id"),
-                   F.col(name_col).alias("name"), F.col(folder_col).alias("is_folder")) \
-        .createOrReplaceTempView(view)
-    if root is None:
-        start = "parent_id IS NULL"
-    else:
-        start = "parent_id = " + (f"'{root}'" if isinstance(root, str) else str(root))
-    walk = spark.sql(f"""
-        WITH RECURSIVE walk(id, path, depth, is_folder, name, anc, ord) AS (
-          SELECT id, name, 1, is_folder, name, array(id), array(named_struct('n', name, 'i', id))
-          FROM {view} WHERE {start}
-          UNION ALL
-          SELECT e.id, concat(w.path, '/', e.name), w.depth + 1, e.is_folder, e.name,
-                 array_append(w.anc, e.id), array_append(w.ord, named_struct('n', e.name, 'i', e.id))
-          FROM walk w JOIN {view} e ON e.parent_id = w.id
-          WHERE w.is_folder AND NOT array_contains(w.anc, e.id) AND w.depth < {int(max_depth)})
-        SELECT id, path, CAST(depth AS BIGINT) AS depth, name, ord FROM walk WHERE NOT is_folder""")
-    files = walk.withColumn("safe_name", safe_filename("name"))
-    winner = files.groupBy("safe_name").agg(F.max_by("ord", "ord").alias("_w"))
-    return (files.join(winner, "safe_name")
-                 .select("id", "path", "depth", "safe_name", (F.col("ord") == F.col("_w")).alias("kept")))
+    e = entries.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent_id"),
+                       F.col(name_col).alias("name"), F.col(folder_col).alias("is_folder"))
+    start = e.filter(F.col("parent_id").isNull() if root is None else (F.col("parent_id") == F.lit(root)))
+    level = start.select("id", F.col("name").alias("path"), F.lit(1).cast("bigint").alias("depth"),
+                         "is_folder", "name", F.array("id").alias("anc"),
+                         F.array(F.struct(F.col("name").alias("n"), F.col("id").alias("i"))).alias("ord"))
+    files = []
+    for d in range(1, max_depth + 1):
+        level = materialize(level, "walk")
+        files.append(level.filter(~F.col("is_folder")))
+        if d == max_depth:
+            break
+        frontier = level.filter(F.col("is_folder")).select(
+            F.col("id").alias("_pid"), F.col("path").alias("_ppath"), "anc", "ord")
+        if frontier.limit(1).count() == 0:
+            break
+        level = (frontier.join(e, F.col("parent_id") == F.col("_pid"))
+                         .filter(~F.array_contains("anc", F.col("id")))
+                         .select("id", F.concat("_ppath", F.lit("/"), "name").alias("path"),
+                                 F.lit(d + 1).cast("bigint").alias("depth"), "is_folder", "name",
+                                 F.array_append("anc", F.col("id")).alias("anc"),
+                                 F.array_append("ord", F.struct(F.col("name").alias("n"),
+                                                                F.col("id").alias("i"))).alias("ord")))
+    walk = files[0]
+    for f in files[1:]:
+        walk = walk.unionByName(f)
+    walk = walk.select("id", "path", "depth", "name", "ord").withColumn("safe_name", safe_filename("name"))
+    winner = walk.groupBy("safe_name").agg(F.max_by("ord", "ord").alias("_w"))
+    return (walk.join(winner, "safe_name")
+                .select("id", "path", "depth", "safe_name", (F.col("ord") == F.col("_w")).alias("kept")))
 
 
 def _json_str(c):

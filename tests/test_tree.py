@@ -91,3 +91,14 @@ def test_tree_properties(spark, paths):
         assert r.parent_path is None or r.parent_path in t
         assert r.type == ("file" if path in ends else "folder")
         assert r.link == ends.get(path)
+
+
+def test_folder_closure_root_and_depth(spark):
+    e = spark.createDataFrame([
+        ("r", None, "root", True), ("d", "r", "sub", True), ("f1", "d", "a.pdf", False),
+        ("d2", "d", "deep", True), ("f2", "d2", "b.pdf", False),
+    ], "id string, parent_id string, name string, is_folder boolean")
+    under_d = {r.id: r for r in TR.folder_closure(e, root="d").collect()}
+    assert set(under_d) == {"f1", "f2"} and under_d["f2"].path == "deep/b.pdf" and under_d["f2"].depth == 2
+    shallow = {r.id for r in TR.folder_closure(e, max_depth=3).collect()}
+    assert shallow == {"f1"}
