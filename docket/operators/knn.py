@@ -1,7 +1,8 @@
 """Nearest chunks per question (J3) and top-k per group.
 
 Plan: the question matrix (size-checked, see ``bounded``) is broadcast; each
-task streams its chunk partition in Arrow batches through one matrix product
+task streams its chunk partition in Arrow batches (``mapInArrow``: the vector
+column's flat values become a matrix with no per-row Python) through one matrix product
 per slice and keeps a running top-k per question, so a partition emits at most
 k rows per question and no question-chunk pair is ever materialised.  A final
 ``row_number`` window (planned as ``WindowGroupLimit``, partial before the
@@ -16,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docket.functions.vectors import METRICS
 from docket.operators.bounded import DEFAULT_MAX_ROWS, per_block, scan_tasks
@@ -80,34 +82,48 @@ def _merge(best_d, best_i, D, ids, k):
     return new_d, new_i
 
 
-def _search_fn(bc, k, metric, id_col, vec_col):
+def _batch_matrix(rb, vec_col: str, d: int):
+    """Non-null rows of an Arrow batch and their vectors as an (n, d) float64
+    matrix, read from the list column's flat values (no per-row Python)."""
+    import pyarrow.compute as pc
+    col = rb.column(vec_col)
+    if col.null_count:
+        rb = rb.filter(pc.is_valid(col))
+        col = rb.column(vec_col)
+    if rb.num_rows == 0:
+        return rb, np.empty((0, d))
+    lens = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+    if (lens != d).any():
+        raise ValueError(f"vector length {int(lens[lens != d][0])} differs from question length {d}")
+    flat = col.flatten().to_numpy(zero_copy_only=False)
+    return rb, flat.reshape(rb.num_rows, d).astype(np.float64, copy=False)
+
+
+def _search_fn(bc, k, metric, id_col, vec_col, arrow_schema):
     def fn(batches):
+        import pyarrow as pa
         qids, Q = bc.value
         n, d = Q.shape
         qn = np.einsum("ij,ij->i", Q, Q)
         best_d = np.empty((n, 0))
         best_i = np.empty((n, 0), dtype=object)
         step = max(1, SLICE_CELLS // max(n, 1))
-        for pdf in batches:
-            pdf = pdf[pdf[vec_col].notna()]
-            if pdf.empty:
+        for rb in batches:
+            rb, C_all = _batch_matrix(rb, vec_col, d)
+            if rb.num_rows == 0:
                 continue
-            vecs = pdf[vec_col].to_numpy()
-            ids_all = pdf[id_col].to_numpy(dtype=object)
-            for s in range(0, len(vecs), step):
-                C = np.stack(vecs[s:s + step]).astype(np.float64, copy=False)
-                if C.ndim != 2 or C.shape[1] != d:
-                    raise ValueError(f"vector length {C.shape[-1]} differs from question length {d}")
-                D = _distances(Q, qn, C, metric)
+            ids_all = np.asarray(rb.column(id_col).to_pylist(), dtype=object)
+            for s in range(0, rb.num_rows, step):
+                D = _distances(Q, qn, C_all[s:s + step], metric)
                 best_d, best_i = _merge(best_d, best_i, D, ids_all[s:s + step], k)
         if best_d.shape[1] == 0:
             return
         keep = np.isfinite(best_d).ravel()
-        yield pd.DataFrame({
-            "qid": np.repeat(qids, best_d.shape[1])[keep],
-            "id": best_i.ravel()[keep],
+        yield pa.RecordBatch.from_pydict({
+            "qid": np.repeat(qids, best_d.shape[1])[keep].tolist(),
+            "id": best_i.ravel()[keep].tolist(),
             "dist": best_d.ravel()[keep],
-        })
+        }, schema=arrow_schema)
     return fn
 
 
@@ -122,6 +138,7 @@ def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int = 5, metric:
     q_type = questions.schema[q_id].dataType.simpleString()
     c_type = chunks.schema[c_id].dataType.simpleString()
     schema = f"qid {q_type}, id {c_type}, dist double"
+    arrow_schema = to_arrow_schema(spark.createDataFrame([], schema).schema)
     qs = questions.select(F.col(q_id).alias("qid"),
                           F.col(q_vec).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
     cs = scan_tasks(chunks.select(F.col(c_id).alias("id"), F.col(c_vec).alias("v")))
@@ -136,7 +153,7 @@ def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int = 5, metric:
         out = None
         for s in range(0, len(Q), rows):
             bc = spark.sparkContext.broadcast((qids[s:s + rows], Q[s:s + rows]))
-            part = cs.mapInPandas(_search_fn(bc, k, metric, "id", "v"), schema)
+            part = cs.mapInArrow(_search_fn(bc, k, metric, "id", "v", arrow_schema), schema)
             out = part if out is None else out.unionByName(part)
         return out
 
