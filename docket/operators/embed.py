@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.functions.text import WS
 
 RETRIES = 5
 WAIT_SECONDS = 2.0
