@@ -63,3 +63,12 @@ def test_recursive_udf_matches_python(spark):
 def test_normalize_docs(spark):
     df = spark.createDataFrame([("f.pdf", None), ("g", "t")], "filename string, text string")
     assert [tuple(r) for r in C.normalize_docs(df).collect()] == [("f.pdf", ""), ("g", "t")]
+
+
+def test_recursive_multi_level_hand_worked():
+    # lines first; the 16-character line is split again on spaces; pieces keep
+    # their separator at the front and chunks are trimmed
+    text = "aaa bbb\nccc ddd eee fff\nggg"
+    assert C.split_recursive(text, 10, 3) == ["aaa bbb", "ccc ddd", "eee fff", "ggg"]
+    # overlap 4 carries the whole trailing piece ' ddd' / ' eee' into the next chunk
+    assert C.split_recursive(text, 10, 4) == ["aaa bbb", "ccc ddd", "ddd eee", "eee fff", "ggg"]
