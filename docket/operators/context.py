@@ -170,7 +170,8 @@ def concat_context(hits: DataFrame, chunks: DataFrame | None = None, c_id: str =
 
 
 def top_source(hits: DataFrame, chunks: DataFrame | None, index: DataFrame | None,
-               c_id: str = "id", c_source: str = "source", q_id: str = "qid") -> DataFrame:
+               c_id: str = "id", c_source: str = "source", q_id: str = "qid",
+               pin: bool = True) -> DataFrame:
     """A4: source of the rank-1 hit, as a label (T4) and a link (J4); null when absent or empty."""
     if chunks is None:
         top = hits.filter(F.col("rk") == 1).select("qid", F.nullif(F.col("_src"), F.lit("")).alias("_src"))
@@ -180,9 +181,10 @@ def top_source(hits: DataFrame, chunks: DataFrame | None, index: DataFrame | Non
                            c_id=c_id, c_text="_notext", c_source=c_source, q_id=q_id)
         top = rows.select("qid", F.nullif(F.col("_src"), F.lit("")).alias("_src"))
     top = top.withColumn("source_label", strip_extension("_src"))
-    if index is not None:
+    if index is not None and pin:
         # One row per question, read twice below (names to broadcast, then the
         # join back): cut its lineage so the search behind it runs once.
+        # (``pin=False`` when ``hits`` is already a written table.)
         top = cut(top)
     if index is None:
         top = top.withColumn("source_link", F.lit(None).cast("string"))

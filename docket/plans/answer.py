@@ -54,7 +54,7 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, index: DataFrame,
     # once so the collection is scanned once.
     rows = cut(X.hit_payload(hits, chunks), "hits")
     ctx = X.concat_context(rows)
-    src = X.top_source(rows, None, index)
+    src = X.top_source(rows, None, index, pin=False)
     retrieval = (ask.select("qid").join(ctx, "qid", "left").join(src, "qid", "left")
                     .select("qid", F.lit(None).cast("string").alias("answer"), "source_label",
                             "source_link", F.coalesce("context", F.lit("")).alias("context")))
