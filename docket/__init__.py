@@ -13,7 +13,12 @@ _SHIPPED: set[int] = set()
 
 def ship(spark) -> None:
     """Make this package importable in the Python workers of ``spark``'s
-    executors (``addPyFile`` of a zip of the package), once per context."""
+    executors (``addPyFile`` of a zip of the package), once per context.
+
+    The zip is a driver-side artifact that Spark's file server hands to every
+    executor (as ``--py-files`` would); no task reads a driver-local folder.
+    On a cluster where the package is installed or passed with ``--py-files``
+    this is harmless."""
     sc = spark.sparkContext
     key = id(sc._jsc)
     if key in _SHIPPED:
