@@ -144,7 +144,8 @@ def tree_json(nodes: DataFrame, max_children: int = 100_000) -> DataFrame:
         json = F.concat(
             F.lit('{"type":'), _json_str(F.col("type")), F.lit(',"name":'), _json_str(F.col("name")),
             F.when(F.col("type") == "file",
-                   F.concat(F.lit(',"link":'), F.coalesce(_json_str(F.col("link")), F.lit("null"))))
+                   F.concat(F.lit(',"link":'), F.when(F.col("link").isNull(), F.lit("null"))
+                                                .otherwise(_json_str(F.col("link")))))
              .otherwise(F.lit("")),
             F.when(has_kids, F.concat(F.lit(',"children":'), children))
              .when(F.col("type") == "folder", F.lit(',"children":{}')).otherwise(F.lit("")),

@@ -102,3 +102,11 @@ def test_folder_closure_root_and_depth(spark):
     assert set(under_d) == {"f1", "f2"} and under_d["f2"].path == "deep/b.pdf" and under_d["f2"].depth == 2
     shallow = {r.id for r in TR.folder_closure(e, max_depth=3).collect()}
     assert shallow == {"f1"}
+
+
+def test_tree_json_null_link_and_escaping(spark):
+    import json
+    t = TR.library_tree(index(spark, [('A/q"x.pdf', None), ("B", "u\\2")]))
+    docs = {r.name: json.loads(r.json) for r in TR.tree_json(t).collect()}
+    assert docs["A"]["children"]['q"x.pdf'] == {"type": "file", "name": 'q"x.pdf', "link": None}
+    assert docs["B"]["link"] == "u\\2"
