@@ -1,0 +1,224 @@
+"""Row-local operators against brute force: language ID, BPE, token counts, secrets."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from docket.llm import bpe, lang_id, queries, secret_scan, token_counts
+from docket.llm.common import utf8
+from tests.conftest import SF001
+
+EDGE = [(1, None), (2, ""), (3, "  \n"), (4, "12 34 !!"), (5, "é漢🎉 x"), (6, "a" * 200_000), (7, "same"), (7, "same"),
+        (None, "no id")]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    """Nulls, empty and long texts, repeated rows, and a column that clashes with an added one."""
+    return spark.createDataFrame(EDGE, "doc_id bigint, text string").withColumn("score", F.lit("mine")) \
+                .withColumn("ids", F.lit("mine")).withColumn("secrets", F.lit("mine"))
+
+
+# -- language ID --------------------------------------------------------------------------------
+
+def test_gradients_by_finite_differences():
+    """Backpropagation through time agrees with the numeric derivative of the loss."""
+    rng = np.random.default_rng(0)
+    H, T, n = 3, 5, 4
+    E, U = rng.normal(size=(3 * H, 256)), rng.normal(size=(3 * H, H))
+    X = rng.integers(0, 6, (T, n)).astype(np.uint8)
+    G = rng.normal(size=(T, H, n))
+
+    def loss(e, u, back):
+        return float((lang_id._run(e.astype(np.float32), u.astype(np.float32), X, None, back).astype(float) * G).sum())
+
+    for back in (False, True):
+        keep = []
+        lang_id._run(E.astype(np.float32), U.astype(np.float32), X, None, back, keep)
+        dE, dU = lang_id._back(U.astype(np.float32), X, keep, G.astype(np.float32))
+        for a, d in ((E, dE), (U, dU)):
+            for i, j in ((0, 1), (H, 2), (2 * H, 0)):
+                old, h = a[i, j], 1e-2
+                a[i, j] = old + h
+                up = loss(E, U, back)
+                a[i, j] = old - h
+                down = loss(E, U, back)
+                a[i, j] = old
+                assert abs((up - down) / (2 * h) - d[i, j]) < 0.02 * max(1, abs(d[i, j]))
+
+
+def test_language_held_out_accuracy(spark):
+    out = queries.op1_language(spark, "/root/testdata/sf0.01").join(
+        spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = out.filter("held_out and lang is not null").collect()
+    assert len(rows) > 100
+    assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_windows_do_not_depend_on_batching():
+    model = lang_id.train(["abc def " * 20, "xyz uvw " * 20], ["a", "b"], steps=3)
+    texts = ["abc " * 100, "", "z", "uvw xyz " * 31]
+    whole = lang_id.predict(model, *utf8(pa.array(texts)))
+    for i, t in enumerate(texts):
+        if t:
+            assert np.allclose(lang_id.predict(model, *utf8(pa.array([t])))[0], whole[i], atol=1e-5)
+
+
+def test_language_edges(spark, edge):
+    labelled = edge.withColumn("lang", F.when(F.length("text") > 3, "xx"))
+    out = {(r["doc_id"], r["text"]): r for r in lang_id.identify(edge, lang_id.fit(labelled, steps=3)).collect()}
+    for k in ((1, None), (2, ""), (3, "  \n"), (4, "12 34 !!")):
+        assert (out[k]["lang_pred"], out[k]["score"]) == ("und", 0.0)
+    assert out[(7, "same")]["lang_pred"] == "xx"
+    none = lang_id.fit(labelled.limit(0))
+    assert {r["lang_pred"] for r in lang_id.identify(edge, none).collect()} == {"und"}
+    assert lang_id.identify(edge.limit(0), none).count() == 0
+
+
+# -- BPE and token counts -----------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(*bpe.default_vocabulary())
+
+
+@pytest.fixture(scope="module")
+def tik():
+    import public_tokenizers as P
+    import tiktoken
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.default_vocabulary()[0], special_tokens={})
+
+
+def test_bpe_equals_reference_library(codec, tik):
+    rnd = random.Random(1)
+    kinds = [lambda: rnd.randrange(1, 128), lambda: rnd.randrange(128, 0x800), lambda: rnd.randrange(0x4E00, 0x9FFF),
+             lambda: rnd.randrange(0x1F300, 0x1F900), lambda: 32]
+    texts = ["".join(chr(rnd.choice(kinds)()) for _ in range(rnd.randrange(200))) for _ in range(500)]
+    texts += ["", " " * 300 + "x", "it's we'll I'VE", "<|endoftext|> ▁", "a" * 5000, "\x00\t\n "]
+    for t, raw in zip(texts, codec.encode_all(texts), strict=True):
+        ids = np.frombuffer(raw, "<u4")
+        assert ids.tolist() == tik.encode_ordinary(t)
+        assert codec.decode(ids) == t.encode()
+
+
+def test_bpe_query_round_trip(spark, tik):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
+    for r in queries.op5_bpe(spark, SF001).collect():
+        ids = np.array(tik.encode_ordinary(docs[r["doc_id"]]), "<u4")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
+
+
+def test_bpe_edges(edge, tik):
+    rows = bpe.decode(bpe.encode(edge)).collect()
+    assert len(rows) == len(EDGE)
+    for r in rows:
+        assert r["ids"] == tik.encode_ordinary(r["text"] or "")
+        assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    assert bpe.round_trip(edge.limit(0)).count() == 0
+
+
+def test_token_counts_follow_random_edits(codec):
+    rnd = random.Random(5)
+    bits = ["", " ", "  ", "x", "'s", " \n ", "word 12", "'", " é!! "]
+    for t in ["", "   ", "a", "it's  a\n\n test 12345 of words " * 40, "  b\n\n" * 30]:
+        tree = token_counts.TokenTree(codec, t)
+        for _ in range(40):
+            n = len(tree.text)
+            a = rnd.randrange(-2, n + 4)
+            b = a + rnd.choice([0, 1, 3, 20, rnd.randrange(0, n + 2)])
+            rep = rnd.choice(bits + ["a" * rnd.randrange(300) + " b" * rnd.randrange(700)])
+            s = min(max(a, 0), n)
+            want = tree.text[:s] + rep + tree.text[min(max(b, s), n):]
+            tree.edit(a, b, rep)
+            assert tree.text == want
+            assert tree.tokens == len(codec.encode(want))
+            assert tree.pre == len(codec.find(want))
+
+
+def test_small_edits_encode_little(codec):
+    tree = token_counts.TokenTree(codec, "several plain words in a row, " * 5000)
+    tree.edit(70_000, 70_003, "new")
+    assert 0 < tree.again < 10
+
+
+def test_count_query_and_edges(spark, edge, tik):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").withColumn("edits", queries.derived_edits())
+    for r in token_counts.count_with_edits(docs).collect():
+        assert r["n_tokens"] == len(tik.encode_ordinary(r["text"]))
+        assert r["n_tokens_edited"] == len(tik.encode_ordinary(r["edited"]))
+    odd = edge.withColumn("edits", F.expr("array(null, struct(null as start, 1L as end, 'x' as replacement), "
+                                          "struct(-5L as start, 1000000L as end, cast(null as string) as replacement))"))
+    for r in token_counts.count_with_edits(odd).collect():
+        assert (r["edited"], r["n_tokens_edited"]) == ("", 0)
+    none = edge.withColumn("edits", F.lit(None).cast(token_counts.EDITS))
+    assert all(r["n_tokens"] == r["n_tokens_edited"] for r in token_counts.count_with_edits(none).collect())
+
+
+# -- secrets ------------------------------------------------------------------------------------
+
+_RULES = {  # the contract's own words, as plain regular expressions
+    "assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A),
+               lambda m: len(m[2]) >= 12),
+    "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+    "hex": (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+    "jwt": (re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), lambda m: True),
+    "pem": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), lambda m: True),
+}
+
+
+def brute_spans(text, kinds=_RULES):
+    out = [(m.start(), i, k, m.end()) for i, k in enumerate(kinds) for m in _RULES[k][0].finditer(text) if _RULES[k][1](m)]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out))
+
+
+def test_secrets_against_regular_expressions():
+    rnd = random.Random(3)
+    parts = ["token", "secret", "PassWord", "passwd", "api_key", "apikey", "=", ":", " ", '"', "'", "abcdefghijkl",
+             "0123456789abcdef", "AKIA", "AKIAABCDEFGHIJKLMN", "x", ",", "\n", "é", "eyJ", ".", "-", "_", "-----BEGIN ",
+             "RSA ", "PRIVATE KEY-----", "deadbeef" * 3]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(60))) for _ in range(4000)] + ["", "ab" * 3000]
+    a = secret_scan.compile_rules()
+    buf, off = utf8(pa.array(texts))
+    points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    got = [[] for _ in texts]
+    for d, s, i, e in secret_scan.scan(a, buf, off, lanes=700):
+        got[d].append(f"{a.kinds[i]}:{points[s] - points[off[d]]}:{points[e] - points[off[d]]}")
+    assert [",".join(g) for g in got] == [brute_spans(t) for t in texts]
+
+
+def test_secret_query(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
+    for r in queries.op10_secrets(spark, SF001).collect():
+        t = docs[r["doc_id"]]
+        base = brute_spans(t, secret_scan.BASE)
+        assert r["spans"] == brute_spans(t)
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in secret_scan.BASE] == [base.count(k + ":") for k in secret_scan.BASE]
+
+
+def test_secret_edges_and_redaction(spark, edge):
+    more = edge.union(spark.createDataFrame(
+        [(9, "é token=deadbeefdeadbeef00 end AKIAABCDEFGHIJKLMN")], "doc_id bigint, text string")
+        .withColumn("score", F.lit("")).withColumn("ids", F.lit("")).withColumn("secrets", F.lit("")))
+    out = secret_scan.scan_secrets(more).withColumn("clean", secret_scan.redact("text", "secrets"))
+    rows = {(r["doc_id"], r["text"]): r for r in out.collect()}
+    assert rows[(1, None)]["secrets"] == [] and rows[(1, None)]["clean"] is None
+    assert len(rows[(6, "a" * 200_000)]["secrets"]) == 1
+    last = next(r for k, r in rows.items() if k[0] == 9)
+    assert last["clean"] == "é [SECRET] end [SECRET]"
+    assert [s["kind"] for s in last["secrets"]] == ["assign", "hex", "access"]
+    assert secret_scan.scan_secrets(edge.limit(0)).count() == 0
+
+
+def test_rules_that_need_going_back_are_refused():
+    with pytest.raises(ValueError):
+        secret_scan.compile_rules((("bad", "ab|abcd", None),))
+    with pytest.raises(ValueError):
+        secret_scan.compile_rules((("empty", "a*", None),))
