@@ -68,20 +68,3 @@ def per_block(small: DataFrame, key: str, max_rows: int,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-TASKS_PER_CORE = 3
-
-
-def scan_tasks(df: DataFrame, per_core: int = TASKS_PER_CORE) -> DataFrame:
-    """Merge the input splits of the big side of a broadcast scan into at most
-    ``per_core`` tasks per core (no shuffle).
-
-    Each task of such a scan keeps one running partial result per question
-    (top-k rows, best file, first match) and emits it at its end, so the
-    shuffle after it carries questions x tasks rows.  Bounding the task count
-    by the cluster's cores, not by the number of input splits, keeps that
-    shuffle small however large the table grows; every core stays busy.
-    """
-    most = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.coalesce(most) if df.rdd.getNumPartitions() > most else df

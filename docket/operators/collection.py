@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +91,7 @@ def collection_upsert(df: DataFrame, path: str, on: str = "id") -> int:
     """
     spark = df.sparkSession
     fresh = dedupe_by_id(df, on)
-    if os.path.exists(path) or _exists(spark, path):
+    if _exists(spark, path):
         fresh = new_only(fresh, spark.read.parquet(path), on)
     staged = materialize(fresh, "upsert")
     n = staged.count()

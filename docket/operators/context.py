@@ -3,12 +3,11 @@ prompt (P11) and answer defaults (P10)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docket.functions.text import clean_context, js_or, render_answer, strip_extension
-from docket.operators.bounded import DEFAULT_MAX_ROWS, bounded_count, per_block, scan_tasks
+from docket.operators.bounded import bounded_count
 from docket.session import cut
 
 
@@ -20,79 +19,17 @@ def _grams(c: Column, g: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def _ac_fn(bc):
-    def fn(batches):
-        import ahocorasick
-        names = bc.value
-        auto = ahocorasick.Automaton()
-        for i, nm in enumerate(names):
-            auto.add_word(nm, i)
-        auto.make_automaton()
-        best: dict[int, tuple[int, str]] = {}
-        for pdf in batches:
-            for p, lk, lp in zip(pdf["_pos"], pdf["_link"], pdf["_lp"]):
-                if lp is None:
-                    continue
-                for _, i in auto.iter(lp):
-                    cur = best.get(i)
-                    if cur is None or p < cur[0]:
-                        best[i] = (int(p), lk)
-        if best:
-            yield pd.DataFrame({"_ln": [names[i] for i in best], "_pos": [v[0] for v in best.values()],
-                                "_hit": [v[1] for v in best.values()]})
-    return fn
-
-
 def link_by_contains(names: DataFrame, index: DataFrame, name_col: str = "name",
                      pos: str = "pos", path: str = "path", link: str = "link",
-                     out_col: str = "link", max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+                     out_col: str = "link", gram: int = 3) -> DataFrame:
     """For each name, the link of the first index entry (by ``pos``) whose
     path contains the name, letter case ignored; null when none does.
 
-    Plan: the distinct lower-cased names (size-checked, blockwise beyond the
-    bound) are broadcast as one Aho-Corasick automaton; each task scans its
-    index partition once, in time linear in its path text, and emits per name
-    only its first match; a final group-by keeps the smallest position.  No
-    (name, path) pair is formed.  Without the automaton library the n-gram
-    equi-join below is used.
-    """
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return _link_by_grams(names, index, name_col, pos, path, link, out_col)
-    spark = index.sparkSession
-    idx = index.select(F.col(pos).cast("bigint").alias("_pos"), F.col(link).alias("_link"),
-                       F.lower(F.col(path)).alias("_lp"))
-    ln = names.select(F.lower(F.col(name_col)).alias("_ln")).filter(F.col("_ln").isNotNull()).distinct()
-
-    def run(pdf: pd.DataFrame) -> DataFrame:
-        words = [w for w in pdf["_ln"].tolist() if w]
-        schema = "_ln string, _pos bigint, _hit string"
-        if not words:
-            return spark.createDataFrame([], schema)
-        bc = spark.sparkContext.broadcast(words)
-        return scan_tasks(idx).mapInPandas(_ac_fn(bc), schema)
-
-    parts = per_block(ln.filter(F.col("_ln") != ""), "_ln", max_broadcast_rows, run, "contains")
-    found = parts.groupBy("_ln").agg(F.min_by("_hit", "_pos").alias("_hit"))
-    # The empty name is contained in every path: the first path wins.
-    first = idx.agg(F.min_by("_link", "_pos")).scalar()
-    found = found.unionByName(ln.filter(F.col("_ln") == "").select("_ln", first.alias("_hit")))
-    return (names.withColumn("_ln", F.lower(F.col(name_col)))
-                 .join(found, "_ln", "left")
-                 .drop("_ln")
-                 .withColumnRenamed("_hit", out_col))
-
-
-def _link_by_grams(names: DataFrame, index: DataFrame, name_col: str, pos: str, path: str,
-                   link: str, out_col: str, gram: int = 3) -> DataFrame:
-    """J4 without the automaton: n-gram postings and equi-joins.
-
     No pair of (name, path) is formed blindly: each path is posted under its
     distinct n-grams, each name looks up only its rarest n-gram (a path holding
     the name must hold every n-gram of it), and the candidates are verified
-    with ``contains``.  All joins are equi-joins; the n-gram frequency table is
-    a partial aggregate.
+    with ``contains``.  All joins are equi-joins (a hot n-gram is a skewed join,
+    which Spark splits); the n-gram frequency table is a partial aggregate.
     """
     idx = index.select(F.col(pos).alias("_pos"), F.col(link).alias("_link"),
                        F.lower(F.col(path)).alias("_lp"))

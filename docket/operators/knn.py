@@ -1,30 +1,39 @@
 """Nearest chunks per question (J3) and top-k per group.
 
-Plan: the question matrix (size-checked, see ``bounded``) is broadcast; each
-task streams its chunk partition in Arrow batches (``mapInArrow``: the vector
-column's flat values become a matrix with no per-row Python) through one matrix product
-per slice and keeps a running top-k per question, so a partition emits at most
-k rows per question and no question-chunk pair is ever materialised.  A final
-``row_number`` window (planned as ``WindowGroupLimit``, partial before the
-shuffle) picks the global top-k.  Distances are rounded to 1e-6 and ties are
-broken by chunk id, both inside the tasks and in the final window, so the
-result is deterministic and equal to an exhaustive search.
+The collection is written by vector cell: each chunk belongs to its nearest of a few
+centroids (fitted on a bounded sample), and each cell knows its radius.  A question first
+asks its own cell, which bounds the distance of its k-th hit, and then only those cells
+that can hold something nearer (distance to the centroid less the radius).  Questions and
+chunks meet by cell in bounded groups (large cells are salted, questions dealt into
+blocks), so nothing but the centroids is on the driver and no pair table exists.
+
+All metrics search in a space where the triangle inequality holds: vectors as they are
+(l2sq), normalised (cosine), or with one more component that makes all norms equal (ip).
+Distances of possible hits are computed by direct differences, rounded to 1e-6, and ties
+are broken by chunk id: the result equals an exhaustive search.
+
+Defined results: null vectors and vectors with null or non-finite components, of chunks or
+questions, take no part, nor do zero vectors under cosine; a question with fewer than k
+chunks gets them all; vectors of unequal length are an error.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from docket.functions.vectors import METRICS
-from docket.operators.bounded import DEFAULT_MAX_ROWS, per_block, scan_tasks
+from docket.session import materialize
 
 ROUND = 6
-SLICE_CELLS = 4_000_000   # question x chunk cells per matrix product
-MAX_BROADCAST_BYTES = 128 << 20
+EDGE = 2e-6              # rounding can move a distance by half of 1e-6
+CELLS, SAMPLE = 32, 2048
+CELL_ROWS, QUESTION_ROWS = 4096, 4096
 
 
 def top_k_per_group(df: DataFrame, keys, order, k: int, rank_col: str = "rk") -> DataFrame:
@@ -35,102 +44,80 @@ def top_k_per_group(df: DataFrame, keys, order, k: int, rank_col: str = "rk") ->
               .filter(F.col(rank_col) <= k))
 
 
-def _distances(Q, qn, C, metric):
+def _matrix(col: pa.Array, dim: int) -> np.ndarray:
+    """A list column of equal lengths as a matrix, read from its flat values."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if len(flat) != len(col) * dim:
+        raise ValueError(f"vector lengths differ from {dim}")
+    return flat.reshape(len(col), dim)
+
+
+def _usable(df: DataFrame, vec: str, metric: str) -> DataFrame:
+    ok = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    df = df.filter(F.col(vec).isNotNull() & ok)
+    return df.filter(F.exists(vec, lambda x: x != 0)) if metric == "cosine" else df
+
+
+def _place(X: np.ndarray, metric: str, m2: float | None) -> np.ndarray:
+    """Vectors in the search space; ``m2`` (largest squared norm) for chunks under ip."""
+    if metric == "cosine":
+        return X / np.sqrt((X * X).sum(1))[:, None]
+    if metric == "ip":
+        tail = np.zeros(len(X)) if m2 is None else np.sqrt(np.maximum(m2 - (X * X).sum(1), 0))
+        return np.column_stack([X, tail])
+    return X
+
+
+def _far(X: np.ndarray, P: np.ndarray) -> np.ndarray:
+    """Distances of rows to centroids, by direct differences."""
+    return np.sqrt(np.column_stack([((X - p) ** 2).sum(1) for p in P]))
+
+
+def _reach(limit: np.ndarray, Q: np.ndarray, metric: str, m2: float) -> np.ndarray:
+    """Search-space distance within which a hit of distance <= ``limit`` lies."""
+    limit = limit + EDGE
+    if metric == "l2sq":
+        sq = limit
+    elif metric == "cosine":
+        sq = 2 * limit
+    else:
+        sq = (Q * Q).sum(1) + m2 - 2 * (1 - limit)
+    return np.sqrt(np.maximum(sq, 0))
+
+
+def _hits(Q: np.ndarray, C: np.ndarray, rank: np.ndarray, limit: np.ndarray, k: int, metric: str):
+    """(question row, chunk row, distance) of up to k chunks per question within ``limit``."""
+    qn, cn = (Q * Q).sum(1), (C * C).sum(1)
     dot = Q @ C.T
+    scale = qn[:, None] + cn[None]
     if metric == "l2sq":
-        D = qn[:, None] + np.einsum("ij,ij->i", C, C)[None, :] - 2.0 * dot
-        np.maximum(D, 0.0, out=D)
+        D = scale - 2 * dot
     elif metric == "ip":
-        D = 1.0 - dot
+        D = 1 - dot
     else:
-        cn = np.sqrt(np.einsum("ij,ij->i", C, C))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            D = 1.0 - dot / (np.sqrt(qn)[:, None] * cn[None, :])
-        D = np.nan_to_num(D, nan=np.inf)
-    return np.round(D, ROUND) + 0.0   # + 0.0 turns -0.0 into 0.0
-
-
-def _merge(best_d, best_i, D, ids, k):
-    """Keep the k smallest (distance, id) per row of the union of state and slice."""
-    n, ks = best_d.shape
-    allD = np.hstack([best_d, D])
-    m = allD.shape[1]
-    if m <= k:
-        cols = np.broadcast_to(np.arange(m), (n, m))
-        kk = m
+        D = 1 - dot / np.sqrt(qn[:, None] * cn[None])
+        scale = np.ones_like(D)
+    err = 1e-14 * Q.shape[1] * scale + 1e-12
+    kth = np.partition(D + err, k - 1, axis=1)[:, k - 1] if len(C) >= k else np.full(len(Q), np.inf)
+    r, c = np.nonzero(D - err <= (np.minimum(kth, limit) + EDGE)[:, None])
+    if metric == "l2sq":
+        d = ((Q[r] - C[c]) ** 2).sum(1)
     else:
-        kth = np.partition(allD, k - 1, axis=1)[:, k - 1]
-        mask = allD <= kth[:, None]
-        counts = mask.sum(axis=1)
-        cols = np.empty((n, k), dtype=np.int64)
-        exact = counts == k
-        if exact.any():
-            _, c = np.nonzero(mask[exact])
-            cols[exact] = c.reshape(-1, k)
-        for r in np.nonzero(~exact)[0]:          # ties at the k-th distance: order by id
-            cand = np.nonzero(mask[r])[0]
-            keyed = sorted(cand, key=lambda j: (allD[r, j],
-                                                best_i[r, j] if j < ks else ids[j - ks]))
-            cols[r] = keyed[:k]
-        kk = k
-    rows = np.repeat(np.arange(n), kk).reshape(n, kk)
-    new_d = allD[rows, cols]
-    new_i = np.empty((n, kk), dtype=object)
-    from_state = cols < ks
-    new_i[from_state] = best_i[rows[from_state], cols[from_state]]
-    new_i[~from_state] = ids[cols[~from_state] - ks]
-    return new_d, new_i
-
-
-def _batch_matrix(rb, vec_col: str, d: int):
-    """Non-null rows of an Arrow batch and their vectors as an (n, d) float64
-    matrix, read from the list column's flat values (no per-row Python)."""
-    import pyarrow.compute as pc
-    col = rb.column(vec_col)
-    if col.null_count:
-        rb = rb.filter(pc.is_valid(col))
-        col = rb.column(vec_col)
-    if rb.num_rows == 0:
-        return rb, np.empty((0, d))
-    lens = pc.list_value_length(col).to_numpy(zero_copy_only=False)
-    if (lens != d).any():
-        raise ValueError(f"vector length {int(lens[lens != d][0])} differs from question length {d}")
-    flat = col.flatten().to_numpy(zero_copy_only=False)
-    return rb, flat.reshape(rb.num_rows, d).astype(np.float64, copy=False)
-
-
-def _search_fn(bc, k, metric, id_col, vec_col, arrow_schema):
-    def fn(batches):
-        import pyarrow as pa
-        qids, Q = bc.value
-        n, d = Q.shape
-        qn = np.einsum("ij,ij->i", Q, Q)
-        best_d = np.empty((n, 0))
-        best_i = np.empty((n, 0), dtype=object)
-        step = max(1, SLICE_CELLS // max(n, 1))
-        for rb in batches:
-            rb, C_all = _batch_matrix(rb, vec_col, d)
-            if rb.num_rows == 0:
-                continue
-            ids_all = np.asarray(rb.column(id_col).to_pylist(), dtype=object)
-            for s in range(0, rb.num_rows, step):
-                D = _distances(Q, qn, C_all[s:s + step], metric)
-                best_d, best_i = _merge(best_d, best_i, D, ids_all[s:s + step], k)
-        if best_d.shape[1] == 0:
-            return
-        keep = np.isfinite(best_d).ravel()
-        yield pa.RecordBatch.from_pydict({
-            "qid": np.repeat(qids, best_d.shape[1])[keep].tolist(),
-            "id": best_i.ravel()[keep].tolist(),
-            "dist": best_d.ravel()[keep],
-        }, schema=arrow_schema)
-    return fn
+        d = (Q[r] * C[c]).sum(1)
+        d = 1 - (d if metric == "ip" else d / (np.sqrt(qn[r]) * np.sqrt(cn[c])))
+    d = np.round(d, ROUND) + 0.0
+    order = np.lexsort((rank[c], d, r))
+    r, c, d = r[order], c[order], d[order]
+    first = np.searchsorted(r, r)
+    keep = np.arange(len(r)) - first < k
+    return r[keep], c[keep], d[keep]
 
 
 def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int = 5, metric: str = "l2sq",
-                   q_id: str = "qid", q_vec: str = "vector",
-                   c_id: str = "id", c_vec: str = "vector",
-                   max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+                   q_id: str = "qid", q_vec: str = "vector", c_id: str = "id", c_vec: str = "vector",
+                   cell_rows: int = CELL_ROWS, question_rows: int = QUESTION_ROWS) -> DataFrame:
     """``(qid, id, dist, rk)`` for the ``k`` chunks nearest each question vector."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; use one of {METRICS}")
@@ -138,24 +125,91 @@ def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int = 5, metric:
     q_type = questions.schema[q_id].dataType.simpleString()
     c_type = chunks.schema[c_id].dataType.simpleString()
     schema = f"qid {q_type}, id {c_type}, dist double"
-    arrow_schema = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    qs = questions.select(F.col(q_id).alias("qid"),
-                          F.col(q_vec).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
-    cs = scan_tasks(chunks.select(F.col(c_id).alias("id"), F.col(c_vec).alias("v")))
-
-    def run(pdf: pd.DataFrame) -> DataFrame:
-        if pdf.empty:
-            return spark.createDataFrame([], schema)
-        Q = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        qids = pdf["qid"].to_numpy()
-        # Also bounded by bytes: wide vectors make several broadcasts, one pass each.
-        rows = max(1, MAX_BROADCAST_BYTES // max(Q.shape[1] * 8, 1))
-        out = None
-        for s in range(0, len(Q), rows):
-            bc = spark.sparkContext.broadcast((qids[s:s + rows], Q[s:s + rows]))
-            part = cs.mapInArrow(_search_fn(bc, k, metric, "id", "v", arrow_schema), schema)
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    hits = per_block(qs, "qid", max_broadcast_rows, run, "knn")
+    out_schema = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    nothing = spark.createDataFrame([], schema + ", rk bigint")
+    qs = materialize(_usable(questions.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("v")),
+                             "v", metric), "questions")
+    cs = _usable(chunks.select(F.col(c_id).alias("id"), F.col(c_vec).cast("array<double>").alias("v")), "v", metric)
+    sizes = qs.agg(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    dim = sizes["d"]
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    sample = cs.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()
+    if not dim or not sample:
+        return nothing
+    m2 = cs.agg(F.max(norm)).first()[0] if metric == "ip" else 0.0
+    if any(len(r["v"]) != dim for r in sample):
+        raise ValueError(f"vector lengths differ from {dim}")
+    S = _place(np.array([r["v"] for r in sample]), metric, m2)
+    P = S[np.linspace(0, len(S) - 1, min(CELLS, len(S))).astype(int)]
+    for _ in range(5):
+        own = _far(S, P).argmin(1)
+        P = np.array([S[own == i].mean(0) if (own == i).any() else P[i] for i in range(len(P))])
+
+    def to_cell(batches):
+        for b in batches:
+            d = _far(_place(_matrix(b.column("v"), dim), metric, m2), P)
+            own = d.argmin(1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("v"), pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(d)), own])],
+                ["id", "v", "cell", "far"])
+
+    cells = materialize(cs.mapInArrow(to_cell, f"id {c_type}, v array<double>, cell int, far double"), "cells")
+    # at most CELLS rows
+    stats = {r["cell"]: (r["n"], r["r"]) for r in
+             cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect()}
+    live = np.array(sorted(stats))
+    radius = np.array([stats[c][1] for c in live])
+    salts = {int(c): math.ceil(stats[c][0] / cell_rows) for c in live}
+    salt_of = F.create_map(*[F.lit(x) for c, n in salts.items() for x in (c, n)])
+    blocks = max(1, math.ceil(sizes["n"] / question_rows))
+    tiles = (cells.withColumn("salt", F.pmod(F.xxhash64("id"), salt_of[F.col("cell")]))
+                  .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    rows = qs.withColumn("blk", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+
+    def visit(first: bool):
+        def fn(batches):
+            for b in batches:
+                X = _matrix(b.column("v"), dim)
+                Q = _place(X, metric, None)
+                far = _far(Q, P[live])
+                limit = b.column("lim").to_numpy(zero_copy_only=False)
+                home = far.argmin(1)
+                if first:
+                    r, c = np.arange(len(Q)), home
+                else:
+                    see = far - radius <= (_reach(limit, X, metric, m2) * (1 + 1e-9) + 1e-9 * (1 + radius.max()))[:, None]
+                    see[np.arange(len(Q)), home] = False
+                    r, c = np.nonzero(see)
+                at = pa.array(r)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("qid").take(at), b.column("v").take(at), b.column("blk").take(at),
+                     b.column("lim").take(at), pa.array(live[c].astype(np.int32))], ["qid", "v", "blk", "lim", "cell"])
+        return fn
+
+    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not q.num_rows or not c.num_rows:
+            return out_schema.empty_table()
+        ids = c.column("id").combine_chunks()
+        rank = np.argsort(np.argsort(np.asarray(ids.to_numpy(zero_copy_only=False)), kind="stable"))
+        C, Q = _matrix(c.column("v"), dim), _matrix(q.column("v"), dim)
+        limit = q.column("lim").to_numpy()
+        parts = [(r + lo, i, d) for lo in range(0, len(Q), 512)
+                 for r, i, d in [_hits(Q[lo:lo + 512], C, rank, limit[lo:lo + 512], k, metric)]]
+        r, i, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.Table.from_arrays([q.column("qid").take(pa.array(r)), ids.take(pa.array(i)), pa.array(d)],
+                                    names=["qid", "id", "dist"]).cast(out_schema)
+
+    def ask(df: DataFrame, first: bool) -> DataFrame:
+        seen = df.mapInArrow(visit(first), f"qid {q_type}, v array<double>, blk int, lim double, cell int")
+        seen = seen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salt_of[F.col("cell")].cast("bigint") - 1)))
+        keys = ["cell", "salt", "blk"]
+        return seen.groupBy(*keys).cogroup(tiles.groupBy(*keys)).applyInArrow(meet, schema)
+
+    near = materialize(ask(rows.withColumn("lim", F.lit(float("inf"))), True), "near")
+    best = top_k_per_group(near, "qid", [F.col("dist"), F.col("id")], k)
+    bound = best.groupBy("qid").agg(F.max("dist").alias("m"), F.count(F.lit(1)).alias("n"))
+    rest = (rows.join(bound, "qid", "left")
+                .withColumn("lim", F.when(F.col("n") >= k, F.col("m")).otherwise(float("inf")))
+                .select("qid", "v", "blk", "lim"))
+    hits = near.unionByName(ask(rest, False))
     return top_k_per_group(hits, "qid", [F.col("dist"), F.col("id")], k)

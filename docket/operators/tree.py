@@ -12,6 +12,8 @@ conflict)``: one row per node.  Node rules, over entries in index order:
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def folder_contents(nodes: DataFrame, path: str | None) -> DataFrame:
     return nodes.filter(cond)
 
 
-def folder_closure(entries: DataFrame, root=None, max_depth: int = 64,
+def folder_closure(entries: DataFrame, root=None, max_depth: int | None = None,
                    id_col: str = "id", parent_col: str = "parent_id", name_col: str = "name",
                    folder_col: str = "is_folder") -> DataFrame:
     """H2: every file under ``root`` (None: entries without a parent), walked
@@ -70,8 +72,8 @@ def folder_closure(entries: DataFrame, root=None, max_depth: int = 64,
 
     All files land in one flat folder under their safe name (T5), so among
     equal safe names the one written last in walk order is ``kept``.  A node
-    already on its own ancestor path is not entered again (cycle guard), and
-    the walk stops at ``max_depth``.
+    already on its own ancestor path is not entered again, which ends every walk;
+    ``max_depth`` stops it earlier on request.
 
     Plan: one equi-join per level (frontier folders x entries on parent id),
     each level's result written to the checkpoint folder, until the frontier
@@ -82,12 +84,13 @@ def folder_closure(entries: DataFrame, root=None, max_depth: int = 64,
     """
     e = entries.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent_id"),
                        F.col(name_col).alias("name"), F.col(folder_col).alias("is_folder"))
+    e = materialize(e, "entries")        # read once per level
     start = e.filter(F.col("parent_id").isNull() if root is None else (F.col("parent_id") == F.lit(root)))
     level = start.select("id", F.col("name").alias("path"), F.lit(1).cast("bigint").alias("depth"),
                          "is_folder", "name", F.array("id").alias("anc"),
                          F.array(F.struct(F.col("name").alias("n"), F.col("id").alias("i"))).alias("ord"))
     files = []
-    for d in range(1, max_depth + 1):
+    for d in count(1):
         level = materialize(level, "walk")
         files.append(level.filter(~F.col("is_folder")))
         if d == max_depth:
@@ -117,17 +120,14 @@ def _json_str(c):
     return F.regexp_extract(F.to_json(F.struct(c.alias("k"))), r'^\{"k":(.*)\}$', 1)
 
 
-def tree_json(nodes: DataFrame, max_children: int = 100_000) -> DataFrame:
+def tree_json(nodes: DataFrame) -> DataFrame:
     """K4: the tree as nested JSON, ``(name, json)`` per top-level node.
 
     Built bottom-up, one pass per depth level; each pass groups children under
-    their parent.  A nested document holds a folder's children in one value,
-    so the widest folder is checked against ``max_children`` first.  For
-    export; queries use the adjacency table.
+    their parent.  A nested document holds all of a folder in one value, as its
+    form demands.  For export; queries use the adjacency table.
     """
-    widest = nodes.groupBy("parent_path").count().agg(F.max("count")).first()[0] or 0
-    if widest > max_children:
-        raise ValueError(f"a folder has {widest} children; over max_children={max_children}")
+    nodes = materialize(nodes, "nodes")  # read once per level
     max_depth = nodes.agg(F.max("depth")).first()[0] or 0
     cur = None
     for d in range(max_depth, 0, -1):

@@ -83,7 +83,9 @@ SQL["safe_names"] = """
 SELECT page_id, regexp_replace(url, '[\\\\/:"*?<>|]+', '_', 'g') AS safe_name FROM pages"""
 
 SQL["render_answer"] = f"""
-WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS s FROM conversations WHERE role = 'assistant'),
+WITH a AS (SELECT conv_id, turn, coalesce('*note* ' || text || chr(10) || '* first' || chr(10) || '* second' || chr(10) || chr(10)
+             || '1. one' || chr(10) || '22. two' || chr(10) || chr(10) || chr(10) || 'end ', '') AS s
+           FROM conversations WHERE role = 'assistant'),
 b AS (SELECT conv_id, turn, regexp_replace(s, '\\*({_NL}*?)\\*', '<strong>\\1</strong>', 'g') AS s FROM a),
 c AS (SELECT conv_id, turn, regexp_replace(s, '(?m)^\\* ({_NL}*)$', '<li>\\1</li>', 'g') AS s FROM b),
 d AS (SELECT conv_id, turn, regexp_replace(s, '(?m)^[0-9]+\\. ({_NL}*)$', '<li>\\1</li>', 'g') AS s FROM c),
@@ -113,7 +115,7 @@ BENCH_Q = f"""
   FROM benchmark"""
 
 CHAT_Q = f"""
-  SELECT conv_id * 1000 + turn AS qid,
+  SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qid,
          ({_list(QUESTION_LEADS)})[conv_id % {len(QUESTION_LEADS)} + 1] || ' ' || text || ' module '
          || CAST(turn % 5 AS VARCHAR) || ' ' || CAST(conv_id % 5 AS VARCHAR) || 'th sem' AS question
   FROM conversations WHERE role = 'user'"""
@@ -212,8 +214,10 @@ SQL["fuzzy_best"] = f"WITH {_fuzzy(BENCH_Q)} SELECT * FROM best"
 
 
 SQL["recent_questions"] = """
-WITH u AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS q
-           FROM conversations WHERE role = 'user'),
+WITH u4 AS (SELECT conv_id, turn * 4 + j AS turn,
+                   CASE j WHEN 0 THEN text WHEN 1 THEN ' ' || text || '  ' WHEN 2 THEN '  ' ELSE text || ' again' END AS text
+            FROM conversations, range(4) r(j) WHERE role = 'user'),
+u AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS q FROM u4),
 nb AS (SELECT * FROM u WHERE q IS NOT NULL AND q <> ''),
 k AS (SELECT *, lag(q) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM nb),
 kept AS (SELECT conv_id, turn, q FROM k WHERE prev IS NULL OR prev <> q),
@@ -260,7 +264,7 @@ WITH RECURSIVE {TREE},
     SELECT e.id, w.path || '/' || e.name, w.depth + 1, e.is_folder, e.name,
            list_append(w.anc, e.id), list_append(w.ord, {{'n': e.name, 'i': e.id}})
     FROM walk w JOIN ent e ON e.parent_id = w.id
-    WHERE w.is_folder AND NOT list_contains(w.anc, e.id) AND w.depth < 64),
+    WHERE w.is_folder AND NOT list_contains(w.anc, e.id)),
   files AS (SELECT id, path, CAST(depth AS BIGINT) AS depth, ord,
                    regexp_replace(name, '[\\\\/:"*?<>|]+', '_', 'g') AS safe_name
             FROM walk WHERE NOT is_folder),
@@ -509,4 +513,54 @@ def _recursive_chunks(name_expr: str) -> str:
 SQL["chunk_recursive"] = f"WITH {_recursive_chunks(_DOCNAME)} SELECT * FROM rc_out"
 
 
+SQL["snippets"] = """
+SELECT doc_id, regexp_replace(substr(coalesce(text, ''), 1, 300), '\\s+', ' ', 'g') AS snippet FROM documents"""
+
+SQL["document_names"] = """
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN coalesce(nullif(source, ''), 'unknown')
+                               WHEN 1 THEN coalesce(nullif(lang, ''), 'unknown') ELSE 'unknown' END AS name,
+       length(coalesce(text, ''))::BIGINT AS n_chars FROM documents"""
+
+SQL["collection_records"] = """
+WITH r AS (SELECT d.doc_id AS id, d.lang || '/' || CAST(d.doc_id AS VARCHAR) || '.pdf' AS source, len(e.embedding) AS dim
+           FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)
+SELECT id, 'doc_' || CAST(row_number() OVER (ORDER BY id) - 1 AS VARCHAR) AS pos_id, dim::BIGINT AS dim, source,
+       source AS pdf, '/pdf/' || source AS pdf_url, '' AS module, 'http://localhost:3000/files/' || source AS url FROM r"""
+
+SQL["normalized_replies"] = """
+SELECT conv_id, turn, upper(role) AS role,
+       upper(regexp_replace(substr(replace(text, 'ß', 'ss'), 1, 20), '^\\s+|\\s+$', '', 'g')) AS reply FROM conversations"""
+
+SQL["answer_forms"] = f"""
+WITH a AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS z, text FROM conversations WHERE role = 'assistant'),
+f AS (SELECT conv_id, turn, CASE WHEN z IN (0, 1) OR text = '' THEN NULL ELSE text END AS answer,
+             CASE WHEN z IN (1, 2) THEN NULL ELSE 'label' END AS label,
+             CASE WHEN z IN (2, 3) THEN NULL ELSE 'http://x/y' END AS link FROM a),
+g AS (SELECT *, coalesce(answer, 'No answer provided.') AS s FROM f),
+h AS (SELECT *, regexp_replace(s, '\\*({_NL}*?)\\*', '<strong>\\1</strong>', 'g') AS s1 FROM g),
+i AS (SELECT *, regexp_replace(regexp_replace(s1, '(?m)^\\* ({_NL}*)$', '<li>\\1</li>', 'g'), '(?m)^[0-9]+\\. ({_NL}*)$', '<li>\\1</li>', 'g') AS s2 FROM h),
+k AS (SELECT *, regexp_replace(s2, '(<li>[\\s\\S]*?</li>)', '<ul>\\1</ul>', 'g') AS s3 FROM i),
+l AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(s3, '\\n{{2,}}', '<br><br>', 'g'), '\\n', '<br>', 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM k)
+SELECT conv_id, turn, coalesce(answer, 'No answer returned') AS answer, coalesce(label, 'No source label') AS source_label,
+       coalesce(link, 'No source link') AS source_link,
+       length(body || CASE WHEN link IS NULL THEN '' ELSE '<br><br><div><strong>Source PDF:</strong> <a href="' || link
+              || '" target="_blank">' || coalesce(label, 'Open PDF') || '</a></div>' END)::BIGINT AS html_chars FROM l"""
+
+SQL["collection_size"] = "SELECT count(*) AS n FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"
+
+SQL["top_folders"] = f"WITH {TREE} SELECT path, name, type FROM tree WHERE parent_path IS NULL"
+
+SQL["top1_source"] = f"""
+WITH {HITS} SELECT q.qid, c.source AS file FROM q LEFT JOIN hits h ON h.qid = q.qid AND h.rk = 1 LEFT JOIN coll c ON c.id = h.id"""
+
+SQL["archive_text"] = """
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\n\\r<>&]', ' ', 'g') AS t FROM documents)
+SELECT CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 2 = 0 THEN '.pptx' ELSE '.docx' END AS name,
+       CASE WHEN doc_id % 2 = 0 THEN t || chr(10) || 'doc' || chr(10) || CAST(doc_id AS VARCHAR) || chr(10)
+            ELSE t || chr(10) || chr(10) || 'doc ' || CAST(doc_id AS VARCHAR) END AS text, 'ok' AS status FROM d"""
+
+SQL["upsert_twice"] = """
+WITH d AS (SELECT doc_id AS id, min({'source': source, 'n_chars': n_chars}) AS r FROM documents GROUP BY doc_id)
+SELECT id, r.source AS source, r.n_chars AS n_chars, 0::BIGINT AS added_last FROM d"""
+
 SQL["answer_batch_recursive"] = _answer_sql(recursive=True)

@@ -21,6 +21,8 @@ from docket.operators import tree as TR
 from docket.operators import route as R
 from docket.operators import similar as S
 from docket.plans import testdata as D
+from docket.session import scratch_path
+from docket.sources import files as SRC
 
 K_CHAT = 5
 
@@ -67,7 +69,7 @@ def chunk_fixed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
-    """C1 + W5 + T7 + P5 over every document (rows-only check; see tests)."""
+    """C1 + W5 + T7 + P5 over every document."""
     d = D.table(spark, sf, "documents").select(
         F.concat("source", F.lit("/"), "lang", F.lit("_"), F.col("doc_id").cast("string"),
                  F.lit(".txt")).alias("name"),
@@ -89,8 +91,9 @@ def safe_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def render_answer(spark: SparkSession, sf: str) -> DataFrame:
-    """Every assistant turn rendered to HTML."""
-    c = D.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    """Every assistant turn, with bold words, bullets and numbers added, rendered to HTML."""
+    c = D.table(spark, sf, "conversations").filter(F.col("role") == "assistant") \
+         .withColumn("text", F.concat(F.lit("*note* "), F.col("text"), F.lit("\n* first\n* second\n\n1. one\n22. two\n\n\nend ")))
     return c.select("conv_id", "turn", T.render_answer("text").alias("html"))
 
 
@@ -117,8 +120,7 @@ def fuzzy_best(spark: SparkSession, sf: str) -> DataFrame:
 
 def recent_questions(spark: SparkSession, sf: str) -> DataFrame:
     """W2 + W3 + T3: the recent-question list of every conversation."""
-    turns = D.table(spark, sf, "conversations").filter(F.col("role") == "user") \
-             .select("conv_id", "turn", F.col("text").alias("question"))
+    turns = D.repeated_turns(spark, sf)
     return H.recent_questions(H.drop_repeats(turns))
 
 
@@ -201,7 +203,7 @@ def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answer_batch_recursive(spark: SparkSession, sf: str) -> DataFrame:
-    """F1 as the flagship: documents split recursively (rows-only check)."""
+    """F1 as the flagship: documents split recursively."""
     from docket.plans.answer import flagship
     return flagship(spark, sf, method="recursive")
 
@@ -232,11 +234,97 @@ def pair_distance(spark: SparkSession, sf: str) -> DataFrame:
                       (F.round(V.vector_distance("vector", "hv", "cosine"), 6) + 0.0).alias("cosine"))
 
 
+def snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """T2 over every document."""
+    return D.table(spark, sf, "documents").select("doc_id", T.snippet("text", 300).alias("snippet"))
+
+
+def document_names(spark: SparkSession, sf: str) -> DataFrame:
+    """P1 + P2: documents with the name columns emptied in turn, as (name, text)."""
+    d = D.table(spark, sf, "documents")
+    raw = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise("").alias("name"),
+                   F.when(F.col("doc_id") % 3 == 1, F.col("lang")).alias("filename"), "text")
+    return raw.select("doc_id", T.doc_name("name", "filename").alias("name"),
+                      F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"))
+
+
+def collection_records(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 + P6 + P7 + P8 + W6 + P9: documents paired with their vectors, as stored records."""
+    docs = D.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"))
+    vecs = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").cast("bigint").alias("dim"))
+    rec = K.embedding_record(K.row_index(K.pair_vectors(docs, vecs), [F.col("id")]))
+    meta = rec.withColumn("m", K.metadata_record("full"))
+    return meta.select("id", K.positional_id("row_index").alias("pos_id"), "dim", "m.source", "m.pdf", "m.pdf_url", "m.module",
+                       T.file_url("source").alias("url"))
+
+
+def normalized_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """T9 over every turn's role and text."""
+    c = D.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", T.normalize_reply(F.concat(F.lit("  "), F.col("role"), F.lit(" \n"))).alias("role"),
+                    T.normalize_reply(F.substring(F.replace("text", F.lit("ß"), F.lit("ss")), 1, 20)).alias("reply"))
+
+
+def answer_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """P10: both forms of answers with missing parts, derived from the assistant's turns."""
+    c = D.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    pick = lambda n, x: F.when((F.col("conv_id") + F.col("turn")) % 5 == n, "").when(
+        (F.col("conv_id") + F.col("turn")) % 5 == n + 1, F.lit(None)).otherwise(x)
+    a = c.select("conv_id", "turn", pick(0, F.col("text")).alias("answer"), pick(1, F.lit("label")).alias("source_label"),
+                 pick(2, F.lit("http://x/y")).alias("source_link"))
+    page = X.answer_defaults(a, "page").select("conv_id", "turn", F.length("html").cast("bigint").alias("html_chars"))
+    return X.answer_defaults(a, "cli").join(page, ["conv_id", "turn"])
+
+
+def collection_size(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 over the vector collection."""
+    return K.collection_count(D.vector_collection(spark, sf))
+
+
+def top_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """H3: what the top level of the library tree holds."""
+    return TR.folder_contents(TR.library_tree(D.file_index(spark, sf)), None).select("path", "name", "type")
+
+
+def top1_source(spark: SparkSession, sf: str) -> DataFrame:
+    """The source file of the nearest chunk of every question."""
+    coll = D.vector_collection(spark, sf)
+    hits = knn.nearest_chunks(D.vector_questions(spark, sf), coll, k=1)
+    return D.vector_questions(spark, sf).select("qid").join(
+        hits.join(coll.select("id", "source"), "id").select("qid", F.col("source").alias("file")), "qid", "left")
+
+
+def archive_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Slide decks and word files built from every document, and their text again."""
+    files = D.archives(spark, sf)
+    return SRC.extract_archive_text(files).select("name", "text", "status")
+
+
+def upsert_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """K3 + S5 + K1: half of the documents stored, then all of them, then all again."""
+    path = scratch_path(spark, "collection")
+    docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars")
+    added = [K.collection_upsert(d, path) for d in (docs.filter("id % 2 = 0"), docs, docs)]
+    kept = K.dedupe_by_id(SRC.collection_get(spark, path, ["id", "source", "n_chars"]), "id")
+    return kept.withColumn("added_last", F.lit(added[-1]).cast("bigint"))
+
+
 QUERIES = {
     "knn_top5": knn_top5,
     "rag_context": rag_context,
     "top_source_link": top_source_link,
     "clean_context": clean_context,
+    "snippets": snippets,
+    "document_names": document_names,
+    "collection_records": collection_records,
+    "normalized_replies": normalized_replies,
+    "answer_forms": answer_forms,
+    "collection_size": collection_size,
+    "top_folders": top_folders,
+    "top1_source": top1_source,
+    "archive_text": archive_text,
+    "upsert_twice": upsert_twice,
     "snippet_sample": snippet_sample,
     "chunk_fixed": chunk_fixed,
     "chunk_recursive": chunk_recursive,

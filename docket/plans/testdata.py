@@ -65,7 +65,7 @@ QUESTION_LEADS = ("hello", "send the notes pdf for", "explain", "tell me about")
 
 
 def chat_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as questions ``(qid, question)``: qid = conv_id * 1000 + turn;
+    """User turns as questions ``(qid, question)``: qid = 'conv_id:turn';
     a lead word chosen by conversation, and a module / semester by turn."""
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     lead = F.element_at(F.array(*[F.lit(s) for s in QUESTION_LEADS]),
@@ -73,7 +73,7 @@ def chat_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.concat(lead, F.lit(" "), F.col("text"), F.lit(" module "),
                  (F.col("turn") % 5).cast("string"), F.lit(" "),
                  (F.col("conv_id") % 5).cast("string"), F.lit("th sem"))
-    return conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), q.alias("question"))
+    return conv.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), q.alias("question"))
 
 
 # Fixed keyword cycle mixed into benchmark questions (includes no keyword).
@@ -107,3 +107,41 @@ def file_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("pos") % 3 == 1, F.concat(name, F.lit(".bak")))
             .otherwise(F.lit("")))
     return n.select(F.col("pos").alias("req_id"), req.alias("name"))
+
+
+def repeated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as history ``(conv_id, turn, question)``, each four times over: as it is,
+    again with spaces around it, blank, and with a mark; so repeats, blanks and long lists occur."""
+    conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    forms = F.array(F.col("text"), F.concat(F.lit(" "), F.col("text"), F.lit("  ")), F.lit("  "),
+                    F.concat(F.col("text"), F.lit(" again")))
+    return conv.select("conv_id", F.col("turn").alias("t"), F.posexplode(forms).alias("j", "question")) \
+               .select("conv_id", (F.col("t") * 4 + F.col("j")).alias("turn"), "question")
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, content)``: every document as a deck of two slides (even ids) or a word file."""
+    import pandas as pd
+
+    def build(batches):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+        for pdf in batches:
+            rows = []
+            for i, text in zip(pdf["doc_id"], pdf["line"], strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    if i % 2 == 0:
+                        z.writestr("ppt/slides/slide1.xml", f"<a:t>{text}</a:t>")
+                        z.writestr("ppt/slides/slide2.xml", f"<a:t>doc</a:t><a:t>{i}</a:t>")
+                    else:
+                        ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+                        z.writestr("word/document.xml", f'<w:d xmlns:w="{ns}"><w:p><w:t>{escape(text)}</w:t></w:p>'
+                                                        f"<w:p><w:t>doc {i}</w:t></w:p></w:d>")
+                rows.append((f"mem/{i}.{'pptx' if i % 2 == 0 else 'docx'}", out.getvalue()))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(
+        F.coalesce("text", F.lit("")), r"[\n\r<>&]", " ").alias("line"))
+    return docs.mapInPandas(build, "path string, content binary")

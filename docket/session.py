@@ -30,7 +30,10 @@ def get_spark(master: str | None = None, app: str = "docket",
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
+    active = SparkSession.getActiveSession()
     for k, v in conf.items():
+        if active is not None and k in DEFAULTS and active.conf.get(k, None) is not None:
+            continue                      # the session's own value holds
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
@@ -102,11 +105,10 @@ def cleanup(spark: SparkSession) -> int:
 
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input at least one partition per core before heavy
-    row-local work (chunking, embedding).  A no-op when the scan already has
-    that many partitions, as any large input does."""
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    row-local work (chunking, embedding).  A no-op when there are that many input
+    files, as for any large input (a look at the file list; no job)."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if len(df.inputFiles()) < want else df
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -72,32 +72,30 @@ def _word_text(xml: bytes) -> str:
     return "\n\n".join(paras)
 
 
+def _slides(content: bytes) -> list[str]:
+    """The slide documents of a deck, in archive order."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return [z.read(i.filename).decode("utf-8", "replace") for i in z.infolist()
+                if i.filename.startswith(SLIDE_PREFIX) and i.filename.endswith(".xml")]
+
+
 def _archive_entries(batches):
     for pdf in batches:
         out = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            name = path.rsplit("/", 1)[-1]
-            if name.endswith(".pptx"):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        i = 0
-                        for info in z.infolist():
-                            n = info.filename
-                            if n.startswith(SLIDE_PREFIX) and n.endswith(".xml"):
-                                out.append((path, "slides", i, z.read(n).decode("utf-8", "replace"), "ok"))
-                                i += 1
-                        if i == 0:
-                            out.append((path, "slides", -1, None, "ok"))
-                except Exception:  # noqa: BLE001 - a corrupt file gives empty text
-                    out.append((path, "slides", -1, None, "error"))
-            elif name.endswith(".docx"):
-                try:
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            # a file's rows are added only once all of it was read: a damaged one gives '' and 'error'
+            try:
+                if path.endswith(".pptx"):
+                    slides = _slides(content)
+                    rows = [(path, "slides", i, x, "ok") for i, x in enumerate(slides)] or [(path, "slides", 0, "", "ok")]
+                elif path.endswith(".docx"):
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        out.append((path, "word", 0, _word_text(z.read(WORD_ENTRY)), "ok"))
-                except Exception:  # noqa: BLE001
-                    out.append((path, "word", 0, "", "error"))
-            else:
-                out.append((path, "other", 0, "", "unsupported"))
+                        rows = [(path, "word", 0, _word_text(z.read(WORD_ENTRY)), "ok")]
+                else:
+                    rows = [(path, "other", 0, "", "unsupported")]
+            except Exception:  # noqa: BLE001
+                rows = [(path, "error", 0, "", "error")]
+            out += rows
         yield pd.DataFrame(out, columns=["path", "kind", "entry_pos", "payload", "status"])
 
 
@@ -107,22 +105,16 @@ def extract_archive_text(files: DataFrame) -> DataFrame:
     Slide decks: entries ``ppt/slides/slide*.xml`` in archive order, every
     ``<a:t>`` run on its own line (runs taken natively by T8).  Word files: the
     paragraph texts.  Other kinds (PDF) pass through with status
-    'unsupported'; a corrupt file gives '' with status 'error'.  Only the
-    unzip runs in Python; the grouping per file is bounded by one file's runs.
+    'unsupported'; a file that is damaged anywhere gives '' with status 'error'.
+    Files are read and unzipped once; a group holds one file's slides.
     """
     ent = files.select("path", "content").mapInPandas(_archive_entries, _ENTRY_SCHEMA)
-    slides = ent.filter(F.col("kind") == "slides")
-    runs = slides.select("path", "entry_pos", "status",
-                         F.posexplode_outer(tag_runs("payload", SLIDE_TAG)).alias("run_pos", "run"))
-    slide_text = runs.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.when(F.col("run").isNotNull(),
-                                           F.struct("entry_pos", "run_pos", "run")))).alias("_r"),
-        F.max("status").alias("status"))
-    slide_text = slide_text.select("path", F.array_join(F.transform("_r", lambda x: F.concat(x["run"], F.lit("\n"))), "")
-                                   .alias("text"), "status")
-    rest = ent.filter(F.col("kind") != "slides").select("path", F.coalesce("payload", F.lit("")).alias("text"), "status")
-    out = slide_text.unionByName(rest)
-    return out.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "text", "status")
+    runs = F.array_join(F.transform(tag_runs("payload", SLIDE_TAG), lambda x: F.concat(x, F.lit("\n"))), "")
+    text = F.when(F.col("kind") == "slides", runs).otherwise(F.col("payload"))
+    g = ent.select("path", "entry_pos", "status", text.alias("text")).groupBy("path").agg(
+        F.array_sort(F.collect_list(F.struct("entry_pos", "text"))).alias("_e"), F.min("status").alias("status"))
+    return g.select("path", F.element_at(F.split("path", "/"), -1).alias("name"),
+                    F.array_join(F.transform("_e", lambda x: x["text"]), "").alias("text"), "status")
 
 
 def collection_get(spark: SparkSession, path: str, fields=None) -> DataFrame:

@@ -10,7 +10,9 @@ from tools.oracle_check import TABLES, digest
 FAST = ["knn_top5", "rag_context", "top_source_link", "chunk_fixed", "tag_runs", "render_answer",
         "route_fields", "candidate_files", "fuzzy_best", "recent_questions", "library_tree",
         "folder_closure", "lookup_file", "pack_batches", "hash_embed", "answer_batch",
-        "chunk_recursive", "dispatch", "knn_cosine", "pair_distance"]
+        "chunk_recursive", "dispatch", "knn_cosine", "pair_distance", "snippets", "document_names",
+        "collection_records", "normalized_replies", "answer_forms", "collection_size", "top_folders",
+        "top1_source", "archive_text", "upsert_twice"]
 
 
 def test_entry_runs(spark):

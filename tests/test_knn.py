@@ -49,7 +49,7 @@ def test_knn_blocks_path(spark):
     cids = ["c%02d" % i for i in range(60)]
     qdf, cdf = frames(spark, Q, C, cids)
     one = sorted(tuple(r) for r in knn.nearest_chunks(qdf, cdf, k=3).collect())
-    blk = sorted(tuple(r) for r in knn.nearest_chunks(qdf, cdf, k=3, max_broadcast_rows=2).collect())
+    blk = sorted(tuple(r) for r in knn.nearest_chunks(qdf, cdf, k=3, cell_rows=5, question_rows=2).collect())
     assert one == blk and len(one) == 27
 
 
@@ -70,16 +70,27 @@ def test_knn_dimension_mismatch(spark):
         knn.nearest_chunks(qdf, cdf, k=1).collect()
 
 
-def test_knn_byte_bound_splits_broadcast(spark, monkeypatch):
+def test_knn_large_norms(spark):
+    # close neighbours far from the origin: |q|^2 + |c|^2 - 2qc alone would lose their order
     rng = np.random.default_rng(3)
-    Q = rng.normal(size=(6, 4)).astype(np.float32)
-    C = rng.normal(size=(40, 4)).astype(np.float32)
-    cids = ["c%02d" % i for i in range(40)]
-    qdf, cdf = frames(spark, Q, C, cids)
-    want = sorted(tuple(r) for r in knn.nearest_chunks(qdf, cdf, k=3).collect())
-    monkeypatch.setattr(knn, "MAX_BROADCAST_BYTES", 4 * 8 * 2)   # two questions per broadcast
-    got = sorted(tuple(r) for r in knn.nearest_chunks(qdf, cdf, k=3).collect())
-    assert got == want
+    C = 1e4 + rng.normal(size=(60, 4)) * 1e-2
+    C = C.astype(np.float32)
+    cids = ["c%02d" % i for i in range(60)]
+    qdf, cdf = frames(spark, C[:6], C, cids)
+    want = brute(C[:6].astype(np.float64), range(6), C.astype(np.float64), cids, 5)
+    got = knn.nearest_chunks(qdf, cdf, k=5, cell_rows=9).collect()
+    for qi in range(6):
+        assert [r.id for r in sorted((r for r in got if r.qid == qi), key=lambda r: r.rk)] == [c for c, _ in want[qi]]
+
+
+def test_knn_unusable_vectors(spark):
+    nan = float("nan")
+    cdf = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [nan, 1.0]), ("c", None), ("d", [0.0, 0.0]), ("e", [None, 1.0])],
+                                "id string, vector array<float>")
+    qdf = spark.createDataFrame([(1, [1.0, 0.0]), (2, [nan, 0.0]), (3, None)], "qid bigint, vector array<float>")
+    got = {m: sorted((r.qid, r.id) for r in knn.nearest_chunks(qdf, cdf, k=5, metric=m).collect()) for m in ("l2sq", "cosine", "ip")}
+    assert got == {"l2sq": [(1, "a"), (1, "d")], "cosine": [(1, "a")], "ip": [(1, "a"), (1, "d")]}
+    assert knn.nearest_chunks(qdf.limit(0), cdf, k=2).count() == knn.nearest_chunks(qdf, cdf.limit(0), k=2).count() == 0
 
 
 def test_knn_many_splits_coalesced(spark):

@@ -11,7 +11,9 @@ TOP_K = ["knn_top5", "knn_cosine", "recent_questions"]
 @pytest.fixture(scope="module")
 def plans(spark):
     out = {}
-    for name, fn in E.queries().items():
+    from docket.plans.queries import QUERIES
+    for name in QUERIES:
+        fn = E.queries()[name]
         qe = fn(spark, SF001)._jdf.queryExecution()
         out[name] = qe.executedPlan().toString()
     return out

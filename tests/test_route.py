@@ -117,7 +117,7 @@ def test_dispatch_categories(spark):
     assert (rows[3].answer, rows[3].source_label, rows[3].source_link) == (FR.REPLY_FOUND, "a.pdf", "u")
 
 
-def test_link_by_contains_both_plans(spark):
+def test_link_by_contains(spark):
     from docket.operators import context as X
     idx = spark.createDataFrame([(3, "A/Os Notes.PDF", "u3"), (1, "b/os notes.pdf", "u1"), (2, "xyz", "u2"),
                                  (4, "ab", "u4")], "pos bigint, path string, link string")
@@ -125,9 +125,7 @@ def test_link_by_contains_both_plans(spark):
     want = {"OS NOTES.pdf": "u1", "y": "u2", "none": None, "": "u1", None: None, "b": "u1"}
     got = {r.name: r.link for r in X.link_by_contains(names, idx).collect()}
     assert got == want
-    got2 = {r.name: r.link for r in X._link_by_grams(names, idx, "name", "pos", "path", "link", "link").collect()}
-    assert got2 == want
-    got3 = {r.name: r.link for r in X.link_by_contains(names, idx, max_broadcast_rows=2).collect()}
+    got3 = {r.name: r.link for r in X.link_by_contains(names, idx, gram=2).collect()}
     assert got3 == want
 
 

@@ -55,3 +55,18 @@ def test_json_rows_and_write(spark, tmp):
     df = spark.createDataFrame([("a", 1, [0.5])], "id string, n int, v array<float>")
     SRC.write_rows(df, f"{tmp}/out")
     assert SRC.collection_get(spark, f"{tmp}/out", ["id"]).columns == ["id"]
+
+
+def test_damaged_last_slide_gives_no_partial_text(spark, tmp):
+    import zipfile
+    good, bad = f"{tmp}/good.pptx", f"{tmp}/bad.pptx"
+    for path in (good, bad):
+        with zipfile.ZipFile(path, "w") as z:
+            for i in (1, 2, 3):
+                z.writestr(f"ppt/slides/slide{i}.xml", f"<a:t>slide {i}</a:t>")
+    raw = bytearray(open(bad, "rb").read())
+    at = raw.rindex(b"slide 3")
+    raw[at:at + 7] = b"broken!"            # the checksum of the third entry no longer holds
+    open(bad, "wb").write(raw)
+    got = {r["name"]: (r["text"], r["status"]) for r in SRC.extract_archive_text(SRC.scan_files(spark, tmp)).collect()}
+    assert got == {"good.pptx": ("slide 1\nslide 2\nslide 3\n", "ok"), "bad.pptx": ("", "error")}

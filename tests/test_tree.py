@@ -110,3 +110,9 @@ def test_tree_json_null_link_and_escaping(spark):
     docs = {r.name: json.loads(r.json) for r in TR.tree_json(t).collect()}
     assert docs["A"]["children"]['q"x.pdf'] == {"type": "file", "name": 'q"x.pdf', "link": None}
     assert docs["B"]["link"] == "u\\2"
+
+
+def test_folder_closure_is_not_cut_off(spark):
+    rows = [(str(i), str(i - 1) if i else None, f"d{i}", True) for i in range(70)] + [("f", "69", "deep.pdf", False)]
+    e = spark.createDataFrame(rows, "id string, parent_id string, name string, is_folder boolean")
+    assert [(r.id, r.depth) for r in TR.folder_closure(e).collect()] == [("f", 71)]
