@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docket.functions.text import clean_context, js_or, render_answer, strip_extension
-from docket.operators.bounded import bounded_count
 from docket.session import cut
 
 
@@ -64,22 +63,15 @@ def link_by_contains(names: DataFrame, index: DataFrame, name_col: str = "name",
                  .withColumnRenamed("_hit", out_col))
 
 
-MAX_BROADCAST_HITS = 500_000
-
-
 def hit_payload(hits: DataFrame, chunks: DataFrame, c_id: str = "id", c_text: str = "content",
-                c_source: str = "source", q_id: str = "qid",
-                max_broadcast_hits: int = MAX_BROADCAST_HITS) -> DataFrame:
+                c_source: str = "source", q_id: str = "qid") -> DataFrame:
     """Hits with the text and source of their chunk: ``(qid, id, rk, _t, _src)``.
 
     One join serves both the context (A3) and the source (A4).  The hits (k
-    rows per question) are pinned to the checkpoint folder and counted with a
-    bound; under it they are broadcast, so the collection is scanned (text
-    and source columns only) and never shuffled.  Over it, a shuffle join.
+    rows per question) are written to the checkpoint folder, so Spark knows their bytes
+    and broadcasts them only under its own threshold in bytes; beyond it, a shuffle join.
     """
     h = cut(hits.select(F.col(q_id).alias("qid"), "id", "rk"))
-    if bounded_count(h, max_broadcast_hits) is not None:
-        h = F.broadcast(h)
     payload = chunks.select(F.col(c_id).alias("id"), F.col(c_text).alias("_t"),
                             F.col(c_source).alias("_src"))
     return h.join(payload, "id")

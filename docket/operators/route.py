@@ -81,7 +81,7 @@ def question_keys(questions: DataFrame, q_col: str = "question", subjects=SUBJEC
     })
 
 
-def _exploded_file_keys(index: DataFrame, path: str, subjects) -> DataFrame:
+def exploded_file_keys(index: DataFrame, path: str, subjects) -> DataFrame:
     fk = file_keys(index, path, subjects)
     any_n = F.array(F.lit(ANY_NUM).cast("bigint"))
     return (fk.withColumn("_mk", F.explode(F.concat(F.col("_mods"), any_n)))
@@ -105,7 +105,7 @@ def candidate_files(questions: DataFrame, index: DataFrame, q_id: str = "qid",
     ``all_files = true`` standing for every file of the index.
     """
     qk = question_keys(questions, q_col, subjects).select(F.col(q_id).alias("qid"), "_mk", "_sk", "_jk")
-    files = _exploded_file_keys(index.select(F.col(pos).alias("pos"), F.col(path).alias("path"),
+    files = exploded_file_keys(index.select(F.col(pos).alias("pos"), F.col(path).alias("path"),
                                              F.col(link).alias("link")), "path", subjects)
     matched = qk.filter(_has_filter()).join(files, ["_mk", "_sk", "_jk"]) \
                 .select("qid", "pos", "path", "link", F.lit(False).alias("all_files"))
@@ -125,7 +125,7 @@ def candidate_summary(questions: DataFrame, index: DataFrame, q_id: str = "qid",
     questions emits one row per question.
     """
     idx = index.select(F.col(pos).alias("pos"), F.col(path).alias("path"))
-    per_key = (_exploded_file_keys(idx, "path", subjects)
+    per_key = (exploded_file_keys(idx, "path", subjects)
                .groupBy("_mk", "_sk", "_jk")
                .agg(F.count(F.lit(1)).alias("_n"), F.min_by("path", "pos").alias("_fp"),
                     F.min("pos").alias("_f")))

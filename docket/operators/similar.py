@@ -4,20 +4,22 @@ Dice of two strings, after removing all whitespace: equal strings give 1; a
 string shorter than 2 gives 0; otherwise 2 * |shared bigrams| / (len a + len b - 2),
 shared bigrams counted as a multiset.
 
-J2 plan: the question side (size-checked, see ``bounded``) is broadcast as a
-bigram-occurrence matrix plus its filter keys; each task streams its index
-partition, scores every (question, file) pair of a slice by gathering the
-question columns of each file's ~len(path) bigram tokens and summing them per
-file (work ~ questions x file tokens, not x vocabulary), applies the candidate
-test as array masks, and keeps per question
-only the best candidate and the best file overall.  A final group-by per
-question picks the winner: the best candidate, or the best file of all when
-no file passed the filters; ties go to the first file in index order.
+J2 plan: every distinct question asks one list of files: those of its module, semester
+and subject, or the whole index where these pass nothing.  A list is dealt into tiles and
+its questions into blocks, both bounded in rows, and a block meets each tile of its list
+by an equi-join on (list, tile, block); so a hot list (the whole index) is many
+groups, and neither side reaches the driver.  In a group the tile's bigrams are posted
+once and a question adds up only the postings of its own bigrams.  Each group gives one
+row per question, its best file; an aggregate picks the best over the tiles, ties to
+the first file in index order.
+
+Defined results: a null question counts as an empty one, a null path as an empty one; an
+empty index gives no rows.
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 
 import numpy as np
 import pandas as pd
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 
 from docket.functions.route import SUBJECTS
 from docket.functions.text import WS
-from docket.operators.bounded import DEFAULT_MAX_ROWS, per_block
-from docket.operators.route import ANY_NUM, ANY_SUBJ, file_keys, question_keys
+from docket.operators.route import ANY_NUM, ANY_SUBJ, exploded_file_keys, question_keys
+from docket.session import materialize
 
-SLICE_CELLS = 2_000_000
-MAX_MATRIX_CELLS = 256_000_000   # questions x tokens per broadcast (bytes of the uint8 matrix)
+QUESTION_ROWS, TILE_ROWS = 2048, 4096
+LIST = ["_mk", "_sk", "_jk"]
 
 
 def _occ_tokens(s: str):
@@ -46,7 +48,6 @@ def _occ_tokens(s: str):
 
 def dice(a: str, b: str) -> float:
     """N1 on two strings (whitespace is removed here)."""
-    import re
     a = re.sub(r"\s+", "", a)
     b = re.sub(r"\s+", "", b)
     if a == b:
@@ -62,203 +63,115 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(c, rf"[{WS}]+", "")
 
 
-def bigram_dice(a, b) -> Column:
-    """N1 as a column over given pairs (Arrow-batched; whitespace removed JVM-side)."""
-
-    @F.pandas_udf("double")
-    def _d(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([dice(p, q) if p is not None and q is not None else None
-                          for p, q in zip(x, y)], dtype="float64")
-
-    return _d(strip_ws(a), strip_ws(b))
-
-
-def _best(score, pos, mask):
-    """Per row: the best (score desc, pos asc) column among ``mask``; -1 when none."""
-    s = np.where(mask, score, -np.inf)
-    mx = s.max(axis=1)
-    tie = mask & (s == mx[:, None])
-    p = np.where(tie, pos[None, :], np.iinfo(np.int64).max)
-    j = p.argmin(axis=1)
-    has = mask.any(axis=1)
-    return np.where(has, mx, -np.inf), np.where(has, j, -1)
-
-
-_QM_CACHE: dict[str, np.ndarray] = {}
-
-
-def _question_matrix(key: str, toks, width: int) -> np.ndarray:
-    """Dense 0/1 question x token matrix, built once per worker process."""
-    m = _QM_CACHE.get(key)
-    if m is None:
-        m = np.zeros((len(toks), width), dtype=np.uint8)
-        for r, t in enumerate(toks):
-            m[r, t] = 1
-        _QM_CACHE.clear()
-        _QM_CACHE[key] = m
-    return m
+def _bigrams(c: Column) -> Column:
+    n = F.length(c) - 1
+    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(c, i, F.lit(2)))
+                  ).otherwise(F.array().cast("array<string>"))
 
 
-def _fuzzy_fn(bc, n_subjects):
-    def fn(batches):
-        key, qids, qs, mk, sk, jk, vocab, qtoks = bc.value
-        Qm = _question_matrix(key, qtoks, max(len(vocab), 1))
-        n = len(qids)
-        la = np.array([len(s) for s in qs])
-        q_by_text: dict[str, list[int]] = {}
-        for i, s in enumerate(qs):
-            q_by_text.setdefault(s, []).append(i)
-        # per question: best candidate ("c") and best file of all ("a"):
-        # [score, position, path, link]
-        best = {k: [np.full(n, -np.inf), np.full(n, np.iinfo(np.int64).max),
-                    np.empty(n, dtype=object), np.empty(n, dtype=object)] for k in ("c", "a")}
-        n_cand = np.zeros(n, dtype=np.int64)
-        seen = False
-        for pdf in batches:
-            fs_all = pdf["_fs"].tolist()
-            ftok = []
-            for fstr in fs_all:
-                ids = [vocab.get(t) for t in _occ_tokens(fstr)]
-                ftok.append(np.array([j for j in ids if j is not None], dtype=np.int64))
-            # slices bounded by question x token cells, not by file count
-            bounds, acc, start = [], 0, 0
-            for r, tk in enumerate(ftok):
-                acc += len(tk) + 1
-                if acc * n >= SLICE_CELLS and r + 1 > start:
-                    bounds.append((start, r + 1))
-                    start, acc = r + 1, 0
-            if start < len(ftok):
-                bounds.append((start, len(ftok)))
-            for s0, s1 in bounds:
-                part = pdf.iloc[s0:s1]
-                b = len(part)
-                if b == 0:
-                    continue
-                seen = True
-                fs = fs_all[s0:s1]
-                toks = ftok[s0:s1]
-                lb = np.array([len(x) for x in fs])
-                lens = np.array([len(t) for t in toks])
-                cols = np.concatenate(toks) if lens.sum() else np.zeros(0, dtype=np.int64)
-                inter = np.zeros((n, b))
-                if len(cols):
-                    G = Qm[:, cols]
-                    nz = np.nonzero(lens)[0]
-                    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])[nz]
-                    inter[:, nz] = np.add.reduceat(G, starts, axis=1, dtype=np.int64)
-                denom = la[:, None] + lb[None, :] - 2
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    d = np.where((la[:, None] >= 2) & (lb[None, :] >= 2), 2.0 * inter / denom, 0.0)
-                for c, fstr in enumerate(fs):
-                    for r in q_by_text.get(fstr, ()):
-                        d[r, c] = 1.0
-                pos = part["pos"].to_numpy(dtype=np.int64)
-                mods = [np.asarray(m if m is not None else [], dtype=np.int64) for m in part["_mods"]]
-                sems = [np.asarray(m if m is not None else [], dtype=np.int64) for m in part["_sems"]]
-                mm = max([len(m) for m in mods] + [1])
-                sm = max([len(m) for m in sems] + [1])
-                Mp = np.full((b, mm), -2, dtype=np.int64)
-                Sp = np.full((b, sm), -2, dtype=np.int64)
-                for r, m in enumerate(mods):
-                    Mp[r, :len(m)] = m
-                for r, m in enumerate(sems):
-                    Sp[r, :len(m)] = m
-                mod_ok = (mk[:, None] == ANY_NUM) | (mk[:, None, None] == Mp[None, :, :]).any(-1)
-                sem_ok = (sk[:, None] == ANY_NUM) | (sk[:, None, None] == Sp[None, :, :]).any(-1)
-                bits = part["_bits"].to_numpy(dtype=np.int64)
-                sub_ok = (jk[:, None] < 0) | (((bits[None, :] >> np.maximum(jk, 0)[:, None]) & 1) == 1)
-                cand = mod_ok & sem_ok & sub_ok
-                n_cand += cand.sum(axis=1)
-                paths = part["path"].to_numpy(dtype=object)
-                links = part["link"].to_numpy(dtype=object)
-                for key, mask in (("c", cand), ("a", np.ones_like(cand))):
-                    sc, j = _best(d, pos, mask)
-                    cur = best[key]
-                    ok = j >= 0
-                    jp = np.where(ok, pos[np.maximum(j, 0)], np.iinfo(np.int64).max)
-                    better = ok & ((sc > cur[0]) | ((sc == cur[0]) & (jp < cur[1])))
-                    cur[0] = np.where(better, sc, cur[0])
-                    cur[1] = np.where(better, jp, cur[1])
-                    cur[2][better] = paths[j[better]]
-                    cur[3][better] = links[j[better]]
-        if not seen:
-            return
-        c, a = best["c"], best["a"]
-        has_c = np.isfinite(c[0])
-        yield pd.DataFrame({
-            "qid": qids, "n_cand": n_cand,
-            "c_score": np.where(has_c, c[0], np.nan), "c_pos": np.where(has_c, c[1], -1),
-            "c_path": c[2], "c_link": c[3],
-            "a_score": a[0], "a_pos": a[1], "a_path": a[2], "a_link": a[3],
-        })
-    return fn
+def bigram_dice(a, b) -> Column:
+    """N1 as a column over given pairs: per shared bigram the smaller of its two counts."""
+    pair = F.array(F.struct(strip_ws(a).alias("a"), strip_ws(b).alias("b")))
+    grams = F.transform(pair, lambda p: F.struct(
+        p["a"].alias("a"), p["b"].alias("b"), _bigrams(p["a"]).alias("ga"), _bigrams(p["b"]).alias("gb")))
+    times = lambda g, x: F.size(g) - F.size(F.array_remove(g, x))
+
+    def score(p: Column) -> Column:
+        shared = F.aggregate(F.array_intersect(p["ga"], p["gb"]), F.lit(0),
+                             lambda acc, x: acc + F.least(times(p["ga"], x), times(p["gb"], x)))
+        short = (F.size(p["ga"]) == 0) | (F.size(p["gb"]) == 0)
+        return (F.when(p["a"] == p["b"], 1.0).when(p["a"].isNull() | p["b"].isNull(), F.lit(None))
+                 .when(short, 0.0).otherwise(2.0 * shared / (F.size(p["ga"]) + F.size(p["gb"]))))
+
+    return F.transform(grams, score)[0]
+
+
+def _best_in_tile(q: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+    """Per question the best file of one tile: highest Dice, then first in index order."""
+    files = files.sort_values(["pos", "path"], na_position="first", kind="stable", ignore_index=True)
+    names = files["_fs"].tolist()
+    long = np.array([len(s) for s in names])
+    posted: dict[tuple[str, int], list[int]] = {}
+    first: dict[str, int] = {}
+    for i, s in enumerate(names):
+        first.setdefault(s, i)
+        for t in _occ_tokens(s):
+            posted.setdefault(t, []).append(i)
+    lists = {t: np.array(x) for t, x in posted.items()}
+    win, score = [], []
+    for s in q["_qs"]:
+        j, d = first.get(s), 1.0
+        if j is None:
+            hit = [lists[t] for t in _occ_tokens(s) if t in lists]
+            if hit:
+                dices = 2.0 * np.bincount(np.concatenate(hit), minlength=len(names)) / np.maximum(len(s) + long - 2, 1)
+                j = int(dices.argmax())
+                d = float(dices[j])
+            else:
+                j, d = 0, 0.0
+        win.append(j)
+        score.append(d)
+    out = q[["_qs", "_qm", "_qse", "_qj"]].reset_index(drop=True)
+    out["score"] = score
+    for c in ("pos", "path", "link"):
+        out[c] = files[c].iloc[win].to_numpy()
+    return out
 
 
 def fuzzy_best_file(questions: DataFrame, index: DataFrame, q_id: str = "qid",
                     q_col: str = "question", pos: str = "pos", path: str = "path",
                     link: str = "link", subjects=SUBJECTS,
-                    max_broadcast_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+                    question_rows: int = QUESTION_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``(qid, path, link, rating)``, one row per question when the index is not empty."""
-    spark = index.sparkSession
-    names = [s.name for s in subjects]
-    q_type = questions.schema[q_id].dataType.simpleString()
-    qk = question_keys(questions, q_col, subjects).select(
-        F.col(q_id).alias("qid"), strip_ws(F.lower(F.col(q_col))).alias("_qs"), "_mk", "_sk",
-        F.coalesce(F.array_position(F.array(*[F.lit(x) for x in names]), F.col("_jk")) - 1,
-                   F.lit(-1)).cast("int").alias("_ji"))
-    idx = index.select(F.col(pos).cast("bigint").alias("pos"), F.col(path).alias("path"),
-                       F.col(link).alias("link"))
-    fk = file_keys(idx, "path", subjects)
-    lp = F.lower(F.col("path"))
-    bits = F.lit(0).cast("bigint")
-    for i, s in enumerate(names):
-        bits = bits + F.when(lp.contains(s), F.lit(1 << i)).otherwise(F.lit(0))
-    files = fk.select("pos", "path", "link", strip_ws(lp).alias("_fs"), "_mods", "_sems",
-                                 bits.cast("bigint").alias("_bits"))
-    part_schema = (f"qid {q_type}, n_cand bigint, c_score double, c_pos bigint, c_path string, "
-                   "c_link string, a_score double, a_pos bigint, a_path string, a_link string")
-
-    def one_pass(pdf: pd.DataFrame, toks) -> DataFrame:
-        vocab: dict = {}
-        for ts in toks:
-            for t in ts:
-                vocab.setdefault(t, len(vocab))
-        qtoks = [np.array([vocab[t] for t in ts], dtype=np.int64) for ts in toks]
-        # Sparse token lists travel; each worker builds its dense matrix once.
-        payload = (uuid.uuid4().hex, pdf["qid"].to_numpy(), pdf["_qs"].tolist(),
-                   pdf["_mk"].to_numpy(dtype=np.int64), pdf["_sk"].to_numpy(dtype=np.int64),
-                   pdf["_ji"].to_numpy(dtype=np.int64), vocab, qtoks)
-        bc = spark.sparkContext.broadcast(payload)
-        return files.mapInPandas(_fuzzy_fn(bc, len(names)), part_schema)
-
-    def run(pdf: pd.DataFrame) -> DataFrame:
-        if pdf.empty:
-            return spark.createDataFrame([], part_schema)
-        toks = [_occ_tokens(s) for s in pdf["_qs"]]
-        # Each pass's dense question x token matrix stays under MAX_MATRIX_CELLS.
-        out, start, seen = None, 0, set()
-        for r, ts in enumerate(toks):
-            grown = len(seen | set(ts))
-            if r > start and (r - start + 1) * grown > MAX_MATRIX_CELLS:
-                part = one_pass(pdf.iloc[start:r], toks[start:r])
-                out = part if out is None else out.unionByName(part)
-                start, seen = r, set()
-            seen |= set(ts)
-        part = one_pass(pdf.iloc[start:], toks[start:])
-        return part if out is None else out.unionByName(part)
-
-    parts = per_block(qk, "qid", max_broadcast_rows, run, "fuzzy")
-    big = F.lit(np.iinfo(np.int64).max)
-    agg = parts.groupBy("qid").agg(
-        F.sum("n_cand").alias("_n"),
-        F.min_by(F.struct(F.col("c_path").alias("p"), F.col("c_link").alias("l"), F.col("c_score").alias("s")),
-                 F.struct(F.coalesce(-F.col("c_score"), F.lit(float("inf"))),
-                          F.when(F.col("c_pos") >= 0, F.col("c_pos")).otherwise(big))).alias("_c"),
-        F.min_by(F.struct(F.col("a_path").alias("p"), F.col("a_link").alias("l"), F.col("a_score").alias("s")),
-                 F.struct(-F.col("a_score"), F.col("a_pos"))).alias("_a"))
-    win = F.when(F.col("_n") > 0, F.col("_c")).otherwise(F.col("_a"))
-    return agg.select(F.col("qid").alias(q_id), win["p"].alias("path"), win["l"].alias("link"),
-                      F.round(win["s"], 6).alias("rating"))
-
-
-__all__ = ["dice", "bigram_dice", "fuzzy_best_file", "strip_ws", "ANY_SUBJ"]
+    text = F.coalesce(F.col(q_col), F.lit(""))
+    asked = (question_keys(questions.select(F.col(q_id).alias("qid"), text.alias("question")), "question", subjects)
+             .select("qid", strip_ws(F.lower("question")).alias("_qs"),
+                     F.col("_mk").alias("_qm"), F.col("_sk").alias("_qse"), F.col("_jk").alias("_qj")))
+    own = ["_qs", "_qm", "_qse", "_qj"]
+    asked = materialize(asked, "asked")
+    distinct = asked.select(*own).distinct()
+
+    name = F.coalesce(F.col(path), F.lit(""))
+    idx = index.select(F.col(pos).cast("bigint").alias("pos"), F.col(path).alias("path"), F.col(link).alias("link"),
+                       name.alias("_name"))
+    every = idx.select("*", F.lit(ANY_NUM).cast("bigint").alias("_mk"), F.lit(ANY_NUM).cast("bigint").alias("_sk"),
+                       F.lit(ANY_SUBJ).alias("_jk"))
+    listed = exploded_file_keys(idx, "_name", subjects).select(*every.columns).unionByName(every)
+    wanted = (distinct.select(F.col("_qm").alias("_mk"), F.col("_qse").alias("_sk"), F.col("_qj").alias("_jk"))
+                      .unionByName(distinct.sparkSession.createDataFrame(
+                          [(ANY_NUM, ANY_NUM, ANY_SUBJ)], "_mk bigint, _sk bigint, _jk string")).distinct())
+    listed = materialize(listed.join(wanted, LIST, "left_semi")
+                               .select(*LIST, "pos", "path", "link", strip_ws(F.lower("_name")).alias("_fs")), "listed")
+
+    sizes = listed.groupBy(*LIST).agg(F.count(F.lit(1)).alias("_n"))
+    has = sizes.select(F.col("_mk").alias("_qm"), F.col("_sk").alias("_qse"), F.col("_jk").alias("_qj"),
+                       F.lit(True).alias("_has"))
+    routed = distinct.join(has, ["_qm", "_qse", "_qj"], "left").select(
+        *own, F.when(F.col("_has"), F.col("_qm")).otherwise(ANY_NUM).cast("bigint").alias("_mk"),
+        F.when(F.col("_has"), F.col("_qse")).otherwise(ANY_NUM).cast("bigint").alias("_sk"),
+        F.when(F.col("_has"), F.col("_qj")).otherwise(ANY_SUBJ).alias("_jk"))
+    routed = materialize(routed, "routed")
+    dealt = (routed.groupBy(*LIST).agg(F.ceil(F.count(F.lit(1)) / question_rows).alias("_blocks"))
+                   .join(sizes, LIST).withColumn("_tiles", F.ceil(F.col("_n") / tile_rows)).drop("_n"))
+    dealt = materialize(dealt, "dealt")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    q = (routed.join(dealt, LIST).withColumn("_blk", F.pmod(F.xxhash64("_qs"), F.col("_blocks")))
+               .select(*LIST, *own, "_blk", upto("_tiles").alias("_tile")))
+    f = (listed.join(dealt, LIST).withColumn("_tile", F.pmod(F.xxhash64("pos", "path"), F.col("_tiles")))
+               .select(*LIST, "pos", "path", "link", "_fs", "_tile", upto("_blocks").alias("_blk")))
+
+    schema = "_qs string, _qm bigint, _qse bigint, _qj string, score double, pos bigint, path string, link string"
+    nothing = pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _best_in_tile(a, b) if len(a) and len(b) else nothing
+
+    keys = [*LIST, "_tile", "_blk"]
+    met = q.groupBy(*keys).cogroup(f.groupBy(*keys)).applyInPandas(meet, schema)
+    best = met.groupBy(*own).agg(F.min_by(F.struct("path", "link", "score"),
+                                          F.struct(-F.col("score"), "pos", "path")).alias("_w"))
+    return asked.join(best, own).select(F.col("qid").alias(q_id), F.col("_w.path").alias("path"), F.col("_w.link").alias("link"),
+                                        F.round("_w.score", 6).alias("rating"))
+
+
+__all__ = ["dice", "bigram_dice", "fuzzy_best_file", "strip_ws"]

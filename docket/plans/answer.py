@@ -41,7 +41,7 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, index: DataFrame,
     ``index``: ``(pos, path, link)``.  ``model``, when given, turns each
     prompt into an answer batch by batch (M1).
     """
-    # Read by every branch and by the bounded fetches: pinned once (a stream's
+    # Read by every branch: pinned once (a stream's
     # micro-batch is then not re-read from its source per use).
     qs = cut(R.classify_questions(questions.select(F.col(q_id).alias("qid"),
                                                    F.col(q_col).alias("question"))), "questions")

@@ -81,7 +81,7 @@ def test_candidates_and_fuzzy_match_brute_force(spark):
         idx = _index(spark, paths)
         qdf = spark.createDataFrame(list(enumerate(qs)), "qid bigint, question string")
         summ = {r.qid: r for r in R.candidate_summary(qdf, idx).collect()}
-        best = {r.qid: r for r in S.fuzzy_best_file(qdf, idx, max_broadcast_rows=4).collect()}
+        best = {r.qid: r for r in S.fuzzy_best_file(qdf, idx, question_rows=4, tile_rows=3).collect()}
         for i, q in enumerate(qs):
             cands = _brute_candidates(q, paths)
             assert summ[i].n_candidates == len(cands), (q, paths)
@@ -129,16 +129,31 @@ def test_link_by_contains(spark):
     assert got3 == want
 
 
-def test_fuzzy_matrix_bound_splits_passes(spark, monkeypatch):
+def test_fuzzy_blocks_and_tiles_change_nothing(spark):
     paths, qs = _random_case(7)
     idx = _index(spark, paths)
     qdf = spark.createDataFrame(list(enumerate(qs)), "qid bigint, question string")
     want = sorted(tuple(r) for r in S.fuzzy_best_file(qdf, idx).collect())
-    monkeypatch.setattr(S, "MAX_MATRIX_CELLS", 60)
-    got = sorted(tuple(r) for r in S.fuzzy_best_file(qdf, idx).collect())
+    got = sorted(tuple(r) for r in S.fuzzy_best_file(qdf, idx, question_rows=1, tile_rows=1).collect())
     assert got == want
 
 
+def test_fuzzy_nulls_and_ties(spark):
+    idx = spark.createDataFrame([(2, "abc", "u2"), (1, "abc", "u1"), (3, None, "u3")], "pos bigint, path string, link string")
+    q = spark.createDataFrame([(1, "a b c"), (2, None), (3, "zz"), (4, "a b c")], "qid bigint, question string")
+    got = {r.qid: (r.link, r.rating) for r in S.fuzzy_best_file(q, idx).collect()}
+    assert got == {1: ("u1", 1.0), 2: ("u3", 1.0), 3: ("u1", 0.0), 4: ("u1", 1.0)}
+
+
+def test_dice_column_equals_dice(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("ab c") for _ in range(rnd.randint(0, 12)))
+    pairs = [(word(), word()) for _ in range(200)]
+    df = spark.createDataFrame([*pairs, (None, "ab")], "a string, b string")
+    got = [r[0] for r in df.select(S.bigram_dice("a", "b")).collect()]
+    assert got == [S.dice(a, b) for a, b in pairs] + [None]
+
+
 def test_extract_subject_word_boundary(spark):
     df = spark.createDataFrame([("those costs",), ("my OS notes",), ("a stack.",)], "q string")
     got = [r[0] for r in df.select(FR.extract_subject("q", word_boundary=True)).collect()]
