@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docket.session import materialize
 
+PARTS, PART = 64, "id_part"
 _PID_SHIFT = 33   # monotonically_increasing_id = partition index << 33 | record number
 
 
@@ -84,19 +85,24 @@ def dedupe_by_id(df: DataFrame, on: str = "id") -> DataFrame:
     return g.select(on, *[F.col("_r")[c].alias(c) for c in others])
 
 
-def collection_upsert(df: DataFrame, path: str, on: str = "id") -> int:
+def collection_upsert(df: DataFrame, path: str, on: str = "id", parts: int = PARTS) -> int:
     """K3: append the rows whose id is not stored yet; stored ids are left alone.
 
-    Returns the number of rows added.  Replaying the same input adds nothing.
+    The store is partitioned by a hash of the id (``id_part``, one of ``parts`` for the
+    store's life), so a small batch meets the ids of the partitions it touches and no
+    others.  Returns the number of rows added.  Replaying the same input adds nothing.
     """
     spark = df.sparkSession
-    fresh = dedupe_by_id(df, on)
+    fresh = dedupe_by_id(df.drop(PART), on).withColumn(PART, F.pmod(F.xxhash64(F.col(on).cast("string")), F.lit(parts)).cast("int"))
     if _exists(spark, path):
-        fresh = new_only(fresh, spark.read.parquet(path), on)
+        fresh = materialize(fresh, "upsert")
+        touched = [r[0] for r in fresh.select(PART).distinct().collect()]     # at most ``parts`` numbers
+        stored = spark.read.parquet(path).filter(F.col(PART).isin(touched)).select(on)
+        fresh = new_only(fresh, stored, on)
     staged = materialize(fresh, "upsert")
     n = staged.count()
     if n:
-        staged.write.mode("append").parquet(path)
+        staged.repartition(PART).write.mode("append").partitionBy(PART).parquet(path)
     return n
 
 

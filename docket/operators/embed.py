@@ -13,32 +13,39 @@ from pyspark.sql import functions as F
 
 RETRIES = 5
 WAIT_SECONDS = 2.0
+CALL_ROWS = 32
 
 
 def with_model(df: DataFrame, in_col: str, fn: Callable[[pd.Series], pd.Series],
                out_col: str = "embedding", out_type: str = "array<float>",
-               retries: int = RETRIES, wait: float = WAIT_SECONDS) -> DataFrame:
-    """M1: add ``out_col = fn(in_col)`` batch by batch.
+               retries: int = RETRIES, wait: float = WAIT_SECONDS, call_rows: int = CALL_ROWS) -> DataFrame:
+    """M1: add ``out_col = fn(in_col)`` in calls of at most ``call_rows`` rows.
 
     ``fn`` takes a pandas Series of inputs and returns a Series of the same
-    length.  A failing batch is retried up to ``retries`` times, ``wait``
-    seconds apart; the last error is raised (and then Spark's own task retry
-    applies).  Batches run in parallel across tasks, not one call at a time.
+    length; another length is an error like any other.  A failing call is retried up to
+    ``retries`` times, ``wait`` seconds apart, without repeating the calls before it; the
+    last error is raised (and then Spark's own task retry applies).  Calls run in parallel
+    across tasks, not one at a time.
     """
     schema = f"{', '.join(f'`{c}` {t}' for c, t in _ddl(df))}, `{out_col}` {out_type}"
 
+    def call(texts: pd.Series) -> list:
+        for attempt in range(1, retries + 1):
+            try:
+                vals = list(fn(texts))
+                if len(vals) != len(texts):
+                    raise ValueError(f"the model gave {len(vals)} values for {len(texts)} inputs")
+                return vals
+            except Exception:
+                if attempt == retries:
+                    raise
+                time.sleep(wait)
+
     def run(batches):
         for pdf in batches:
-            for attempt in range(1, retries + 1):
-                try:
-                    vals = fn(pdf[in_col])
-                    break
-                except Exception:
-                    if attempt == retries:
-                        raise
-                    time.sleep(wait)
             out = pdf.copy()
-            out[out_col] = list(vals)
+            out[out_col] = [v for lo in range(0, len(pdf), call_rows)
+                            for v in call(pdf[in_col].iloc[lo:lo + call_rows])]
             yield out
 
     return df.mapInPandas(run, schema)
@@ -63,36 +70,9 @@ def token_bucket(tok: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
 
 
-def _hash_vectors(dim: int):
-    import hashlib
-    import re
-
-    import numpy as np
-
-    split = re.compile(TOKEN_SPLIT).split
-
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        cache: dict[str, int] = {}
-        out = []
-        for t in texts:
-            v = np.zeros(dim)
-            if t:
-                idx = []
-                for tok in split(t):
-                    if tok:
-                        b = cache.get(tok)
-                        if b is None:
-                            b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
-                            cache[tok] = b
-                        idx.append(b)
-                if idx:
-                    v = np.bincount(idx, minlength=dim).astype(np.float64)
-                    v /= np.sqrt((v * v).sum())
-            out.append(v)
-        return pd.Series(out)
-
-    return embed
+def _with(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once per row, however often ``fn`` names it."""
+    return F.transform(F.array(value), fn)[0]
 
 
 def hash_vector(text, dim: int = 64) -> Column:
@@ -100,11 +80,16 @@ def hash_vector(text, dim: int = 64) -> Column:
     buckets (first 8 hex digits of each token's MD5, modulo ``dim``),
     L2-normalised; all zeros for a text without tokens.  Not a semantic model.
 
-    Every token of a text is in its row, so the vector is built row-locally
-    (Arrow batches, one MD5 per distinct token per batch): no shuffle.
+    Every token of a text is in its row, so the vector is built row-locally from
+    built-in functions: no shuffle, no Python.
     """
-    t = F.col(text) if isinstance(text, str) else text
-    return _hash_vectors(dim)(F.lower(t))
+    buckets = F.transform(F.coalesce(tokens(text), F.array().cast("array<string>")), lambda x: token_bucket(x, dim))
+    each = F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint"))
+    counts = _with(buckets, lambda b: F.transform(
+        each, lambda i: (F.size(b) - F.size(F.array_remove(b, i))).cast("double")))
+    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+    pair = _with(counts, lambda c: F.struct(c.alias("c"), F.sqrt(squares(c)).alias("n")))
+    return _with(pair, lambda p: F.transform(p["c"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(0.0)))
 
 
 def hash_embed(df: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 64,

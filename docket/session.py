@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -103,6 +104,19 @@ def cleanup(spark: SparkSession) -> int:
     return n
 
 
+@contextmanager
+def own_tables(spark: SparkSession):
+    """Tables that ``materialize`` writes inside this block are deleted at its end
+    (for a micro-batch whose results are written by then)."""
+    key = id(spark.sparkContext._jsc)
+    before = _WRITTEN.pop(key, [])
+    try:
+        yield
+    finally:
+        cleanup(spark)
+        _WRITTEN[key] = before
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input at least one partition per core before heavy
     row-local work (chunking, embedding).  A no-op when there are that many input

@@ -3,14 +3,16 @@
 Both are stateless per micro-batch and reuse the batch operators through
 ``foreachBatch``.  Answers are written per batch id (overwrite), and the
 collection upsert is keyed by content id, so a replayed batch after a failure
-changes nothing.
+changes nothing.  Intermediate tables of a micro-batch are deleted at its end, and the
+default checkpoint is named after the output, so no two streams share one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,47 +20,60 @@ from docket.operators import chunk as C
 from docket.operators import collection as K
 from docket.operators import embed as M
 from docket.plans.answer import DIM, answer_batch
-from docket.session import checkpoint_dir
+from docket.session import checkpoint_dir, own_tables
 from docket.sources.files import extract_archive_text
 
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+def _checkpoint(spark: SparkSession, kind: str, out_path: str) -> str:
+    """A place for a stream's progress that a restart into the same output finds again."""
+    return os.path.join(checkpoint_dir(spark), f"{kind}-{hashlib.md5(out_path.encode()).hexdigest()}")
+
+
 def answer_stream(questions: DataFrame, chunks: DataFrame, index: DataFrame, out_path: str,
                   checkpoint: str | None = None, trigger: dict | None = None, **kw) -> StreamingQuery:
     """F2: answer each micro-batch of ``(qid, question)`` rows; one folder per batch id."""
     spark = questions.sparkSession
-    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "answer_stream")
+    ckpt = checkpoint or _checkpoint(spark, "answer_stream", out_path)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        answer_batch(batch, chunks, index, **kw).write.mode("overwrite") \
-            .parquet(os.path.join(out_path, f"batch_id={batch_id}"))
+        with own_tables(spark):
+            answer_batch(batch, chunks, index, **kw).write.mode("overwrite") \
+                .parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
     w = questions.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
 
-def ingest_stream(spark, source_dir: str, collection_path: str, checkpoint: str | None = None,
-                  trigger: dict | None = None, method: str = "recursive", dim: int = DIM) -> StreamingQuery:
-    """files arriving under ``source_dir`` -> text (S4) -> chunks (C1) ->
+def ingest_rows(files: DataFrame, collection_path: str, checkpoint: str | None = None,
+                trigger: dict | None = None, method: str = "recursive", dim: int = DIM) -> StreamingQuery:
+    """F3 on a stream of ``(path, content)`` rows -> text (S4) -> chunks (C1, C2) ->
     hash vectors (M2) -> upsert into the collection (K3).
 
     Documents are keyed by a hash of their path (stable across batches) in
     place of a list position.
     """
-    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "ingest_stream")
-    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-             .option("recursiveFileLookup", "true").load(source_dir))
+    spark = files.sparkSession
+    ckpt = checkpoint or _checkpoint(spark, "ingest_stream", collection_path)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        text = extract_archive_text(batch.select("path", "content"))
-        docs = text.select("name", "text", F.abs(F.xxhash64("path")).alias("doc_index"))
-        ch = C.chunk_docs(docs, method=method)
-        rows = ch.withColumn("embedding", M.hash_vector("content", dim))
-        K.collection_upsert(K.embedding_record(rows), collection_path)
+        with own_tables(spark):
+            text = extract_archive_text(batch.select("path", "content"))
+            docs = text.select("name", "text", F.xxhash64("path").alias("doc_index"))
+            ch = C.chunk_docs(docs, method=method)
+            rows = ch.withColumn("embedding", M.hash_vector("content", dim))
+            K.collection_upsert(K.embedding_record(rows), collection_path)
 
     w = files.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
+
+
+def ingest_stream(spark: SparkSession, source_dir: str, collection_path: str, **kw) -> StreamingQuery:
+    """F3 on files arriving under ``source_dir``."""
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+             .option("recursiveFileLookup", "true").load(source_dir))
+    return ingest_rows(files, collection_path, **kw)

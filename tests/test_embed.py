@@ -1,6 +1,7 @@
 import math
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from docket.operators import embed as M
@@ -29,3 +30,25 @@ def test_with_model_retries(spark, tmp):
     df = spark.createDataFrame([("ab",), ("abc",)], "t string").coalesce(1)
     out = M.with_model(df, "t", model, wait=0.01).collect()
     assert sorted(r.embedding[0] for r in out) == [2.0, 3.0]
+
+
+def test_with_model_repeats_only_the_failing_call(spark, tmp):
+    def model(s: pd.Series) -> pd.Series:
+        import os
+        with open(f"{tmp}/calls", "a") as f:
+            f.write(s.iloc[0] + "\n")
+        if s.iloc[0] == "c" and not os.path.exists(f"{tmp}/failed"):
+            open(f"{tmp}/failed", "w").close()
+            raise RuntimeError("transient")
+        return s.map(lambda x: [float(ord(x))])
+
+    df = spark.createDataFrame([(x,) for x in "abcdef"], "t string").coalesce(1)
+    out = M.with_model(df, "t", model, wait=0.01, call_rows=2).collect()
+    assert {r.t: r.embedding[0] for r in out} == {x: float(ord(x)) for x in "abcdef"}
+    assert open(f"{tmp}/calls").read().split() == ["a", "c", "c", "e"]
+
+
+def test_with_model_wrong_length_is_an_error(spark):
+    df = spark.createDataFrame([("ab",), ("abc",)], "t string").coalesce(1)
+    with pytest.raises(Exception, match="gave 1 values for 2 inputs"):
+        M.with_model(df, "t", lambda s: [[1.0]], retries=2, wait=0.01).collect()

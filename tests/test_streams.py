@@ -38,3 +38,21 @@ def test_ingest_stream_replay_adds_nothing(spark, tmp):
     assert spark.read.parquet(coll).count() == n1
     row = spark.read.parquet(coll).filter(F.col("source") == "a.pptx").first()
     assert row.content == "alpha beta\ngamma" and row.pdf_url == "/pdf/a.pptx" and len(row.embedding) == 64
+
+
+def test_many_batches_leave_no_tables(spark, tmp):
+    base = spark.conf.get("spark.checkpoint.dir")
+    qs = D.chat_questions(spark, SF001).limit(6)
+    src = f"{tmp}/q"
+    qs.repartition(3).write.option("maxRecordsPerFile", 2).parquet(src)
+    chunks = A.notes_chunks(spark, SF001, "fixed")
+    stream = spark.readStream.schema(qs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    before = set(os.listdir(base))
+    q = ST.answer_stream(stream, chunks, D.notes_index(spark, SF001), f"{tmp}/answers", checkpoint=f"{tmp}/ck")
+    q.awaitTermination()
+    assert len([p for p in os.listdir(f"{tmp}/answers") if p.startswith("batch_id=")]) >= 3
+    assert set(os.listdir(base)) == before
+
+
+def test_default_checkpoints_differ(spark):
+    assert ST._checkpoint(spark, "answer_stream", "/a") != ST._checkpoint(spark, "answer_stream", "/b")
