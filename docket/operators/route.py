@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.functions.route import (REPLY_FOUND, REPLY_NOT_FOUND, REPLY_OTHER, SUBJECTS,
+from docket.functions.route import (REPLY_FOUND, REPLY_MISSING, REPLY_NOT_FOUND, REPLY_OTHER, SUBJECTS,
                                     classify, extract_module, extract_semester, extract_subject)
 
 ANY_NUM = -1
@@ -154,14 +154,15 @@ def dispatch(classified: DataFrame, file_match: DataFrame | None, retrieval: Dat
     """
     base = classified.select(F.col(q_id).alias("qid"), "question",
                              F.when(F.col(category).isin("SMALL_TALK", "DIRECT_NOTES_REQUEST",
-                                                         "NOTES_QUERY"), F.col(category))
+                                                         "NOTES_QUERY", "MISSING"), F.col(category))
                              .otherwise(F.lit("OTHER")).alias("category"))
     null_s = F.lit(None).cast("string")
     small = base.filter(F.col("category") == "SMALL_TALK").select(
         "qid", "question", "category", null_s.alias("answer"), null_s.alias("source_label"),
         null_s.alias("source_link"), null_s.alias("context"))
-    other = base.filter(F.col("category") == "OTHER").select(
-        "qid", "question", "category", F.lit(REPLY_OTHER).alias("answer"),
+    other = base.filter(F.col("category").isin("OTHER", "MISSING")).select(
+        "qid", "question", "category",
+        F.when(F.col("category") == "MISSING", REPLY_MISSING).otherwise(REPLY_OTHER).alias("answer"),
         null_s.alias("source_label"), null_s.alias("source_link"), null_s.alias("context"))
     notes_req = base.filter(F.col("category") == "DIRECT_NOTES_REQUEST")
     if file_match is not None:

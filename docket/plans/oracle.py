@@ -564,3 +564,36 @@ WITH d AS (SELECT doc_id AS id, min({'source': source, 'n_chars': n_chars}) AS r
 SELECT id, r.source AS source, r.n_chars AS n_chars, 0::BIGINT AS added_last FROM d"""
 
 SQL["answer_batch_recursive"] = _answer_sql(recursive=True)
+
+SQL["normalized_docs"] = """
+SELECT concat_ws('-', source, CAST(doc_id AS VARCHAR)) AS name,
+       md5(CASE WHEN doc_id % 7 <> 0 THEN coalesce(text, '') ELSE '' END) AS text_md5 FROM documents"""
+
+SQL["json_rows"] = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
+
+SQL["file_bytes"] = "SELECT sum(strlen(coalesce(text, '')) + 1)::BIGINT AS n_bytes FROM documents"
+
+# nodes in the order of a walk: each opens its text, and closes it behind all its children
+SQL["tree_json"] = f"""
+WITH {TREE},
+nd AS (SELECT path, name, type, link, string_split(path, '/') AS k FROM tree),
+o AS (SELECT k[1] AS top, k, row_number() OVER (PARTITION BY k[:-2] ORDER BY k) AS nth, len(k) AS d, name, type, link FROM nd),
+ev AS (SELECT top, list_append(list_transform(k, lambda x: '1' || x), '0') AS ord,
+             CASE WHEN d = 1 THEN '' ELSE (CASE WHEN nth > 1 THEN ',' ELSE '' END) || to_json(name)::VARCHAR || ':' END
+             || '{{"type":"' || type || '","name":' || to_json(name)::VARCHAR
+             || CASE WHEN type = 'file' THEN ',"link":' || coalesce(to_json(link)::VARCHAR, 'null') ELSE ',"children":{{' END AS t FROM o
+      UNION ALL
+      SELECT top, list_append(list_transform(k, lambda x: '1' || x), '2'), CASE WHEN type = 'file' THEN '}}' ELSE '}}}}' END FROM o)
+SELECT top AS name, string_agg(t, '' ORDER BY ord) AS json FROM ev GROUP BY top"""
+
+SQL["model_lengths"] = """
+SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars,
+       (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')))::BIGINT AS n_spaces FROM documents"""
+
+SQL["answer_stream"] = SQL["answer_batch"]
+
+SQL["ingest_archives"] = f"""
+WITH a AS ({SQL["archive_text"]}),
+w AS (SELECT name AS source, i AS chunk_id, substr(text, CAST(i * 1000 + 1 AS BIGINT), 1200) AS content
+      FROM a, range(0, CASE WHEN length(text) <= 1200 THEN 1 ELSE CAST(ceil((length(text) - 1200) / 1000.0) AS BIGINT) + 1 END) r(i))
+SELECT source, CAST(chunk_id AS INTEGER) AS chunk_id, content, '/pdf/' || source AS pdf_url FROM w"""

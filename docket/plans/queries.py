@@ -310,7 +310,76 @@ def upsert_twice(spark: SparkSession, sf: str) -> DataFrame:
     return kept.withColumn("added_last", F.lit(added[-1]).cast("bigint"))
 
 
+def normalized_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """P1 over every document, null and empty texts alike."""
+    d = D.table(spark, sf, "documents").select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("filename"),
+                                               F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"))
+    return C.normalize_docs(d).select("name", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def json_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """S2 + K1: documents written as files of one JSON array each (about 500 rows), and read again."""
+    d = D.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    files = d.count() // 500 + 1
+    arrays = (d.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(files)).alias("part"))
+               .agg(F.to_json(F.collect_list(F.struct(*d.columns))).alias("value")))
+    path = scratch_path(spark, "json")
+    arrays.write.partitionBy("part").text(path)
+    rows = SRC.scan_json_rows(spark, path, d.schema)
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def file_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 + K1: every text written to text files, and the bytes of the files found again."""
+    path = scratch_path(spark, "texts")
+    text = D.table(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("value"))
+    text.write.option("maxRecordsPerFile", 1000).text(path)
+    return SRC.scan_files(spark, path, (".txt",)).agg(F.sum(F.length("content")).cast("bigint").alias("n_bytes"))
+
+
+def tree_json(spark: SparkSession, sf: str) -> DataFrame:
+    """K4: the library tree as nested JSON, one text per top-level node."""
+    return TR.tree_json(TR.library_tree(D.file_index(spark, sf)))
+
+
+def model_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """M1: every document through a model that counts characters and spaces."""
+    d = D.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = M.with_model(d, "text", lambda t: [[float(len(x)), float(x.count(" "))] for x in t], out_type="array<double>")
+    return out.select("doc_id", F.col("embedding")[0].cast("bigint").alias("n_chars"),
+                      F.col("embedding")[1].cast("bigint").alias("n_spaces"))
+
+
+def answer_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """every chat question as a stream, answered from fixed chunks."""
+    from docket.plans import answer as A
+    from docket.streaming import streams as ST
+    qs = D.chat_questions(spark, sf)
+    asked, out = scratch_path(spark, "asked"), scratch_path(spark, "answers")
+    qs.write.parquet(asked)
+    chunks, index = A.notes_chunks(spark, sf, "fixed"), D.notes_index(spark, sf)
+    ST.answer_stream(spark.readStream.schema(qs.schema).parquet(asked), chunks, index, out).awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
+
+
+def ingest_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """archives of every document as a stream into a collection, fixed windows."""
+    from docket.streaming import streams as ST
+    files = D.archives(spark, sf)
+    arrived, coll = scratch_path(spark, "arrived"), scratch_path(spark, "collection")
+    files.write.parquet(arrived)
+    ST.ingest_rows(spark.readStream.schema(files.schema).parquet(arrived), coll, method="fixed").awaitTermination()
+    return SRC.collection_get(spark, coll, ["source", "chunk_id", "content", "pdf_url"])
+
+
 QUERIES = {
+    "normalized_docs": normalized_docs,
+    "json_rows": json_rows,
+    "file_bytes": file_bytes,
+    "tree_json": tree_json,
+    "model_lengths": model_lengths,
+    "answer_stream": answer_stream,
+    "ingest_archives": ingest_archives,
     "knn_top5": knn_top5,
     "rag_context": rag_context,
     "top_source_link": top_source_link,

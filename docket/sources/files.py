@@ -36,8 +36,10 @@ def scan_files(spark: SparkSession, path: str, suffixes=SUFFIXES, with_content:
 
 
 def scan_json_rows(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A file holding one JSON array of objects, as rows (explicit schema)."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    """A file holding one JSON array of objects, or a folder of such files, as rows
+    (explicit schema).  A file is one document and so one task; folders are read in parallel."""
+    return (spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true")
+            .json(path))
 
 
 def scan_file_index(spark: SparkSession, path: str) -> DataFrame:

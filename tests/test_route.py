@@ -29,6 +29,12 @@ def test_classify(spark):
     assert got == ["SMALL_TALK", "DIRECT_NOTES_REQUEST", "NOTES_QUERY", "OTHER", "NOTES_QUERY"]
 
 
+def test_missing_question(spark):
+    q = R.classify_questions(spark.createDataFrame([(1, ""), (2, None), (3, "hello")], "qid bigint, question string"))
+    got = {r.qid: (r.category, r.answer) for r in R.dispatch(q, None, None).collect()}
+    assert got == {1: ("MISSING", FR.REPLY_MISSING), 2: ("MISSING", FR.REPLY_MISSING), 3: ("SMALL_TALK", None)}
+
+
 def _index(spark, paths):
     return spark.createDataFrame([(i, p, "u%d" % i) for i, p in enumerate(paths)], "pos bigint, path string, link string")
 
