@@ -25,10 +25,10 @@ def row_index(df: DataFrame, order: list | None = None, col: str = "row_index")
     pid = F.shiftright(F.col("_mid"), _PID_SHIFT)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # One row per partition of ``tagged``: a bound known before the join.
+    # One row per partition of ``tagged``; written, so Spark knows its bytes when it picks the join.
+    offsets = materialize(counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off")), "offsets")
     out = (tagged.withColumn("_pid", pid)
-                 .join(F.broadcast(offsets), "_pid")
+                 .join(offsets, "_pid")
                  .withColumn(col, (F.col("_off") + F.col("_mid")
                                    - F.shiftleft(F.col("_pid"), _PID_SHIFT)).cast("bigint"))
                  .drop("_pid", "_off", "_mid"))

@@ -30,17 +30,28 @@ DIM = 64
 K = 5
 
 
+def embedder_name(dim: int = DIM) -> str:
+    """The name under which a collection records vectors of ``hash_vector``."""
+    return f"hash-{dim}"
+
+
 def answer_batch(questions: DataFrame, chunks: DataFrame, index: DataFrame,
                  k: int = K, dim: int = DIM,
                  model: Callable[[pd.Series], pd.Series] | None = None,
-                 q_id: str = "qid", q_col: str = "question") -> DataFrame:
+                 q_id: str = "qid", q_col: str = "question", embedder: str | None = None) -> DataFrame:
     """``(qid, question, category, answer, source_label, source_link, context, prompt)``.
 
     ``chunks``: ``(id, source, content, vector)`` with vectors from the same
     embedder as the questions (``hash_embed`` with ``dim`` by default).
+    A collection that names its ``embedder`` must name this one in every row
+    (``hash-<dim>`` by default), as vectors of two embedders do not compare.
     ``index``: ``(pos, path, link)``.  ``model``, when given, turns each
     prompt into an answer batch by batch (M1).
     """
+    if "embedder" in chunks.columns:
+        other = chunks.filter(~F.col("embedder").eqNullSafe(F.lit(embedder or embedder_name(dim)))).select("embedder").first()
+        if other is not None:
+            raise ValueError(f"the collection holds vectors of {other[0]!r}, the questions those of {embedder or embedder_name(dim)!r}")
     # Read by every branch: pinned once (a stream's
     # micro-batch is then not re-read from its source per use).
     qs = cut(R.classify_questions(questions.select(F.col(q_id).alias("qid"),
@@ -70,7 +81,7 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, index: DataFrame,
 
 def notes_chunks(spark: SparkSession, sf_dir: str, method: str = "recursive", dim: int = DIM,
                  store: bool = True) -> DataFrame:
-    """Chunks of every document with hash vectors: ``(id, source, content, vector)``.
+    """Chunks of every document with hash vectors: ``(id, source, content, vector, embedder)``.
 
     The ingest half of the pipeline.  With ``store`` the collection is written
     once to the shared checkpoint folder and read back, so the question half
@@ -80,7 +91,8 @@ def notes_chunks(spark: SparkSession, sf_dir: str, method: str = "recursive", di
         F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"),
         "text", F.col("doc_id").alias("doc_index"))
     ch = C.chunk_docs(spread(docs), method=method)
-    coll = ch.select("id", "source", "content", M.hash_vector("content", dim).alias("vector"))
+    coll = ch.select("id", "source", "content", M.hash_vector("content", dim).alias("vector"),
+                     F.lit(embedder_name(dim)).alias("embedder"))
     return materialize(coll, "collection") if store else coll
 
 

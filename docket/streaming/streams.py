@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docket.operators import chunk as C
 from docket.operators import collection as K
 from docket.operators import embed as M
-from docket.plans.answer import DIM, answer_batch
+from docket.plans.answer import DIM, answer_batch, embedder_name
 from docket.session import checkpoint_dir, own_tables
 from docket.sources.files import extract_archive_text
 
@@ -64,7 +64,7 @@ def ingest_rows(files: DataFrame, collection_path: str, checkpoint: str | None =
             text = extract_archive_text(batch.select("path", "content"))
             docs = text.select("name", "text", F.xxhash64("path").alias("doc_index"))
             ch = C.chunk_docs(docs, method=method)
-            rows = ch.withColumn("embedding", M.hash_vector("content", dim))
+            rows = ch.withColumn("embedding", M.hash_vector("content", dim)).withColumn("embedder", F.lit(embedder_name(dim)))
             K.collection_upsert(K.embedding_record(rows), collection_path)
 
     w = files.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)

@@ -1,4 +1,5 @@
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from docket.functions.route import REPLY_FOUND, REPLY_NOT_FOUND, REPLY_OTHER
@@ -53,3 +54,13 @@ def test_answer_batch_model_and_empty_index(spark):
     assert out[3].answer.startswith("ANSWER:") and out[3].source_link is None
     assert (out[2].answer, out[2].source_link) == (REPLY_NOT_FOUND, None)
     assert out[1].answer is None and out[4].answer == REPLY_OTHER
+
+
+def test_other_embedder_is_refused(spark):
+    qs, chunks, index = setup(spark)
+    with pytest.raises(ValueError, match="vectors of 'other'"):
+        answer_batch(qs, chunks.withColumn("embedder", F.lit("other")), index, k=2)
+    with pytest.raises(ValueError, match="vectors of None"):
+        answer_batch(qs, chunks.withColumn("embedder", F.lit(None).cast("string")), index, k=2)
+    same = answer_batch(qs, chunks.withColumn("embedder", F.lit("hash-64")), index, k=2)
+    assert same.count() == 4
