@@ -302,7 +302,7 @@ def archive_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def upsert_twice(spark: SparkSession, sf: str) -> DataFrame:
-    """K3 + S5 + K1: half of the documents stored, then all of them, then all again."""
+    """K3 + S5: half of the documents stored, then all of them, then all again."""
     path = scratch_path(spark, "collection")
     docs = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars")
     added = [K.collection_upsert(d, path) for d in (docs.filter("id % 2 = 0"), docs, docs)]
@@ -318,7 +318,7 @@ def normalized_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def json_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """S2 + K1: documents written as files of one JSON array each (about 500 rows), and read again."""
+    """Documents written as files of one JSON array each (about 500 rows), and read again."""
     d = D.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     files = d.count() // 500 + 1
     arrays = (d.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(files)).alias("part"))
@@ -330,7 +330,7 @@ def json_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    """S1 + K1: every text written to text files, and the bytes of the files found again."""
+    """Every text written to text files, and the bytes of the files found again."""
     path = scratch_path(spark, "texts")
     text = D.table(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("value"))
     text.write.option("maxRecordsPerFile", 1000).text(path)
