@@ -8,7 +8,11 @@ its next point is later than all registers.  Two signatures agree in a register
 probability equal to the probability Jaccard index of the weighted shingles.
 
 Registers are banded; texts that share a band are candidates, and link if the exact Jaccard
-index of their distinct shingles is at least the threshold (equal weights: the same index).  Equal texts are one class from the start.  Candidates are gathered through
+index of their distinct shingles is at least the threshold.  Repeats can put the weighted index
+far below that one, so a text has a second family of bands, whose shingles weigh the same and
+whose registers agree with probability equal to the index that links: it is this family that
+finds the links, whatever repeats.  A text that repeats no shingle has the same bands in both
+families and holds them once.  Equal texts are one class from the start.  Candidates are gathered through
 connected components of the bands (ids only); a large component is dealt into slots
 of bounded words whose pairs meet in tasks, and a task skips pairs it has already
 connected, so that a group of copies costs no list of its pairs.
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from docket.llm.common import Forest, Scratch, components
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 24, 6             # a pair at 0.8 shares a band with probability 0.999
+BANDS, ROWS = 24, 6             # a pair at 0.8 shares an equal-weight band with probability 1 - (1 - 0.8^6)^24 = 0.9993
 SLOT_TEXTS, SLOT_WORDS = 256, 400_000
 
 # Multipliers of a common 64-bit mixing function.
@@ -146,7 +150,8 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
 
 
 def band_texts(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Add ``bands`` (array<bigint>; empty without words) and ``n_words`` (distinct shingles)."""
+    """Add ``bands`` (array<bigint>; empty without words; those of equal weights and, if a shingle
+    repeats, those of the weights behind them) and ``n_words`` (distinct shingles)."""
 
     @F.arrow_udf("struct<bands array<bigint>, n int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -156,11 +161,19 @@ def band_texts(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: in
                 part = arr[lo:lo + 1024]
                 owner, h, w = shingles(part)
                 n = np.bincount(owner, minlength=len(part))
-                b = band_hashes(signatures(owner, h, w, len(part), bands * rows), bands, rows).view(np.int64)
-                has = n > 0
-                ends = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))])
+                equal = band_hashes(signatures(owner, h, np.ones_like(w), len(part), bands * rows), bands, rows).view(np.int64)
+                has, again = np.flatnonzero(n), np.unique(owner[w > 1])
+                own = np.isin(owner, again)
+                sig = signatures(np.searchsorted(again, owner[own]), h[own], w[own], len(again), bands * rows)
+                size = np.zeros(len(part), np.int64)
+                size[has] = bands
+                size[again] += bands
+                ends = np.concatenate([[0], np.cumsum(size)])
+                b = np.zeros(int(ends[-1]), np.int64)
+                b[ends[has][:, None] + np.arange(bands)] = equal[has]
+                b[ends[again][:, None] + bands + np.arange(bands)] = band_hashes(sig, bands, rows).view(np.int64)
                 done.append(pa.StructArray.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(b[has].ravel())),
+                    [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(b)),
                      pa.array(n.astype(np.int32))], ["bands", "n"]))
             yield pa.concat_arrays(done) if done else pa.array([], pa.struct([("bands", pa.list_(pa.int64())), ("n", pa.int32())]))
 
@@ -190,7 +203,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = scratch.table(reps.select("k1", "k2", F.col("r.id").alias("rep"), "r.n_words", "r.bands"))
 
     # ids that share a band hang on the band's smallest; a hot band is a skewed join, which splits
-    banded = reps.select("rep", "k1", "k2", F.explode("bands").alias("band"))
+    banded = reps.select("rep", "k1", "k2", F.explode(F.array_distinct("bands")).alias("band"))
     low = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     star = banded.select("rep", "band").join(low.select("band", "lo"), "band").select("rep", "lo").filter("rep <> lo")
     group = scratch.table(components(star, scratch, "rep", "lo"))
@@ -217,14 +230,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         owner, h, _ = shingles(pa.array(pdf["text"], pa.large_string()))
         cut = np.searchsorted(owner, np.arange(len(pdf) + 1))
         rep, side = pdf["rep"].to_numpy(), pdf["side"].to_numpy()
-        bands_ = np.stack(pdf["bands"].to_numpy())
+        bands_ = pdf["bands"].to_numpy()
         where = pd.DataFrame({"c": pdf["component"].to_numpy(), "i": np.arange(len(pdf))})
         out: list = []
         for _, rows_ in where.groupby("c")["i"]:
             k = rows_.to_numpy()
             if len(k) < 2:
                 continue
-            B, sd = bands_[k], side[k]
+            width = max(len(bands_[i]) for i in k)
+            B, sd = np.stack([np.resize(bands_[i], width) for i in k]), side[k]     # one family stands for both
             share = np.zeros((len(k), len(k)), np.int16)
             for i in range(B.shape[1]):
                 share += B[:, i][:, None] == B[:, i][None]
