@@ -74,7 +74,7 @@ def op7_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_minhash(spark: SparkSession, sf: str) -> DataFrame:
     """Class and group of near duplicates of every document."""
-    out = text_neardup.near_duplicates(_table(spark, sf, "documents"))
+    out = text_neardup.near_duplicates(_table(spark, sf, "documents"), null_ids=True)
     return out.select("doc_id", "class_id", "component_id", "kept")
 
 

@@ -19,8 +19,9 @@ connected, so that a group of copies costs no list of its pairs.
 
 Defined results: a text without words (null, empty, blank) is near nothing; texts of any
 length are taken whole; rows that repeat an id and text count once; an id with several texts
-has a row per text; null ids take no part; an empty table gives an empty table; other
-columns are ignored.
+has a row per text, and each of these is compared; null ids take no part, or with ``null_ids``
+join by their text and come after all ids; an empty table gives an empty table; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -187,29 +188,35 @@ def text_key(text: str = "text") -> list:
     return [F.xxhash64(F.col(text), F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), F.col(text)).alias("k2")]
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
-                    bands: int = BANDS, rows: int = ROWS, slot_texts: int = SLOT_TEXTS,
-                    slot_words: int = SLOT_WORDS) -> DataFrame:
-    """``doc_id, k1, k2, class_id, component_id, kept``: one row per document (id and text);
-    class_id is the smallest id with the same text, component_id the smallest id of its group
-    of near duplicates, kept whether the document is that one."""
+def _at(id_: str, to: str, keys: tuple = ("k1", "k2")) -> list:
+    """Join keys of an id (null or not) and the bits of a text."""
+    return [F.coalesce(F.col(id_), F.lit(0)).alias(f"{to}id"), F.col(id_).isNull().alias(f"{to}no"),
+            *[F.col(k).alias(f"{to}{k}") for k in keys]]
+
+
+def _found(docs: DataFrame, doc_id: str, text: str, threshold: float, bands: int, rows: int, slot_texts: int,
+           slot_words: int, null_ids: bool) -> DataFrame:
+    """What near_duplicates returns, with ``n`` rows and ``n_words`` of each document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "textdup")
-    base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")) \
-               .filter(F.col("id").isNotNull()).select("id", "text", *text_key())
+    base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    if not null_ids:
+        base = base.filter(F.col("id").isNotNull())
+    base = base.select("id", "text", *text_key())
     slim = scratch.table(band_texts(base, "text", bands, rows).drop("text"))
     reps = slim.filter("n_words > 0").groupBy("k1", "k2").agg(
-        F.min(F.struct("id", "n_words", "bands")).alias("r"))
-    reps = scratch.table(reps.select("k1", "k2", F.col("r.id").alias("rep"), "r.n_words", "r.bands"))
+        F.min(F.struct(F.col("id").isNull().alias("no"), "id", "n_words", "bands")).alias("r"))
+    # rep is a number of the text, not an id: an id may hold several texts
+    reps = scratch.table(reps.select("k1", "k2", F.monotonically_increasing_id().alias("rep"), "r.id", "r.n_words", "r.bands"))
 
-    # ids that share a band hang on the band's smallest; a hot band is a skewed join, which splits
-    banded = reps.select("rep", "k1", "k2", F.explode(F.array_distinct("bands")).alias("band"))
+    # texts that share a band hang on the band's smallest; a hot band is a skewed join, which splits
+    banded = reps.select("rep", F.explode(F.array_distinct("bands")).alias("band"))
     low = banded.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     star = banded.select("rep", "band").join(low.select("band", "lo"), "band").select("rep", "lo").filter("rep <> lo")
-    group = scratch.table(components(star, scratch, "rep", "lo"))
+    group = scratch.table(components(star, scratch, "rep", "lo").withColumnRenamed("id", "rep"))
 
     # groups are dealt into slots of bounded texts and words; small groups share tasks
-    inside = group.withColumnRenamed("id", "rep").join(reps, "rep")
+    inside = group.join(reps, "rep")
     size = inside.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w"))
     size = size.withColumn("slots", F.greatest(F.ceil(F.col("n") / slot_texts), F.ceil(F.col("w") / slot_words)))
     size = scratch.table(size)
@@ -222,11 +229,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    .withColumn("task", F.when(F.col("slots") == 1, F.pmod(F.xxhash64("component"), F.lit(bins)))
                                .otherwise(F.xxhash64("component", F.least("s", "t"), F.greatest("s", "t"))))
                    .withColumn("side", F.when(F.col("s") == F.col("t"), 2).when(F.col("s") < F.col("t"), 0).otherwise(1)))
-    sent = dealt.select("rep", "k1", "k2", "component", "bands", "task", "side")
-    work = base.withColumnRenamed("id", "rep").join(sent, ["rep", "k1", "k2"]).drop("k1", "k2")
+    # a text is read from the rows of its smallest id
+    sent = dealt.select(*_at("id", "__"), "rep", "component", "bands", "task", "side")
+    work = base.select("text", *_at("id", "__")).join(sent, ["__id", "__no", "__k1", "__k2"]) \
+               .select("rep", "text", "component", "bands", "task", "side")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rep")          # an id and text may stand in several rows
+        pdf = pdf.drop_duplicates("rep")          # the same text: an id and text may stand in several rows
         owner, h, _ = shingles(pa.array(pdf["text"], pa.large_string()))
         cut = np.searchsorted(owner, np.arange(len(pdf) + 1))
         rep, side = pdf["rep"].to_numpy(), pdf["side"].to_numpy()
@@ -264,19 +273,47 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     links = scratch.table(work.groupBy("task").applyInPandas(compare, "a bigint, b bigint"))
     comp = components(links, scratch).withColumnRenamed("id", "rep")
-    classes = reps.select("k1", "k2", "rep").join(comp, "rep", "left")
-    out = slim.select("id", "k1", "k2").distinct().join(classes, ["k1", "k2"], "left")
-    return (out.select(F.col("id").alias("doc_id"), "k1", "k2", F.coalesce("rep", "id").alias("class_id"),
-                       F.coalesce("component", "rep", "id").alias("component_id"))
-               .withColumn("kept", F.col("doc_id") == F.col("component_id")))
+    linked = reps.select("rep", "id", "k1", "k2").join(comp, "rep")
+    head = linked.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2")).alias("head"))
+    head = linked.select("rep", "component").join(head, "component").select("rep", "head")
+    own = F.struct(F.col("id").isNull().alias("no"), "id", "k1", "k2")
+    classes = reps.select("k1", "k2", "rep", F.col("id").alias("class_id"), own.alias("own")).join(head, "rep", "left") \
+                  .select("k1", "k2", "class_id", F.coalesce("head", "own").alias("head"))
+    out = slim.groupBy("id", "k1", "k2", "n_words").agg(F.count(F.lit(1)).alias("n")).join(classes, ["k1", "k2"], "left")
+    # a document without words has no class and is its own
+    kept = F.col("head").isNull() | (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("k1") == F.col("head.k1"))
+                                     & (F.col("k2") == F.col("head.k2")))
+    return out.select(F.col("id").alias("doc_id"), "k1", "k2", F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+                      F.when(F.col("head").isNull(), F.col("id")).otherwise(F.col("head.id")).alias("component_id"),
+                      kept.alias("kept"), "n", "n_words")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates (rows with a null id stay)."""
-    found = near_duplicates(docs, doc_id, text, **kw)
-    drop = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
+                    bands: int = BANDS, rows: int = ROWS, slot_texts: int = SLOT_TEXTS,
+                    slot_words: int = SLOT_WORDS, null_ids: bool = False) -> DataFrame:
+    """``doc_id, k1, k2, class_id, component_id, kept``: one row per document (id and text);
+    class_id is the smallest id with the same text, component_id the smallest id of its group
+    of near duplicates, kept whether the document is the group's first (by id, k1 and k2)."""
+    return _found(docs, doc_id, text, threshold, bands, rows, slot_texts, slot_words, null_ids).drop("n", "n_words")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
+             bands: int = BANDS, rows: int = ROWS, slot_texts: int = SLOT_TEXTS, slot_words: int = SLOT_WORDS,
+             null_ids: bool = False) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the group's first document;
+    of several, the first as JSON.  Rows without words stay, and without ``null_ids`` rows with a null id."""
+    found = _found(docs, doc_id, text, threshold, bands, rows, slot_texts, slot_words, null_ids)
+    at = ["__id", "__no", "__k1", "__k2"]
+    some = found.filter((F.col("n_words") > 0) & (~F.col("kept") | (F.col("n") > 1))).select(*_at("doc_id", "__"), "kept")
+    some = Scratch(docs.sparkSession, "textkeep").table(some)
     own = docs.columns
     k1, k2 = text_key(text)
-    keyed = docs.select("*", F.col(doc_id).cast("bigint").alias("__id"), k1.alias("__k1"), k2.alias("__k2"))
-    kept = keyed.join(drop, ["__id", "__k1", "__k2"], "left_anti")
-    return kept.select(*own)
+    keyed = (docs.select("*", F.col(doc_id).cast("bigint").alias("__i"), k1.alias("__a"), k2.alias("__b"))
+                 .select(*own, *_at("__i", "__", ("__a", "__b"))).withColumnsRenamed({"____a": "__k1", "____b": "__k2"}))
+    kept = keyed.join(some.drop("kept"), at, "left_anti").select(*own)
+    again = some.filter("kept").drop("kept")
+    if again.isEmpty():
+        return kept
+    row = F.struct(*[F.col(c) for c in own])
+    one = keyed.join(again, at, "left_semi").groupBy(*at).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return kept.unionByName(one.select("__row.*"))

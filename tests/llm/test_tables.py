@@ -205,6 +205,28 @@ def test_text_edges_and_keep_one(spark):
     assert text_neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_ids_with_several_texts_repeats_and_null_ids(spark):
+    rnd = random.Random(12)
+    own = [[f"w{rnd.randrange(10**6)}" for _ in range(100)] for _ in range(6)]
+    texts = [" ".join(w) for w in own]
+    near = [" ".join([*w[:-1], "changed"]) for w in own]
+    # id 1 holds six texts; their near copies have other ids or none; one of these is id 1's too
+    rows = [(1, t, 0) for t in texts] + [(1, near[0], 0)] + [(10 + i, t, 0) for i, t in enumerate(near[:4])]
+    rows += [(None, near[4], 0), (None, near[5], 0), (None, "only here " * 9, 2), (None, "only here " * 9, 1), (None, None, 0), (None, None, 0)]
+    rows += [(1, texts[2], 5), (1, texts[2], 5), (20, "said twice", 8), (20, "said twice", 7), (21, "said twice", 1), (22, "", 0), (22, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    got = text_neardup.near_duplicates(df, slot_texts=2, null_ids=True).collect()
+    assert len(got) == 7 + 4 + 4 + 3
+    assert all(r["component_id"] == 1 for r in got if r["doc_id"] and r["doc_id"] < 20)
+    assert Counter(r["kept"] for r in got if r["doc_id"] == 1) == Counter({True: 6, False: 1})
+    assert not any(r["kept"] for r in got if r["doc_id"] in (10, 11, 12, 13, 21))
+    kept = [tuple(r) for r in text_neardup.keep_one(df, slot_texts=2, null_ids=True).collect()]
+    first = [r for r in kept if r[0] == 1 and r[1] in (texts[0], near[0])]
+    assert len(first) == 1
+    assert Counter(kept) == Counter(first + [(1, t, 0) for t in texts[1:]] + [
+        (None, "only here " * 9, 1), (None, None, 0), (None, None, 0), (20, "said twice", 7), (22, "", 0), (22, "", 0)])
+
+
 # -- mixing -------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "zz": 9}])
