@@ -313,6 +313,17 @@ def test_mined_rules_by_brute_force(spark):
         assert verdict[u] == (pytest.approx(best) if best else None)
 
 
+def test_deep_url_tokens_are_mined_and_judged(spark):
+    """The mark is the first of six host labels, the eighth path segment or a parameter."""
+    forms = ["http://{}.b.c.d.site.org/1/{}", "http://www.site.org/1/2/3/4/5/6/7/{}/{}", "http://www.site.org/1?{}=1&page={}#x"]
+    rows = [(f.format(m, i), m == "bad") for f in forms for m in ("bad", "good") for i in range(20)]
+    df = spark.createDataFrame(rows, "url string, blocked boolean")
+    mined = url_rules.mine(df, min_support=.05)
+    assert {("h:bad",), ("p:bad",), ("q:bad=1",)} <= {tuple(r["tokens"]) for r in mined.collect()}
+    verdict = {r["url"]: r["verdict"] for r in url_rules.judge(df, mined, rules=()).collect()}
+    assert all(verdict[u] == ("block" if b else "allow") for u, b in rows)
+
+
 # -- preferences --------------------------------------------------------------------------------
 
 def test_preferences(spark):
