@@ -531,6 +531,10 @@ SQL["normalized_replies"] = """
 SELECT conv_id, turn, upper(role) AS role,
        upper(regexp_replace(substr(replace(text, 'ß', 'ss'), 1, 20), '^\\s+|\\s+$', '', 'g')) AS reply FROM conversations"""
 
+SQL["whole_replies"] = """
+SELECT conv_id, turn, upper(regexp_replace(chr(32) || chr(10) || replace(text, 'ß', 'ss') || chr(9) || chr(32) || chr(10),
+                                           '^\\s+|\\s+$', '', 'g')) AS reply FROM conversations"""
+
 SQL["answer_forms"] = f"""
 WITH a AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS z, text FROM conversations WHERE role = 'assistant'),
 f AS (SELECT conv_id, turn, CASE WHEN z IN (0, 1) OR text = '' THEN NULL ELSE text END AS answer,

@@ -260,12 +260,19 @@ def collection_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normalized_replies(spark: SparkSession, sf: str) -> DataFrame:
-    """T9 over every turn's role and text."""
+    """T9 over every turn's role and the first 20 characters of its text (whole: whole_replies)."""
     c = D.table(spark, sf, "conversations")
     return c.select("conv_id", "turn", T.normalize_reply(F.concat(F.lit("  "), F.col("role"), F.lit(" \n"))).alias("role"),
                     T.normalize_reply(F.substring(F.replace("text", F.lit("ß"), F.lit("ss")), 1, 20)).alias("reply"))
 
 
+def whole_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """T9 over the whole text of every turn, with whitespace put around it."""
+    c = D.table(spark, sf, "conversations")
+    text = F.concat(F.lit(" \n"), F.replace("text", F.lit("ß"), F.lit("ss")), F.lit("\t \n"))
+    return c.select("conv_id", "turn", T.normalize_reply(text).alias("reply"))
+
+
 def answer_forms(spark: SparkSession, sf: str) -> DataFrame:
     """P10: both forms of answers with missing parts, derived from the assistant's turns."""
     c = D.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
@@ -388,6 +395,7 @@ QUERIES = {
     "document_names": document_names,
     "collection_records": collection_records,
     "normalized_replies": normalized_replies,
+    "whole_replies": whole_replies,
     "answer_forms": answer_forms,
     "collection_size": collection_size,
     "top_folders": top_folders,

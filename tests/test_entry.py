@@ -16,6 +16,16 @@ FAST = ["knn_top5", "rag_context", "top_source_link", "chunk_fixed", "tag_runs",
         "tree_json", "model_lengths", "answer_stream", "ingest_archives"]
 
 
+def test_whole_replies_match_oracle(spark, con):
+    """The end of every turn reaches T9: nothing is cut but the whitespace put around it."""
+    rows = [tuple(r) for r in E.queries()["whole_replies"](spark, SF001).collect()]
+    r = con.execute(E.oracle_sql()["whole_replies"])
+    cols = [d[0] for d in r.description]
+    assert digest(["conv_id", "turn", "reply"], rows) == digest(cols, r.fetchall())
+    texts = con.execute("SELECT conv_id, turn, text FROM conversations").fetchall()
+    assert sorted(rows) == sorted((c, t, x.strip().upper()) for c, t, x in texts)
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
