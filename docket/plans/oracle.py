@@ -573,6 +573,10 @@ SQL["normalized_docs"] = """
 SELECT concat_ws('-', source, CAST(doc_id AS VARCHAR)) AS name,
        md5(CASE WHEN doc_id % 7 <> 0 THEN coalesce(text, '') ELSE '' END) AS text_md5 FROM documents"""
 
+SQL["whole_docs"] = """
+WITH d AS (SELECT concat_ws('-', source, CAST(doc_id AS VARCHAR)) AS name, md5(coalesce(text, '')) AS text_md5 FROM documents)
+SELECT name, text_md5 FROM d UNION ALL SELECT name || '-null', md5('') FROM d UNION ALL SELECT name || '-empty', md5('') FROM d"""
+
 SQL["json_rows"] = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
 
 SQL["file_bytes"] = "SELECT sum(strlen(coalesce(text, '')) + 1)::BIGINT AS n_bytes FROM documents"

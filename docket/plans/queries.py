@@ -318,12 +318,20 @@ def upsert_twice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normalized_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """P1 over every document, null and empty texts alike."""
+    """P1 over every document, the texts of every seventh made null (all texts: whole_docs)."""
     d = D.table(spark, sf, "documents").select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("filename"),
                                                F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"))
     return C.normalize_docs(d).select("name", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def whole_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """P1 over every document as it is, and again with a null and with an empty text."""
+    d = D.table(spark, sf, "documents").select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("filename"), "text")
+    null, empty = [d.select(F.concat("filename", F.lit(m)).alias("filename"), F.lit(t).cast("string").alias("text"))
+                   for m, t in (("-null", None), ("-empty", ""))]
+    return C.normalize_docs(d.unionByName(null).unionByName(empty)).select("name", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def json_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as files of one JSON array each (about 500 rows), and read again."""
     d = D.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
@@ -381,6 +389,7 @@ def ingest_archives(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "normalized_docs": normalized_docs,
+    "whole_docs": whole_docs,
     "json_rows": json_rows,
     "file_bytes": file_bytes,
     "tree_json": tree_json,

@@ -26,6 +26,15 @@ def test_whole_replies_match_oracle(spark, con):
     assert sorted(rows) == sorted((c, t, x.strip().upper()) for c, t, x in texts)
 
 
+def test_whole_docs_match_oracle(spark, con):
+    """No real text is replaced; the null and empty texts are further rows."""
+    rows = [tuple(r) for r in E.queries()["whole_docs"](spark, SF001).collect()]
+    r = con.execute(E.oracle_sql()["whole_docs"])
+    assert digest(["name", "text_md5"], rows) == digest([d[0] for d in r.description], r.fetchall())
+    texts = con.execute("SELECT source || '-' || doc_id, md5(text) FROM documents").fetchall()
+    assert set(texts) <= set(rows) and len(rows) == 3 * len(texts)
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
