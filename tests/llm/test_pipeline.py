@@ -3,12 +3,13 @@
 import hashlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from docket.llm import bpe, secret_scan
-from docket.llm.common import Scratch
+from docket.llm import bpe, queries, secret_scan
+from docket.llm.common import Forest, Scratch
 from tests.conftest import SF001
 from tests.llm.test_rows import _RULES
 
@@ -40,6 +41,34 @@ def test_stages_keep_columns_and_take_effect(spark):
         assert r["ids_sha256"] == hashlib.sha256(np.asarray(ids_, "<u4").tobytes()).hexdigest()
 
 
+def test_stages_by_brute_force_and_sql(spark, tmp):
+    """Near-dedup against all pairs of shingle sets, mixing against its SQL, on the fixture with planted copies."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    rows = docs.filter("size(split(text, ' ')) > 60").orderBy("doc_id").limit(12).collect()
+    near = [(8000 + i, r["text"] + (" one more" if i % 2 else ""), r["lang"], r["source"], None) for i, r in enumerate(rows)]
+    near.append((None, rows[0]["text"], "en", "s", None))
+    docs = docs.unionByName(spark.createDataFrame(near, docs.schema))
+    kept = Scratch(spark, "test").table(P.near_duplicates(spark, docs, SF001))
+    given = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect()))
+    words = [t.split() for _, _, t in given]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    forest = Forest(len(given))
+    for i in range(len(given)):
+        for j in range(i):
+            if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                forest.join(i, j)
+    want = [d for i, (no, d, _) in enumerate(given) if forest.find(i) == i]
+    assert len(want) <= len(given) - len(near)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+    kept.write.parquet(f"{tmp}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp}/documents/*.parquet')")
+    cur = con.execute(queries.SQL["op3_mixing"])
+    at = [d[0] for d in cur.description].index("doc_id")
+    mixed = P.mix_sources(spark, kept, SF001).collect()
+    assert Counter(r["doc_id"] for r in mixed) == Counter(r[at] for r in cur.fetchall())
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(0)
     scratch = Scratch(spark, "test")
