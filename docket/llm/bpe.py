@@ -30,7 +30,7 @@ from docket.llm.common import ready
 
 BASE = 0x4E00           # byte b is the character chr(BASE + b) inside the model
 UNK = chr(BASE + 256)   # the model must have an unknown piece; no input contains it
-CACHE = 400_000         # distinct pre-tokens remembered per task
+CACHE = 150_000         # distinct pre-tokens remembered (about 100 bytes each), so some 15 MB per worker
 GROUP = 300_000         # characters whose unknown pre-tokens are encoded together
 
 

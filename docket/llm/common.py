@@ -6,7 +6,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket import ship
@@ -59,15 +60,36 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
-def vectors(arr: pa.Array, dim: int) -> np.ndarray:
-    """A non-null list<float> column of equal lengths as an n x dim float64 matrix."""
-    return np.asarray(arr.flatten(), np.float64).reshape(len(arr), dim)
+SLICE = 1 << 20
 
 
-def whole_vectors(df: DataFrame, col: str) -> DataFrame:
-    """Rows whose vector is not null, not empty and holds only finite components."""
+def byte_slices(arr: pa.Array, limit: int = SLICE):
+    """``arr`` in consecutive slices of about ``limit`` bytes of text (a longer row is a slice of
+    its own), so that working arrays do not grow with Spark's batch of rows."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    off = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(arr), 0), np.int64))])
+    lo = 0
+    while lo < len(arr):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
+        yield arr.slice(lo, hi - lo)
+        lo = hi
+
+
+def vectors(arr: pa.Array, dim: int, kind: type = np.float64) -> np.ndarray:
+    """A non-null list column of equal lengths as an n x dim matrix."""
+    return np.asarray(arr.flatten(), kind).reshape(len(arr), dim)
+
+
+def whole(col: str) -> Column:
+    """Whether a vector is not null, not empty and holds only finite components."""
     bad = F.exists(col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.filter(F.col(col).isNotNull() & (F.size(col) > 0) & ~F.coalesce(bad, F.lit(True)))
+    return F.col(col).isNotNull() & (F.size(col) > 0) & ~F.coalesce(bad, F.lit(True))
+
+
+def whole_vectors(df: DataFrame, col: str) -> DataFrame:
+    """Rows whose vector is whole."""
+    return df.filter(whole(col))
 
 
 class Forest:

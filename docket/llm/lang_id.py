@@ -4,11 +4,14 @@ The network reads each text as UTF-8 bytes in windows of ``WINDOW`` bytes, both
 ways, and gives every byte position a probability per language; the document's
 probabilities are the mean over all its positions.  It is trained in numpy by
 backpropagation through time on a bounded sample: at most ``per_lang`` documents
-per language and ``PIECE`` characters of each.  Prediction reads whole texts.
+per language; a document of more than ``PLACES`` x ``PIECE`` characters gives so many pieces
+at places drawn from its whole length.  Prediction reads whole texts.
 
 Defined results: a null text, an empty text and a text without any letter give
-``und`` with score 0; rows are independent, so repeated rows repeat their result;
-an empty table, or one without labelled rows, gives ``und`` with score 0.
+``und`` with score 0; rows are independent, so repeated rows repeat their result; of
+rows that repeat an id and language in the sample the smallest text is learned;
+an empty table, or one without labelled rows, gives ``und`` with score 0; columns named
+like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docket.llm.common import ready, utf8
+from docket.llm.common import byte_slices, ready, utf8
 
 UND = "und"
 PER_LANG = 240      # training documents per language
-PIECE = 3000        # training characters per document
+PLACES, PIECE = 10, 300     # pieces and their characters, of a long training document
 HIDDEN = 6          # state size per direction
 WINDOW = 48         # bytes per window
 STEPS, BATCH, RATE = 260, 256, 0.02
@@ -200,10 +203,14 @@ def training_rows(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
     pick = (lab.select(F.col(lang).alias("_l"), F.col(doc_id).alias("_i"), F.xxhash64(doc_id).alias("_h"))
                .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_lang))
     ids = [r["_i"] for r in pick.select("_i").distinct().collect()]
-    at = F.pmod(F.xxhash64(F.col(doc_id), F.lit(1)), F.greatest(F.length(text) - PIECE, F.lit(1))) + 1
-    rows = (lab.filter(F.col(doc_id).isin(ids)).dropDuplicates([doc_id, lang])
-               .select(F.col(lang).alias("l"), F.col(text).substr(at.cast("int"), F.lit(PIECE)).alias("t"),
-                       F.xxhash64(doc_id).alias("h"), F.col(doc_id).alias("i"))
+    n = F.length("t")
+    spot = lambda i: F.pmod(F.xxhash64("i", i), n - PIECE + 1).cast("int") + 1
+    pieces = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(PLACES)),
+                                      lambda i: F.col("t").substr(spot(i), F.lit(PIECE))), "\n")
+    rows = (lab.filter(F.col(doc_id).isin(ids)).groupBy(F.col(doc_id).alias("i"), F.col(lang).alias("l"))
+               .agg(F.min(text).alias("t"))
+               .select("l", F.when(n > PLACES * PIECE, pieces).otherwise(F.col("t")).alias("t"),
+                       F.xxhash64("i").alias("h"), "i")
                .collect()) if ids else []
     rows.sort(key=lambda r: (r["l"], r["h"], r["i"]))
     return [r["t"] for r in rows], [r["l"] for r in rows]
@@ -225,9 +232,8 @@ def identify(docs: DataFrame, model: dict, text: str = "text", pred: str = "lang
     def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for arr in batches:
-            buf, off = utf8(arr)
-            if m["names"] and len(buf):
-                q = predict(m, buf, off)
+            if m["names"] and len(arr):
+                q = np.concatenate([predict(m, *utf8(x)) for x in byte_slices(arr, 4 << 20)])
                 best = q.argmax(axis=1)
                 names = pa.array(m["names"]).take(pa.array(best))
                 probs = pa.array(np.clip(q[np.arange(len(best)), best], 0, 1))

@@ -9,11 +9,14 @@ rules; a transition says which rules' matches ended just before its byte.
 
 For speed many pieces of text advance side by side in numpy.  A piece ends after
 a byte that leads every state back to the start ("reset" byte), so cutting never
-changes a result; a text without such bytes is one piece.  Only pieces in which
-a reported match ended are read again to find where it started.
-
-Defined results: null and empty texts have no spans; repeated rows repeat their
-spans; an empty table gives an empty table.  Offsets count code points.
+changes a result; a text without such bytes is one piece.  When few long pieces are
+left, each is read on alone in a plain loop, which costs the same per byte.  Only pieces
+in which a reported match ended are read again to find where it started.  Texts are
+taken in slices of about a megabyte, so memory does not grow with Spark's batches.
+
+Defined results: null and empty texts have no spans; texts may be of any length (nothing
+is cut); repeated rows repeat their spans; an empty table gives an empty table; a column
+named like the added one is replaced.  Offsets count code points.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import ready, utf8
+from docket.llm.common import byte_slices, ready, utf8
 
 # The base rules.  ``strong`` is what a match must be to count.
 _ASSIGN = (r"(?i:password|passwd|secret|token|api_?key)" r"""["']?\x20*[:=]\x20*["']?""")
@@ -42,6 +45,7 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 PIECE = 256
+FEW = 24            # at most so many pieces left: they go on one by one
 
 
 # -- regular expression -> NFA ----------------------------------------------------------------
@@ -196,6 +200,12 @@ class Automaton:
     reset: np.ndarray
     anchored: list
 
+    def plain(self) -> list:
+        """The transition array as a list (made once per worker)."""
+        if not hasattr(self, "_plain"):
+            self._plain = self.nxt.tolist()
+        return self._plain
+
 
 def compile_rules(rules=RULES) -> Automaton:
     machines = [_Rule(*r) for r in rules]
@@ -292,6 +302,18 @@ def _spans(dfa: tuple, piece: list) -> list[tuple[int, int]]:
     return got
 
 
+def _alone(a: Automaton, s: int, classes: np.ndarray) -> tuple[int, int]:
+    """The state after the rest of one piece, and the rules whose matches ended in it."""
+    nxt, mask = a.plain(), 0
+    for c in classes.tobytes():
+        t = nxt[s + c]
+        if t < 0:
+            mask |= int(a.out[s + c])
+            t = -t - 1
+        s = t
+    return s, mask
+
+
 def scan(a: Automaton, buf: np.ndarray, off: np.ndarray, lanes: int = 8192) -> list[tuple[int, int, int, int]]:
     """Reported matches in the texts buf[off[i]:off[i+1]]: (text, start byte, rule, end byte)."""
     if not len(buf):
@@ -321,6 +343,8 @@ def scan(a: Automaton, buf: np.ndarray, off: np.ndarray, lanes: int = 8192) -> l
         for t in range(int(left[0])):
             while live and left[live - 1] <= t:
                 live -= 1
+            if live <= FEW:
+                break
             # lanes are sorted by length: the first ``live`` ones still have bytes
             idx = state[:live] + classes[at[:live]]
             nxt = a.nxt[idx]
@@ -331,6 +355,11 @@ def scan(a: Automaton, buf: np.ndarray, off: np.ndarray, lanes: int = 8192) -> l
                 nxt = np.where(nxt < 0, -nxt - 1, nxt)
             state[:live] = nxt
             at[:live] += 1
+        for j in range(live):                # the few pieces left: one plain loop each
+            p = int(k[j])
+            state[j], mask = _alone(a, int(state[j]), classes[at[j]:end[p]])
+            if mask:
+                hits[p] = hits.get(p, 0) | mask
         done = a.final[state // a.classes]
         for j in np.flatnonzero(done):
             p = int(k[j])
@@ -345,6 +374,20 @@ def scan(a: Automaton, buf: np.ndarray, off: np.ndarray, lanes: int = 8192) -> l
     return found
 
 
+def _slice(a: Automaton, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rule, start, end) in code points of every span of a slice of texts, and spans per text."""
+    buf, off = utf8(arr)
+    got = np.array(scan(a, buf, off), np.int64).reshape(-1, 4)
+    each = np.bincount(got[:, 0], minlength=len(arr))
+    out = np.empty((len(got), 3), np.int64)
+    out[:, 0] = got[:, 2]
+    for i in np.unique(got[:, 0]):              # code points are counted in texts with spans only
+        at = got[:, 0] == i
+        points = np.cumsum(np.concatenate([[0], (buf[off[i]:off[i + 1]] & 0xC0) != 0x80]))
+        out[at, 1], out[at, 2] = points[got[at, 1] - off[i]], points[got[at, 3] - off[i]]
+    return out, each
+
+
 # -- on tables --------------------------------------------------------------------------------
 
 SPAN = "array<struct<kind string, start bigint, end bigint>>"
@@ -360,14 +403,11 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", rule
         a = shared.value
         kinds = pa.array(a.kinds)
         for arr in batches:
-            buf, off = utf8(arr)
-            got = np.array(scan(a, buf, off), np.int64).reshape(-1, 4)
-            points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-            base = points[off[got[:, 0]]]
+            rows = [_slice(a, x) for x in byte_slices(arr)]
+            got = np.concatenate([r for r, _ in rows]) if rows else np.zeros((0, 3), np.int64)
+            each = np.concatenate([n for _, n in rows]) if rows else np.zeros(0, np.int64)
             item = pa.StructArray.from_arrays(
-                [kinds.take(pa.array(got[:, 2])), pa.array(points[got[:, 1]] - base),
-                 pa.array(points[got[:, 3]] - base)], ["kind", "start", "end"])
-            each = np.bincount(got[:, 0], minlength=len(arr))
+                [kinds.take(pa.array(got[:, 0])), pa.array(got[:, 1]), pa.array(got[:, 2])], ["kind", "start", "end"])
             yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), item)
 
     own = [c for c in docs.columns if c != out]
@@ -375,19 +415,31 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", rule
 
 
 def redact(text: str | Column, spans: str | Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span (overlapping ones merged) replaced by ``mark``; null stays null."""
+    """The text with every span (overlapping ones merged) replaced by ``mark``; null stays null.
+
+    One Arrow pass that joins the stretches between spans, linear in the text."""
     t = F.col(text) if isinstance(text, str) else text
     s = F.col(spans) if isinstance(spans, str) else spans
-    zero = F.struct(F.lit("").alias("o"), F.lit(0).cast("bigint").alias("p"))
-    cut = lambda a, b: t.substr((a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    body = F.aggregate(
-        s, zero,
-        lambda acc, x: F.struct(
-            F.concat(acc["o"], cut(acc["p"], x["start"]),
-                     F.when(x["start"] >= acc["p"], F.lit(mark)).otherwise(F.lit(""))).alias("o"),
-            F.greatest(acc["p"], x["end"]).alias("p")),
-        lambda acc: F.concat(acc["o"], cut(acc["p"], F.length(t).cast("bigint"))))
-    return F.when(F.size(s) > 0, body).otherwise(t)
+
+    @F.arrow_udf("string")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, starts, ends in batches:
+            yield pa.array([_redact(x.as_py(), a.as_py(), b.as_py(), mark)
+                            for x, a, b in zip(texts, starts, ends, strict=True)], pa.string())
+
+    some = F.size(s) > 0                        # only texts with spans travel
+    return F.when(some, cut(F.when(some, t), s["start"], s["end"])).otherwise(t)
+
+
+def _redact(text: str | None, starts: list | None, ends: list | None, mark: str) -> str | None:
+    if text is None or not starts:
+        return text
+    out, at = [], 0
+    for a, b in zip(starts, ends, strict=True):
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join(out) + text[at:]
 
 
 def span_text(spans: str | Column) -> Column:

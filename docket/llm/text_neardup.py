@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import Forest, Scratch, components
+from docket.llm.common import Forest, Scratch, byte_slices, components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6             # a pair at 0.8 shares an equal-weight band with probability 1 - (1 - 0.8^6)^24 = 0.9993
@@ -158,8 +158,7 @@ def band_texts(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: in
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in batches:
             done = []
-            for lo in range(0, len(arr), 1024):
-                part = arr[lo:lo + 1024]
+            for part in byte_slices(arr):
                 owner, h, w = shingles(part)
                 n = np.bincount(owner, minlength=len(part))
                 equal = band_hashes(signatures(owner, h, np.ones_like(w), len(part), bands * rows), bands, rows).view(np.int64)

@@ -14,10 +14,13 @@ make more tiles.  Scores are exact integers; the index loses nothing (recall 1).
 
 The pivots are fitted on a bounded sample (``SAMPLE`` rows by hash of id).
 
-Defined results: vectors that are null, empty, hold null or non-finite components, or
-differ in length from the shortest id's take no part, nor do null ids; equal scores rank
-by smaller id; rows with an id equal to the query's are never its candidates; rows that
-repeat an id and vector count once; an empty table gives an empty table.
+Vectors of each length are searched among themselves: the length is part of the pivot's key.
+
+Defined results: vectors that are null, empty or hold null or non-finite components take no
+part, nor do null ids; vectors of different lengths have no score with each other; equal scores
+rank by smaller id; rows with an id equal to the query's are never its candidates; rows that
+repeat an id and vector count once, several vectors of an id each count; an empty table gives
+an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,6 +40,7 @@ K, SCALE = 20, 64
 PIVOTS, SAMPLE = 16, 2048
 TILE, QBLOCK = 4096, 512
 SLACK = 1e-9
+LENGTH, PIVOT_BITS = 16, (1 << 16) - 1      # a pivot's key: vector length << 16 | its number
 
 
 def integers(df: DataFrame, vec: str = "embedding", scale: int = SCALE):
@@ -98,31 +103,37 @@ def top_k(df: DataFrame, is_query, ids: str = "vec_id", vec: str = "ints", k: in
                       & F.forall("v", lambda x: x.isNotNull())))
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    head = base.agg(F.min(F.struct("id", F.size("v").alias("n")))["n"].alias("dim"),
-                    F.max(norm).alias("m2")).first()
-    if head["dim"] is None:
+    top = base.agg(F.max(norm)).first()[0]
+    if top is None:
         return empty
-    dim, m2 = head["dim"], head["m2"] * (1 + SLACK)
-    base = base.filter(F.size("v") == dim)
+    m2 = top * (1 + SLACK)
+
+    # pivots per length, from a bounded sample; a length outside it has the origin as its pivot
+    sample: dict[int, list] = {}
+    for r in base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect():
+        sample.setdefault(len(r["v"]), []).append(r["v"])
+    fitted = {}
+    for dim, rows in sample.items():
+        X = np.array(rows, np.float64)
+        fitted[dim] = _fit_pivots(np.column_stack([X, np.sqrt(np.maximum(m2 - (X * X).sum(1), 0))]), pivots)
 
-    # pivots, from a bounded sample
-    sample = [r["v"] for r in base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()]
-    X = np.array(sample, np.float64)
-    X = np.column_stack([X, np.sqrt(np.maximum(m2 - (X * X).sum(1), 0))])
-    P = _fit_pivots(X, pivots)
+    def pivots_of(dim: int) -> np.ndarray:
+        return fitted[dim] if dim in fitted else np.zeros((1, dim + 1))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            size = pc.list_value_length(whole.column("v")).to_numpy(zero_copy_only=False)
+            for dim in np.unique(size).tolist():
+                b = whole.filter(pa.array(size == dim))
                 x = vectors(b.column("v"), dim)
-                d = _distances(x, np.sqrt(np.maximum(m2 - (x * x).sum(1), 0)), P)
+                d = _distances(x, np.sqrt(np.maximum(m2 - (x * x).sum(1), 0)), pivots_of(dim))
                 own = d.argmin(1)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), b.column("v"), pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(d)), own]),
+                    [b.column("id"), b.column("v"), pa.array(dim << LENGTH | own), pa.array(d[np.arange(len(d)), own]),
                      b.column("q")], ["id", "v", "pivot", "dist", "q"])
 
     flagged = base.withColumn("q", F.coalesce(is_query(F.col("id")), F.lit(False)))
-    keyed = flagged.mapInArrow(key, "id bigint, v array<bigint>, pivot int, dist double, q boolean")
+    keyed = flagged.mapInArrow(key, "id bigint, v array<bigint>, pivot bigint, dist double, q boolean")
     # rows by (pivot, distance): contiguous runs are the annuli
     ordered = keyed.dropDuplicates(["id", "v"]).repartitionByRange("pivot", "dist", "id") \
                    .sortWithinPartitions("pivot", "dist", "id")
@@ -133,17 +144,21 @@ def top_k(df: DataFrame, is_query, ids: str = "vec_id", vec: str = "ints", k: in
         def tiles(rows, last):
             """Cut off whole tiles; the rest waits for more rows of its pivot."""
             while rows and (last or rows[0][2][0] != rows[-1][2][-1] or sum(len(r[0]) for r in rows) >= tile):
-                i, v, p, d, q = (np.concatenate([r[j] for r in rows]) for j in range(5))
-                n = min(tile, int(np.searchsorted(p, p[0], side="right")))
+                same = [r for r in rows if r[2][0] == rows[0][2][0]]      # rows of one pivot have one length
+                i, v, p, d, q = (np.concatenate([r[j] for r in same]) for j in range(5))
+                n = min(tile, len(i))
                 yield i[:n], v[:n], int(p[0]), float(d[0]), float(d[n - 1]), q[:n]
-                rows[:] = [(i[n:], v[n:], p[n:], d[n:], q[n:])] if n < len(i) else []
-
-        for b in batches:
-            if b.num_rows:
-                held.append((b.column("id").to_numpy(), np.asarray(b.column("v").flatten()).reshape(-1, dim),
+                rows[:] = ([(i[n:], v[n:], p[n:], d[n:], q[n:])] if n < len(i) else []) + rows[len(same):]
+
+        for whole in batches:
+            pivot = whole.column("pivot").to_numpy()
+            for p in np.unique(pivot):                                    # ascending, as the rows are
+                lo, hi = np.searchsorted(pivot, p), np.searchsorted(pivot, p, side="right")
+                b = whole.slice(lo, hi - lo)
+                held.append((b.column("id").to_numpy(), vectors(b.column("v"), int(p) >> LENGTH, np.int64),
                              b.column("pivot").to_numpy(), b.column("dist").to_numpy(),
                              b.column("q").to_numpy(zero_copy_only=False)))
-                yield from map(pack, tiles(held, False))
+            yield from map(pack, tiles(held, False))
         yield from map(pack, tiles(held, True))
 
     def pack(t) -> pa.RecordBatch:
@@ -161,12 +176,12 @@ def top_k(df: DataFrame, is_query, ids: str = "vec_id", vec: str = "ints", k: in
                     least[at + r] = got.min()
         raw = lambda a: pa.array([np.ascontiguousarray(a, np.int64).tobytes()], pa.binary())
         return pa.RecordBatch.from_arrays(
-            [pa.array([f"{p}:{lo!r}:{int(i[0])}:{len(i)}"]), pa.array([p], pa.int32()), pa.array([lo]), pa.array([hi]),
+            [pa.array([f"{p}:{lo!r}:{int(i[0])}:{len(i)}"]), pa.array([p], pa.int64()), pa.array([lo]), pa.array([hi]),
              raw(i), raw(v), raw(i[own]), raw(v[own]), raw(least)],
             ["tile", "pivot", "lo", "hi", "ids", "vecs", "qids", "qvecs", "least"])
 
     index = scratch.table(ordered.mapInArrow(
-        cut, "tile string, pivot int, lo double, hi double, ids binary, vecs binary, "
+        cut, "tile string, pivot bigint, lo double, hi double, ids binary, vecs binary, "
              "qids binary, qvecs binary, least binary"))
 
     # query blocks, each with the interval of distances that can matter, per pivot
@@ -174,7 +189,8 @@ def top_k(df: DataFrame, is_query, ids: str = "vec_id", vec: str = "ints", k: in
         for b in batches:
             for r in b.to_pylist():
                 qid, least = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["least"], np.int64)
-                v = np.frombuffer(r["qvecs"], np.int64).reshape(-1, dim)
+                v = np.frombuffer(r["qvecs"], np.int64).reshape(len(qid), -1)
+                P = pivots_of(v.shape[1])
                 for at in range(0, len(qid), qblock):
                     s = slice(at, at + qblock)
                     x = v[s].astype(np.float64)
@@ -183,20 +199,20 @@ def top_k(df: DataFrame, is_query, ids: str = "vec_id", vec: str = "ints", k: in
                     lo, hi = (d - reach[:, None]).min(0), (d + reach[:, None]).max(0)
                     n = len(P)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([f"{r['tile']}:{at}"] * n), pa.array(np.arange(n, dtype=np.int32)),
+                        [pa.array([f"{r['tile']}:{at}"] * n), pa.array(v.shape[1] << LENGTH | np.arange(n)),
                          pa.array(lo), pa.array(hi)], ["qblock", "pivot", "qlo", "qhi"])
 
     queries = index.filter(F.length("qids") > 0)
     meta = queries.select("tile", "qids", "qvecs", "least").mapInArrow(
-        blocks, "qblock string, pivot int, qlo double, qhi double")
+        blocks, "qblock string, pivot bigint, qlo double, qhi double")
     pairs = (meta.join(index.select("pivot", "tile", "lo", "hi"), "pivot")
                  .filter((F.col("hi") >= F.col("qlo")) & (F.col("lo") <= F.col("qhi")))
                  .select("tile", F.regexp_extract("qblock", r"^(.*):(\d+)$", 1).alias("home"),
                          F.regexp_extract("qblock", r"^(.*):(\d+)$", 2).cast("int").alias("at")))
-    width = dim * 8
-    cut_of = lambda c, w: F.expr(f"substring({c}, at * {w} + 1, {qblock * w})")
+    cut_of = lambda c, w: F.expr(f"substring({c}, cast(at * {w} + 1 as int), cast({qblock} * {w} as int))")
     work = (pairs.join(queries.select(F.col("tile").alias("home"), "qids", "qvecs", "least"), "home")
-                 .select("tile", cut_of("qids", 8).alias("qids"), cut_of("qvecs", width).alias("qvecs"),
+                 .select("tile", cut_of("qids", 8).alias("qids"),
+                         cut_of("qvecs", "(length(qvecs) div length(qids)) * 8").alias("qvecs"),
                          cut_of("least", 8).alias("least"))
                  .join(index.select("tile", "pivot", "lo", "hi", "ids", "vecs"), "tile"))
 
@@ -205,9 +221,10 @@ def top_k(df: DataFrame, is_query, ids: str = "vec_id", vec: str = "ints", k: in
             for j in range(b.num_rows):
                 r = {c: b.column(c)[j].as_py() for c in b.schema.names}
                 qid, least = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["least"], np.int64)
+                dim = r["pivot"] >> LENGTH
                 v = np.frombuffer(r["qvecs"], np.int64).reshape(-1, dim)
                 x = v.astype(np.float64)
-                d = _distances(x, 0.0, P[r["pivot"]][None])[:, 0]
+                d = _distances(x, 0.0, pivots_of(dim)[r["pivot"] & PIVOT_BITS][None])[:, 0]
                 gap = np.maximum(np.maximum(d - r["hi"], r["lo"] - d), 0)
                 go = np.flatnonzero(gap <= _reach(x, least, m2))      # triangle inequality
                 ids_, X = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vecs"], np.int64).reshape(-1, dim)

@@ -12,11 +12,13 @@ The grid join is an equi-join on pairs of cells.  Rows of one vector are classed
 cells are dealt into slots of bounded size and pairs of slots meet in tasks, which emit
 link counts per class and a spanning forest, never pairs.
 
-Defined results: vectors that are null, empty, zero, hold null or non-finite components
-or differ in length from the smallest id's link with nothing and form components of their
-own; exact copies link with each other; an id that repeats counts once, with its smallest
-usable vector; null ids take no part; an empty table gives an empty table; other columns
-are ignored.
+Vectors of each length are joined among themselves: the length is part of the cell's key.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components link
+with nothing and form components of their own, as do vectors of different lengths with each
+other; exact copies link with each other; rows that repeat an id and vector count once, and an
+id with several vectors has a row for each; null ids take no part; an empty table gives an
+empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,16 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import Forest, Scratch, components, vectors, whole_vectors
+from docket.llm.common import Forest, Scratch, components, vectors, whole
 
 THRESHOLD = 0.95
 BLOCKS, AXES = 4, 2
 SAMPLE = 2048
 SLOT = 1024
 SLACK = 1e-6
+LENGTH = 16             # a block's key: vector length << 16 | block
 
 
 def _rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -50,57 +54,68 @@ def _turn(X: np.ndarray, R: np.ndarray) -> np.ndarray:
     return out
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(1))[:, None]
+
+
+class _Plan:
+    """Rotation, blocks, budgets and grid axes for vectors of one length."""
+
+    def __init__(self, dim: int, blocks: int, threshold: float, sample: np.ndarray | None):
+        blocks = min(blocks, dim)
+        self.R = _rotation(dim)
+        edges = np.linspace(0, dim, blocks + 1).astype(int)
+        self.part = [slice(edges[i], edges[i + 1]) for i in range(blocks)]
+        spread = np.ones(dim) if sample is None else _turn(sample, self.R).var(0)
+        share = np.array([spread[p].sum() + 1e-3 / blocks for p in self.part])
+        self.budget = 2 * (1 - threshold) * (1 + SLACK) * share / share.sum()
+        # within a block the axes of widest spread come first
+        self.axes = [np.argsort(-spread[p], kind="stable")[:AXES] + p.start for p in self.part]
+        self.width = np.sqrt(self.budget) * (1 + SLACK)
+
+
 def near_duplicates(df: DataFrame, ids: str = "vec_id", vec: str = "embedding", threshold: float = THRESHOLD,
                     blocks: int = BLOCKS, slot: int = SLOT) -> DataFrame:
-    """``vec_id, n_links, component_id, kept``: one row per id."""
+    """``vec_id, n_links, component_id, kept``: one row per id and vector."""
     spark = df.sparkSession
     scratch = Scratch(spark, "vecdup")
     base = df.select(F.col(ids).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v")) \
              .filter(F.col("id").isNotNull())
-    every = base.select("id").distinct()
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    good = whole_vectors(base, "v").filter((norm > 0) & (norm < float("inf")))
-    head = good.agg(F.min(F.struct("id", F.size("v").alias("n")))["n"].alias("dim")).first()
-    single = every.select(F.col("id").alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"),
-                          F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if head["dim"] is None:
-        return single
-    dim = head["dim"]
-    blocks = min(blocks, dim)
-    good = good.filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    # classes of equal vectors: one representative each
-    members = good.select("id", "v")
-    classes = scratch.table(members.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-
-    R = _rotation(dim)
-    sample = [r["v"] for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()]
-    S = np.array(sample)
-    S = _turn(S / np.sqrt((S * S).sum(1))[:, None], R)
-    edges = np.linspace(0, dim, blocks + 1).astype(int)
-    part = [slice(edges[i], edges[i + 1]) for i in range(blocks)]
-    share = np.array([S[:, p].var(0).sum() + 1e-3 / blocks for p in part])
-    budget = 2 * (1 - threshold) * (1 + SLACK) * share / share.sum()
-    # within a block the axes of widest spread come first
-    axes = [np.argsort(-S[:, p].var(0), kind="stable")[:AXES] + p.start for p in part]
-    width = np.sqrt(budget) * (1 + SLACK)
-
-    def unit(v: np.ndarray) -> np.ndarray:
-        return v / np.sqrt((v * v).sum(1))[:, None]
+    flagged = base.distinct().withColumn("ok", F.coalesce(whole("v") & (norm > 0) & (norm < float("inf")), F.lit(False)))
+    members = flagged.filter("ok").select("id", "v")
+    alone = flagged.filter("not ok").select("id")
+    # classes of equal vectors, numbered
+    classes = scratch.table(members.groupBy("v").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
+                                   .withColumn("rep", F.monotonically_increasing_id()))
+
+    # per length: rotation, blocks, and from a bounded sample their shares of the variance
+    sample: dict[int, list] = {}
+    for r in classes.orderBy(F.xxhash64("low"), "low").limit(SAMPLE).select("v").collect():
+        sample.setdefault(len(r["v"]), []).append(r["v"])
+    held = {dim: _Plan(dim, blocks, threshold, _unit(np.array(rows))) for dim, rows in sample.items()}
+
+    def plan(dim: int) -> _Plan:
+        if dim not in held:
+            held[dim] = _Plan(dim, blocks, threshold, None)
+        return held[dim]
 
     def grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            T = _turn(unit(vectors(b.column("v"), dim)), R)
-            n = len(T)
-            for i in range(blocks):
-                cell = np.floor(T[:, axes[i]] / width[i]).astype(np.int64)
-                cell = np.column_stack([cell, np.zeros((n, 2 - cell.shape[1]), np.int64)])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("rep"), pa.array(np.full(n, i, np.int32)), pa.array(cell[:, 0]), pa.array(cell[:, 1])],
-                    ["rep", "block", "x", "y"])
-
-    cells = scratch.table(classes.select("rep", "v").mapInArrow(grid, "rep bigint, block int, x bigint, y bigint"))
+        for whole_batch in batches:
+            size = pc.list_value_length(whole_batch.column("v")).to_numpy(zero_copy_only=False)
+            for dim in np.unique(size).tolist():
+                b = whole_batch.filter(pa.array(size == dim))
+                p = plan(dim)
+                T = _turn(_unit(vectors(b.column("v"), dim)), p.R)
+                n = len(T)
+                for i in range(len(p.part)):
+                    cell = np.floor(T[:, p.axes[i]] / p.width[i]).astype(np.int64)
+                    cell = np.column_stack([cell, np.zeros((n, 2 - cell.shape[1]), np.int64)])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("rep"), pa.array(np.full(n, dim << LENGTH | i, np.int64)), pa.array(cell[:, 0]),
+                         pa.array(cell[:, 1])], ["rep", "block", "x", "y"])
+
+    cells = scratch.table(classes.select("rep", "v").mapInArrow(grid, "rep bigint, block bigint, x bigint, y bigint"))
     # a cell of n classes is dealt into ceil(n / slot) slots
     count = cells.groupBy("block", "x", "y").agg(F.ceil(F.count(F.lit(1)) / slot).alias("slots"))
     dealt = (cells.join(count, ["block", "x", "y"])
@@ -125,19 +140,19 @@ def near_duplicates(df: DataFrame, ids: str = "vec_id", vec: str = "embedding",
     rows = sent.join(classes, "rep")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i = int(pdf["block"].iat[0])
+        p = plan(int(pdf["block"].iat[0]) >> LENGTH)
+        i = int(pdf["block"].iat[0]) & ((1 << LENGTH) - 1)
+        budget, part = p.budget, p.part
         rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
         V = np.stack(pdf["v"].to_numpy())
-        U, side = unit(V), pdf["side"].to_numpy()
-        T = _turn(U, R)
+        side, T = pdf["side"].to_numpy(), _turn(_unit(V), p.R)
         a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         links = np.zeros(len(rep), np.int64)
         forest = Forest(len(rep))
         tree: list = []
-        p = part[i]
         for lo in range(0, len(a), 256):
             k = a[lo:lo + 256]
-            A, B = T[k][:, p], T[b][:, p]
+            A, B = T[k][:, part[i]], T[b][:, part[i]]
             near = ((A * A).sum(1)[:, None] + (B * B).sum(1) - 2 * A @ B.T) <= budget[i] * (1 + SLACK) + 1e-12
             m, n = np.nonzero(near)
             m, n = k[m], b[n]
@@ -163,12 +178,13 @@ def near_duplicates(df: DataFrame, ids: str = "vec_id", vec: str = "embedding",
     found = scratch.table(rows.groupBy("task").applyInPandas(compare, "a bigint, b bigint, n bigint"))
     links = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comp = components(found.filter("a <> b"), scratch)
-    # back to all members of a class
-    out = (members.select("id", "v").join(classes, "v")
-                  .join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-                  .select("id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"),
-                          F.coalesce("component", "rep").alias("component")))
-    return (every.join(out, "id", "left")
-                 .select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).alias("n_links"),
-                         F.coalesce("component", "id").alias("component_id"))
-                 .withColumn("kept", F.col("vec_id") == F.col("component_id")))
+    # back to all members of a class; a component is named by its smallest id
+    named = (classes.join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+                    .select("v", "low", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+                            F.coalesce("component", "rep").alias("c")))
+    lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
+    out = members.join(named.join(lowest, "c").select("v", "n_links", "component_id"), "v")
+    single = alone.select(F.col("id").alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"),
+                          F.col("id").alias("component_id"))
+    return (out.select(F.col("id").alias("vec_id"), "n_links", "component_id").unionByName(single)
+               .withColumn("kept", F.col("vec_id") == F.col("component_id")))

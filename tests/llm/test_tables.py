@@ -90,6 +90,20 @@ def test_top_k_edges(spark):
     assert topk.top_k(topk.prepare(df.limit(0)), lambda i: i % 20 == 0).count() == 0
 
 
+def test_top_k_by_length_and_with_several_vectors_of_an_id(spark):
+    """A short vector in front silences nothing; each length is searched among itself."""
+    rng = np.random.default_rng(1)
+    X = {3: rng.integers(-9, 9, (45, 3)), 5: rng.integers(-9, 9, (45, 5))}
+    rows = [(0, [1.0])] + [(i + 20 * (n == 5), (x / 64).tolist()) for n in X for i, x in enumerate(X[n])]
+    got = sorted(tuple(r) for r in topk.top_k(topk.prepare(_vec_table(spark, rows)), lambda i: i % 20 == 0, tile=8).collect())
+    want = []
+    for q in (0, 20, 40, 60):
+        pairs = [(-int(X[n][j] @ X[n][q - o]), j + o) for n in X for o in [20 * (n == 5)] if 0 <= q - o < 45
+                 for j in range(45) if j + o != q]
+        want += [(q, r + 1, v, -m) for r, (m, v) in enumerate(sorted(pairs)[:20])]
+    assert got == sorted(want)
+
+
 # -- near-duplicate vectors ---------------------------------------------------------------------
 
 @pytest.mark.parametrize("slot", [4, 1024])
@@ -123,6 +137,13 @@ def test_vector_edges(spark):
     assert vec_neardup.near_duplicates(df.filter("vec_id < 3")).count() == 2
 
 
+def test_vectors_of_several_lengths_and_several_of_an_id(spark):
+    rows = [(0, [1.0]), *[(i, [1.0, 2.0, 3.0 + i / 1000]) for i in range(1, 41)], (50, [1.0, 1.0]), (50, [-1.0, 1.0]), (51, [-2.0, 2.0])]
+    got = sorted(tuple(r) for r in vec_neardup.near_duplicates(_vec_table(spark, rows), slot=8).collect())
+    assert got == sorted([(0, 0, 0, True), *[(i, 39, 1, i == 1) for i in range(1, 41)],
+                          (50, 0, 50, True), (50, 1, 50, True), (51, 1, 50, False)])
+
+
 # -- near-duplicate texts -----------------------------------------------------------------------
 
 def _groups(texts, words=5):
