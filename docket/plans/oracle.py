@@ -527,10 +527,6 @@ WITH r AS (SELECT d.doc_id AS id, d.lang || '/' || CAST(d.doc_id AS VARCHAR) ||
 SELECT id, 'doc_' || CAST(row_number() OVER (ORDER BY id) - 1 AS VARCHAR) AS pos_id, dim::BIGINT AS dim, source,
        source AS pdf, '/pdf/' || source AS pdf_url, '' AS module, 'http://localhost:3000/files/' || source AS url FROM r"""
 
-SQL["normalized_replies"] = """
-SELECT conv_id, turn, upper(role) AS role,
-       upper(regexp_replace(substr(replace(text, 'ß', 'ss'), 1, 20), '^\\s+|\\s+$', '', 'g')) AS reply FROM conversations"""
-
 SQL["whole_replies"] = """
 SELECT conv_id, turn, upper(regexp_replace(chr(32) || chr(10) || replace(text, 'ß', 'ss') || chr(9) || chr(32) || chr(10),
                                            '^\\s+|\\s+$', '', 'g')) AS reply FROM conversations"""
@@ -569,10 +565,6 @@ SELECT id, r.source AS source, r.n_chars AS n_chars, 0::BIGINT AS added_last FRO
 
 SQL["answer_batch_recursive"] = _answer_sql(recursive=True)
 
-SQL["normalized_docs"] = """
-SELECT concat_ws('-', source, CAST(doc_id AS VARCHAR)) AS name,
-       md5(CASE WHEN doc_id % 7 <> 0 THEN coalesce(text, '') ELSE '' END) AS text_md5 FROM documents"""
-
 SQL["whole_docs"] = """
 WITH d AS (SELECT concat_ws('-', source, CAST(doc_id AS VARCHAR)) AS name, md5(coalesce(text, '')) AS text_md5 FROM documents)
 SELECT name, text_md5 FROM d UNION ALL SELECT name || '-null', md5('') FROM d UNION ALL SELECT name || '-empty', md5('') FROM d"""

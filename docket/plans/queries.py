@@ -259,13 +259,6 @@ def collection_records(spark: SparkSession, sf: str) -> DataFrame:
                        T.file_url("source").alias("url"))
 
 
-def normalized_replies(spark: SparkSession, sf: str) -> DataFrame:
-    """T9 over every turn's role and the first 20 characters of its text (whole: whole_replies)."""
-    c = D.table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", T.normalize_reply(F.concat(F.lit("  "), F.col("role"), F.lit(" \n"))).alias("role"),
-                    T.normalize_reply(F.substring(F.replace("text", F.lit("ß"), F.lit("ss")), 1, 20)).alias("reply"))
-
-
 def whole_replies(spark: SparkSession, sf: str) -> DataFrame:
     """T9 over the whole text of every turn, with whitespace put around it."""
     c = D.table(spark, sf, "conversations")
@@ -317,13 +310,6 @@ def upsert_twice(spark: SparkSession, sf: str) -> DataFrame:
     return kept.withColumn("added_last", F.lit(added[-1]).cast("bigint"))
 
 
-def normalized_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """P1 over every document, the texts of every seventh made null (all texts: whole_docs)."""
-    d = D.table(spark, sf, "documents").select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("filename"),
-                                               F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("text"))
-    return C.normalize_docs(d).select("name", F.md5(F.col("text").cast("binary")).alias("text_md5"))
-
-
 def whole_docs(spark: SparkSession, sf: str) -> DataFrame:
     """P1 over every document as it is, and again with a null and with an empty text."""
     d = D.table(spark, sf, "documents").select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("filename"), "text")
@@ -388,7 +374,6 @@ def ingest_archives(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "normalized_docs": normalized_docs,
     "whole_docs": whole_docs,
     "json_rows": json_rows,
     "file_bytes": file_bytes,
@@ -403,7 +388,6 @@ QUERIES = {
     "snippets": snippets,
     "document_names": document_names,
     "collection_records": collection_records,
-    "normalized_replies": normalized_replies,
     "whole_replies": whole_replies,
     "answer_forms": answer_forms,
     "collection_size": collection_size,

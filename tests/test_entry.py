@@ -11,8 +11,8 @@ FAST = ["knn_top5", "rag_context", "top_source_link", "chunk_fixed", "tag_runs",
         "route_fields", "candidate_files", "fuzzy_best", "recent_questions", "library_tree",
         "folder_closure", "lookup_file", "pack_batches", "hash_embed", "answer_batch",
         "chunk_recursive", "dispatch", "knn_cosine", "pair_distance", "snippets", "document_names",
-        "collection_records", "normalized_replies", "answer_forms", "collection_size", "top_folders",
-        "top1_source", "archive_text", "upsert_twice", "normalized_docs", "json_rows", "file_bytes",
+        "collection_records", "whole_replies", "answer_forms", "collection_size", "top_folders",
+        "top1_source", "archive_text", "upsert_twice", "whole_docs", "json_rows", "file_bytes",
         "tree_json", "model_lengths", "answer_stream", "ingest_archives"]
 
 
