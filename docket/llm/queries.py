@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import (bpe, lang_id, mixing, preference, secret_scan, text_neardup, token_counts,
-                        topk, url_rules, vec_neardup)
+from docket.llm import (bpe, hard_negatives, lang_id, mixing, periodic, preference, secret_scan, text_neardup,
+                        token_counts, topk, url_rules, vec_neardup)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -105,9 +105,46 @@ def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
                         secret_scan.span_text("secrets").alias("spans"))
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth (by checksum of the id) repeat a stretch of their words to the end."""
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(1))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(periodic.WORD), 0)
+    n = F.size("__w").cast("bigint")
+    a = F.col("__g") % n
+    p = 1 + F.floor((n - F.col("__a")) / (3 + F.col("__g") % 8))
+    at = lambda i: F.when(i < F.col("__a"), i).otherwise(F.col("__a") + (i - F.col("__a")) % F.col("__p"))
+    again = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1),
+                                     lambda i: F.get("__w", at(i).cast("int"))), " ")
+    return (docs.withColumn("__g", g).withColumn("__w", F.when(h % 10 == 0, words))
+                .withColumn("__a", F.when(n > 0, a)).withColumn("__p", F.when(n > 0, p))
+                .withColumn("text", F.when(n > 0, again).otherwise(F.col("text")))
+                .drop("__g", "__w", "__a", "__p"))
+
+
+def op11_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of repeated words in every document, and its words without the repeats."""
+    found = periodic.find_runs(looped(_table(spark, sf, "documents").select("doc_id", "text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"], r["period"])))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    b = found.withColumn("b", longest)
+    return b.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("b.start").alias("start"),
+                    (-F.col("b.l")).alias("length"), F.col("b.period").alias("period"),
+                    F.floor(-1000 * F.col("b.l") / F.col("b.period")).alias("exponent_milli"),
+                    F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh label is taken for the next one."""
+    rows = hard_negatives.prepare(_table(spark, sf, "embeddings"))
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", noisy), lambda i: i % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_topk, op3_mixing, op4_urls, op5_bpe, op6_counts, op7_vectors, op8_minhash,
-    op9_preference, op10_secrets)}
+    op9_preference, op10_secrets, op11_runs, op12_hard_negatives)}
 
 
 # The other queries rest on a trained model, a vocabulary or matching that SQL cannot express;
@@ -186,4 +223,17 @@ SELECT pair_id, part, turn, 1::BIGINT AS nth, role, rendered,
        CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(h) ELSE 0 END::BIGINT AS train_from,
        CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(rendered) ELSE 0 END::BIGINT AS train_to
 FROM t""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5""",
 }
