@@ -1 +1 @@
-"""Operators for preparing training data: ten operators and their registered queries."""
+"""Operators for preparing training data: thirteen operators and their registered queries."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm import (bpe, hard_negatives, lang_id, mixing, periodic, preference, secret_scan, text_neardup,
+from docket.llm import (bpe, hard_negatives, html_wrappers, lang_id, mixing, periodic, preference, secret_scan, text_neardup,
                         token_counts, topk, url_rules, vec_neardup)
 
 
@@ -142,9 +142,15 @@ def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", noisy), lambda i: i % 100 == 0)
 
 
+def op13_html(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    got = html_wrappers.extract(_table(spark, sf, "pages").select("page_id", "url", "html"))
+    return got.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_topk, op3_mixing, op4_urls, op5_bpe, op6_counts, op7_vectors, op8_minhash,
-    op9_preference, op10_secrets, op11_runs, op12_hard_negatives)}
+    op9_preference, op10_secrets, op11_runs, op12_hard_negatives, op13_html)}
 
 
 # The other queries rest on a trained model, a vocabulary or matching that SQL cannot express;
