@@ -1,39 +1,18 @@
-"""Nearest chunks per question (J3) and top-k per group.
-
-The collection is written by vector cell: each chunk belongs to its nearest of a few
-centroids (fitted on a bounded sample), and each cell knows its radius.  A question first
-asks its own cell, which bounds the distance of its k-th hit, and then only those cells
-that can hold something nearer (distance to the centroid less the radius).  Questions and
-chunks meet by cell in bounded groups (large cells are salted, questions dealt into
-blocks), so nothing but the centroids is on the driver and no pair table exists.
-
-All metrics search in a space where the triangle inequality holds: vectors as they are
-(l2sq), normalised (cosine), or with one more component that makes all norms equal (ip).
-Distances of possible hits are computed by direct differences, rounded to 1e-6, and ties
-are broken by chunk id: the result equals an exhaustive search.
-
-Defined results: null vectors and vectors with null or non-finite components, of chunks or
-questions, take no part, nor do zero vectors under cosine; a question with fewer than k
-chunks gets them all; vectors of unequal length are an error.
+"""Nearest chunks per question (J3), by the stored index of ``vector_index``, and top-k per group.
+
+Here are the kernels of the search: placing vectors in a space where the triangle inequality
+holds, and the best chunks of one tile for some questions.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-
-from docket.functions.vectors import METRICS
-from docket.session import materialize
 
 ROUND = 6
 EDGE = 2e-6              # rounding can move a distance by half of 1e-6
-CELLS, SAMPLE = 32, 2048
-CELL_ROWS, QUESTION_ROWS = 4096, 4096
 
 
 def top_k_per_group(df: DataFrame, keys, order, k: int, rank_col: str = "rk") -> DataFrame:
@@ -70,11 +49,6 @@ def _place(X: np.ndarray, metric: str, m2: float | None) -> np.ndarray:
     return X
 
 
-def _far(X: np.ndarray, P: np.ndarray) -> np.ndarray:
-    """Distances of rows to centroids, by direct differences."""
-    return np.sqrt(np.column_stack([((X - p) ** 2).sum(1) for p in P]))
-
-
 def _reach(limit: np.ndarray, Q: np.ndarray, metric: str, m2: float) -> np.ndarray:
     """Search-space distance within which a hit of distance <= ``limit`` lies."""
     limit = limit + EDGE
@@ -117,99 +91,13 @@ def _hits(Q: np.ndarray, C: np.ndarray, rank: np.ndarray, limit: np.ndarray, k:
 
 def nearest_chunks(questions: DataFrame, chunks: DataFrame, k: int = 5, metric: str = "l2sq",
                    q_id: str = "qid", q_vec: str = "vector", c_id: str = "id", c_vec: str = "vector",
-                   cell_rows: int = CELL_ROWS, question_rows: int = QUESTION_ROWS) -> DataFrame:
-    """``(qid, id, dist, rk)`` for the ``k`` chunks nearest each question vector."""
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}; use one of {METRICS}")
-    spark = chunks.sparkSession
-    q_type = questions.schema[q_id].dataType.simpleString()
-    c_type = chunks.schema[c_id].dataType.simpleString()
-    schema = f"qid {q_type}, id {c_type}, dist double"
-    out_schema = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    nothing = spark.createDataFrame([], schema + ", rk bigint")
-    qs = materialize(_usable(questions.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("v")),
-                             "v", metric), "questions")
-    cs = _usable(chunks.select(F.col(c_id).alias("id"), F.col(c_vec).cast("array<double>").alias("v")), "v", metric)
-    sizes = qs.agg(F.max(F.size("v")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    dim = sizes["d"]
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    sample = cs.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()
-    if not dim or not sample:
-        return nothing
-    m2 = cs.agg(F.max(norm)).first()[0] if metric == "ip" else 0.0
-    if any(len(r["v"]) != dim for r in sample):
-        raise ValueError(f"vector lengths differ from {dim}")
-    S = _place(np.array([r["v"] for r in sample]), metric, m2)
-    P = S[np.linspace(0, len(S) - 1, min(CELLS, len(S))).astype(int)]
-    for _ in range(5):
-        own = _far(S, P).argmin(1)
-        P = np.array([S[own == i].mean(0) if (own == i).any() else P[i] for i in range(len(P))])
-
-    def to_cell(batches):
-        for b in batches:
-            d = _far(_place(_matrix(b.column("v"), dim), metric, m2), P)
-            own = d.argmin(1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("v"), pa.array(own.astype(np.int32)), pa.array(d[np.arange(len(d)), own])],
-                ["id", "v", "cell", "far"])
-
-    cells = materialize(cs.mapInArrow(to_cell, f"id {c_type}, v array<double>, cell int, far double"), "cells")
-    # at most CELLS rows
-    stats = {r["cell"]: (r["n"], r["r"]) for r in
-             cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect()}
-    live = np.array(sorted(stats))
-    radius = np.array([stats[c][1] for c in live])
-    salts = {int(c): math.ceil(stats[c][0] / cell_rows) for c in live}
-    salt_of = F.create_map(*[F.lit(x) for c, n in salts.items() for x in (c, n)])
-    blocks = max(1, math.ceil(sizes["n"] / question_rows))
-    tiles = (cells.withColumn("salt", F.pmod(F.xxhash64("id"), salt_of[F.col("cell")]))
-                  .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    rows = qs.withColumn("blk", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-
-    def visit(first: bool):
-        def fn(batches):
-            for b in batches:
-                X = _matrix(b.column("v"), dim)
-                Q = _place(X, metric, None)
-                far = _far(Q, P[live])
-                limit = b.column("lim").to_numpy(zero_copy_only=False)
-                home = far.argmin(1)
-                if first:
-                    r, c = np.arange(len(Q)), home
-                else:
-                    see = far - radius <= (_reach(limit, X, metric, m2) * (1 + 1e-9) + 1e-9 * (1 + radius.max()))[:, None]
-                    see[np.arange(len(Q)), home] = False
-                    r, c = np.nonzero(see)
-                at = pa.array(r)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("qid").take(at), b.column("v").take(at), b.column("blk").take(at),
-                     b.column("lim").take(at), pa.array(live[c].astype(np.int32))], ["qid", "v", "blk", "lim", "cell"])
-        return fn
-
-    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        if not q.num_rows or not c.num_rows:
-            return out_schema.empty_table()
-        ids = c.column("id").combine_chunks()
-        rank = np.argsort(np.argsort(np.asarray(ids.to_numpy(zero_copy_only=False)), kind="stable"))
-        C, Q = _matrix(c.column("v"), dim), _matrix(q.column("v"), dim)
-        limit = q.column("lim").to_numpy()
-        parts = [(r + lo, i, d) for lo in range(0, len(Q), 512)
-                 for r, i, d in [_hits(Q[lo:lo + 512], C, rank, limit[lo:lo + 512], k, metric)]]
-        r, i, d = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.Table.from_arrays([q.column("qid").take(pa.array(r)), ids.take(pa.array(i)), pa.array(d)],
-                                    names=["qid", "id", "dist"]).cast(out_schema)
-
-    def ask(df: DataFrame, first: bool) -> DataFrame:
-        seen = df.mapInArrow(visit(first), f"qid {q_type}, v array<double>, blk int, lim double, cell int")
-        seen = seen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salt_of[F.col("cell")].cast("bigint") - 1)))
-        keys = ["cell", "salt", "blk"]
-        return seen.groupBy(*keys).cogroup(tiles.groupBy(*keys)).applyInArrow(meet, schema)
-
-    near = materialize(ask(rows.withColumn("lim", F.lit(float("inf"))), True), "near")
-    best = top_k_per_group(near, "qid", [F.col("dist"), F.col("id")], k)
-    bound = best.groupBy("qid").agg(F.max("dist").alias("m"), F.count(F.lit(1)).alias("n"))
-    rest = (rows.join(bound, "qid", "left")
-                .withColumn("lim", F.when(F.col("n") >= k, F.col("m")).otherwise(float("inf")))
-                .select("qid", "v", "blk", "lim"))
-    hits = near.unionByName(ask(rest, False))
-    return top_k_per_group(hits, "qid", [F.col("dist"), F.col("id")], k)
+                   index=None) -> DataFrame:
+    """``(qid, id, dist, rk)`` for the ``k`` chunks nearest each question vector.
+
+    ``index``: the stored index of ``chunks`` (``vector_index.build_index``), which is then searched;
+    without it one is built for this call."""
+    from docket.operators import vector_index as V
+    index = index or V.build_index(chunks, None, metric, c_id, c_vec)
+    if index.tree is not None and index.tree.metric != metric:
+        raise ValueError(f"the index holds distances of {index.tree.metric!r}, not {metric!r}")
+    return V.search(index, questions, k, q_id, q_vec)

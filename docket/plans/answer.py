@@ -23,6 +23,7 @@ from docket.operators import embed as M
 from docket.operators import knn
 from docket.operators import route as R
 from docket.operators import similar as S
+from docket.operators.vector_index import VectorIndex, build_index
 from docket.plans import testdata as D
 from docket.session import cut, materialize, spread
 
@@ -38,14 +39,16 @@ def embedder_name(dim: int = DIM) -> str:
 def answer_batch(questions: DataFrame, chunks: DataFrame, index: DataFrame,
                  k: int = K, dim: int = DIM,
                  model: Callable[[pd.Series], pd.Series] | None = None,
-                 q_id: str = "qid", q_col: str = "question", embedder: str | None = None) -> DataFrame:
+                 q_id: str = "qid", q_col: str = "question", embedder: str | None = None,
+                 vectors: VectorIndex | None = None) -> DataFrame:
     """``(qid, question, category, answer, source_label, source_link, context, prompt)``.
 
     ``chunks``: ``(id, source, content, vector)`` with vectors from the same
     embedder as the questions (``hash_embed`` with ``dim`` by default).
     A collection that names its ``embedder`` must name this one in every row
     (``hash-<dim>`` by default), as vectors of two embedders do not compare.
-    ``index``: ``(pos, path, link)``.  ``model``, when given, turns each
+    ``index``: ``(pos, path, link)``.  ``vectors``: the stored index of ``chunks``; without it one
+    is built for this call.  ``model``, when given, turns each
     prompt into an answer batch by batch (M1).
     """
     if "embedder" in chunks.columns:
@@ -60,7 +63,7 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, index: DataFrame,
     match = S.fuzzy_best_file(req, index)
     ask = qs.filter(F.col("category") == "NOTES_QUERY")
     qvec = M.hash_embed(ask, "qid", "question", dim)
-    hits = knn.nearest_chunks(qvec, chunks, k=k, q_vec="vector", c_vec="vector")
+    hits = knn.nearest_chunks(qvec, chunks, k=k, q_vec="vector", c_vec="vector", index=vectors)
     # k rows per question with their text, read by both branches below: pinned
     # once so the collection is scanned once.
     rows = cut(X.hit_payload(hits, chunks), "hits")
@@ -98,6 +101,6 @@ def notes_chunks(spark: SparkSession, sf_dir: str, method: str = "recursive", di
 
 def flagship(spark: SparkSession, sf_dir: str, method: str = "recursive") -> DataFrame:
     """Every chat question of the test tables answered against the chunked,
-    embedded documents and the notes index."""
-    return answer_batch(D.chat_questions(spark, sf_dir), notes_chunks(spark, sf_dir, method),
-                        D.notes_index(spark, sf_dir))
+    embedded documents, through their stored vector index, and the notes index."""
+    chunks = notes_chunks(spark, sf_dir, method)
+    return answer_batch(D.chat_questions(spark, sf_dir), chunks, D.notes_index(spark, sf_dir), vectors=build_index(chunks))

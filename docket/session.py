@@ -68,9 +68,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh table location under the checkpoint folder."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    """A fresh table location under the checkpoint folder (which ``cleanup`` deletes)."""
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.setdefault(id(spark.sparkContext._jsc), []).append(path)
+    return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -82,16 +89,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.setdefault(id(spark.sparkContext._jsc), []).append(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _WRITTEN: dict[int, list[str]] = {}
 
 
 def cleanup(spark: SparkSession) -> int:
-    """Delete the intermediate tables this process wrote with ``materialize``
-    (and only those).  Call it once every DataFrame built on them has been
+    """Delete the intermediate tables this process wrote with ``materialize`` or at a
+    ``scratch_path`` (and only those).  Call it once every DataFrame built on them has been
     consumed.  Returns the number of folders removed."""
     paths = _WRITTEN.pop(id(spark.sparkContext._jsc), [])
     jvm = spark.sparkContext._jvm

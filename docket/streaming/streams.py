@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docket.operators import chunk as C
 from docket.operators import collection as K
 from docket.operators import embed as M
+from docket.operators.vector_index import VectorIndex, build_index
 from docket.plans.answer import DIM, answer_batch, embedder_name
 from docket.session import checkpoint_dir, own_tables
 from docket.sources.files import extract_archive_text
@@ -33,14 +34,19 @@ def _checkpoint(spark: SparkSession, kind: str, out_path: str) -> str:
 
 
 def answer_stream(questions: DataFrame, chunks: DataFrame, index: DataFrame, out_path: str,
-                  checkpoint: str | None = None, trigger: dict | None = None, **kw) -> StreamingQuery:
-    """F2: answer each micro-batch of ``(qid, question)`` rows; one folder per batch id."""
+                  checkpoint: str | None = None, trigger: dict | None = None,
+                  vectors: VectorIndex | None = None, **kw) -> StreamingQuery:
+    """F2: answer each micro-batch of ``(qid, question)`` rows; one folder per batch id.
+
+    The index of the collection's vectors (``vectors``) is opened once and asked by every
+    micro-batch; without it one is built when the stream starts."""
     spark = questions.sparkSession
+    vectors = vectors or build_index(chunks)
     ckpt = checkpoint or _checkpoint(spark, "answer_stream", out_path)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         with own_tables(spark):
-            answer_batch(batch, chunks, index, **kw).write.mode("overwrite") \
+            answer_batch(batch, chunks, index, vectors=vectors, **kw).write.mode("overwrite") \
                 .parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
     w = questions.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)

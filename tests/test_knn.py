@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from docket.operators import knn
+from docket.operators import knn, vector_index
 
 
 def brute(Q, qids, C, cids, k, metric="l2sq"):
@@ -49,8 +49,9 @@ def test_knn_blocks_path(spark):
     cids = ["c%02d" % i for i in range(60)]
     qdf, cdf = frames(spark, Q, C, cids)
     one = sorted(tuple(r) for r in knn.nearest_chunks(qdf, cdf, k=3).collect())
-    blk = sorted(tuple(r) for r in knn.nearest_chunks(qdf, cdf, k=3, cell_rows=5, question_rows=2).collect())
-    assert one == blk and len(one) == 27
+    small = vector_index.build_index(cdf, leaf_rows=5)
+    blk = sorted(tuple(r) for r in vector_index.search(small, qdf, k=3, block=2).collect())
+    assert one == blk and len(one) == 27 and len(small.extent) > 8
 
 
 def test_knn_hot_copy_group(spark):
@@ -78,7 +79,7 @@ def test_knn_large_norms(spark):
     cids = ["c%02d" % i for i in range(60)]
     qdf, cdf = frames(spark, C[:6], C, cids)
     want = brute(C[:6].astype(np.float64), range(6), C.astype(np.float64), cids, 5)
-    got = knn.nearest_chunks(qdf, cdf, k=5, cell_rows=9).collect()
+    got = vector_index.search(vector_index.build_index(cdf, leaf_rows=9), qdf, k=5).collect()
     for qi in range(6):
         assert [r.id for r in sorted((r for r in got if r.qid == qi), key=lambda r: r.rk)] == [c for c, _ in want[qi]]
 
