@@ -1,14 +1,14 @@
-"""The id-keyed collection: pairing (J1), new rows (J6), upsert (K3), packing
-(K2, W4), positions (W6, P8), records (P6, P7), counts (A1, A2, A5), sample (L1)."""
+"""The id-keyed collection: pairing (J1), new rows (J6), packing (K2, W4), positions (W6, P8),
+records (P6, P7), counts (A1, A2, A5), sample (L1); its store (K3) is in ``store``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docket.operators.store import collection_upsert, dedupe_by_id  # noqa: F401
 from docket.session import materialize
 
-PARTS, PART = 64, "id_part"
 _PID_SHIFT = 33   # monotonically_increasing_id = partition index << 33 | record number
 
 
@@ -75,44 +75,6 @@ def new_only(df: DataFrame, existing: DataFrame, on: str = "id") -> DataFrame:
     return df.join(existing.select(on), on, "left_anti")
 
 
-def dedupe_by_id(df: DataFrame, on: str = "id") -> DataFrame:
-    """One row per id, the smallest by content: deterministic and partially
-    aggregated before the shuffle, so a hot id costs one row per map task."""
-    others = [c for c in df.columns if c != on]
-    if not others:
-        return df.select(on).distinct()
-    g = df.groupBy(on).agg(F.min(F.struct(*others)).alias("_r"))
-    return g.select(on, *[F.col("_r")[c].alias(c) for c in others])
-
-
-def collection_upsert(df: DataFrame, path: str, on: str = "id", parts: int = PARTS) -> int:
-    """K3: append the rows whose id is not stored yet; stored ids are left alone.
-
-    The store is partitioned by a hash of the id (``id_part``, one of ``parts`` for the
-    store's life), so a small batch meets the ids of the partitions it touches and no
-    others.  Returns the number of rows added.  Replaying the same input adds nothing.
-    """
-    spark = df.sparkSession
-    fresh = dedupe_by_id(df.drop(PART), on).withColumn(PART, F.pmod(F.xxhash64(F.col(on).cast("string")), F.lit(parts)).cast("int"))
-    if _exists(spark, path):
-        fresh = materialize(fresh, "upsert")
-        touched = [r[0] for r in fresh.select(PART).distinct().collect()]     # at most ``parts`` numbers
-        stored = spark.read.parquet(path).filter(F.col(PART).isin(touched)).select(on)
-        fresh = new_only(fresh, stored, on)
-    staged = materialize(fresh, "upsert")
-    n = staged.count()
-    if n:
-        staged.repartition(PART).write.mode("append").partitionBy(PART).parquet(path)
-    return n
-
-
-def _exists(spark, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
 def embedding_record(df: DataFrame, source_col: str = "source") -> DataFrame:
     """Add ``pdf``, ``pdf_url`` and an empty ``module``."""
     return df.withColumns({

@@ -20,6 +20,7 @@ from docket.operators import knn
 from docket.operators import tree as TR
 from docket.operators import route as R
 from docket.operators import similar as S
+from docket.operators.vector_index import build_index
 from docket.plans import testdata as D
 from docket.session import scratch_path
 from docket.sources import files as SRC
@@ -352,14 +353,15 @@ def model_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answer_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """every chat question as a stream, answered from fixed chunks."""
+    """every chat question as a stream, answered from fixed chunks through their stored index."""
     from docket.plans import answer as A
     from docket.streaming import streams as ST
     qs = D.chat_questions(spark, sf)
     asked, out = scratch_path(spark, "asked"), scratch_path(spark, "answers")
     qs.write.parquet(asked)
     chunks, index = A.notes_chunks(spark, sf, "fixed"), D.notes_index(spark, sf)
-    ST.answer_stream(spark.readStream.schema(qs.schema).parquet(asked), chunks, index, out).awaitTermination()
+    ST.answer_stream(spark.readStream.schema(qs.schema).parquet(asked), chunks, index, out,
+                     vectors=build_index(chunks)).awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from docket.functions.text import tag_runs
+from docket.operators.store import PART, stored_rows
 
 # The document kinds extracted, matched case-sensitively on the name.
 SUFFIXES = (".pdf", ".docx", ".pptx")
@@ -121,8 +122,8 @@ def extract_archive_text(files: DataFrame) -> DataFrame:
 
 def collection_get(spark: SparkSession, path: str, fields=None) -> DataFrame:
     """The stored collection, only the chosen fields (pruned at the scan)."""
-    df = spark.read.parquet(path)
-    return df.select(*fields) if fields else df
+    df = stored_rows(spark, path)
+    return df.select(*fields) if fields else df.drop(PART)
 
 
 def write_rows(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -19,7 +19,8 @@ from pyspark.sql.streaming import StreamingQuery
 from docket.operators import chunk as C
 from docket.operators import collection as K
 from docket.operators import embed as M
-from docket.operators.vector_index import VectorIndex, build_index
+from docket.operators import store as ST
+from docket.operators.vector_index import VectorIndex, build_index, extend, index_exists, open_index
 from docket.plans.answer import DIM, answer_batch, embedder_name
 from docket.session import checkpoint_dir, own_tables
 from docket.sources.files import extract_archive_text
@@ -38,10 +39,9 @@ def answer_stream(questions: DataFrame, chunks: DataFrame, index: DataFrame, out
                   vectors: VectorIndex | None = None, **kw) -> StreamingQuery:
     """F2: answer each micro-batch of ``(qid, question)`` rows; one folder per batch id.
 
-    The index of the collection's vectors (``vectors``) is opened once and asked by every
-    micro-batch; without it one is built when the stream starts."""
+    ``vectors``, the stored index of the collection's vectors, is opened once and asked by every
+    micro-batch; without it each micro-batch builds one of its own, deleted at its end."""
     spark = questions.sparkSession
-    vectors = vectors or build_index(chunks)
     ckpt = checkpoint or _checkpoint(spark, "answer_stream", out_path)
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -55,12 +55,15 @@ def answer_stream(questions: DataFrame, chunks: DataFrame, index: DataFrame, out
 
 
 def ingest_rows(files: DataFrame, collection_path: str, checkpoint: str | None = None,
-                trigger: dict | None = None, method: str = "recursive", dim: int = DIM) -> StreamingQuery:
+                trigger: dict | None = None, method: str = "recursive", dim: int = DIM,
+                vectors_path: str | None = None) -> StreamingQuery:
     """F3 on a stream of ``(path, content)`` rows -> text (S4) -> chunks (C1, C2) ->
     hash vectors (M2) -> upsert into the collection (K3).
 
     Documents are keyed by a hash of their path (stable across batches) in
-    place of a list position.
+    place of a list position.  With ``vectors_path`` the rows that are new also enter the stored
+    vector index there, before they are stored: a batch sent again after a failure
+    between the two replaces its tiles and then stores its rows.
     """
     spark = files.sparkSession
     ckpt = checkpoint or _checkpoint(spark, "ingest_stream", collection_path)
@@ -71,7 +74,17 @@ def ingest_rows(files: DataFrame, collection_path: str, checkpoint: str | None =
             docs = text.select("name", "text", F.xxhash64("path").alias("doc_index"))
             ch = C.chunk_docs(docs, method=method)
             rows = ch.withColumn("embedding", M.hash_vector("content", dim)).withColumn("embedder", F.lit(embedder_name(dim)))
-            K.collection_upsert(K.embedding_record(rows), collection_path)
+            rows = K.embedding_record(rows)
+            if vectors_path is None:
+                K.collection_upsert(rows, collection_path)
+                return
+            fresh = ST.only_new(rows, collection_path)
+            if fresh.limit(1).count():
+                if index_exists(spark, vectors_path):
+                    extend(open_index(spark, vectors_path), fresh, str(batch_id), c_vec="embedding")
+                else:
+                    build_index(fresh, vectors_path, c_vec="embedding", batch=str(batch_id))
+                K.collection_upsert(fresh, collection_path)
 
     w = files.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
     w = w.trigger(**(trigger or {"availableNow": True}))

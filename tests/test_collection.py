@@ -3,6 +3,8 @@ import os
 from pyspark.sql import functions as F
 
 from docket.operators import collection as K
+from docket.operators import store as ST
+from docket.sources.files import collection_get
 
 
 def test_row_index_and_batches(spark):
@@ -31,10 +33,44 @@ def test_upsert_round_trip(spark, tmp):
     assert K.collection_upsert(rows, path) == 0
     more = spark.createDataFrame([("c", "w"), ("a", "q")], "id string, text string")
     assert K.collection_upsert(more, path) == 1
-    got = sorted(tuple(r) for r in spark.read.parquet(path).drop("id_part").collect())
+    got = sorted(tuple(r) for r in collection_get(spark, path).collect())
     assert got == [("a", "x"), ("b", "y"), ("c", "w")]
 
 
+def test_small_batches_read_few_stored_ids(spark, tmp):
+    path = os.path.join(tmp, "coll")
+    rows = lambda lo, hi: spark.range(lo, hi).select(F.concat(F.lit("k"), "id").alias("id"), F.col("id").alias("n"))
+    got = ST.add_new(rows(0, 40_000), path, part_rows=1000)
+    assert (got["added"], got["parts"], got["ids_read"]) == (40_000, 64, 0)
+    got = ST.add_new(rows(50_000, 51_000), path, part_rows=1000)
+    assert got["added"] == 1000 and got["ids_read"] < 4000          # of 40,000
+    got = ST.add_new(rows(39_990, 40_010), path, part_rows=1000)
+    assert got["added"] == 10 and got["parts_read"] <= 12
+    assert ST.add_new(rows(0, 40_010), path, part_rows=1000)["added"] == 0
+    assert collection_get(spark, path).count() == collection_get(spark, path, ["id"]).distinct().count() == 41_010
+
+
+def test_parts_split_as_the_store_grows(spark, tmp):
+    path = os.path.join(tmp, "coll")
+    for i in range(5):                  # 32 parts for the first 3,500 rows, enough up to 12,800
+        rows = spark.range(i * 3000, (i + 1) * 3000 + 500).select("id", (F.col("id") * 2).alias("n"))
+        got = ST.add_new(rows, path, part_rows=200)
+    assert got["parts"] == 128 and ST.parts_of(spark, path) == 128
+    assert sorted(os.listdir(path)) == ["rows-128", "sketch-128"]
+    assert sorted(tuple(r) for r in collection_get(spark, path).collect()) == [(i, 2 * i) for i in range(15_500)]
+
+
+def test_a_batch_that_broke_off_is_completed(spark, tmp):
+    """The sketch is written, the rows are not: the same batch again stores them."""
+    path = os.path.join(tmp, "coll")
+    a, b = (spark.range(lo, lo + 50).select("id", F.lit("x").alias("t")) for lo in (0, 50))
+    ST.add_new(a, path)
+    ST._sketch(ST._keyed(b, "id", 8), "id").write.mode("append").parquet(f"{path}/sketch-8")
+    assert ST.add_new(b, path)["added"] == 50 and collection_get(spark, path).count() == 100
+    nulls = spark.createDataFrame([(None, "a"), (None, "b")], "id bigint, t string")
+    assert [ST.add_new(nulls, path)["added"] for _ in range(2)] == [1, 0]
+
+
 def test_parity(spark):
     a = spark.createDataFrame([(1,), (2,), (3,)], "id bigint")
     b = spark.createDataFrame([(2,), (3,), (4,)], "id bigint")

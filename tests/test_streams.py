@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from docket.plans import answer as A
 from docket.plans import testdata as D
+from docket.operators import vector_index as VI
+from docket.sources.files import collection_get
 from docket.streaming import streams as ST
 from tests.conftest import SF001
 from tests.test_sources import make_pptx
@@ -31,15 +33,31 @@ def test_ingest_stream_replay_adds_nothing(spark, tmp):
     make_pptx(f"{tmp}/in/b.pptx", [["delta"]])
     coll = f"{tmp}/coll"
     ST.ingest_stream(spark, f"{tmp}/in", coll, checkpoint=f"{tmp}/ck1").awaitTermination()
-    n1 = spark.read.parquet(coll).count()
+    n1 = collection_get(spark, coll).count()
     assert n1 == 2
     # a fresh checkpoint replays every file: ids already stored are left alone
     ST.ingest_stream(spark, f"{tmp}/in", coll, checkpoint=f"{tmp}/ck2").awaitTermination()
-    assert spark.read.parquet(coll).count() == n1
-    row = spark.read.parquet(coll).filter(F.col("source") == "a.pptx").first()
+    assert collection_get(spark, coll).count() == n1
+    row = collection_get(spark, coll).filter(F.col("source") == "a.pptx").first()
     assert row.content == "alpha beta\ngamma" and row.pdf_url == "/pdf/a.pptx" and len(row.embedding) == 64
 
 
+def test_ingest_keeps_the_vector_index_in_step(spark, tmp):
+    src, coll, vectors = f"{tmp}/in", f"{tmp}/coll", f"{tmp}/vectors"
+    files = D.archives(spark, SF001)
+    files.repartition(4).write.parquet(src)
+    stream = lambda: spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    ST.ingest_rows(stream(), coll, checkpoint=f"{tmp}/ck1", vectors_path=vectors).awaitTermination()
+    index = VI.open_index(spark, vectors)
+    rows = collection_get(spark, coll)
+    assert index.rows == rows.count() > 200 and index.read().select("batch").distinct().count() == 4
+    qs = rows.select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
+    got, want = (sorted(map(tuple, VI.search(i, qs, 3).collect())) for i in (index, VI.build_index(rows, c_vec="embedding")))
+    assert got == want
+    ST.ingest_rows(stream(), coll, checkpoint=f"{tmp}/ck2", vectors_path=vectors).awaitTermination()
+    assert VI.open_index(spark, vectors).rows == index.rows == collection_get(spark, coll).count()
+
+
 def test_many_batches_leave_no_tables(spark, tmp):
     base = spark.conf.get("spark.checkpoint.dir")
     qs = D.chat_questions(spark, SF001).limit(6)
