@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docket.operators.store import collection_upsert, dedupe_by_id  # noqa: F401
-from docket.session import materialize
+from docket.session import cut, materialize
 
 _PID_SHIFT = 33   # monotonically_increasing_id = partition index << 33 | record number
 
@@ -99,21 +99,45 @@ def collection_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
 
 
+RANGES = 4096
+
+
+def _range(on: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(on).cast("string")), F.lit(RANGES)).cast("int")
+
+
+def _digests(df: DataFrame, on: str, name: str) -> DataFrame:
+    """Per range of the id's hash: rows and two sums that do not depend on their order."""
+    total = lambda seed: F.sum(F.xxhash64(F.col(on).cast("string"), F.lit(seed)).cast("decimal(20,0)"))
+    null = F.col(on).isNull()
+    return df.groupBy(F.when(null, F.lit(-1)).otherwise(_range(on)).alias("_range")).agg(
+        F.struct(F.count(F.lit(1)).alias("n"), total(1).alias("a"), total(2).alias("b")).alias(name))
+
+
 def check_parity(left: DataFrame, right: DataFrame, on: str = "id",
                  raise_on_mismatch: bool = False) -> DataFrame:
     """A2: ids present on one side only, as ``(side, id)``; with
     ``raise_on_mismatch`` stop when the row counts differ (the reference's
-    test) or any id is missing on one side."""
-    # Distinct ids first (partial aggregates): a repeated id costs one row per
-    # map task, and the full outer join then meets unique keys on both sides.
-    lk = left.select(F.col(on).alias("_l")).distinct()
-    rk = right.select(F.col(on).alias("_r")).distinct()
-    j = lk.join(rk, F.col("_l") == F.col("_r"), "full_outer")
+    test) or any id is missing on one side.
+
+    Both sides are first digested by range of a hash of the id: a count and two independent 64-bit
+    sums per range.  Ranges whose digests agree hold the same ids and are done after that scan;
+    only the ids of ranges that differ are made distinct and joined.  Null ids take no part.
+    """
+    digests = cut(_digests(left, on, "_l").join(_digests(right, on, "_r"), "_range", "full_outer"), "digests")
+    differ = digests.filter(~F.col("_l").eqNullSafe(F.col("_r"))).select("_range")      # at most RANGES numbers
+
+    def keys(side: DataFrame, name: str) -> DataFrame:
+        """Distinct ids of the ranges that differ: a repeated id costs one row per map task."""
+        ids = side.filter(F.col(on).isNotNull()).select(F.col(on).alias(name), _range(on).alias("_range"))
+        return ids.join(differ, "_range", "left_semi").select(name).distinct()
+
+    j = keys(left, "_l").join(keys(right, "_r"), F.col("_l") == F.col("_r"), "full_outer")
     out = j.filter(F.col("_l").isNull() | F.col("_r").isNull()).select(
         F.when(F.col("_r").isNull(), F.lit("left_only")).otherwise(F.lit("right_only")).alias("side"),
         F.coalesce(F.col("_l"), F.col("_r")).alias(on))
     if raise_on_mismatch:
-        nl, nr = left.count(), right.count()
+        nl, nr = digests.agg(F.coalesce(F.sum("_l.n"), F.lit(0)), F.coalesce(F.sum("_r.n"), F.lit(0))).first()
         if nl != nr:
             raise ValueError(f"row counts differ: {nl} vs {nr}")
         if out.limit(1).count():

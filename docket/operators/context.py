@@ -24,36 +24,38 @@ def link_by_contains(names: DataFrame, index: DataFrame, name_col: str = "name",
     """For each name, the link of the first index entry (by ``pos``) whose
     path contains the name, letter case ignored; null when none does.
 
-    No pair of (name, path) is formed blindly: each path is posted under its
-    distinct n-grams, each name looks up only its rarest n-gram (a path holding
-    the name must hold every n-gram of it), and the candidates are verified
-    with ``contains``.  All joins are equi-joins (a hot n-gram is a skewed join,
-    which Spark splits); the n-gram frequency table is a partial aggregate.
+    No pair of (name, path) is formed blindly.  Equal paths are one row, the first.  The n-grams of
+    the names are counted in the paths, and a name looks up only its rarest n-gram (a path holding
+    the name must hold every n-gram of it); candidates are verified with ``contains`` and reduced to
+    the first path per name before they are shuffled, so a name that most paths hold costs one row
+    per task.  No link travels: it is looked up by the position found.  All joins are equi-joins
+    on n-grams of names only (one row per name; Spark broadcasts them by its own byte check).
     """
-    idx = index.select(F.col(pos).alias("_pos"), F.col(link).alias("_link"),
-                       F.lower(F.col(path)).alias("_lp"))
-    postings = None
-    for g in range(1, gram + 1):
-        p = idx.select("_pos", "_link", "_lp", F.explode(_grams(F.col("_lp"), g)).alias("_g"))
-        postings = p if postings is None else postings.unionByName(p)
-    freq = postings.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-
-    ln = names.select(F.lower(F.col(name_col)).alias("_ln")).filter(F.col("_ln").isNotNull()).distinct()
+    idx = index.groupBy(F.lower(F.col(path)).alias("_lp")).agg(
+        F.min(F.struct(F.col(pos).alias("p"), F.col(link).isNotNull().alias("has"), F.col(link).alias("l"))).alias("_at"))
+    idx = cut(idx.filter(F.col("_lp").isNotNull()).select("_lp", F.col("_at.p").alias("_pos"), F.col("_at.l").alias("_link")), "paths")
+    ln = cut(names.select(F.lower(F.col(name_col)).alias("_ln")).filter(F.col("_ln").isNotNull()).distinct(), "names")
     glen = F.least(F.length("_ln"), F.lit(gram))
     nonempty = ln.filter(F.length("_ln") > 0)
     ng = nonempty.select("_ln", F.explode(
         F.transform(F.sequence(F.lit(1), F.length("_ln") - glen + 1),
                     lambda i: F.substring(F.col("_ln"), i, glen))).alias("_g"))
+    wanted = ng.select("_g", F.length("_g").alias("_n")).distinct()
+    sized = F.array(*[F.struct(F.lit(g).alias("n"), _grams(F.col("_lp"), g).alias("g")) for g in range(1, gram + 1)])
+    sizes = [r[0] for r in nonempty.select(glen.alias("n")).distinct().collect()]       # at most ``gram`` numbers
+    kinds = F.flatten(F.transform(F.filter(sized, lambda x: x["n"].isin(sizes or [0])), lambda x: x["g"]))
+    held = idx.select("_pos", F.explode(kinds).alias("_g"))
+    freq = held.join(wanted, "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
     rarest = (ng.join(freq, "_g", "left")
                 .groupBy("_ln")
                 .agg(F.min_by("_g", "_df").alias("_g"),
                      F.count(F.when(F.col("_df").isNull(), 1)).alias("_missing"))
                 .filter(F.col("_missing") == 0)
                 .select("_ln", "_g"))
-    found = (rarest.join(postings, "_g")
-                   .filter(F.col("_lp").contains(F.col("_ln")))
-                   .groupBy("_ln")
-                   .agg(F.min_by("_link", "_pos").alias("_hit")))
+    found = (idx.select("_pos", "_lp", F.explode(kinds).alias("_g")).join(rarest, "_g")
+                .filter(F.col("_lp").contains(F.col("_ln")))
+                .groupBy("_ln").agg(F.min("_pos").alias("_pos"))
+                .join(idx.select("_pos", "_link"), "_pos").select("_ln", F.col("_link").alias("_hit")))
     # The empty name is contained in every path: the first path wins.
     first = idx.agg(F.min_by("_link", "_pos")).scalar()
     found = found.unionByName(ln.filter(F.col("_ln") == "").select("_ln", first.alias("_hit")))

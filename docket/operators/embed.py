@@ -85,8 +85,12 @@ def hash_vector(text, dim: int = 64) -> Column:
     """
     buckets = F.transform(F.coalesce(tokens(text), F.array().cast("array<string>")), lambda x: token_bucket(x, dim))
     each = F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint"))
-    counts = _with(buckets, lambda b: F.transform(
-        each, lambda i: (F.size(b) - F.size(F.array_remove(b, i))).cast("double")))
+    # sorted, the tokens of a bucket are one run: counts are the differences of the runs' starts
+    runs = _with(F.array_sort(buckets), lambda b: F.struct(
+        F.array_distinct(b).alias("k"), F.transform(F.array_distinct(b), lambda x: F.array_position(b, x)).alias("at"), F.size(b).alias("n")))
+    sums = _with(runs, lambda r: F.map_from_arrays(r["k"], F.transform(
+        r["at"], lambda p, i: F.coalesce(F.get(r["at"], i + 1), r["n"] + 1) - p)))
+    counts = _with(sums, lambda m: F.transform(each, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("double")))
     squares = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
     pair = _with(counts, lambda c: F.struct(c.alias("c"), F.sqrt(squares(c)).alias("n")))
     return _with(pair, lambda p: F.transform(p["c"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(0.0)))

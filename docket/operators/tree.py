@@ -12,8 +12,6 @@ conflict)``: one row per node.  Node rules, over entries in index order:
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,41 +73,39 @@ def folder_closure(entries: DataFrame, root=None, max_depth: int | None = None,
     already on its own ancestor path is not entered again, which ends every walk;
     ``max_depth`` stops it earlier on request.
 
-    Plan: one equi-join per level (frontier folders x entries on parent id),
-    each level's result written to the checkpoint folder, until the frontier
-    is empty.  The walk order is the array of (name, id) along the path, so no
-    sibling ranking window is needed; the winner per safe name is a partial
-    aggregate.  (A recursive CTE would do the same but is capped at a fixed
-    number of rows.)
+    Plan: pointer doubling over parent ids.  Every entry starts as a path of one step that points to
+    its parent; in a round each path that is not yet at the root is joined to the paths that its
+    pointer names, so steps double, and a tree of depth d takes about log2(d) rounds of two equi-joins
+    (each written to the checkpoint folder).  A path that meets a node twice is dropped, which ends
+    every cycle.  The walk order is the array of (name, id) along the path, so no sibling ranking
+    window is needed; the winner per safe name is a partial aggregate.
     """
-    e = entries.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent_id"),
-                       F.col(name_col).alias("name"), F.col(folder_col).alias("is_folder"))
-    e = materialize(e, "entries")        # read once per level
-    start = e.filter(F.col("parent_id").isNull() if root is None else (F.col("parent_id") == F.lit(root)))
-    level = start.select("id", F.col("name").alias("path"), F.lit(1).cast("bigint").alias("depth"),
-                         "is_folder", "name", F.array("id").alias("anc"),
-                         F.array(F.struct(F.col("name").alias("n"), F.col("id").alias("i"))).alias("ord"))
-    files = []
-    for d in count(1):
-        level = materialize(level, "walk")
-        files.append(level.filter(~F.col("is_folder")))
-        if d == max_depth:
-            break
-        frontier = level.filter(F.col("is_folder")).select(
-            F.col("id").alias("_pid"), F.col("path").alias("_ppath"), "anc", "ord")
-        if frontier.limit(1).count() == 0:
-            break
-        level = (frontier.join(e, F.col("parent_id") == F.col("_pid"))
-                         .filter(~F.array_contains("anc", F.col("id")))
-                         .select("id", F.concat("_ppath", F.lit("/"), "name").alias("path"),
-                                 F.lit(d + 1).cast("bigint").alias("depth"), "is_folder", "name",
-                                 F.array_append("anc", F.col("id")).alias("anc"),
-                                 F.array_append("ord", F.struct(F.col("name").alias("n"),
-                                                                F.col("id").alias("i"))).alias("ord")))
-    walk = files[0]
-    for f in files[1:]:
-        walk = walk.unionByName(f)
-    walk = walk.select("id", "path", "depth", "name", "ord").withColumn("safe_name", safe_filename("name"))
+    step = F.struct(F.col(name_col).alias("n"), F.col(id_col).alias("i"))
+    e = entries.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up"), F.col(name_col).alias("name"),
+                       F.col(folder_col).alias("is_folder"), F.array(step).alias("ord"))
+    e = materialize(e, "entries")        # read by both sides of every join
+    done = e.filter(F.col("up").isNull() if root is None else (F.col("up") == F.lit(root))).drop("up")
+    open_ = e.filter(F.col("up").isNotNull())
+
+    def onto(paths: DataFrame, keep: list[str]) -> DataFrame:
+        """Open paths continued by ``paths`` of the folder they point to."""
+        above = paths.filter("is_folder").select(F.col("id").alias("_id"), F.col("ord").alias("_ord"), *[F.col(c).alias(f"_{c}") for c in keep])
+        met = open_.join(above, F.col("up") == F.col("_id")).select(
+            "id", *[F.col(f"_{c}").alias(c) for c in keep], "name", "is_folder", F.concat("_ord", "ord").alias("ord"))
+        once = F.size(F.array_distinct(F.transform("ord", lambda x: x["i"]))) == F.size("ord")
+        short = F.size("ord") <= max_depth if max_depth is not None else F.lit(True)
+        return met.filter(once & short)
+
+    while open_.limit(1).count():
+        more = materialize(onto(done, []), "paths")
+        open_ = materialize(onto(open_, ["up"]), "open")
+        done = done.unionByName(more)
+    walk = done.filter(~F.col("is_folder")).select(
+        "id", F.array_join(F.transform("ord", lambda x: x["n"]), "/").alias("path"), F.size("ord").cast("bigint").alias("depth"),
+        "name", "ord").withColumn("safe_name", safe_filename("name"))
+    if max_depth is not None:
+        walk = walk.filter(F.col("depth") <= max_depth)
+    walk = materialize(walk, "walk")
     winner = walk.groupBy("safe_name").agg(F.max_by("ord", "ord").alias("_w"))
     return (walk.join(winner, "safe_name")
                 .select("id", "path", "depth", "safe_name", (F.col("ord") == F.col("_w")).alias("kept")))
@@ -120,37 +116,43 @@ def _json_str(c):
     return F.regexp_extract(F.to_json(F.struct(c.alias("k"))), r'^\{"k":(.*)\}$', 1)
 
 
-def tree_json(nodes: DataFrame) -> DataFrame:
-    """K4: the tree as nested JSON, ``(name, json)`` per top-level node.
+def tree_json_rows(nodes: DataFrame) -> DataFrame:
+    """K4: the tree as nested JSON, in pieces: ``(name, ord, text)`` per top-level node ``name``.
 
-    Built bottom-up, one pass per depth level; each pass groups children under
-    their parent.  A nested document holds all of a folder in one value, as its
-    form demands.  For export; queries use the adjacency table.
+    Every node opens and closes with a row; ``ord`` is the node's place in a tour of the tree (its path,
+    with a mark that sorts opening before the children and closing after them).  The texts of a
+    top-level node in this order, one after the other, are its document.  No folder is held in one value:
+    a node needs to know only whether it is its parent's first child and whether it has children,
+    which are two equi-joins on unique keys.
     """
-    nodes = materialize(nodes, "nodes")  # read once per level
-    max_depth = nodes.agg(F.max("depth")).first()[0] or 0
-    cur = None
-    for d in range(max_depth, 0, -1):
-        level = nodes.filter(F.col("depth") == d)
-        if cur is not None:
-            kids = cur.groupBy("parent_path").agg(
-                F.array_sort(F.collect_list(F.struct("name", "json"))).alias("_k"))
-            level = level.join(kids.withColumnRenamed("parent_path", "path"), "path", "left")
-        else:
-            level = level.withColumn("_k", F.lit(None).cast("array<struct<name:string,json:string>>"))
-        children = F.concat(F.lit("{"), F.array_join(F.transform(
-            "_k", lambda x: F.concat(_json_str(x["name"]), F.lit(":"), x["json"])), ","), F.lit("}"))
-        has_kids = F.col("_k").isNotNull()
-        json = F.concat(
-            F.lit('{"type":'), _json_str(F.col("type")), F.lit(',"name":'), _json_str(F.col("name")),
-            F.when(F.col("type") == "file",
-                   F.concat(F.lit(',"link":'), F.when(F.col("link").isNull(), F.lit("null"))
-                                                .otherwise(_json_str(F.col("link")))))
-             .otherwise(F.lit("")),
-            F.when(has_kids, F.concat(F.lit(',"children":'), children))
-             .when(F.col("type") == "folder", F.lit(',"children":{}')).otherwise(F.lit("")),
-            F.lit("}"))
-        cur = level.select("path", "parent_path", "name", json.alias("json"))
-    if cur is None:
-        return nodes.sparkSession.createDataFrame([], "name string, json string")
-    return cur.select("name", "json")
+    nodes = nodes.select("path", "parent_path", "name", "type", "link")
+    first = materialize(nodes.filter(F.col("parent_path").isNotNull()).groupBy("parent_path").agg(F.min("name").alias("_first")), "first")
+    parents = first.select(F.col("parent_path").alias("_p"), F.lit(True).alias("_kids"))
+    heads = first.select(F.col("parent_path").alias("_q"), F.col("_first"), F.lit(True).alias("_head"))
+    t = (nodes.join(parents, F.col("path") == F.col("_p"), "left")
+              .join(heads, (F.col("parent_path") == F.col("_q")) & (F.col("name") == F.col("_first")), "left"))
+    name, below, holds = _json_str(F.col("name")), F.col("parent_path").isNotNull(), (F.col("type") == "folder") | F.col("_kids").isNotNull()
+    opening = F.concat(
+        F.when(below & F.col("_head").isNull(), F.lit(",")).otherwise(F.lit("")), F.when(below, F.concat(name, F.lit(":"))).otherwise(F.lit("")),
+        F.lit('{"type":'), _json_str(F.col("type")), F.lit(',"name":'), name,
+        F.when(F.col("type") == "file", F.concat(F.lit(',"link":'), F.when(F.col("link").isNull(), F.lit("null")).otherwise(
+            _json_str(F.col("link"))))).otherwise(F.lit("")),
+        F.when(holds, F.lit(',"children":{')).otherwise(F.lit("")))
+    closing = F.when(holds, F.lit("}}")).otherwise(F.lit("}"))
+    place = F.transform(F.split("path", "/"), lambda x: F.concat(F.lit("1"), x))
+    ends = F.array(F.struct(F.lit("0").alias("m"), opening.alias("t")), F.struct(F.lit("2").alias("m"), closing.alias("t")))
+    return (t.select(F.split("path", "/")[0].alias("name"), place.alias("_o"), F.explode(ends).alias("e"))
+             .select("name", F.array_append("_o", F.col("e.m")).alias("ord"), F.col("e.t").alias("text")))
+
+
+def write_tree_json(nodes: DataFrame, path: str) -> None:
+    """The pieces of ``tree_json_rows`` as text files: read in file order, line by line without the line
+    ends, they are the documents of all top-level nodes one after the other."""
+    rows = tree_json_rows(nodes)
+    rows.repartitionByRange("ord").sortWithinPartitions("ord").select("text").write.mode("overwrite").text(path)
+
+
+def tree_json(nodes: DataFrame) -> DataFrame:
+    """K4 as ``(name, json)`` with one text per top-level node, for trees whose documents fit a value."""
+    g = tree_json_rows(nodes).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("_t"))
+    return g.select("name", F.array_join(F.transform("_t", lambda x: x["text"]), "").alias("json"))

@@ -584,7 +584,7 @@ ev AS (SELECT top, list_append(list_transform(k, lambda x: '1' || x), '0') AS or
              || CASE WHEN type = 'file' THEN ',"link":' || coalesce(to_json(link)::VARCHAR, 'null') ELSE ',"children":{{' END AS t FROM o
       UNION ALL
       SELECT top, list_append(list_transform(k, lambda x: '1' || x), '2'), CASE WHEN type = 'file' THEN '}}' ELSE '}}}}' END FROM o)
-SELECT top AS name, string_agg(t, '' ORDER BY ord) AS json FROM ev GROUP BY top"""
+SELECT top AS name, ord, t AS text FROM ev"""
 
 SQL["model_lengths"] = """
 SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars,

@@ -340,8 +340,8 @@ def file_bytes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_json(spark: SparkSession, sf: str) -> DataFrame:
-    """K4: the library tree as nested JSON, one text per top-level node."""
-    return TR.tree_json(TR.library_tree(D.file_index(spark, sf)))
+    """K4: the library tree as nested JSON, in ordered pieces."""
+    return TR.tree_json_rows(TR.library_tree(D.file_index(spark, sf)))
 
 
 def model_lengths(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from docket.operators import tree as TR
 from docket.sources import files as SRC
 
@@ -79,13 +81,15 @@ def test_tree_properties(spark, paths):
     t = {r.path: r for r in TR.library_tree(
         spark.createDataFrame(rows, "pos bigint, path string, link string")).collect()}
     # expected nodes and file ends from a direct walk
-    ends, nodes = {}, set()
+    entries, ends, nodes = {}, {}, set()
     for i, p in enumerate(paths):
+        entries[p] = "u%d" % i          # a path given twice keeps its first place and its last link
+    for p, link in entries.items():
         parts = [x.strip() for x in p.split("/") if x.strip()]
         for d in range(1, len(parts) + 1):
             nodes.add("/".join(parts[:d]))
         if parts:
-            ends["/".join(parts)] = "u%d" % i
+            ends["/".join(parts)] = link
     assert set(t) == nodes
     for path, r in t.items():
         assert r.parent_path is None or r.parent_path in t
@@ -116,3 +120,37 @@ def test_folder_closure_is_not_cut_off(spark):
     rows = [(str(i), str(i - 1) if i else None, f"d{i}", True) for i in range(70)] + [("f", "69", "deep.pdf", False)]
     e = spark.createDataFrame(rows, "id string, parent_id string, name string, is_folder boolean")
     assert [(r.id, r.depth) for r in TR.folder_closure(e).collect()] == [("f", 71)]
+
+
+def test_folder_closure_of_a_long_chain_takes_few_joins(spark, monkeypatch):
+    written = []
+    keep = TR.materialize
+    monkeypatch.setattr(TR, "materialize", lambda df, name="": written.append(name) or keep(df, name))
+    rows = [(i, i - 1 if i else None, f"d{i}", True) for i in range(1000)] + [(1000, 999, "deep.pdf", False), (1001, 3, "top.pdf", False)]
+    e = spark.createDataFrame(rows, "id bigint, parent_id bigint, name string, is_folder boolean")
+    got = {r.id: (r.depth, r.kept) for r in TR.folder_closure(e).collect()}
+    assert got == {1000: (1001, True), 1001: (5, True)}
+    assert written.count("paths") <= 11
+
+
+def test_folder_closure_enters_a_cycle_once(spark):
+    """A root inside a cycle: its own entry is met below it, and ends there."""
+    e = spark.createDataFrame([("x", "a", "X", True), ("a", "x", "A", True), ("f", "a", "f.pdf", False), ("g", "x", "g.pdf", False)],
+                              "id string, parent_id string, name string, is_folder boolean")
+    assert sorted(r.path for r in TR.folder_closure(e, root="x").collect()) == ["A/X/g.pdf", "A/f.pdf", "g.pdf"]
+
+
+def test_tree_json_pieces(spark, tmp):
+    import json
+    t = TR.library_tree(index(spark, [("A/x.pdf", "u1"), ("A/B/y.pdf", "u2"), ("A/B", "u3"), ("C", None)]))
+    rows = sorted((r.name, r.ord, r.text) for r in TR.tree_json_rows(t).collect())
+    whole = {n: "".join(x for m, _, x in rows if m == n) for n in ("A", "C")}
+    assert whole == {r.name: r.json for r in TR.tree_json(t).collect()}
+    assert json.loads(whole["A"])["children"]["B"]["children"]["y.pdf"]["link"] == "u2"
+    # a folder of 100,000 children: short rows only
+    many = spark.range(100_000).select(F.col("id").alias("pos"), F.format_string("big/%06d.pdf", "id").alias("path"), F.lit("u").alias("link"))
+    TR.write_tree_json(TR.library_tree(many), f"{tmp}/json")
+    text = "".join(r[0] for r in spark.read.text(f"{tmp}/json").withColumn("f", F.input_file_name()).withColumn(
+        "i", F.monotonically_increasing_id()).orderBy("f", "i").select("value").collect())
+    assert len(json.loads(text)["children"]) == 100_000
+    assert TR.tree_json_rows(TR.library_tree(many)).agg(F.max(F.length("text"))).first()[0] < 100
