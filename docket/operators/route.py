@@ -116,6 +116,49 @@ def candidate_files(questions: DataFrame, index: DataFrame, q_id: str = "qid",
     return matched.unionByName(rest)
 
 
+SET_BITS = 1 << 15         # positions of one bitmap
+
+
+def candidate_sets(questions: DataFrame, index: DataFrame, q_col: str = "question", pos: str = "pos",
+                   path: str = "path", subjects=SUBJECTS) -> DataFrame:
+    """R4 as sets: ``(_mk, _sk, _jk, bucket, bitmap, n)``, the files that pass a combination of tests, as
+    bitmaps of positions (bit b of bucket u stands for position u * SET_BITS + b), for every combination
+    that some question asks.  Buckets without a file have no row; a combination without any passes nothing.
+
+    Each single test (a module, a semester, a subject) becomes bitmaps by partial aggregates, whatever
+    number of files passes it; a combination intersects the bitmaps of its tests.  Questions refer to a set by
+    its combination, so no question meets a file.
+    """
+    at = F.col(pos)
+    files = file_keys(index.select(at.cast("bigint").alias("_pos"), F.col(path).alias("_path")), "_path", subjects)
+    test = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value")))
+    passed = files.select("_pos", F.explode(F.concat(test("m", F.col("_mods")), test("s", F.col("_sems")), test("j", F.col("_subs")))).alias("t"))
+    bucket = F.floor(F.col("_pos") / SET_BITS)
+    single = passed.groupBy("t.kind", "t.value", bucket.alias("bucket")).agg(
+        F.bitmap_construct_agg(F.pmod("_pos", F.lit(SET_BITS))).alias("bitmap"))
+    asked = question_keys(questions, q_col, subjects).select("_mk", "_sk", "_jk").filter(_has_filter()).distinct()
+    tests = F.filter(F.array(
+        F.when(F.col("_mk") != ANY_NUM, F.struct(F.lit("m").alias("kind"), F.col("_mk").cast("string").alias("value"))),
+        F.when(F.col("_sk") != ANY_NUM, F.struct(F.lit("s").alias("kind"), F.col("_sk").cast("string").alias("value"))),
+        F.when(F.col("_jk") != ANY_SUBJ, F.struct(F.lit("j").alias("kind"), F.col("_jk").alias("value")))), lambda t: t.isNotNull())
+    each = asked.withColumn("_tests", tests).select("_mk", "_sk", "_jk", F.size("_tests").alias("_n"), F.explode("_tests").alias("_t")) \
+                .select("_mk", "_sk", "_jk", "_n", F.col("_t.kind").alias("kind"), F.col("_t.value").alias("value"))
+    both = each.join(single, ["kind", "value"]).groupBy("_mk", "_sk", "_jk", "bucket").agg(
+        F.bitmap_and_agg("bitmap").alias("bitmap"), F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    return (both.filter(F.col("_c") == F.col("_n")).select("_mk", "_sk", "_jk", "bucket", "bitmap", F.bitmap_count("bitmap").alias("n"))
+                .filter("n > 0"))
+
+
+def set_positions(bucket: str = "bucket", bitmap: str = "bitmap") -> Column:
+    """The positions that a bitmap of ``candidate_sets`` holds, ascending."""
+    byte = lambda i: F.conv(F.hex(F.substring(F.col(bitmap), (i + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    full = F.filter(F.transform(F.sequence(F.lit(0), F.lit(SET_BITS // 8 - 1)), lambda i: F.struct(i.alias("i"), byte(i).alias("b"))),
+                    lambda x: x["b"] > 0)
+    bits = F.flatten(F.transform(full, lambda x: F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.floor(x["b"] / F.pow(F.lit(2), k)) % 2 == 1), lambda k: x["i"] * 8 + k)))
+    return F.transform(bits, lambda b: F.col(bucket) * SET_BITS + b)
+
+
 def candidate_summary(questions: DataFrame, index: DataFrame, q_id: str = "qid",
                       q_col: str = "question", pos: str = "pos", path: str = "path",
                       subjects=SUBJECTS) -> DataFrame:

@@ -184,6 +184,12 @@ SELECT q.qid,
        a.qid IS NULL AS all_files
 FROM q LEFT JOIN agg a ON q.qid = a.qid CROSS JOIN tot t"""
 
+SQL["candidate_sets"] = f"""
+WITH {_CANDS}
+SELECT q.qid, count(p.pos) AS n_candidates, md5(string_agg(CAST(p.pos AS VARCHAR), ',' ORDER BY p.pos)) AS positions_md5
+FROM q LEFT JOIN pairs p ON p.qid = q.qid GROUP BY q.qid"""
+
+
 def _fuzzy(qsrc: str) -> str:
     """CTEs ending in ``best(qid, path, link, rating)``."""
     return f"""{_cands(qsrc)},
@@ -289,9 +295,22 @@ SQL["pack_batches"] = f"""
 WITH c AS ({COLL}), r AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM c)
 SELECT CAST(pos // 300 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n_rows,
        string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS ids_csv,
-       CAST(sum(length(content)) AS BIGINT) AS doc_chars, CAST(count(v) AS BIGINT) AS n_vectors
+       CAST(sum(length(content)) AS BIGINT) AS doc_chars,
+       string_agg(source || '|' || (id % 7) || '|' || id, ',' ORDER BY pos) AS metadata_csv,
+       string_agg(CAST(list_reduce(list_prepend(0, list_transform(v, lambda x: floor(x::DOUBLE * 4096)::BIGINT)),
+                                   lambda a, x: a * 3 % 1000003 + x) AS VARCHAR), ',' ORDER BY pos) AS vector_codes
 FROM r GROUP BY 1"""
 
+SQL["file_index_read"] = f"""
+WITH i AS ({FILE_INDEX}),
+e AS (SELECT pos, path, link FROM i UNION ALL SELECT pos + 1099511627776, path, link || '#2' FROM i WHERE pos % 10 = 0),
+r AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, path, link FROM e)
+SELECT min(pos) AS pos, path, arg_max(link, pos) AS link FROM r GROUP BY path"""
+
+SQL["rows_written"] = """
+SELECT form, doc_id, lang, source, n_chars, md5(text) AS text_md5
+FROM documents, (VALUES ('parquet'), ('json')) f(form)"""
+
 SQL["parity"] = """
 SELECT CASE WHEN e.vec_id IS NULL THEN 'left_only' ELSE 'right_only' END AS side,
        coalesce(d.doc_id, e.vec_id) AS id
@@ -543,8 +562,8 @@ k AS (SELECT *, regexp_replace(s2, '(<li>[\\s\\S]*?</li>)', '<ul>\\1</ul>', 'g')
 l AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(s3, '\\n{{2,}}', '<br><br>', 'g'), '\\n', '<br>', 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM k)
 SELECT conv_id, turn, coalesce(answer, 'No answer returned') AS answer, coalesce(label, 'No source label') AS source_label,
        coalesce(link, 'No source link') AS source_link,
-       length(body || CASE WHEN link IS NULL THEN '' ELSE '<br><br><div><strong>Source PDF:</strong> <a href="' || link
-              || '" target="_blank">' || coalesce(label, 'Open PDF') || '</a></div>' END)::BIGINT AS html_chars FROM l"""
+       md5(body || CASE WHEN link IS NULL THEN '' ELSE '<br><br><div><strong>Source PDF:</strong> <a href="' || link
+           || '" target="_blank">' || coalesce(label, 'Open PDF') || '</a></div>' END) AS html_md5 FROM l"""
 
 SQL["collection_size"] = "SELECT count(*) AS n FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"
 
@@ -595,5 +614,11 @@ SQL["answer_stream"] = SQL["answer_batch"]
 SQL["ingest_archives"] = f"""
 WITH a AS ({SQL["archive_text"]}),
 w AS (SELECT name AS source, i AS chunk_id, substr(text, CAST(i * 1000 + 1 AS BIGINT), 1200) AS content
-      FROM a, range(0, CASE WHEN length(text) <= 1200 THEN 1 ELSE CAST(ceil((length(text) - 1200) / 1000.0) AS BIGINT) + 1 END) r(i))
-SELECT source, CAST(chunk_id AS INTEGER) AS chunk_id, content, '/pdf/' || source AS pdf_url FROM w"""
+      FROM a, range(0, CASE WHEN length(text) <= 1200 THEN 1 ELSE CAST(ceil((length(text) - 1200) / 1000.0) AS BIGINT) + 1 END) r(i)),
+k AS (SELECT source, chunk_id, unnest(string_split_regex(lower(content), '[ \\t\\n\\x0b\\f\\r]+')) AS tok FROM w),
+c AS (SELECT source, chunk_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS b, CAST(count(*) AS DOUBLE) AS n
+      FROM k WHERE tok <> '' GROUP BY 1, 2, 3),
+m AS (SELECT source, chunk_id, map(list(b), list(n)) AS m, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1, 2)
+SELECT w.source, CAST(w.chunk_id AS INTEGER) AS chunk_id, content, '/pdf/' || w.source AS pdf_url, 'hash-64' AS embedder,
+       array_to_string(list_transform(range(64), lambda i: CAST(round(coalesce(m.m[i] / m.norm, 0) * 10000) AS BIGINT)::VARCHAR), ',') AS vector_code
+FROM w LEFT JOIN m ON m.source = w.source AND m.chunk_id = w.chunk_id"""

@@ -114,6 +114,41 @@ def candidate_summary(spark: SparkSession, sf: str) -> DataFrame:
     return R.candidate_summary(D.bench_questions(spark, sf), D.notes_index(spark, sf))
 
 
+def candidate_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """R4 as bitmaps: how many files each benchmark question's set holds, and a digest of their positions."""
+    qs, index = D.bench_questions(spark, sf), D.notes_index(spark, sf)
+    sets = R.candidate_sets(qs, index).withColumn("at", R.set_positions())
+    each = sets.groupBy("_mk", "_sk", "_jk").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+    digest = F.md5(F.array_join(F.transform("at", lambda x: x.cast("string")), ",").cast("binary"))
+    return R.question_keys(qs).join(each, ["_mk", "_sk", "_jk"], "left").select(
+        "qid", F.coalesce("n", F.lit(0)).alias("n_candidates"), digest.alias("positions_md5"))
+
+
+def file_index_read(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: the page index written as one JSON object (every tenth path twice), read again; and a missing file."""
+    idx = D.file_index(spark, sf)
+    again = idx.filter("pos % 10 = 0").select((F.col("pos") + (1 << 40)).alias("pos"), "path", F.concat("link", F.lit("#2")).alias("link"))
+    entry = F.concat(TR._json_str(F.col("path")), F.lit(":"), TR._json_str(F.col("link")))
+    lines = idx.unionByName(again).select("pos", F.concat(F.when(F.col("pos") > 0, F.lit(",")).otherwise(F.lit("{")), entry).alias("value"))
+    path = scratch_path(spark, "index")
+    end = spark.createDataFrame([(1 << 62, "}")], "pos bigint, value string")
+    lines.unionByName(end).repartition(1).sortWithinPartitions("pos").select("value").write.text(path)
+    return SRC.scan_file_index(spark, path).unionByName(SRC.scan_file_index(spark, path + "-missing"))
+
+
+def rows_written(spark: SparkSession, sf: str) -> DataFrame:
+    """K1: every document written as parquet and as JSON lines, and both read again."""
+    d = D.table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    out = None
+    for fmt in ("parquet", "json"):
+        path = scratch_path(spark, fmt)
+        SRC.write_rows(d, path, fmt)
+        rows = spark.read.schema(d.schema).format(fmt).load(path).select(
+            F.lit(fmt).alias("form"), "doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def fuzzy_best(spark: SparkSession, sf: str) -> DataFrame:
     """J2 + N1: most similar candidate file per benchmark question."""
     return S.fuzzy_best_file(D.bench_questions(spark, sf), D.notes_index(spark, sf))
@@ -155,17 +190,18 @@ def lookup_file(spark: SparkSession, sf: str) -> DataFrame:
 
 def pack_batches(spark: SparkSession, sf: str) -> DataFrame:
     """K2 + W4 + W6 + P7: the collection packed in batches of 300 by id."""
-    coll = D.vector_collection(spark, sf).select(
-        "id", F.col("content").alias("document"),
-        F.struct("source", F.lit(0).alias("chunk_id"), F.col("id").alias("doc_index")).alias("metadata"),
-        F.col("vector").alias("embedding"))
+    coll = D.vector_collection(spark, sf).withColumns({"chunk_id": F.col("id") % 7, "doc_index": F.col("id")}).select(
+        "id", F.col("content").alias("document"), K.metadata_record("rest").alias("metadata"), F.col("vector").alias("embedding"))
     pb = K.pack_batches(coll, 300, [F.col("id")])
     return pb.select(
         "batch", F.size("ids").cast("bigint").alias("n_rows"),
         F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids_csv"),
         F.aggregate("documents", F.lit(0).cast("bigint"),
                     lambda a, x: a + F.length(x).cast("bigint")).alias("doc_chars"),
-        F.size("embeddings").cast("bigint").alias("n_vectors"))
+        F.array_join(F.transform("metadatas", lambda m: F.concat_ws("|", m["source"], m["chunk_id"].cast("string"),
+                                                                    m["doc_index"].cast("string"))), ",").alias("metadata_csv"),
+        F.array_join(F.transform("embeddings", lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a * 3 % 1000003
+                     + F.floor(x.cast("double") * 4096).cast("bigint"), lambda a: a.cast("string"))), ",").alias("vector_codes"))
 
 
 def parity(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,7 +310,7 @@ def answer_forms(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("conv_id") + F.col("turn")) % 5 == n + 1, F.lit(None)).otherwise(x)
     a = c.select("conv_id", "turn", pick(0, F.col("text")).alias("answer"), pick(1, F.lit("label")).alias("source_label"),
                  pick(2, F.lit("http://x/y")).alias("source_link"))
-    page = X.answer_defaults(a, "page").select("conv_id", "turn", F.length("html").cast("bigint").alias("html_chars"))
+    page = X.answer_defaults(a, "page").select("conv_id", "turn", F.md5(F.col("html").cast("binary")).alias("html_md5"))
     return X.answer_defaults(a, "cli").join(page, ["conv_id", "turn"])
 
 
@@ -372,7 +408,8 @@ def ingest_archives(spark: SparkSession, sf: str) -> DataFrame:
     arrived, coll = scratch_path(spark, "arrived"), scratch_path(spark, "collection")
     files.write.parquet(arrived)
     ST.ingest_rows(spark.readStream.schema(files.schema).parquet(arrived), coll, method="fixed").awaitTermination()
-    return SRC.collection_get(spark, coll, ["source", "chunk_id", "content", "pdf_url"])
+    code = F.array_join(F.transform("embedding", lambda x: F.round(x * 10000).cast("bigint").cast("string")), ",")
+    return SRC.collection_get(spark, coll).select("source", "chunk_id", "content", "pdf_url", "embedder", code.alias("vector_code"))
 
 
 QUERIES = {
@@ -406,6 +443,9 @@ QUERIES = {
     "route_fields": route_fields,
     "candidate_files": candidate_files,
     "candidate_summary": candidate_summary,
+    "candidate_sets": candidate_sets,
+    "file_index_read": file_index_read,
+    "rows_written": rows_written,
     "fuzzy_best": fuzzy_best,
     "recent_questions": recent_questions,
     "library_tree": library_tree,

@@ -51,7 +51,7 @@ def scan_file_index(spark: SparkSession, path: str) -> DataFrame:
     """
     empty = spark.createDataFrame([], "pos bigint, path string, link string")
     try:
-        raw = spark.read.option("wholetext", "true").text(path)
+        raw = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return empty
     parsed = raw.select(F.from_json("value", "map<string,string>").alias("m")).filter(F.col("m").isNotNull())

@@ -70,3 +70,9 @@ def test_damaged_last_slide_gives_no_partial_text(spark, tmp):
     open(bad, "wb").write(raw)
     got = {r["name"]: (r["text"], r["status"]) for r in SRC.extract_archive_text(SRC.scan_files(spark, tmp)).collect()}
     assert got == {"good.pptx": ("slide 1\nslide 2\nslide 3\n", "ok"), "bad.pptx": ("", "error")}
+
+
+def test_file_index_over_several_lines(spark, tmp):
+    with open(f"{tmp}/idx.json", "w") as f:
+        f.write('{\n  "b/x.pdf": "1",\n  "a \\"q\\".pdf": null,\n  "b/x.pdf": "2"\n}\n')
+    assert sorted(tuple(r) for r in SRC.scan_file_index(spark, f"{tmp}/idx.json").collect()) == [(0, "b/x.pdf", "2"), (1, 'a "q".pdf', None)]
