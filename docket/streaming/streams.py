@@ -1,7 +1,7 @@
 """Streams: questions in, answers out (F2); files in, collection rows out.
 
-Both are stateless per micro-batch and reuse the batch operators through
-``foreachBatch``.  Answers are written per batch id (overwrite), and the
+Both reuse the batch operators through ``foreachBatch``; the ids of questions seen are the only
+state.  Answers are written per batch id (overwrite), and the
 collection upsert is keyed by content id, so a replayed batch after a failure
 changes nothing.  Intermediate tables of a micro-batch are deleted at its end, and the
 default checkpoint is named after the output, so no two streams share one.
@@ -36,9 +36,13 @@ def _checkpoint(spark: SparkSession, kind: str, out_path: str) -> str:
 
 def answer_stream(questions: DataFrame, chunks: DataFrame, index: DataFrame, out_path: str,
                   checkpoint: str | None = None, trigger: dict | None = None,
-                  vectors: VectorIndex | None = None, **kw) -> StreamingQuery:
+                  vectors: VectorIndex | None = None, event_time: str | None = None,
+                  delay: str = "1 day", **kw) -> StreamingQuery:
     """F2: answer each micro-batch of ``(qid, question)`` rows; one folder per batch id.
 
+    The stream keeps the ids it has seen as keyed state, so a question sent again, in the same or in a
+    later micro-batch, is answered once.  With ``event_time`` (a timestamp column) an id is kept only as long
+    as its repeats may arrive, ``delay`` after it; without it the state grows with the distinct ids.
     ``vectors``, the stored index of the collection's vectors, is opened once and asked by every
     micro-batch; without it each micro-batch builds one of its own, deleted at its end."""
     spark = questions.sparkSession
@@ -49,7 +53,12 @@ def answer_stream(questions: DataFrame, chunks: DataFrame, index: DataFrame, out
             answer_batch(batch, chunks, index, vectors=vectors, **kw).write.mode("overwrite") \
                 .parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
-    w = questions.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
+    q_id = kw.get("q_id", "qid")
+    if event_time is None:
+        once = questions.dropDuplicates([q_id])
+    else:
+        once = questions.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([q_id])
+    w = once.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 

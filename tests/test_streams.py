@@ -72,5 +72,20 @@ def test_many_batches_leave_no_tables(spark, tmp):
     assert set(os.listdir(base)) == before
 
 
+def test_a_question_sent_again_is_answered_once(spark, tmp):
+    qs = D.chat_questions(spark, SF001).limit(4).withColumn("at", F.current_timestamp())
+    src = f"{tmp}/q"
+    for i in range(3):                                     # the same questions in three micro-batches, twice in each
+        qs.unionByName(qs).coalesce(1).write.mode("append").parquet(src)
+    chunks, index = A.notes_chunks(spark, SF001, "fixed"), D.notes_index(spark, SF001)
+    vectors = VI.build_index(chunks)
+    for name, kw in (("plain", {}), ("timed", {"event_time": "at"})):
+        stream = spark.readStream.schema(qs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        out = f"{tmp}/{name}"
+        ST.answer_stream(stream, chunks, index, out, checkpoint=f"{tmp}/ck-{name}", vectors=vectors, **kw).awaitTermination()
+        got = [r.qid for r in spark.read.parquet(out).collect()]
+        assert sorted(got) == sorted(r.qid for r in qs.select("qid").collect())
+
+
 def test_default_checkpoints_differ(spark):
     assert ST._checkpoint(spark, "answer_stream", "/a") != ST._checkpoint(spark, "answer_stream", "/b")
