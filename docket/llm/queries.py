@@ -164,33 +164,27 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
 FROM s QUALIFY rank <= 20""",
     "op3_mixing": """
-WITH RECURSIVE k AS (SELECT 1000 AS period, 16 AS rows_),
-d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS s FROM documents),
-n AS (SELECT s, count(*) AS n FROM d GROUP BY s),
-w AS (SELECT s, n, sqrt(n * sqrt(n)) AS w, count(*) OVER () AS k, sum(sqrt(n * sqrt(n))) OVER () AS sw FROM n),
-x AS (SELECT s, n, k, greatest((SELECT period FROM k), 4 * k) AS p, w / sw AS f FROM w),
-y AS (SELECT s, n, p, k, f * (p - k) AS e FROM x),
-parts AS (SELECT s, n, p, (1 + floor(e) + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, s)
-          <= p - k - sum(floor(e)) OVER () THEN 1 ELSE 0 END)::BIGINT AS a FROM y),
-arr AS (SELECT list(a ORDER BY s) AS a, list(s ORDER BY s) AS names, any_value(p) AS p FROM parts),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, 'null') AS s FROM documents),
+n AS (SELECT s, count(*) AS n, sqrt(count(*) * sqrt(count(*))) AS w FROM d GROUP BY s),
+o AS (SELECT list(s ORDER BY s) AS names, list(n ORDER BY s) AS ns, list(w ORDER BY s) AS raw FROM n),
+arr AS (SELECT names, ns, list_transform(raw, lambda x: x / list_reduce(raw, lambda p, q: p + q)) AS w FROM o),
+hm AS (SELECT list_max(list_transform(range(1, len(w) + 1), lambda i: ceil(((ns[i] + 15) // 16) / w[i])::BIGINT)) AS h FROM arr),
 edf AS (
-  SELECT 0 AS t, list_transform(a, lambda x: 0::BIGINT) AS had, NULL::BIGINT AS src, NULL::BIGINT AS nth FROM arr
+  SELECT 0::BIGINT AS t, list_transform(w, lambda x: 0::BIGINT) AS had, NULL::BIGINT AS src, NULL::BIGINT AS nth FROM arr
   UNION ALL
-  SELECT t + 1, list_transform(had, lambda h, i: CASE WHEN i = win THEN h + 1 ELSE h END), win, had[win]
-  FROM (SELECT t, had, (list_min(list_filter(list_transform(range(1, len(arr.a) + 1), lambda i:
-              CASE WHEN floor(had[i] * arr.p / arr.a[i]) <= t
-                   THEN ceil((had[i] + 1) * arr.p / arr.a[i])::BIGINT * 1000000 + i END), lambda z: z IS NOT NULL)) % 1000000)::BIGINT AS win
-        FROM edf, arr WHERE t < arr.p)),
-plan AS (SELECT names[src] AS s, nth, t - 1 AS slot FROM edf, arr WHERE src IS NOT NULL),
-hz AS (SELECT max((b // a) * p + slot + 1) AS h FROM (SELECT *, (n + (SELECT rows_ FROM k) - 1) // (SELECT rows_ FROM k) - 1 AS b FROM parts) q
-       JOIN plan ON plan.s = q.s AND plan.nth = q.b % q.a),
-quota AS (SELECT parts.s, n, a, p, ((h // p) * a + (SELECT count(*) FROM plan WHERE plan.s = parts.s AND slot < h % p)) * (SELECT rows_ FROM k) AS q
-          FROM parts, hz),
+  SELECT t + 1, list_transform(had, lambda a, i: CASE WHEN i = win THEN a + 1 ELSE a END), win, had[win]
+  FROM (SELECT t, had, list_sort(list_transform(range(1, len(w) + 1), lambda i:
+          {'e': floor(had[i] / w[i] * (1 + 1e-12::DOUBLE) + 1e-12::DOUBLE) > t,
+           'k': CASE WHEN floor(had[i] / w[i] * (1 + 1e-12::DOUBLE) + 1e-12::DOUBLE) > t THEN floor(had[i] / w[i] * (1 + 1e-12::DOUBLE) + 1e-12::DOUBLE)
+                     ELSE ceil((had[i] + 1) / w[i] * (1 - 1e-12::DOUBLE) - 1e-12::DOUBLE) END, 'i': i}))[1].i AS win FROM edf, arr, hm WHERE t < h)),
+plan AS (SELECT names[src] AS s, ns[src] AS n, nth, t - 1 AS slot FROM edf, arr WHERE src IS NOT NULL),
+hz AS (SELECT max(slot) AS z FROM plan WHERE nth = (n + 15) // 16 - 1),
+p AS (SELECT plan.* FROM plan, hz WHERE slot <= z),
+quota AS (SELECT s, any_value(n) AS n, count(*) * 16 AS q FROM p GROUP BY s),
 i AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS i FROM d),
-e AS (SELECT i.*, n, a, p, unnest(range(0, (q - 1 - i) // n + 1)) AS mix_epoch FROM i JOIN quota USING (s) WHERE i < q)
-SELECT doc_id, source, mix_epoch::BIGINT AS mix_epoch,
-       ((((i + mix_epoch * n) // 16) // a) * p + slot)::BIGINT AS mix_slot
-FROM e JOIN plan ON plan.s = e.s AND plan.nth = ((i + mix_epoch * n) // 16) % a""",
+e AS (SELECT i.*, n, unnest(range(0, (q - 1 - i) // n + 1)) AS mix_epoch FROM i JOIN quota USING (s) WHERE i < q)
+SELECT doc_id, source, mix_epoch::BIGINT AS mix_epoch, slot AS mix_slot
+FROM e JOIN p ON p.s = e.s AND p.nth = (i + mix_epoch * e.n) // 16""",
     "op7_vectors": """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v

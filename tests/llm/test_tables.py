@@ -250,34 +250,47 @@ def test_ids_with_several_texts_repeats_and_null_ids(spark):
 
 # -- mixing -------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "zz": 9}])
+@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "zz": 9}, {"a": 0.07, "b": 3, "c": 1.3, "d": 0.2}])
 def test_mix_stays_within_a_block_of_the_targets(spark, weights):
     rows = [(i, "a" if i % 3 == 0 else "bcd"[i % 7 % 3]) for i in range(600)] + [(900, None), (901, None), (901, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string").withColumn("mix_slot", F.lit("mine"))
-    got = mixing.mix(df, weights, block_rows=4, period=50).collect()
+    got = mixing.mix(df, weights, block_rows=4, frame=50).collect()
     first = Counter((r["doc_id"], r["source"]) for r in got if r["mix_epoch"] == 0)
     assert first == Counter(rows)                                  # whole: every row once in the first pass
     pos = [r["mix_pos"] for r in got]
     assert sorted(pos) == list(range(len(pos)))
     counts = Counter(s for _, s in rows)
-    names = sorted(counts, key=lambda s: (s is None, s or ""))
-    table = spark.createDataFrame([("null" if s is None else "=" + s, counts[s]) for s in names], "src string, n bigint")
-    keys = {f"={k}": v for k, v in weights.items()} if weights else None
-    parts = {r["src"]: (r["parts"], r["period"]) for r in mixing.parts_table(table, keys, 50).collect()}
-    assert sum(p for p, _ in parts.values()) == 50
+    given = {s: n ** .75 for s, n in counts.items()} if weights is None else {s: weights.get(s, 0) for s in counts}
+    given = {s: w or sum(given.values()) * mixing.LEAST for s, w in given.items()}
     seen = Counter()
     by_slot = {r["mix_slot"]: r["source"] for r in got}
     for t in range(max(by_slot) + 1):
         seen[by_slot[t]] += 1
-        for s in names:
-            p, period = parts["null" if s is None else "=" + s]
-            assert abs(seen[s] - p * (t + 1) / period) < 1
-    for s in names:                                                # epochs of a source differ by one at most
+        for s in counts:
+            assert abs(seen[s] - given[s] / sum(given.values()) * (t + 1)) < 1
+    for s in counts:                                               # epochs of a source differ by one at most
         each = Counter(r["doc_id"] for r in got if r["source"] == s)
         times = [n / Counter(rows)[(i, s)] for i, n in each.items()]
         assert max(times) - min(times) <= 1
 
 
+@pytest.mark.parametrize("shares", [[0.9995, 0.0005], [10 + i % 97 for i in range(150)], [0.6, 0.25, 0.1, 0.03, 0.015, 0.004, 0.001]])
+def test_true_weights_over_many_frames(spark, shares):
+    """Half a per mille, or many sources: no rounding of weights, and no drift."""
+    n = 16 if len(shares) > 100 else 64
+    counts = spark.createDataFrame([(f"={i:04d}", n if i + 1 == len(shares) else 16) for i in range(len(shares))], "src string, n bigint")
+    scratch = Scratch(spark, "test")
+    sources = scratch.table(mixing.targets(counts, {f"={i:04d}": float(x) for i, x in enumerate(shares)}))
+    plan = [(r["slot"], r["i"], r["nth"]) for r in mixing.schedule(sources, scratch, 16, frame=100 if len(shares) > 100 else 1000).collect()]
+    w = np.array(shares, float) / sum(shares)
+    assert len(plan) >= (700 if len(shares) > 100 else 4000)
+    had = np.zeros(len(shares))
+    for t, (slot, i, nth) in enumerate(sorted(plan)):
+        assert slot == t and nth == had[i]
+        had[i] += 1
+        assert np.abs(had - w * (t + 1)).max() < 1 + 1e-9
+
+
 def test_mix_edges(spark):
     df = spark.createDataFrame([], "doc_id bigint, source string")
     assert mixing.mix(df).count() == 0
