@@ -24,7 +24,7 @@ import os
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from docket.session import materialize
+from docket.session import delete_path, materialize
 
 PART_ROWS, LEAST_PARTS, PART = 100_000, 8, "id_part"
 BITS, MAP = 1 << 21, 1 << 15            # bits of a part's filter; bits of one stored bitmap
@@ -152,8 +152,7 @@ def _split(spark: SparkSession, path: str, on: str, parts: int, more: int) -> in
     rows = _keyed(spark.read.parquet(os.path.join(path, f"rows-{parts}")).drop(PART), on, more)
     _write(rows, path, on, more, "overwrite")
     for name in (f"rows-{parts}", f"sketch-{parts}"):
-        p, fs = _fs(spark, os.path.join(path, name))
-        fs.delete(p, True)
+        delete_path(spark, os.path.join(path, name))
     return more
 
 

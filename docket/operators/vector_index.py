@@ -40,9 +40,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from docket.functions.vectors import METRICS
 from docket.operators.knn import _hits, _matrix, _place, _reach, _usable, top_k_per_group
-from docket.session import materialize, path_exists, scratch_path
+from docket.session import delete_path, materialize, path_exists, scratch_path
 
-LEAVES, LEAF_ROWS, PER_LEAF = 2048, 2048, 16     # sample rows: 16 per leaf or more, at most LEAVES * PER_LEAF
+LEAVES, LEAF_ROWS, PER_LEAF = 2048, 256, 16      # sample rows: 16 per leaf or more, at most LEAVES * PER_LEAF
 TILE, BLOCK, BUFFER = 2048, 512, 16384
 
 
@@ -215,20 +215,23 @@ def _write_tiles(rows: DataFrame, tree: Tree, path: str, batch: str) -> None:
 
 
 def build_index(chunks: DataFrame, path: str | None = None, metric: str = "l2sq", c_id: str = "id", c_vec: str = "vector",
-                batch: str = "0", leaf_rows: int = LEAF_ROWS) -> VectorIndex:
-    """Fit and write the index of a collection at ``path`` (a scratch table without it)."""
+                batch: str = "0", leaf_rows: int | None = None) -> VectorIndex:
+    """Fit and write the index of a collection at ``path`` (a scratch table without it): a leaf per
+    ``LEAF_ROWS`` rows beyond the first tile, or per ``leaf_rows``."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; use one of {METRICS}")
     spark = chunks.sparkSession
     path = path or scratch_path(spark, "vectors")
     rows = _chunks(chunks, c_id, c_vec, metric)
     index = VectorIndex(spark, path, rows.schema["id"].dataType.simpleString())
+    for part in ("tree", "tiles"):                  # a former index there, the tree that makes it whole first
+        delete_path(spark, os.path.join(path, part))
     size = _sizes(rows)
     if not size["n"] or not size["dim"]:
         return index
     if size["low"] != size["dim"]:
         raise ValueError(f"vector lengths differ from {size['dim']}")
-    leaves = max(1, min(LEAVES, size["n"] // leaf_rows))
+    leaves = max(1, min(LEAVES, size["n"] // leaf_rows if leaf_rows else (size["n"] - TILE) // LEAF_ROWS))
     depth = (leaves - 1).bit_length()
     shell = Tree(metric, size["dim"], size["m2"] if metric == "ip" else 0.0, np.zeros((0, 0)), np.zeros(0), np.zeros((1, 0)))
     width = size["dim"] + (metric == "ip")

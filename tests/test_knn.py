@@ -104,3 +104,41 @@ def test_knn_many_splits_coalesced(spark):
     got = knn.nearest_chunks(qdf, cdf.repartition(100), k=3).collect()   # 100 splits > 3 x cores
     for qi in range(3):
         assert [r.id for r in sorted((r for r in got if r.qid == qi), key=lambda r: r.rk)] == [c for c, _ in want[qi]]
+
+
+def test_blocks_go_only_to_tiles_they_can_reach():
+    """On vectors in clusters most question x chunk pairs are never compared."""
+    from tools.knn_share import share
+    rng = np.random.default_rng(1)
+    C = rng.normal(size=(50, 32))
+    X = C[rng.integers(0, 50, 10_000)] + rng.normal(size=(10_000, 32)) * 0.05
+    assert share(X, X[::40]) < 0.2
+
+
+def test_an_index_is_opened_extended_and_searched(spark, tmp):
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(700, 6)).astype(np.float32)
+    ids = ["c%03d" % i for i in range(700)]
+    qdf, cdf = frames(spark, X[:9], X, ids)
+    path = f"{tmp}/index"
+    for metric in ("l2sq", "cosine"):
+        vector_index.build_index(cdf.filter("id < 'c500'"), path, metric, leaf_rows=40)
+        assert vector_index.index_exists(spark, path)
+        index = vector_index.open_index(spark, path)
+        for batch in ("b", "b"):                        # sent twice: it replaces itself
+            index = vector_index.extend(index, cdf.filter("id >= 'c500'"), batch)
+        assert index.rows == 700
+        got = sorted(tuple(r) for r in vector_index.search(index, qdf, 4).collect())
+        assert got == sorted(tuple(r) for r in knn.nearest_chunks(qdf, cdf, 4, metric).collect()) and len(got) == 36
+    with pytest.raises(ValueError):
+        knn.nearest_chunks(qdf, cdf, 4, "l2sq", index=index)
+    with pytest.raises(ValueError):
+        vector_index.extend(index, spark.createDataFrame([("z", [1.0])], "id string, vector array<float>"), "z")
+
+
+def test_repeated_rows_and_questions(spark):
+    cdf = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [1.0, 0.0]), ("b", [0.9, 0.0]), (None, [1.0, 0.0]), ("c", [0.0, 1.0])],
+                                "id string, vector array<float>")
+    qdf = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "qid bigint, vector array<float>")
+    got = sorted((r.qid, r.rk, r.id) for r in knn.nearest_chunks(qdf, cdf, k=2).collect())
+    assert got == [(1, 1, "a"), (1, 1, "c"), (1, 2, "b"), (1, 2, "b")]
