@@ -62,6 +62,37 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def _plain_probabilities(m, text):
+    """The network written out per position, in double precision: the mean over all positions of a text."""
+    f = lambda a: a / (1 + abs(a))
+    H, total, data = m["Uf"].shape[1], 0, text.encode()
+
+    def states(E, U, xs):
+        h, out = np.zeros(H), []
+        for x in xs:
+            e, u = E[:, x].astype(float), U.astype(float) @ h
+            z, r = (1 + f(e[:H] + u[:H])) / 2, (1 + f(e[H:2 * H] + u[H:2 * H])) / 2
+            c = f(e[2 * H:] + r * u[2 * H:])
+            h = c + z * (h - c)
+            out.append(h)
+        return out
+
+    for lo in range(0, len(data), m["window"]):
+        xs = data[lo:lo + m["window"]]
+        for a, b in zip(states(m["Ef"], m["Uf"], xs), states(m["Eb"], m["Ub"], xs[::-1])[::-1], strict=True):
+            y = m["W"].astype(float) @ np.concatenate([a, b]) + m["b"][:, 0]
+            p = np.exp(y - y.max())
+            total = total + p / p.sum()
+    return total / len(data)
+
+
+def test_language_forward_pass_by_hand():
+    texts = ["the quick brown fox " * 9, "der schnelle braune Fuchs ü " * 7, "x", "é", "le renard brun " * 11 + "fin"]
+    m = lang_id.train(texts[:2] + texts[4:], ["en", "de", "fr"], steps=12)
+    got = lang_id.predict(m, *utf8(pa.array(texts)))
+    assert np.abs(got - np.array([_plain_probabilities(m, t) for t in texts])).max() < 1e-4
+
+
 def test_language_windows_do_not_depend_on_batching():
     model = lang_id.train(["abc def " * 20, "xyz uvw " * 20], ["a", "b"], steps=3)
     texts = ["abc " * 100, "", "z", "uvw xyz " * 31]
