@@ -228,10 +228,12 @@ def _found(docs: DataFrame, doc_id: str, text: str, threshold: float, bands: int
                    .withColumn("task", F.when(F.col("slots") == 1, F.pmod(F.xxhash64("component"), F.lit(bins)))
                                .otherwise(F.xxhash64("component", F.least("s", "t"), F.greatest("s", "t"))))
                    .withColumn("side", F.when(F.col("s") == F.col("t"), 2).when(F.col("s") < F.col("t"), 0).otherwise(1)))
-    # a text is read from the rows of its smallest id
-    sent = dealt.select(*_at("id", "__"), "rep", "component", "bands", "task", "side")
-    work = base.select("text", *_at("id", "__")).join(sent, ["__id", "__no", "__k1", "__k2"]) \
-               .select("rep", "text", "component", "bands", "task", "side")
+    # a text is read from the rows of its smallest id; only texts of groups travel, found by a table of keys
+    # that Spark may broadcast by its own byte check
+    wanted = scratch.table(inside.select(*_at("id", "__"), "rep"))
+    texts = base.select("text", *_at("id", "__")).join(wanted, ["__id", "__no", "__k1", "__k2"]).select("rep", "text")
+    work = dealt.select("rep", "component", "bands", "task", "side").join(texts, "rep") \
+                .select("rep", "text", "component", "bands", "task", "side")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("rep")          # the same text: an id and text may stand in several rows
