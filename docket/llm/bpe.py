@@ -89,6 +89,8 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
 class Codec:
     """Encoder and decoder of one vocabulary, made once per task."""
 
+    limit = CACHE
+
     def __init__(self, ranks: dict[bytes, int], pattern: str, model: bytes | None = None):
         import regex
         import sentencepiece
@@ -134,7 +136,7 @@ class Codec:
     def pieces(self, texts: Iterable[str | None]) -> Iterator[tuple[list[str], list[bytes]]]:
         """The pre-tokens of each text, and the ids of each pre-token."""
         for group in _groups(texts):
-            if len(self.cache) > CACHE:
+            if len(self.cache) > self.limit:
                 self.cache.clear()
             get, done, late = self.cache.get, [], []
             for t in group:

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from docket.llm.bpe import Codec, shared_codec
 
+CACHE = 400_000         # distinct pre-tokens remembered: edits meet the same ones again
+
 RUN = 64            # pre-tokens per leaf
 LOOK = 2            # characters past its end that decide a pre-token
 EDITS = "array<struct<start bigint, end bigint, replacement string>>"
@@ -152,6 +154,7 @@ def count_with_edits(docs: DataFrame, edits: str = "edits", text: str = "text",
     @F.arrow_udf(kind)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         c = codec()
+        c.limit = CACHE
         for texts, changes in batches:
             rows = []
             each = zip(c.pieces(x.as_py() for x in texts), texts, changes, strict=True)
