@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from docket.llm.bpe import Codec, shared_codec
 
 CACHE = 400_000         # distinct pre-tokens remembered: edits meet the same ones again
-
 RUN = 64            # pre-tokens per leaf
 LOOK = 2            # characters past its end that decide a pre-token
 EDITS = "array<struct<start bigint, end bigint, replacement string>>"
