@@ -153,6 +153,8 @@ def write_tree_json(nodes: DataFrame, path: str) -> None:
 
 
 def tree_json(nodes: DataFrame) -> DataFrame:
-    """K4 as ``(name, json)`` with one text per top-level node, for trees whose documents fit a value."""
-    g = tree_json_rows(nodes).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("_t"))
-    return g.select("name", F.array_join(F.transform("_t", lambda x: x["text"]), "").alias("json"))
+    """K4 as ``(name, json)`` with one text per top-level node: pieces are joined per child of the
+    top-level node first, so the last group holds one text per child."""
+    rows = tree_json_rows(nodes).withColumn("_k", F.get("ord", F.lit(1)))
+    texts = lambda key, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, c))), lambda x: x[c]), "")
+    return rows.groupBy("name", "_k").agg(texts("ord", "text").alias("_t")).groupBy("name").agg(texts("_k", "_t").alias("json"))

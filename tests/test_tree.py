@@ -154,3 +154,16 @@ def test_tree_json_pieces(spark, tmp):
         "i", F.monotonically_increasing_id()).orderBy("f", "i").select("value").collect())
     assert len(json.loads(text)["children"]) == 100_000
     assert TR.tree_json_rows(TR.library_tree(many)).agg(F.max(F.length("text"))).first()[0] < 100
+
+
+def test_tree_json_query_gives_whole_documents(spark, tmp):
+    import json
+    from docket.plans import queries as Q
+    rows = [(1, "http://a.com/x/1"), (2, "http://a.com/x/2"), (3, "http://a.com/y"), (4, "http://b.com/z"), (5, "http://a.com/x-1/q")]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp}/pages.parquet")
+    df = Q.tree_json(spark, tmp)
+    assert df.columns == ["name", "json"]
+    docs = {r.name: json.loads(r.json) for r in df.collect()}
+    assert set(docs) == {"a.com", "b.com"}
+    assert docs["a.com"]["children"]["x"]["children"]["2.pdf"]["link"] == "http://a.com/x/2"
+    assert list(docs["a.com"]["children"]) == ["x", "x-1", "y.pdf"]
