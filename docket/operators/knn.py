@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROUND = 6
+PAIRS = 1 << 16          # pairs whose exact distances are computed at once
 EDGE = 2e-6              # rounding can move a distance by half of 1e-6
 
 
@@ -61,6 +62,13 @@ def _reach(limit: np.ndarray, Q: np.ndarray, metric: str, m2: float) -> np.ndarr
     return np.sqrt(np.maximum(sq, 0))
 
 
+def _exact(Q: np.ndarray, C: np.ndarray, qn: np.ndarray, cn: np.ndarray, r: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2sq":
+        return ((Q[r] - C[c]) ** 2).sum(1)
+    d = (Q[r] * C[c]).sum(1)
+    return 1 - (d if metric == "ip" else d / (np.sqrt(qn[r]) * np.sqrt(cn[c])))
+
+
 def _hits(Q: np.ndarray, C: np.ndarray, rank: np.ndarray, limit: np.ndarray, k: int, metric: str):
     """(question row, chunk row, distance) of up to k chunks per question within ``limit``."""
     qn, cn = (Q * Q).sum(1), (C * C).sum(1)
@@ -74,13 +82,14 @@ def _hits(Q: np.ndarray, C: np.ndarray, rank: np.ndarray, limit: np.ndarray, k:
         D = 1 - dot / np.sqrt(qn[:, None] * cn[None])
         scale = np.ones_like(D)
     err = 1e-14 * Q.shape[1] * scale + 1e-12
-    kth = np.partition(D + err, k - 1, axis=1)[:, k - 1] if len(C) >= k else np.full(len(Q), np.inf)
-    r, c = np.nonzero(D - err <= (np.minimum(kth, limit) + EDGE)[:, None])
-    if metric == "l2sq":
-        d = ((Q[r] - C[c]) ** 2).sum(1)
-    else:
-        d = (Q[r] * C[c]).sum(1)
-        d = 1 - (d if metric == "ip" else d / (np.sqrt(qn[r]) * np.sqrt(cn[c])))
+    D -= err
+    near = D <= (limit + EDGE)[:, None]
+    many = np.flatnonzero(near.sum(1) > 8 * k)           # rows that a k-th distance of their own bounds better
+    if len(many):
+        kth = np.partition(D[many] + 2 * err[many], k - 1, axis=1)[:, k - 1]
+        near[many] = D[many] <= (np.minimum(kth, limit[many]) + EDGE)[:, None]
+    r, c = np.nonzero(near)
+    d = np.concatenate([np.zeros(0), *(_exact(Q, C, qn, cn, r[lo:lo + PAIRS], c[lo:lo + PAIRS], metric) for lo in range(0, len(r), PAIRS))])
     d = np.round(d, ROUND) + 0.0
     order = np.lexsort((rank[c], d, r))
     r, c, d = r[order], c[order], d[order]

@@ -7,10 +7,11 @@ collection and each is a shell ``[near, far]`` around its leaf's centre.  The tr
 leaf (its extent) are all that reaches the driver.  ``extend`` adds the tiles of new rows under the
 stored tree; nothing stored is written again.
 
-A search packs questions in blocks.  Each question first meets one tile of its nearest leaf, which
-bounds the distance of its k-th hit; a block is then sent only to tiles whose shell at least one
-of its questions can reach, by equi-joins on leaf, tile and block.  No tile goes to a block that does
-not visit it, and no pair table exists.
+A search packs questions in blocks, and blocks of near leaves in groups.  Each question first meets one
+tile of its nearest leaf, which bounds the distance of its k-th hit; the tiles whose shell at least one
+question of a part can reach are then sent to it, and a task lets a slab of them pass by a group's blocks,
+whose bounds shrink as they go.  Tiles travel once per group, questions once per slab; the numbers of groups
+and slabs follow from the sizes, so what is shuffled grows with the input while parts fit ``GROUP``.
 
 All metrics search in a space where the triangle inequality holds: vectors as they are (l2sq),
 normalised (cosine), or with one more component that makes all norms equal (ip).  Distances of
@@ -43,7 +44,8 @@ from docket.operators.knn import _hits, _matrix, _place, _reach, _usable, top_k_
 from docket.session import delete_path, materialize, path_exists, scratch_path
 
 LEAVES, LEAF_ROWS, PER_LEAF = 2048, 256, 16      # sample rows: 16 per leaf or more, at most LEAVES * PER_LEAF
-TILE, BLOCK, BUFFER = 2048, 512, 16384
+TILE, BLOCK = 2048, 512
+GROUP, SLAB = 32768, 1 << 27        # questions that pass a tile together; bytes of vectors in the tiles of one task
 
 
 @dataclass
@@ -285,34 +287,52 @@ def search(index: VectorIndex, questions: DataFrame, k: int = 5, q_id: str = "qi
     dim, metric = tree.dim, tree.metric
     qs = _usable(questions.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("v")), "v", metric)
 
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Questions with their nearest leaf."""
+        for b in batches:
+            if b.num_rows:
+                V = _matrix(b.column("v"), dim)
+                home = np.concatenate([tree.distances(tree.place(V[lo:lo + block], False), live)[0].argmin(1)
+                                       for lo in range(0, len(V), block)])
+                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("v"), pa.array(home.astype(np.int32))], ["qid", "v", "home"])
+
+    routed = materialize(qs.mapInArrow(route, f"qid {q_type}, v array<double>, home int"), "routed")
+    # the grid of the search: slabs of tiles x parts of questions, no more of either than memory or cores ask for
+    n, cores = routed.count(), spark.sparkContext.defaultParallelism
+    slabs = -(-index.rows * dim * 8 // SLAB)
+    parts = max(1, -(-n // GROUP), min(-(-2 * cores // slabs), -(-n // block)))
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of questions of near leaves, each question with its nearest leaf."""
+        """Blocks of questions of near leaves; a part's blocks are groups of at most ``GROUP`` questions."""
         part, made, held = TaskContext.get().partitionId(), 0, []
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal made
-            ids, V = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            ids, V, home = (pa.concat_arrays([h[0] for h in held]), *(np.concatenate([h[i] for h in held]) for i in (1, 2)))
             held.clear()
-            home = np.concatenate([tree.distances(tree.place(V[lo:lo + block], False), live)[0].argmin(1)
-                                   for lo in range(0, len(V), block)])
-            order = np.argsort(home, kind="stable")
-            for lo in range(0, len(order), block):
-                s = order[lo:lo + block]
-                made += 1
+            for lo in range(0, len(home), block):
+                if lo + block > len(home) and not last:
+                    held.append((ids[lo:], V[lo:], home[lo:]))
+                    return
+                hi = min(lo + block, len(home))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{part}-{made}"]), pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), ids.take(pa.array(s))),
-                     pa.array([V[s].tobytes()], pa.binary()), pa.array([home[s].astype(np.int32).tobytes()], pa.binary())],
-                    ["block", "qids", "qv", "home"])
+                    [pa.array([f"{part}-{made}"]), pa.array([part % parts], pa.int32()), pa.array([made // max(1, GROUP // block)], pa.int32()),
+                     pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids[lo:hi]),
+                     pa.array([np.ascontiguousarray(V[lo:hi]).tobytes()], pa.binary()), pa.array([home[lo:hi].tobytes()], pa.binary())],
+                    ["block", "part", "grp", "qids", "qv", "home"])
+                made += 1
 
         for b in batches:
             if b.num_rows:
-                held.append((b.column("qid"), _matrix(b.column("v"), dim)))
-                if sum(len(h[0]) for h in held) >= BUFFER:
-                    yield from out()
+                held.append((b.column("qid"), _matrix(b.column("v"), dim), b.column("home").to_numpy()))
+                if sum(len(h[0]) for h in held) >= block:
+                    yield from out(False)
         if held:
-            yield from out()
+            yield from out(True)
 
-    blocks = materialize(qs.mapInArrow(pack, f"block string, qids array<{q_type}>, qv binary, home binary"), "questions")
+    order = ["home", F.xxhash64("v")]
+    blocks = materialize(routed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(
+        pack, f"block string, part int, grp int, qids array<{q_type}>, qv binary, home binary"), "questions")
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The questions of a block by home leaf, each sent to that leaf's first tile."""
@@ -329,77 +349,128 @@ def search(index: VectorIndex, questions: DataFrame, k: int = 5, q_id: str = "qi
     ids_type = pa.list_(to_arrow_type(questions.schema[q_id].dataType))
     found = f"block string, nth int, qid {q_type}, id {c_type}, dist double"
 
-    def hits(b: pa.RecordBatch, i: int, V: np.ndarray, nth: np.ndarray, qids: pa.Array, lim: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """The k best chunks of row i's tile for some questions, in pieces of bounded size."""
-        C = np.frombuffer(b.column("v")[i].as_py()).reshape(-1, dim)
-        ids = b.column("ids")[i].values
-        rank = np.argsort(np.argsort(np.asarray(ids.to_numpy(zero_copy_only=False)), kind="stable"), kind="stable")
+    def best_of(block_: str, V: np.ndarray, nth: np.ndarray, qids: pa.Array, lim: np.ndarray, C: np.ndarray, ids: pa.Array,
+                rank: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        """The k best of some chunks for some questions, as rows, and again as (question, distance)."""
         r, c, d = _hits(V, C, rank, lim, k, metric)
-        yield pa.RecordBatch.from_arrays([pa.array([b.column("block")[i].as_py()] * len(r), pa.string()), pa.array(nth[r]),
-                                          qids.take(pa.array(r)), ids.take(pa.array(c)), pa.array(d)], ["block", "nth", "qid", "id", "dist"])
+        return pa.RecordBatch.from_arrays([pa.array([block_] * len(r), pa.string()), pa.array(nth[r]), qids.take(pa.array(r)),
+                                           ids.take(pa.array(c)), pa.array(d)], ["block", "nth", "qid", "id", "dist"]), r, d
+
+    def ranks(ids: pa.Array) -> np.ndarray:
+        return np.argsort(np.argsort(np.asarray(ids.to_numpy(zero_copy_only=False)), kind="stable"), kind="stable")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                V = np.frombuffer(b.column("qv")[i].as_py()).reshape(-1, dim)
-                yield from hits(b, i, V, np.frombuffer(b.column("nth")[i].as_py(), np.int32), b.column("qids")[i].values,
-                                np.full(len(V), np.inf))
+                V, C = np.frombuffer(b.column("qv")[i].as_py()).reshape(-1, dim), np.frombuffer(b.column("v")[i].as_py()).reshape(-1, dim)
+                ids = b.column("ids")[i].values
+                yield best_of(b.column("block")[i].as_py(), V, np.frombuffer(b.column("nth")[i].as_py(), np.int32),
+                              b.column("qids")[i].values, np.full(len(V), np.inf), C, ids, ranks(ids))[0]
 
     one = ["block", "nth"]
-    order = [F.col("dist"), F.col("id")]
+    rank_order = [F.col("dist"), F.col("id")]
+    # payloads compress well on disk: without the hint Spark would take them for small and send them through the driver
     near = (blocks.mapInArrow(at_home, f"block string, tile string, nth binary, qids array<{q_type}>, qv binary")
-                  .join(index.read().select("tile", "ids", "v"), "tile").mapInArrow(meet, found))
+                  .join(index.read().select("tile", "ids", "v").hint("merge"), "tile").mapInArrow(meet, found))
     if index.tiles > 1:
-        near = materialize(near, "near")
-        best = top_k_per_group(near, one, order, k)
-        bound = (best.groupBy(*one).agg(F.max("dist").alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+        bound = (near.groupBy(*one).agg(F.max("dist").alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
                      .groupBy("block").agg(F.collect_list(F.struct("nth", "m")).alias("lims")))      # at most a block's questions
+        asked = materialize(blocks.join(bound.hint("merge"), "block", "left"), "bounds")
 
-        def limits(r: dict, n: int) -> np.ndarray:
+        def limits(lims: list | None, n: int) -> np.ndarray:
             lim = np.full(n, np.inf)
-            for x in r["lims"] or ():
+            for x in lims or ():
                 lim[x["nth"]] = x["m"]
             return lim
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """The leaves a block visits, with the interval of distances that matters in each, and the
-            tile that all its questions of that leaf have met before."""
+            """The leaves a block visits, with the interval of distances that matters in each."""
             for b in batches:
-                for r in b.select(["block", "qv", "home", "lims"]).to_pylist():
-                    V, home = np.frombuffer(r["qv"]).reshape(-1, dim), np.frombuffer(r["home"], np.int32)
+                for r in b.select(["part", "qv", "lims"]).to_pylist():
+                    V = np.frombuffer(r["qv"]).reshape(-1, dim)
                     d, err = tree.distances(tree.place(V, False), live)
-                    reach = (_reach(limits(r, len(V)), V, metric, tree.m2) * (1 + 1e-9))[:, None] + err
+                    reach = (_reach(limits(r["lims"], len(V)), V, metric, tree.m2) * (1 + 1e-9))[:, None] + err
                     lo, hi = d - reach, d + reach
                     see = (lo <= shells[:, 1]) & (hi >= shells[:, 0])
                     go = np.flatnonzero(see.any(0))
-                    met = [home_tile[j].as_py() if (home[see[:, j]] == j).all() else "" for j in go]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["block"]] * len(go), pa.string()), pa.array(live[go].astype(np.int32)),
-                         pa.array(np.where(see, lo, np.inf).min(0)[go]), pa.array(np.where(see, hi, -np.inf).max(0)[go]),
-                         pa.array(met, pa.string())], ["block", "leaf", "lo", "hi", "met"])
+                        [pa.array([r["part"]] * len(go), pa.int32()), pa.array(live[go].astype(np.int32)),
+                         pa.array(np.where(see, lo, np.inf).min(0)[go]), pa.array(np.where(see, hi, -np.inf).max(0)[go])],
+                        ["part", "leaf", "lo", "hi"])
+
+        class Block:
+            """A block's questions with the distances of the k best chunks each has met so far."""
+
+            def __init__(self, b: pa.RecordBatch, i: int):
+                self.name, self.qids = b.column("block")[i].as_py(), b.column("qids")[i].values
+                self.V = np.frombuffer(b.column("qv")[i].as_py()).reshape(-1, dim)
+                self.lim = limits(b.column("lims")[i].as_py(), len(self.V))
+                self.best = np.full((len(self.V), k), np.inf)
+
+            def meet(self, leaf: np.ndarray, near_: np.ndarray, far: np.ndarray, of: np.ndarray, C: np.ndarray, ids: pa.Array,
+                     rank: np.ndarray) -> pa.RecordBatch | None:
+                """Against some tiles (``of``: the tile of each chunk): those that a question can reach."""
+                d, err = tree.distances(tree.place(self.V, False), leaf)
+                reach = (_reach(self.lim, self.V, metric, tree.m2) * (1 + 1e-9))[:, None] + err
+                go = (d - reach <= far) & (d + reach >= near_)
+                at, tiles = np.flatnonzero(go.any(1)), go.any(0)
+                if not len(at):
+                    return None
+                if not tiles.all():
+                    cs = np.flatnonzero(tiles[of])
+                    C, ids, rank = C[cs], ids.take(pa.array(cs)), rank[cs]
+                rows, r, dist = best_of(self.name, self.V[at], at.astype(np.int32), self.qids.take(pa.array(at)), self.lim[at], C, ids, rank)
+                new = np.full((len(at), k), np.inf)
+                new[r, np.arange(len(r)) - np.searchsorted(r, r)] = dist
+                self.best[at] = np.sort(np.concatenate([self.best[at], new], 1), 1)[:, :k]
+                self.lim = np.minimum(self.lim, self.best[:, -1])
+                return rows
+
+        def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A slab's tiles, one after the other, past the blocks of a group, which come first."""
+            held: list[Block] = []
+            tiles: list[tuple] = []
+            group = None
+
+            def pass_by() -> Iterator[pa.RecordBatch]:
+                leaf, near_, far = (np.array([t[j] for t in tiles]) for j in range(3))
+                own = np.searchsorted(live, leaf)
+                ids, C = pa.concat_arrays([t[3] for t in tiles]), np.concatenate([t[4] for t in tiles])
+                of, rank = np.repeat(np.arange(len(tiles)), [len(t[3]) for t in tiles]), ranks(ids)
+                tiles.clear()
+                for q in held:
+                    rows = q.meet(own, near_, far, of, C, ids, rank)
+                    if rows is not None and rows.num_rows:
+                        yield rows
 
-        def meet_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """As ``meet``, for the questions of a block that can reach the tile's shell."""
             for b in batches:
-                rest = b.select(["tile", "leaf", "near", "far", "home", "lims"]).to_pylist()
-                for i, r in enumerate(rest):
-                    V, home = np.frombuffer(b.column("qv")[i].as_py()).reshape(-1, dim), np.frombuffer(r["home"], np.int32)
-                    lim = limits(r, len(V))
-                    j = int(np.searchsorted(live, r["leaf"]))
-                    d, err = tree.distances(tree.place(V, False), live[j:j + 1])
-                    reach = _reach(lim, V, metric, tree.m2) * (1 + 1e-9) + err[:, 0]
-                    go = (d[:, 0] - reach <= r["far"]) & (d[:, 0] + reach >= r["near"])
-                    if home_tile[j].as_py() == r["tile"]:
-                        go &= home != j
-                    at = np.flatnonzero(go)
-                    if len(at):
-                        yield from hits(b, i, V[at], at.astype(np.int32), b.column("qids")[i].values.take(pa.array(at)), lim[at])
-
-        asked = blocks.join(bound, "block", "left")
-        visits = asked.mapInArrow(visit, "block string, leaf int, lo double, hi double, met string")
+                heads = b.select(["part", "slab", "grp", "tile", "leaf", "near", "far"]).to_pylist()
+                for i, h in enumerate(heads):
+                    if (h["part"], h["slab"], h["grp"]) != group:
+                        if tiles:
+                            yield from pass_by()
+                        held.clear()
+                        group = (h["part"], h["slab"], h["grp"])
+                    if h["tile"] is None:
+                        held.append(Block(b, i))
+                        continue
+                    tiles.append((h["leaf"], h["near"], h["far"], b.column("ids")[i].values,
+                                  np.frombuffer(b.column("v")[i].as_py()).reshape(-1, dim)))
+                    if sum(len(t[3]) for t in tiles) >= TILE:
+                        yield from pass_by()
+            if tiles:
+                yield from pass_by()
+
+        slab = F.pmod(F.xxhash64("tile"), F.lit(slabs)).cast("int").alias("slab")
+        visits = asked.mapInArrow(visit, "part int, leaf int, lo double, hi double").groupBy("part", "leaf").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         pairs = (visits.join(index.read().select("tile", "leaf", "near", "far"), "leaf")
-                       .filter((F.col("far") >= F.col("lo")) & (F.col("near") <= F.col("hi")) & (F.col("tile") != F.col("met")))
-                       .select("block", "tile"))
-        sent = asked.join(pairs, "block").join(index.read().select("tile", "leaf", "near", "far", "ids", "v"), "tile")
-        near = near.unionByName(sent.mapInArrow(meet_more, found))
-    return top_k_per_group(near, one, order, k).select("qid", "id", "dist", "rk")
+                       .filter((F.col("far") >= F.col("lo")) & (F.col("near") <= F.col("hi"))).select("part", "tile"))
+        groups = asked.select("part", "grp").distinct()
+        sent = (pairs.join(groups, "part").join(index.read().select("tile", "leaf", "near", "far", "ids", "v").hint("merge"), "tile")
+                     .withColumn("slab", slab))
+        asking = asked.drop("home").withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
+        cells = asking.unionByName(sent, allowMissingColumns=True).repartitionById(
+            parts * slabs, (F.col("part") * slabs + F.col("slab")).cast("int"))
+        near = cells.sortWithinPartitions("part", "slab", "grp", F.col("tile").asc_nulls_first()).mapInArrow(sweep, found)
+    return top_k_per_group(near, one, rank_order, k).select("qid", "id", "dist", "rk")

@@ -142,3 +142,24 @@ def test_repeated_rows_and_questions(spark):
     qdf = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0])], "qid bigint, vector array<float>")
     got = sorted((r.qid, r.rk, r.id) for r in knn.nearest_chunks(qdf, cdf, k=2).collect())
     assert got == [(1, 1, "a"), (1, 1, "c"), (1, 2, "b"), (1, 2, "b")]
+
+
+def test_knn_parts_and_slabs(spark, monkeypatch):
+    # several groups and slabs give the same hits, and questions are not shuffled with every tile they visit
+    rng = np.random.default_rng(5)
+    Q, C = rng.normal(size=(41, 8)).astype(np.float32), rng.normal(size=(300, 8)).astype(np.float32)
+    cids = ["c%03d" % i for i in range(300)]
+    qdf, cdf = frames(spark, np.vstack([Q, Q[:2]]), C, cids)
+    index = vector_index.build_index(cdf, leaf_rows=5)
+    monkeypatch.setattr(vector_index, "GROUP", 4)
+    monkeypatch.setattr(vector_index, "SLAB", 300 * 8 * 8 // 3)
+    monkeypatch.setattr(vector_index, "TILE", 16)
+    df = vector_index.search(index, qdf, k=4, block=2)
+    want = brute(np.vstack([Q, Q[:2]]).astype(np.float64), range(43), C.astype(np.float64), cids, 4)
+    got = df.collect()
+    for qi in range(43):
+        assert [r.id for r in sorted((r for r in got if r.qid == qi), key=lambda r: r.rk)] == [c for c, _ in want[qi]]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan or "RepartitionById" in plan or "DirectShuffle" in plan, plan
+    joins = [x for x in plan.splitlines() if "Join" in x]
+    assert not any("block" in x for x in joins), joins
