@@ -24,6 +24,7 @@ empty index gives no rows.
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ def _occ_tokens(s: str):
     seen: dict[str, int] = {}
     out = []
     for i in range(len(s) - 1):
-        bg = s[i:i + 2]
+        bg = sys.intern(s[i:i + 2])         # held by many names and questions
         c = seen.get(bg, 0) + 1
         seen[bg] = c
         out.append((bg, c))
@@ -114,7 +115,8 @@ def _ordered(names: list[str]) -> list[int]:
         if len(at) <= RUN:
             done.append(at)
             continue
-        Z = M[at] - M[at].mean(0)
+        Z = M[at].astype(np.float32)
+        Z -= Z.mean(0)
         v = Z[(Z * Z).sum(1).argmax()]
         for _ in range(4):
             v = Z.T @ (Z @ v)
@@ -129,7 +131,7 @@ def _matrix(names: list[str]) -> tuple[np.ndarray, dict[str, int]]:
     """Names x bigrams as 0 and 1, and the number of each bigram."""
     known: dict[str, int] = {}
     cols = [[known.setdefault(t, len(known)) for t in _tokens(s)] for s in names]
-    M = np.zeros((len(names), len(known)), np.float32)
+    M = np.zeros((len(names), len(known)), np.uint8)
     M[np.repeat(np.arange(len(names)), [len(c) for c in cols]), [x for c in cols for x in c]] = 1
     return M, known
 
@@ -143,7 +145,7 @@ class Tile:
         self.n = np.array([max(len(s) - 1, 0) for s in names])
         starts = np.arange(0, len(names), RUN)
         self.low, self.high = np.minimum.reduceat(self.n, starts), np.maximum.reduceat(self.n, starts)
-        self.held = np.maximum.reduceat(self.M, starts, axis=0)
+        self.held = np.maximum.reduceat(self.M, starts, axis=0).astype(np.float32)
         rank = np.empty(len(names), np.int64)
         rank[sorted(range(len(names)), key=keys.__getitem__)] = np.arange(len(names))
         self.runs = [lo + np.argsort(rank[lo:lo + RUN]) for lo in starts]    # ties fall to the first of a run
@@ -163,7 +165,7 @@ class Tile:
         def compare(run: int, rows: np.ndarray) -> None:
             nonlocal seen
             names = self.runs[run]
-            S = 2.0 * (Q[rows] @ self.M[names].T).astype(np.float64) / np.maximum(n[rows, None] + self.n[names], 1)
+            S = 2.0 * (Q[rows] @ self.M[names].T.astype(np.float32)).astype(np.float64) / np.maximum(n[rows, None] + self.n[names], 1)
             seen += S.size
             i = S.argmax(1)
             d, at = S[np.arange(len(rows)), i], names[i]
