@@ -2,18 +2,20 @@
 recursive splitting (C1), chunk positions (W5), ids (T7) and records (P5).
 
 Chunking is row-local: no shuffle.  C2 is all native; C1's greedy packing is
-order-dependent inside one text, so it runs as an Arrow-batched pandas UDF
+order-dependent inside one text, so it runs as an Arrow UDF over slices of a batch
 that returns the chunk list, exploded natively afterwards.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docket.functions._util import byte_slices
 from docket.functions._util import col as _col
 from docket.functions.text import base_name, content_id, doc_name, is_blank
 
@@ -108,12 +110,14 @@ def fixed_windows(text, size: int = 1200, overlap: int = 200) -> Column:
 
 def recursive_chunks(text, size: int = 1200, overlap: int = 200,
                      separators: tuple[str, ...] = SEPARATORS) -> Column:
-    """C1 as a column (array<string>), evaluated by an Arrow-batched pandas UDF."""
-
-    @F.pandas_udf("array<string>")
-    def _split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursive(t, size, overlap, separators)
-                         if isinstance(t, str) else [])
+    """C1 as a column (array<string>), evaluated by an Arrow UDF."""
+
+    @F.arrow_udf("array<string>")
+    def _split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in byte_slices(texts):         # only a slice of a batch is held as Python strings
+                yield pa.array([split_recursive(t, size, overlap, separators) if t is not None else []
+                                for t in part.to_pylist()], pa.list_(pa.string()))
 
     return _split(_col(text))
 

@@ -72,3 +72,15 @@ def test_recursive_multi_level_hand_worked():
     assert C.split_recursive(text, 10, 3) == ["aaa bbb", "ccc ddd", "eee fff", "ggg"]
     # overlap 4 carries the whole trailing piece ' ddd' / ' eee' into the next chunk
     assert C.split_recursive(text, 10, 4) == ["aaa bbb", "ccc ddd", "ddd eee", "eee fff", "ggg"]
+
+
+def test_batches_are_bounded_and_long_ones_are_sliced(spark):
+    from pyspark.sql import functions as F
+    from docket.session import BATCHES, checkpoint_dir
+    checkpoint_dir(spark)
+    for k in BATCHES:
+        assert spark.conf.get(k, None) is not None
+    df = spark.range(40, numPartitions=1).select(F.when(F.col("id") % 7 != 3, F.concat(F.col("id").cast("string"), F.lit(" "), F.repeat(F.lit("wörd "), 30_000))).alias("t"), "id")
+    got = {r.id: r.c for r in df.select("id", C.recursive_chunks("t").alias("c")).collect()}
+    for r in df.collect():
+        assert got[r.id] == ([] if r.t is None else C.split_recursive(r.t))
