@@ -29,7 +29,7 @@ def link_by_contains(names: DataFrame, index: DataFrame, name_col: str = "name",
     the name must hold every n-gram of it); candidates are verified with ``contains`` and reduced to
     the first path per name before they are shuffled, so a name that most paths hold costs one row
     per task.  No link travels: it is looked up by the position found.  All joins are equi-joins
-    on n-grams of names only (one row per name; Spark broadcasts them by its own byte check).
+    on n-grams of names only; the n-grams of paths are shuffled, never broadcast.
     """
     idx = index.groupBy(F.lower(F.col(path)).alias("_lp")).agg(
         F.min(F.struct(F.col(pos).alias("p"), F.col(link).isNotNull().alias("has"), F.col(link).alias("l"))).alias("_at"))
@@ -52,7 +52,8 @@ def link_by_contains(names: DataFrame, index: DataFrame, name_col: str = "name",
                      F.count(F.when(F.col("_df").isNull(), 1)).alias("_missing"))
                 .filter(F.col("_missing") == 0)
                 .select("_ln", "_g"))
-    found = (idx.select("_pos", "_lp", F.explode(kinds).alias("_g")).join(rarest, "_g")
+    # n-grams are many times the bytes of the paths that Spark knows: by its estimate it would broadcast them
+    found = (idx.select("_pos", "_lp", F.explode(kinds).alias("_g")).hint("merge").join(rarest, "_g")
                 .filter(F.col("_lp").contains(F.col("_ln")))
                 .groupBy("_ln").agg(F.min("_pos").alias("_pos"))
                 .join(idx.select("_pos", "_link"), "_pos").select("_ln", F.col("_link").alias("_hit")))

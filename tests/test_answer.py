@@ -64,3 +64,16 @@ def test_other_embedder_is_refused(spark):
         answer_batch(qs, chunks.withColumn("embedder", F.lit(None).cast("string")), index, k=2)
     same = answer_batch(qs, chunks.withColumn("embedder", F.lit("hash-64")), index, k=2)
     assert same.count() == 4
+
+
+def test_path_grams_are_not_broadcast(spark):
+    # a few names keep Spark's estimate of the paths small; their n-grams must not go through the driver
+    from pyspark.sql import functions as F
+    from docket.operators.context import link_by_contains
+    names = spark.createDataFrame([("a/1.pdf",), ("zz",), ("",)], "name string")
+    index = spark.range(400).select(F.col("id").alias("pos"), F.concat(F.lit("x/A/"), F.col("id").cast("string"), F.lit(".pdf/tail")).alias("path"),
+                                    F.col("id").cast("string").alias("link"))
+    df = link_by_contains(names, index)
+    assert {r.name: r.link for r in df.collect()} == {"a/1.pdf": "1", "zz": None, "": "0"}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
