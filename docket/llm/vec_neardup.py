@@ -4,15 +4,18 @@ Vectors are normalised and rotated (a fixed random rotation); cosine >= t is squ
 distance <= D = 2 (1 - t).  The rotated coordinates are split into blocks, and D into one
 budget per block in proportion to the block's share of the variance (on a bounded sample;
 any shares are right).  If two vectors lie within D, at least one block of them lies
-within its budget, so a range join per block over a grid on the block's leading
-coordinates finds every link; candidates are verified exactly, in double precision.
-A pair counts in its first block that meets the budget only.
+within its budget, so the pairs of rows that are this near in some block hold every link;
+they are verified exactly, in double precision.
 
-The grid join is an equi-join on pairs of cells.  Rows of one vector are classed first,
-cells are dealt into slots of bounded size and pairs of slots meet in tasks, which emit
-link counts per class and a spanning forest, never pairs.
+Rows of one vector are classed first.  A tree of median cuts, fitted on the sample, puts near classes into
+groups of bounded size; every two groups meet once, and a group is sent whole, to half of the others: there
+are ``GROUPS`` of them while they fit ``HELD``, so what is shuffled grows with the input.  A task cuts its two
+groups into boxes of at most ``BOX`` rows.  Two boxes are compared only in the blocks in which their distance
+is within the budget, by one product of matrices a block in single precision, with room for its rounding.
+The tasks emit link counts per class and a spanning forest, never pairs.  Where boxes exclude nothing
+(vectors close to uniform) the products stay quadratic; their memory is bounded.
 
-Vectors of each length are joined among themselves: the length is part of the cell's key.
+Vectors of each length are joined among themselves.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link
 with nothing and form components of their own, as do vectors of different lengths with each
@@ -26,52 +29,159 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docket.llm.common import Forest, Scratch, components, vectors, whole
 
 THRESHOLD = 0.95
-BLOCKS, AXES = 4, 2
+BLOCKS = 4
 SAMPLE = 2048
-SLOT = 1024
+SLOT, GROUPS, HELD = 1024, 24, 1 << 24      # least rows of a group; groups of one length, while one holds at most 16 MB of vectors
+BOX, SPAN = 256, 16                         # rows of a box; boxes that one box meets at once
+DEPTH = 8                                   # cuts above a leaf of the tree
 SLACK = 1e-6
-LENGTH = 16             # a block's key: vector length << 16 | block
+SINGLE = 1e-5                               # rounding of a block's squared distance in single precision (at most 4)
 
 
 def _rotation(dim: int, seed: int = 11) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0]
 
 
-def _turn(X: np.ndarray, R: np.ndarray) -> np.ndarray:
-    """X R', summed row by row in a fixed order, so equal rows turn equally in any task."""
-    out = np.empty_like(X)
-    for lo in range(0, len(X), 256):
-        out[lo:lo + 256] = (X[lo:lo + 256, None, :] * R[None]).sum(2)
-    return out
-
-
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
+def _widest(T: np.ndarray) -> int:
+    return int(T.var(0).argmax())
+
+
 class _Plan:
-    """Rotation, blocks, budgets and grid axes for vectors of one length."""
+    """Rotation, blocks, budgets and the tree of cuts for vectors of one length."""
 
     def __init__(self, dim: int, blocks: int, threshold: float, sample: np.ndarray | None):
         blocks = min(blocks, dim)
-        self.R = _rotation(dim)
+        self.dim, self.R = dim, _rotation(dim)
         edges = np.linspace(0, dim, blocks + 1).astype(int)
         self.part = [slice(edges[i], edges[i + 1]) for i in range(blocks)]
-        spread = np.ones(dim) if sample is None else _turn(sample, self.R).var(0)
+        T = np.zeros((0, dim)) if sample is None else self.turn(sample)
+        spread = T.var(0) if len(T) else np.ones(dim)
         share = np.array([spread[p].sum() + 1e-3 / blocks for p in self.part])
         self.budget = 2 * (1 - threshold) * (1 + SLACK) * share / share.sum()
-        # within a block the axes of widest spread come first
-        self.axes = [np.argsort(-spread[p], kind="stable")[:AXES] + p.start for p in self.part]
-        self.width = np.sqrt(self.budget) * (1 + SLACK)
+        self.axis, self.at = np.zeros(2 ** DEPTH - 1, np.int64), np.full(2 ** DEPTH - 1, np.inf)
+        rows = {0: T}
+        for i in range(len(self.at)):
+            own = rows.pop(i)
+            if len(own) > 1:
+                self.axis[i] = _widest(own)
+                self.at[i] = np.median(own[:, self.axis[i]])
+            left = own[:, self.axis[i]] <= self.at[i]
+            rows[2 * i + 1], rows[2 * i + 2] = own[left], own[~left]
+
+    def turn(self, V: np.ndarray) -> np.ndarray:
+        return _unit(V) @ self.R.T
+
+    def leaf(self, T: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(T), np.int64)
+        for _ in range(DEPTH):
+            node = 2 * node + 1 + (T[np.arange(len(T)), self.axis[node]] > self.at[node])
+        return node - len(self.at)
+
+
+def _boxes(T: np.ndarray) -> list[np.ndarray]:
+    """Rows of near vectors, at most ``BOX`` each: halved again and again at the median of the widest axis."""
+    done, todo = [], [np.arange(len(T))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= BOX:
+            done.append(at)
+        else:
+            half = len(at) // 2
+            at = at[np.argpartition(T[at, _widest(T[at])], half)]
+            todo += [at[half:], at[:half]]
+    return done
+
+
+class _Group:
+    """The rows of a group in boxes: ids, copies, vectors, and per block the factors of squared distances."""
+
+    def __init__(self, rows: pa.StructArray, p: _Plan):
+        rep, copies, v = rows.flatten()
+        V = vectors(v, p.dim)
+        T = p.turn(V)
+        boxes = _boxes(T)
+        at = np.concatenate(boxes)
+        self.rep, self.copies, self.V, T = rep.to_numpy()[at], copies.to_numpy()[at], V[at], T[at]
+        self.edges = np.concatenate([[0], np.cumsum([len(x) for x in boxes])])
+        self.low, self.high = (f.reduceat(T, self.edges[:-1], axis=0) for f in (np.minimum, np.maximum))
+        sq, one = [np.square(T[:, q]).sum(1) for q in p.part], np.ones(len(T))
+        self.left = [np.column_stack([-2 * T[:, q], s, one]).astype(np.float32) for q, s in zip(p.part, sq, strict=True)]
+        self.right = [np.column_stack([T[:, q], one, s]).astype(np.float32) for q, s in zip(p.part, sq, strict=True)]
+
+
+def _near(a: _Group, b: _Group, p: _Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``a`` and of ``b`` that are within the budget in some block (within one group each pair once)."""
+    gap = np.empty((len(a.low), len(b.low), len(p.part)))
+    for i in range(len(a.low)):
+        d = np.square(np.maximum(np.maximum(a.low[i] - b.high, b.low - a.high[i]), 0))
+        gap[i] = np.column_stack([d[:, q].sum(1) for q in p.part])
+    reach = (gap <= p.budget * (1 + SLACK) + 1e-12) & (gap.sum(2) <= p.budget.sum() * (1 + SLACK) + 1e-12)[:, :, None]
+    room = np.empty(BOX * SPAN * BOX, np.float32)
+    flags = np.empty((2, len(room)), bool)
+    for i, lo in ((i, lo) for i in range(len(a.low)) for lo in range(i if a is b else 0, len(b.low), SPAN)):
+        see = reach[i, lo:lo + SPAN]
+        if not see.any():
+            continue
+        r0, r1, c0, c1 = a.edges[i], a.edges[i + 1], b.edges[lo], b.edges[min(lo + SPAN, len(b.low))]
+        n = (r1 - r0) * (c1 - c0)
+        near = flags[0, :n].reshape(r1 - r0, c1 - c0)
+        near[:] = False
+        for q in np.flatnonzero(see.any(0)).tolist():
+            boxes = np.flatnonzero(see[:, q])
+            f0, f1 = b.edges[lo + boxes[0]], b.edges[lo + boxes[-1] + 1]
+            n = (r1 - r0) * (f1 - f0)
+            sq, own = room[:n].reshape(r1 - r0, f1 - f0), flags[1, :n].reshape(r1 - r0, f1 - f0)
+            np.matmul(a.left[q][r0:r1], b.right[q][f0:f1].T, out=sq)
+            np.less_equal(sq, np.float32(p.budget[q] * (1 + SLACK) + SINGLE), out=own)
+            near[:, f0 - c0:f1 - c0] |= own
+        x, y = np.nonzero(near)
+        x, y = x + r0, y + c0
+        if a is b:
+            x, y = x[x < y], y[x < y]
+        if len(x):
+            yield x, y
+
+
+def _meet(a: _Group, b: _Group, p: _Plan, threshold: float) -> pa.RecordBatch:
+    """Links of two groups: counts per class (``a = b``) and a spanning forest (``a <> b``)."""
+    off = 0 if a is b else len(a.rep)
+    rep = a.rep if a is b else np.concatenate([a.rep, b.rep])
+    links = np.zeros(len(rep), np.int64)
+    forest = Forest(len(rep))
+    tree: list = []
+    for m, n in _near(a, b, p):
+        for at in range(0, len(m), 65536):
+            x, y = m[at:at + 65536], n[at:at + 65536]
+            X, Y = a.V[x], b.V[y]
+            cos = (X * Y).sum(1) / (np.sqrt((X * X).sum(1)) * np.sqrt((Y * Y).sum(1)))
+            x, y = x[cos >= threshold], y[cos >= threshold]
+            np.add.at(links, x, b.copies[y])
+            np.add.at(links, y + off, a.copies[x])
+            tree += [(rep[s], rep[t]) for s, t in zip(x.tolist(), (y + off).tolist(), strict=True) if forest.join(s, t)]
+    got = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([rep[got], np.array([t[i] for t in tree], np.int64)])) for i in (0, 1)]
+        + [pa.array(np.concatenate([links[got], np.zeros(len(tree), np.int64)]))], ["a", "b", "n"])
+
+
+def meetings(groups: DataFrame) -> DataFrame:
+    """Rows of a group ``g`` of ``groups`` ones, for every group ``a`` that it is sent to (itself included, ``d = 0``):
+    the ``groups / 2`` before it in a circle, so every two groups meet once."""
+    return (groups.withColumn("d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("groups") / 2))))
+                  .withColumn("a", F.pmod(F.col("g") - F.col("d"), F.col("groups")))
+                  .filter((F.col("d") * 2 != F.col("groups")) | (F.col("a") < F.col("g"))))
 
 
 def near_duplicates(df: DataFrame, ids: str = "vec_id", vec: str = "embedding", threshold: float = THRESHOLD,
@@ -89,93 +199,52 @@ def near_duplicates(df: DataFrame, ids: str = "vec_id", vec: str = "embedding",
     classes = scratch.table(members.groupBy("v").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
                                    .withColumn("rep", F.monotonically_increasing_id()))
 
-    # per length: rotation, blocks, and from a bounded sample their shares of the variance
+    # per length: rotation, blocks, and from a bounded sample their shares of the variance and the tree
     sample: dict[int, list] = {}
     for r in classes.orderBy(F.xxhash64("low"), "low").limit(SAMPLE).select("v").collect():
         sample.setdefault(len(r["v"]), []).append(r["v"])
-    held = {dim: _Plan(dim, blocks, threshold, _unit(np.array(rows))) for dim, rows in sample.items()}
+    held = {dim: _Plan(dim, blocks, threshold, np.array(rows)) for dim, rows in sample.items()}
 
     def plan(dim: int) -> _Plan:
         if dim not in held:
             held[dim] = _Plan(dim, blocks, threshold, None)
         return held[dim]
 
-    def grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             size = pc.list_value_length(whole_batch.column("v")).to_numpy(zero_copy_only=False)
             for dim in np.unique(size).tolist():
                 b = whole_batch.filter(pa.array(size == dim))
-                p = plan(dim)
-                T = _turn(_unit(vectors(b.column("v"), dim)), p.R)
-                n = len(T)
-                for i in range(len(p.part)):
-                    cell = np.floor(T[:, p.axes[i]] / p.width[i]).astype(np.int64)
-                    cell = np.column_stack([cell, np.zeros((n, 2 - cell.shape[1]), np.int64)])
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("rep"), pa.array(np.full(n, dim << LENGTH | i, np.int64)), pa.array(cell[:, 0]),
-                         pa.array(cell[:, 1])], ["rep", "block", "x", "y"])
-
-    cells = scratch.table(classes.select("rep", "v").mapInArrow(grid, "rep bigint, block bigint, x bigint, y bigint"))
-    # a cell of n classes is dealt into ceil(n / slot) slots
-    count = cells.groupBy("block", "x", "y").agg(F.ceil(F.count(F.lit(1)) / slot).alias("slots"))
-    dealt = (cells.join(count, ["block", "x", "y"])
-                  .withColumn("s", F.pmod(F.xxhash64("rep"), F.col("slots"))))
-    # cell pairs: each cell with itself and its forward neighbours that hold something
-    ahead = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
-    other = count.select("block", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("slots").alias("slots2"))
-    pairs = (count.withColumn("d", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(c).alias("b")) for a, c in ahead])))
-                  .withColumn("x2", F.col("x") + F.col("d.a")).withColumn("y2", F.col("y") + F.col("d.b"))
-                  .join(other, ["block", "x2", "y2"]))
-    tasks = (pairs.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)))
-                  .withColumn("s2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots2") - 1)))
-                  .withColumn("same", (F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")))
-                  .filter(~F.col("same") | (F.col("s") <= F.col("s2")))
-                  .withColumn("task", F.xxhash64("block", "x", "y", "x2", "y2", "s", "s2"))
-                  .withColumn("side", F.when(F.col("same") & (F.col("s") == F.col("s2")), 2).otherwise(0)))
-    at = ["block", "x", "y", "s"]
-    left = tasks.select(*at, "task", "side")
-    right = tasks.filter("side = 0").select("block", F.col("x2").alias("x"), F.col("y2").alias("y"),
-                                            F.col("s2").alias("s"), "task", F.lit(1).alias("side"))
-    sent = dealt.join(left.unionByName(right), at).select("rep", "block", "task", "side")
-    rows = sent.join(classes, "rep")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = plan(int(pdf["block"].iat[0]) >> LENGTH)
-        i = int(pdf["block"].iat[0]) & ((1 << LENGTH) - 1)
-        budget, part = p.budget, p.part
-        rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
-        V = np.stack(pdf["v"].to_numpy())
-        side, T = pdf["side"].to_numpy(), _turn(_unit(V), p.R)
-        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        links = np.zeros(len(rep), np.int64)
-        forest = Forest(len(rep))
-        tree: list = []
-        for lo in range(0, len(a), 256):
-            k = a[lo:lo + 256]
-            A, B = T[k][:, part[i]], T[b][:, part[i]]
-            near = ((A * A).sum(1)[:, None] + (B * B).sum(1) - 2 * A @ B.T) <= budget[i] * (1 + SLACK) + 1e-12
-            m, n = np.nonzero(near)
-            m, n = k[m], b[n]
-            if side[0] == 2:
-                m, n = m[m < n], n[m < n]
-            for at_ in range(0, len(m), 65536):
-                x, y = m[at_:at_ + 65536], n[at_:at_ + 65536]
-                sq = np.square(T[x] - T[y])
-                each = np.column_stack([sq[:, q].sum(1) for q in part]) <= budget
-                first = each.argmax(1)
-                own = each.any(1) & (first == i)
-                x, y = x[own], y[own]
-                cos = (V[x] * V[y]).sum(1) / (np.sqrt((V[x] * V[x]).sum(1)) * np.sqrt((V[y] * V[y]).sum(1)))
-                x, y = x[cos >= threshold], y[cos >= threshold]
-                np.add.at(links, x, copies[y])
-                np.add.at(links, y, copies[x])
-                tree += [(rep[s], rep[t]) for s, t in zip(x.tolist(), y.tolist(), strict=True) if forest.join(s, t)]
-        got = np.flatnonzero(links)
-        return pd.DataFrame({"a": np.concatenate([rep[got], np.array([t[0] for t in tree], np.int64)]),
-                             "b": pd.array(np.concatenate([rep[got], np.array([t[1] for t in tree], np.int64)]), "Int64"),
-                             "n": np.concatenate([links[got], np.zeros(len(tree), np.int64)])})
-
-    found = scratch.table(rows.groupBy("task").applyInPandas(compare, "a bigint, b bigint, n bigint"))
+                leaf = plan(dim).leaf(plan(dim).turn(vectors(b.column("v"), dim)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), dim, np.int64)), pa.array(leaf), *b.columns],
+                                                 ["dim", "leaf", *b.schema.names])
+
+    placed = scratch.table(classes.select("rep", "copies", "v").mapInArrow(
+        place, "dim bigint, leaf bigint, rep bigint, copies bigint, v array<double>"))
+    # leaves side by side, cut into groups: a class takes a place in its leaf's span by a hash
+    same = Window.partitionBy("dim")
+    size = F.greatest(F.lit(slot).cast("bigint"), F.least(F.floor(HELD / (8 * F.col("dim"))), F.ceil(F.col("total") / GROUPS)))
+    spans = (placed.groupBy("dim", "leaf").agg(F.count(F.lit(1)).alias("n"))
+                   .withColumn("start", F.sum("n").over(same.orderBy("leaf")) - F.col("n"))
+                   .withColumn("total", F.sum("n").over(same)).withColumn("size", size)
+                   .withColumn("groups", F.ceil(F.col("total") / F.col("size"))))
+    group = F.floor((F.col("start") + F.pmod(F.xxhash64("rep"), F.col("n"))) / F.col("size"))
+    groups = scratch.table(placed.join(spans, ["dim", "leaf"]).withColumn("g", group).groupBy("dim", "groups", "g")
+                                 .agg(F.collect_list(F.struct("rep", "copies", "v")).alias("rows")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, None
+        for b in batches:
+            for i, h in enumerate(b.select(["dim", "a", "d"]).to_pylist()):
+                other = _Group(b.column("rows")[i].values, plan(h["dim"]))
+                if h["d"] == 0:
+                    key, own = (h["dim"], h["a"]), other
+                if key == (h["dim"], h["a"]):           # a group that no class fell into meets nothing
+                    yield _meet(own, other, plan(h["dim"]), threshold)
+
+    sent = meetings(groups).repartitionById(GROUPS, F.pmod(F.col("dim") + F.col("a"), F.lit(GROUPS)).cast("int"))
+    found = scratch.table(sent.select("dim", "a", "d", "rows").sortWithinPartitions("dim", "a", "d")
+                              .mapInArrow(compare, "a bigint, b bigint, n bigint"))
     links = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comp = components(found.filter("a <> b"), scratch)
     # back to all members of a class; a component is named by its smallest id

@@ -126,6 +126,35 @@ def test_vector_links_by_brute_force(spark, slot):
     assert 100 < A.sum()
 
 
+@pytest.mark.parametrize("groups", [1, 2, 3, 6, 7])
+def test_groups_of_vectors_meet_once(spark, groups):
+    rows = spark.range(groups).select(F.col("id").alias("g"), F.lit(groups).cast("bigint").alias("groups"))
+    met = [tuple(r) for r in vec_neardup.meetings(rows).select("a", "g").collect()]
+    assert sorted(tuple(sorted(m)) for m in met) == list(itertools.combinations_with_replacement(range(groups), 2))
+    assert max(Counter(g for _, g in met).values()) <= groups // 2 + 1          # how often a row is sent
+
+
+def test_boxes_of_vectors_lose_no_link(spark):
+    rng = np.random.default_rng(8)
+    X = np.repeat(rng.normal(size=(30, 24)), 50, axis=0) + rng.normal(size=(1500, 24)) * 0.17
+    X[1200:] = rng.normal(size=(300, 24))
+    U = X / np.sqrt((X * X).sum(1))[:, None]
+    A = (U[:, None] * U[None]).sum(2) >= 0.95
+    got = vec_neardup.near_duplicates(_vec_table(spark, [(i, x.tolist()) for i, x in enumerate(X)]), slot=600).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate((A.sum(1) - 1).tolist()))
+    assert 5000 < A.sum() - 1500 < 60000
+    # every pair that is near in a block is found, and boxes apart are left out
+    p = vec_neardup._Plan(24, 4, 0.95, X)
+    a, b = (vec_neardup._Group(pa.StructArray.from_arrays(
+        [pa.array(ids), pa.array(np.ones(len(ids), np.int64)), pa.array(X[ids].tolist())], ["rep", "copies", "v"]), p)
+        for ids in (np.arange(700), np.arange(700, 1500)))
+    for x, y in ((a, b), (a, a)):
+        near = {(int(x.rep[i]), int(y.rep[j])) for m, n in vec_neardup._near(x, y, p) for i, j in zip(m, n, strict=True)}
+        links = {(i, j) for i in x.rep.tolist() for j in y.rep.tolist() if A[i, j] and i != j}
+        assert links <= (near | {(j, i) for i, j in near} if x is y else near)
+        assert len(near) < 0.2 * len(x.rep) * len(y.rep)
+
+
 def test_vector_edges(spark):
     rows = [(1, None), (2, [0.0, 0.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (5, []), (6, [1.0, 1.0]), (6, [1.0, 1.0]),
             (7, [2.0, 2.0]), (None, [1.0, 1.0]), (8, [1.0, 1.0])]
