@@ -69,8 +69,52 @@ def _exact(Q: np.ndarray, C: np.ndarray, qn: np.ndarray, cn: np.ndarray, r: np.n
     return 1 - (d if metric == "ip" else d / (np.sqrt(qn[r]) * np.sqrt(cn[c])))
 
 
-def _hits(Q: np.ndarray, C: np.ndarray, rank: np.ndarray, limit: np.ndarray, k: int, metric: str):
-    """(question row, chunk row, distance) of up to k chunks per question within ``limit``."""
+def _single(X: np.ndarray, metric: str, stored: bool) -> tuple[np.ndarray, np.ndarray] | None:
+    """Vectors in single precision with one more component, so that one product ``q . c`` is ``base + e |c|^2 - distance``
+    (``base``: |q|^2 for l2sq, else 1; ``e``: ``_slack``), and their squared norms; None beyond its range."""
+    X = _place(X, metric, None) if metric == "cosine" else X
+    n = (X * X).sum(1)
+    if n.max(initial=0) > 1e30:
+        return None
+    e = _slack(X.shape[1])
+    one = np.ones(len(X)) if not stored else (e - 1) * n if metric == "l2sq" else e * n
+    return np.column_stack([2 * X if stored and metric == "l2sq" else X, one]).astype(np.float32), n
+
+
+def _slack(dim: int) -> float:
+    """Twice what rounding in single precision can add to a product, as a share of |q|^2 + 2 |c|^2."""
+    return 4 * (dim + 8) * 2.0 ** -24
+
+
+def _where(near: np.ndarray) -> np.ndarray:
+    """Flat places of the few true values, found eight at a time."""
+    if not near.flags.c_contiguous or near.size % 8:
+        return np.flatnonzero(near)
+    eights = np.flatnonzero(near.reshape(-1).view(np.uint64))
+    i, j = np.nonzero(near.reshape(-1, 8)[eights])
+    return 8 * eights[i] + j
+
+
+def _near_single(q: tuple, c: tuple, limit: np.ndarray, k: int, metric: str) -> np.ndarray:
+    """Flat places of the pairs that may lie within ``limit``, by products in single precision; none that does is missed."""
+    (L, qn), (R, cn) = q, c
+    e = _slack(L.shape[1] - 1)
+    base = qn if metric == "l2sq" else np.ones(len(qn))
+    least = lambda lim, at: np.nextafter((base[at] - lim - EDGE - e * qn[at]).astype(np.float32), np.float32(-np.inf))[:, None]
+    S = L @ R.T
+    near = S >= least(limit, slice(None))
+    at = _where(near)
+    many = np.flatnonzero(np.bincount(at // len(R), minlength=len(L)) > 8 * k) if len(R) else []
+    if len(many):               # rows that a k-th distance of their own bounds better
+        own = S[many]
+        kth = base[many] - np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k] + e * (qn[many] + 2 * cn.max())
+        near[many] = own >= least(np.minimum(kth, limit[many]), many)
+        at = _where(near)
+    return at
+
+
+def _near_double(Q: np.ndarray, C: np.ndarray, limit: np.ndarray, k: int, metric: str) -> np.ndarray:
+    """The same in double precision."""
     qn, cn = (Q * Q).sum(1), (C * C).sum(1)
     dot = Q @ C.T
     scale = qn[:, None] + cn[None]
@@ -84,11 +128,25 @@ def _hits(Q: np.ndarray, C: np.ndarray, rank: np.ndarray, limit: np.ndarray, k:
     err = 1e-14 * Q.shape[1] * scale + 1e-12
     D -= err
     near = D <= (limit + EDGE)[:, None]
-    many = np.flatnonzero(near.sum(1) > 8 * k)           # rows that a k-th distance of their own bounds better
+    many = np.flatnonzero(near.sum(1) > 8 * k)
     if len(many):
         kth = np.partition(D[many] + 2 * err[many], k - 1, axis=1)[:, k - 1]
         near[many] = D[many] <= (np.minimum(kth, limit[many]) + EDGE)[:, None]
-    r, c = np.nonzero(near)
+    return np.flatnonzero(near)
+
+
+def _hits(Q: np.ndarray, C: np.ndarray, rank: np.ndarray, limit: np.ndarray, k: int, metric: str,
+          q: tuple | None = None, c: tuple | None = None):
+    """(question row, chunk row, distance) of up to k chunks per question within ``limit``.
+
+    ``q``, ``c``: the rows as ``_single`` gives them, where they are held.  Single precision leaves few pairs unless
+    distances are small beside the norms; then double precision tells them apart."""
+    q, c = q or _single(Q, metric, False), c or _single(C, metric, True)
+    near = _near_single(q, c, limit, k, metric) if q and c else None
+    if near is None or len(near) > max(len(Q) * len(C) // 16, 8 * k * len(Q)):
+        near = _near_double(Q, C, limit, k, metric)
+    r, c = np.divmod(near, max(len(C), 1))
+    qn, cn = (Q * Q).sum(1), (C * C).sum(1)
     d = np.concatenate([np.zeros(0), *(_exact(Q, C, qn, cn, r[lo:lo + PAIRS], c[lo:lo + PAIRS], metric) for lo in range(0, len(r), PAIRS))])
     d = np.round(d, ROUND) + 0.0
     order = np.lexsort((rank[c], d, r))

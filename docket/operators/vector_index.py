@@ -11,7 +11,8 @@ A search packs questions in blocks, and blocks of near leaves in groups.  Each q
 tile of its nearest leaf, which bounds the distance of its k-th hit; the tiles whose shell at least one
 question of a part can reach are then sent to it, and a task lets a slab of them pass by a group's blocks,
 whose bounds shrink as they go.  Tiles travel once per group, questions once per slab; the numbers of groups
-and slabs follow from the sizes, so what is shuffled grows with the input while parts fit ``GROUP``.
+and slabs follow from the sizes, so what is shuffled grows with the input while parts fit ``GROUP``.  Pairs are
+sifted by products in single precision, whose rounding is allowed for.
 
 All metrics search in a space where the triangle inequality holds: vectors as they are (l2sq),
 normalised (cosine), or with one more component that makes all norms equal (ip).  Distances of
@@ -40,12 +41,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docket.functions.vectors import METRICS
-from docket.operators.knn import _hits, _matrix, _place, _reach, _usable, top_k_per_group
+from docket.operators.knn import _hits, _matrix, _place, _reach, _single, _usable, top_k_per_group
 from docket.session import delete_path, materialize, path_exists, scratch_path
 
 LEAVES, LEAF_ROWS, PER_LEAF = 2048, 256, 16      # sample rows: 16 per leaf or more, at most LEAVES * PER_LEAF
 TILE, BLOCK = 2048, 512
-GROUP, SLAB = 32768, 1 << 27        # questions that pass a tile together; bytes of vectors in the tiles of one task
+GROUP, HELD = 65536, 1 << 27        # questions that pass a tile together, and bytes of their vectors
+SLAB = 1 << 27                      # bytes of vectors in the tiles of one task
 
 
 @dataclass
@@ -274,6 +276,22 @@ def extend(index: VectorIndex, chunks: DataFrame, batch: str, c_id: str = "id",
     return index.refresh()
 
 
+def _group(dim: int) -> int:
+    return max(1, min(GROUP, HELD // (8 * dim)))
+
+
+def _grid(n: int, rows: int, dim: int, cores: int, block: int = BLOCK) -> tuple[int, int]:
+    """Parts of ``n`` questions and slabs of ``rows`` chunks: tiles travel once per part, questions once per slab, so where
+    cores ask for more cells than memory does, the side of more rows is cut."""
+    parts, slabs = max(1, -(-n // _group(dim))), max(1, -(-rows * dim * 8 // SLAB))
+    if rows >= n:
+        slabs = max(slabs, min(-(-2 * cores // parts), -(-rows // TILE)))
+    parts = max(parts, min(-(-2 * cores // slabs), -(-n // block)))
+    if rows < n:
+        slabs = max(slabs, min(-(-2 * cores // parts), -(-rows // TILE)))
+    return parts, slabs
+
+
 def search(index: VectorIndex, questions: DataFrame, k: int = 5, q_id: str = "qid", q_vec: str = "vector",
            block: int = BLOCK) -> DataFrame:
     """``(qid, id, dist, rk)``: the ``k`` chunks nearest each question vector."""
@@ -298,9 +316,7 @@ def search(index: VectorIndex, questions: DataFrame, k: int = 5, q_id: str = "qi
 
     routed = materialize(qs.mapInArrow(route, f"qid {q_type}, v array<double>, home int"), "routed")
     # the grid of the search: slabs of tiles x parts of questions, no more of either than memory or cores ask for
-    n, cores = routed.count(), spark.sparkContext.defaultParallelism
-    slabs = -(-index.rows * dim * 8 // SLAB)
-    parts = max(1, -(-n // GROUP), min(-(-2 * cores // slabs), -(-n // block)))
+    parts, slabs = _grid(routed.count(), index.rows, dim, spark.sparkContext.defaultParallelism, block)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of questions of near leaves; a part's blocks are groups of at most ``GROUP`` questions."""
@@ -316,7 +332,7 @@ def search(index: VectorIndex, questions: DataFrame, k: int = 5, q_id: str = "qi
                     return
                 hi = min(lo + block, len(home))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{part}-{made}"]), pa.array([part % parts], pa.int32()), pa.array([made // max(1, GROUP // block)], pa.int32()),
+                    [pa.array([f"{part}-{made}"]), pa.array([part % parts], pa.int32()), pa.array([made // max(1, _group(dim) // block)], pa.int32()),
                      pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), ids[lo:hi]),
                      pa.array([np.ascontiguousarray(V[lo:hi]).tobytes()], pa.binary()), pa.array([home[lo:hi].tobytes()], pa.binary())],
                     ["block", "part", "grp", "qids", "qv", "home"])
@@ -350,9 +366,9 @@ def search(index: VectorIndex, questions: DataFrame, k: int = 5, q_id: str = "qi
     found = f"block string, nth int, qid {q_type}, id {c_type}, dist double"
 
     def best_of(block_: str, V: np.ndarray, nth: np.ndarray, qids: pa.Array, lim: np.ndarray, C: np.ndarray, ids: pa.Array,
-                rank: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+                rank: np.ndarray, q: tuple | None = None, c: tuple | None = None) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
         """The k best of some chunks for some questions, as rows, and again as (question, distance)."""
-        r, c, d = _hits(V, C, rank, lim, k, metric)
+        r, c, d = _hits(V, C, rank, lim, k, metric, q, c)
         return pa.RecordBatch.from_arrays([pa.array([block_] * len(r), pa.string()), pa.array(nth[r]), qids.take(pa.array(r)),
                                            ids.take(pa.array(c)), pa.array(d)], ["block", "nth", "qid", "id", "dist"]), r, d
 
@@ -406,9 +422,10 @@ def search(index: VectorIndex, questions: DataFrame, k: int = 5, q_id: str = "qi
                 self.V = np.frombuffer(b.column("qv")[i].as_py()).reshape(-1, dim)
                 self.lim = limits(b.column("lims")[i].as_py(), len(self.V))
                 self.best = np.full((len(self.V), k), np.inf)
+                self.single = _single(self.V, metric, False)
 
             def meet(self, leaf: np.ndarray, near_: np.ndarray, far: np.ndarray, of: np.ndarray, C: np.ndarray, ids: pa.Array,
-                     rank: np.ndarray) -> pa.RecordBatch | None:
+                     rank: np.ndarray, single: tuple | None) -> pa.RecordBatch | None:
                 """Against some tiles (``of``: the tile of each chunk): those that a question can reach."""
                 d, err = tree.distances(tree.place(self.V, False), leaf)
                 reach = (_reach(self.lim, self.V, metric, tree.m2) * (1 + 1e-9))[:, None] + err
@@ -418,8 +435,9 @@ def search(index: VectorIndex, questions: DataFrame, k: int = 5, q_id: str = "qi
                     return None
                 if not tiles.all():
                     cs = np.flatnonzero(tiles[of])
-                    C, ids, rank = C[cs], ids.take(pa.array(cs)), rank[cs]
-                rows, r, dist = best_of(self.name, self.V[at], at.astype(np.int32), self.qids.take(pa.array(at)), self.lim[at], C, ids, rank)
+                    C, ids, rank, single = C[cs], ids.take(pa.array(cs)), rank[cs], single and (single[0][cs], single[1][cs])
+                rows, r, dist = best_of(self.name, self.V[at], at.astype(np.int32), self.qids.take(pa.array(at)), self.lim[at], C, ids, rank,
+                                        self.single and (self.single[0][at], self.single[1][at]), single)
                 new = np.full((len(at), k), np.inf)
                 new[r, np.arange(len(r)) - np.searchsorted(r, r)] = dist
                 self.best[at] = np.sort(np.concatenate([self.best[at], new], 1), 1)[:, :k]
@@ -438,8 +456,9 @@ def search(index: VectorIndex, questions: DataFrame, k: int = 5, q_id: str = "qi
                 ids, C = pa.concat_arrays([t[3] for t in tiles]), np.concatenate([t[4] for t in tiles])
                 of, rank = np.repeat(np.arange(len(tiles)), [len(t[3]) for t in tiles]), ranks(ids)
                 tiles.clear()
+                single = _single(C, metric, True)
                 for q in held:
-                    rows = q.meet(own, near_, far, of, C, ids, rank)
+                    rows = q.meet(own, near_, far, of, C, ids, rank, single)
                     if rows is not None and rows.num_rows:
                         yield rows
 
