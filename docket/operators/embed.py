@@ -3,13 +3,20 @@ feature-hashing embedder standing in for a remote model (M2)."""
 
 from __future__ import annotations
 
+import hashlib
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docket.functions._util import byte_slices
+from docket.functions._util import col as _col
+
 
 RETRIES = 5
 WAIT_SECONDS = 2.0
@@ -70,9 +77,41 @@ def token_bucket(tok: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
 
 
-def _with(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn(value)`` with ``value`` computed once per row, however often ``fn`` names it."""
-    return F.transform(F.array(value), fn)[0]
+# MD5 (RFC 1321): shifts and constants of its 64 steps, and the word each reads
+_SHIFT = [x for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for x in four * 4]
+_ADD = np.floor(2.0 ** 32 * np.abs(np.sin(np.arange(1, 65)))).astype(np.uint64).astype(np.uint32)
+_WORD = [(m * i + c) % 16 for i, (m, c) in enumerate([(1, 0)] * 16 + [(5, 1)] * 16 + [(3, 5)] * 16 + [(7, 0)] * 16)]
+
+
+def _md5_heads(words: pa.Array, rows: int = 1 << 14) -> np.ndarray:
+    """The first four bytes of each text's MD5, as a number: all words of one MD5 block (up to 55 bytes) side by side."""
+    words = words.cast(pa.large_binary())
+    off = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    flat = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    out = np.empty(len(words), np.int64)
+    for lo in range(0, len(words), rows):
+        start = off[lo:lo + rows + 1]
+        n = np.diff(start)
+        start, long = start[:-1], np.flatnonzero(n > 55)
+        n[long] = 0
+        text = np.zeros((len(n), 64), np.uint8)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        text[np.repeat(np.arange(len(n)), n), at] = flat[np.repeat(start, n) + at]
+        text[np.arange(len(n)), n] = 0x80
+        word = np.ascontiguousarray(text.view("<u4").T)
+        word[14] = 8 * n
+        first = np.uint32(0x67452301)
+        a, b, c, d = (np.full(len(n), x, np.uint32) for x in (first, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+        for i in range(64):
+            f = d ^ (b & (c ^ d)) if i < 16 else c ^ (d & (b ^ c)) if i < 32 else b ^ c ^ d if i < 48 else c ^ (b | ~d)
+            f += a
+            f += _ADD[i]
+            f += word[_WORD[i]]
+            a, d, c, b = d, c, b, b + ((f << np.uint32(_SHIFT[i])) | (f >> np.uint32(32 - _SHIFT[i])))
+        out[lo:lo + rows] = (a + first).byteswap()
+        for i in long.tolist():
+            out[lo + i] = int.from_bytes(hashlib.md5(words[lo + i].as_py(), usedforsecurity=False).digest()[:4], "big")
+    return out
 
 
 def hash_vector(text, dim: int = 64) -> Column:
@@ -80,20 +119,25 @@ def hash_vector(text, dim: int = 64) -> Column:
     buckets (first 8 hex digits of each token's MD5, modulo ``dim``),
     L2-normalised; all zeros for a text without tokens.  Not a semantic model.
 
-    Every token of a text is in its row, so the vector is built row-locally from
-    built-in functions: no shuffle, no Python.
+    Every token of a text is in its row, so the vector is built row-locally: no shuffle.  Lower-casing is
+    Spark's; tokens are hashed and counted by an Arrow UDF over slices of a batch, each distinct token of a slice once.
     """
-    buckets = F.transform(F.coalesce(tokens(text), F.array().cast("array<string>")), lambda x: token_bucket(x, dim))
-    each = F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint"))
-    # sorted, the tokens of a bucket are one run: counts are the differences of the runs' starts
-    runs = _with(F.array_sort(buckets), lambda b: F.struct(
-        F.array_distinct(b).alias("k"), F.transform(F.array_distinct(b), lambda x: F.array_position(b, x)).alias("at"), F.size(b).alias("n")))
-    sums = _with(runs, lambda r: F.map_from_arrays(r["k"], F.transform(
-        r["at"], lambda p, i: F.coalesce(F.get(r["at"], i + 1), r["n"] + 1) - p)))
-    counts = _with(sums, lambda m: F.transform(each, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("double")))
-    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
-    pair = _with(counts, lambda c: F.struct(c.alias("c"), F.sqrt(squares(c)).alias("n")))
-    return _with(pair, lambda p: F.transform(p["c"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(0.0)))
+
+    @F.arrow_udf("array<double>")
+    def _vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in byte_slices(texts):
+                words = pc.ascii_split_whitespace(pc.fill_null(part, ""))
+                known = words.flatten().dictionary_encode()
+                bucket = np.where(np.asarray(pc.binary_length(known.dictionary)) > 0, _md5_heads(known.dictionary) % dim, -1)
+                at = bucket[known.indices.to_numpy()]
+                row = np.repeat(np.arange(len(part)) * dim, np.diff(words.offsets.to_numpy()))
+                counts = np.bincount((row + at)[at >= 0], minlength=len(part) * dim).reshape(-1, dim)
+                norm = np.sqrt((counts * counts).sum(1).astype(np.float64))
+                values = counts / np.where(norm > 0, norm, 1.0)[:, None]
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * dim, pa.int32()), pa.array(values.ravel()))
+
+    return _vectors(F.lower(_col(text)))
 
 
 def hash_embed(df: DataFrame, id_col: str = "id", text_col: str = "text", dim: int = 64,
