@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 ROUND = 6
 PAIRS = 1 << 16          # pairs whose exact distances are computed at once
+COLUMNS = 2048           # chunks whose products with a block of questions are held at once
 EDGE = 2e-6              # rounding can move a distance by half of 1e-6
 
 
@@ -95,25 +96,29 @@ def _where(near: np.ndarray) -> np.ndarray:
     return 8 * eights[i] + j
 
 
-def _near_single(q: tuple, c: tuple, limit: np.ndarray, k: int, metric: str) -> np.ndarray:
-    """Flat places of the pairs that may lie within ``limit``, by products in single precision; none that does is missed."""
+def _near_single(q: tuple, c: tuple, limit: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that may lie within ``limit``, by products in single precision; none that does is missed."""
     (L, qn), (R, cn) = q, c
     e = _slack(L.shape[1] - 1)
     base = qn if metric == "l2sq" else np.ones(len(qn))
-    least = lambda lim, at: np.nextafter((base[at] - lim - EDGE - e * qn[at]).astype(np.float32), np.float32(-np.inf))[:, None]
-    S = L @ R.T
-    near = S >= least(limit, slice(None))
-    at = _where(near)
-    many = np.flatnonzero(np.bincount(at // len(R), minlength=len(L)) > 8 * k) if len(R) else []
-    if len(many):               # rows that a k-th distance of their own bounds better
-        own = S[many]
-        kth = base[many] - np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k] + e * (qn[many] + 2 * cn.max())
-        near[many] = own >= least(np.minimum(kth, limit[many]), many)
-        at = _where(near)
-    return at
-
-
-def _near_double(Q: np.ndarray, C: np.ndarray, limit: np.ndarray, k: int, metric: str) -> np.ndarray:
+    least = lambda at: np.nextafter((base[at] - limit[at] - EDGE - e * qn[at]).astype(np.float32), np.float32(-np.inf))[:, None]
+    found, limit = [(np.zeros(0, np.int64),) * 2], limit.copy()
+    for lo in range(0, len(R), COLUMNS):
+        S = L @ R[lo:lo + COLUMNS].T
+        near = S >= least(slice(None))
+        r, c_ = np.divmod(_where(near), S.shape[1])
+        many = np.flatnonzero(np.bincount(r, minlength=len(L)) > 8 * k)
+        if len(many):           # rows that a k-th distance of their own bounds better, here and in later columns
+            own = S[many]
+            kth = np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k]
+            limit[many] = np.minimum(limit[many], base[many] - kth + e * (qn[many] + 2 * cn.max()))
+            near[many] = own >= least(many)
+            r, c_ = np.divmod(_where(near), S.shape[1])
+        found.append((r, c_ + lo))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _near_double(Q: np.ndarray, C: np.ndarray, limit: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """The same in double precision."""
     qn, cn = (Q * Q).sum(1), (C * C).sum(1)
     dot = Q @ C.T
@@ -132,7 +137,7 @@ def _near_double(Q: np.ndarray, C: np.ndarray, limit: np.ndarray, k: int, metric
     if len(many):
         kth = np.partition(D[many] + 2 * err[many], k - 1, axis=1)[:, k - 1]
         near[many] = D[many] <= (np.minimum(kth, limit[many]) + EDGE)[:, None]
-    return np.flatnonzero(near)
+    return np.nonzero(near)
 
 
 def _hits(Q: np.ndarray, C: np.ndarray, rank: np.ndarray, limit: np.ndarray, k: int, metric: str,
@@ -143,9 +148,10 @@ def _hits(Q: np.ndarray, C: np.ndarray, rank: np.ndarray, limit: np.ndarray, k:
     distances are small beside the norms; then double precision tells them apart."""
     q, c = q or _single(Q, metric, False), c or _single(C, metric, True)
     near = _near_single(q, c, limit, k, metric) if q and c else None
-    if near is None or len(near) > max(len(Q) * len(C) // 16, 8 * k * len(Q)):
-        near = _near_double(Q, C, limit, k, metric)
-    r, c = np.divmod(near, max(len(C), 1))
+    if near is None or len(near[0]) > max(len(Q) * len(C) // 16, 8 * k * len(Q)):
+        parts = [_near_double(Q, C[lo:lo + COLUMNS], limit, k, metric) for lo in range(0, len(C), COLUMNS)]
+        near = tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in ([r for r, _ in parts], [at + i * COLUMNS for i, (_, at) in enumerate(parts)]))
+    r, c = near
     qn, cn = (Q * Q).sum(1), (C * C).sum(1)
     d = np.concatenate([np.zeros(0), *(_exact(Q, C, qn, cn, r[lo:lo + PAIRS], c[lo:lo + PAIRS], metric) for lo in range(0, len(r), PAIRS))])
     d = np.round(d, ROUND) + 0.0

@@ -47,7 +47,7 @@ from docket.session import delete_path, materialize, path_exists, scratch_path
 LEAVES, LEAF_ROWS, PER_LEAF = 2048, 256, 16      # sample rows: 16 per leaf or more, at most LEAVES * PER_LEAF
 TILE, BLOCK = 2048, 512
 GROUP, HELD = 65536, 1 << 27        # questions that pass a tile together, and bytes of their vectors
-SLAB = 1 << 27                      # bytes of vectors in the tiles of one task
+SLAB, PASS = 1 << 27, 1 << 22       # bytes of vectors in the tiles of one task, and in those that pass a block at once
 
 
 @dataclass
@@ -303,6 +303,7 @@ def search(index: VectorIndex, questions: DataFrame, k: int = 5, q_id: str = "qi
     shells = np.array([index.extent[i][:2] for i in live.tolist()])
     home_tile = pa.array([index.extent[i][2] for i in live.tolist()])
     dim, metric = tree.dim, tree.metric
+    at_once = max(TILE, PASS // (8 * dim))
     qs = _usable(questions.select(F.col(q_id).alias("qid"), F.col(q_vec).cast("array<double>").alias("v")), "v", metric)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,7 +476,7 @@ def search(index: VectorIndex, questions: DataFrame, k: int = 5, q_id: str = "qi
                         continue
                     tiles.append((h["leaf"], h["near"], h["far"], b.column("ids")[i].values,
                                   np.frombuffer(b.column("v")[i].as_py()).reshape(-1, dim)))
-                    if sum(len(t[3]) for t in tiles) >= TILE:
+                    if sum(len(t[3]) for t in tiles) >= at_once:
                         yield from pass_by()
             if tiles:
                 yield from pass_by()
