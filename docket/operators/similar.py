@@ -128,12 +128,32 @@ def _ordered(names: list[str]) -> list[int]:
 
 
 def _matrix(names: list[str]) -> tuple[np.ndarray, dict[str, int]]:
-    """Names x bigrams as 0 and 1, and the number of each bigram."""
-    known: dict[str, int] = {}
-    cols = [[known.setdefault(t, len(known)) for t in _tokens(s)] for s in names]
-    M = np.zeros((len(names), len(known)), np.uint8)
-    M[np.repeat(np.arange(len(names)), [len(c) for c in cols]), [x for c in cols for x in c]] = 1
-    return M, known
+    """Names x bigrams (``_tokens``) as 0 and 1, and the number of each bigram."""
+    code = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    name = np.repeat(np.arange(len(names)), [len(s) for s in names])
+    at = np.flatnonzero(name[1:] == name[:-1])
+    gram, row = code[at] << 21 | code[at + 1], name[at]
+    order = np.lexsort((gram, row))
+    gram, row = gram[order], row[order]
+    place = np.arange(len(gram))
+    new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])])[:len(gram)]
+    again = place - np.maximum.accumulate(np.where(new, place, 0))         # occurrences of the bigram before this one
+    distinct, col = np.unique(gram << 21 | again, return_inverse=True)
+    M = np.zeros((len(names), len(distinct)), np.uint8)
+    M[row, col] = 1
+    parts = zip((distinct >> 42).tolist(), (distinct >> 21 & 0x1FFFFF).tolist(), (distinct & 0x1FFFFF).tolist(), strict=True)
+    return M, {chr(a) + chr(b) + (f"\0{c + 1}" if c else ""): i for i, (a, b, c) in enumerate(parts)}
+
+
+class Asked:
+    """The questions of a block, each distinct bigram of theirs under one number."""
+
+    def __init__(self, qs: list[str]):
+        known: dict[str, int] = {}
+        held = [[known.setdefault(t, len(known)) for t in _tokens(q)] for q in qs]
+        self.qs, self.words = qs, list(known)
+        self.n = np.array([len(h) for h in held])
+        self.row, self.word = np.repeat(np.arange(len(qs)), self.n), np.array([x for h in held for x in h], np.int64)
 
 
 class Tile:
@@ -151,13 +171,13 @@ class Tile:
         self.runs = [lo + np.argsort(rank[lo:lo + RUN]) for lo in starts]    # ties fall to the first of a run
         self.rank, self.head = rank, int(rank.argmin())
 
-    def best(self, qs: list[str], tokens: list[list[str]], floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    def best(self, block: Asked, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """For every question its best name of the tile (its number and score; -1 where none reaches
         ``floor``, the score it has elsewhere), and how many pairs were compared."""
-        n = np.array([len(t) for t in tokens])
+        qs, n = block.qs, block.n
         Q = np.zeros((len(qs), len(self.known)), np.float32)
-        for j, ts in enumerate(tokens):
-            Q[j, [self.known[t] for t in ts if t in self.known]] = 1
+        col = np.array([self.known.get(w, -1) for w in block.words], np.int64)[block.word]
+        Q[block.row[col >= 0], col[col >= 0]] = 1
         limit = _limit(n[:, None], (Q @ self.held.T).astype(np.float64), self.low, self.high)
         win, score = np.full(len(qs), self.head), np.zeros(len(qs))
         seen = 0
@@ -270,10 +290,10 @@ def fuzzy_best_file(questions: DataFrame, index: DataFrame, q_id: str = "qid",
                     if len(held) >= HELD:
                         yield from give()
                     qs = b.column("_qs")[i].as_py()
-                    held[head["block"]] = {"qs": qs, "keys": [b.column(c)[i].as_py() for c in own[1:]], "tokens": [_tokens(q) for q in qs],
+                    held[head["block"]] = {"qs": qs, "keys": [b.column(c)[i].as_py() for c in own[1:]], "asked": Asked(qs),
                                            "score": np.full(len(qs), -1.0), "file": [None] * len(qs)}
                 h = held[head["block"]]
-                win, score, _ = tile.best(h["qs"], h["tokens"], h["score"])
+                win, score, _ = tile.best(h["asked"], h["score"])
                 for j in np.flatnonzero(win >= 0).tolist():
                     f = files[win[j]]
                     if score[j] > h["score"][j] or _key(f) < _key(h["file"][j]):

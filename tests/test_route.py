@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docket.functions import route as FR
@@ -164,3 +165,23 @@ def test_extract_subject_word_boundary(spark):
     df = spark.createDataFrame([("those costs",), ("my OS notes",), ("a stack.",)], "q string")
     got = [r[0] for r in df.select(FR.extract_subject("q", word_boundary=True)).collect()]
     assert got == [None, "os", "dsa"]
+
+
+def test_bigram_matrix_and_best_name_equal_their_definitions():
+    rng = random.Random(4)
+    names = sorted({"", "a", "aa", "aaaa", "ab\0c", "\0\0\0", "é" * 5, "𝒳𝒴𝒳𝒴", *("".join(rng.choices("abcé𝒳 ", k=rng.randrange(2, 25))) for _ in range(200))})
+    M, known = S._matrix(names)
+    for i, s in enumerate(names):
+        assert {t for t, c in known.items() if M[i, c]} == set(S._tokens(s))
+    assert S._matrix(["", "x"])[0].shape == (2, 0)
+    order = S._ordered(names)
+    assert sorted(order) == list(range(len(names)))
+    tile = S.Tile([names[i] for i in order], [(i % 5, True, names[i]) for i in order])
+    qs = names[3:6] + ["".join(rng.choices("abcé𝒳x", k=rng.randrange(2, 40))).replace(" ", "") for _ in range(60)]
+    block = S.Asked(qs)
+    win, score, _ = tile.best(block, np.full(len(qs), -1.0))
+    for q, w, d in zip(qs, win, score):
+        best = max(2 * len(set(S._tokens(q)) & set(S._tokens(s))) / max(len(q) + len(s) - 2, 1) if q != s else 1.0 for s in names if len(s) > 1 or q == s)
+        assert abs(d - best) < 1e-12 and w >= 0
+    again, _, seen = tile.best(block, np.full(len(qs), 2.0))        # a score that no name reaches: nothing is compared
+    assert (again == -1).all() and seen == 0
