@@ -218,6 +218,18 @@ def _write_tiles(rows: DataFrame, tree: Tree, path: str, batch: str) -> None:
     packed.write.mode("overwrite").parquet(os.path.join(path, "tiles", f"batch={batch}"))
 
 
+def _sample(rows: DataFrame, n: int, want: int) -> pa.ChunkedArray:
+    """The vectors of the ``want`` least hashes of an id.  Of many rows only those of low hashes are
+    sorted: the one task that merges what tasks send would else read nearly all."""
+    hashed = rows.select("v", F.xxhash64("id").alias("h"))
+    least = lambda df: df.orderBy("h").limit(want).select("v").toArrow().column("v")
+    if n > 4 * want:
+        some = least(hashed.filter(F.col("h") < F.lit(2 * want * (1 << 64) // n - (1 << 63))))
+        if len(some) == want:
+            return some
+    return least(hashed)
+
+
 def build_index(chunks: DataFrame, path: str | None = None, metric: str = "l2sq", c_id: str = "id", c_vec: str = "vector",
                 batch: str = "0", leaf_rows: int | None = None) -> VectorIndex:
     """Fit and write the index of a collection at ``path`` (a scratch table without it): a leaf per
@@ -240,8 +252,7 @@ def build_index(chunks: DataFrame, path: str | None = None, metric: str = "l2sq"
     shell = Tree(metric, size["dim"], size["m2"] if metric == "ip" else 0.0, np.zeros((0, 0)), np.zeros(0), np.zeros((1, 0)))
     width = size["dim"] + (metric == "ip")
     want = 2 ** depth * max(PER_LEAF, min(256, LEAVES * PER_LEAF >> depth))
-    sample = rows.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(want).select("v").toArrow().column("v")
-    S = shell.place(_matrix(sample, size["dim"]), True)
+    S = shell.place(_matrix(_sample(rows, size["n"], want), size["dim"]), True)
     index.tree = Tree(metric, size["dim"], shell.m2, *_fit(S, depth, width))
     _write_tiles(rows, index.tree, path, batch)
     spark.createDataFrame([(bytearray(index.tree.dump()), index.id_type)], "tree binary, id_type string").coalesce(1) \

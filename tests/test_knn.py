@@ -205,3 +205,16 @@ def test_grid_sends_tiles_once_while_questions_fit_a_group():
     parts, slabs = vector_index._grid(900_000, 3_000, 64, 6)       # few chunks: the questions are cut instead
     assert slabs <= 2 and parts * slabs >= 12
     assert vector_index._grid(0, 1, 4, 6) == (1, 1)
+
+
+def test_sample_of_many_rows_sorts_few(spark, monkeypatch):
+    # the same rows as by sorting all, also where many rows share few ids
+    df = spark.range(2000).selectExpr("id", "array(cast(id as double)) as v")
+    few = spark.range(2000).selectExpr("id % 3 as id", "array(cast(id % 3 as double)) as v")
+    whole = [r.v for r in df.selectExpr("v", "xxhash64(id) as h").orderBy("h").limit(50).collect()]
+    seen = []
+    real = type(df).orderBy
+    monkeypatch.setattr(type(df), "orderBy", lambda self, *c: (seen.append(self.count()), real(self, *c))[1])
+    assert vector_index._sample(df, 2000, 50).to_pylist() == whole
+    assert seen and seen[0] < 300
+    assert len(vector_index._sample(few, 2000, 50)) == 50
