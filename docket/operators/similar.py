@@ -243,8 +243,9 @@ def fuzzy_best_file(questions: DataFrame, index: DataFrame, q_id: str = "qid",
     # the files of a list by name: distinct names, cut into tiles
     named = listed.groupBy(*LIST, "_fs").agg(F.min_by(F.struct("pos", "path", "link"), F.struct("pos", "path")).alias("_f"))
     order = [*LIST, "_fs"]
-    cut = packed(named.select(*order, "_f.*").repartitionByRange(*order).sortWithinPartitions(*order),
-                 LIST, ["_fs", "pos", "path", "link"], tile_rows, "tile")
+    # written before they are ordered: a task holds one Python worker at a time
+    cut = materialize(packed(named.select(*order, "_f.*").repartitionByRange(*order).sortWithinPartitions(*order),
+                             LIST, ["_fs", "pos", "path", "link"], tile_rows, "tile"), "cut")
 
     def like(batches):
         """Tiles with their names in the order of likeness."""

@@ -62,7 +62,8 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, index: DataFrame,
     req = qs.filter(F.col("category") == "DIRECT_NOTES_REQUEST")
     match = S.fuzzy_best_file(req, index)
     ask = qs.filter(F.col("category") == "NOTES_QUERY")
-    qvec = M.hash_embed(ask, "qid", "question", dim)
+    # written, so that no task runs the embedder and the search's routing in two Python workers at a time
+    qvec = cut(M.hash_embed(ask, "qid", "question", dim), "asked_vectors")
     hits = knn.nearest_chunks(qvec, chunks, k=k, q_vec="vector", c_vec="vector", index=vectors)
     # k rows per question with their text, read by both branches below: pinned
     # once so the collection is scanned once.
